@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, text: str, lang: str, salt: Column, sample: int = S
     typical = f.join(every, "gram").withColumn("weight", F.col("f") * F.log(1 + F.col("f") * len(langs) / F.col("all")))
     typical = typical.where((F.col("f") * len(langs) > F.col("all")) | F.lit(len(langs) == 1))
     ranked = typical.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), "gram"))).where(F.col("k") <= GRAMS)
-    top = ranked.select("lang", "gram").toPandas()
+    top = ranked.select("lang", "gram").toArrow().to_pandas()
     counts.unpersist()
     slots = np.zeros(SLOTS, np.uint64)
     for i, name in enumerate(langs):

@@ -277,7 +277,7 @@ def fit(labelled: DataFrame, text: str, label: str, salt: Column) -> Network:
     """Train on the ``SAMPLE`` labelled rows of smallest ``salt`` whose texts have at most ``LONGEST`` bytes, up to
     ``SAMPLE_BYTES`` in all.  Only the sample comes to the driver."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= LONGEST))
-    rows = rows.select(salt.alias("salt"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).orderBy("salt", "text").limit(SAMPLE).toPandas()
+    rows = rows.select(salt.alias("salt"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).orderBy("salt", "text").limit(SAMPLE).toArrow().to_pandas()
     size = rows["text"].str.len().cumsum()
     rows = rows[size <= SAMPLE_BYTES]
     return train(rows["text"].tolist(), rows["label"].to_numpy(float))
