@@ -13,9 +13,9 @@ shingles.  Since a document with enough segments finds all its partners, these e
 documents that lack segments.  No candidate is lost.
 
 Candidates are resolved without listing all pairs of a group: equal sets form one class first; every key links its
-members to its smallest class, those pairs are verified exactly and components formed; only keys that still touch several
-components are compared all-against-all, in blocks inside the tasks, pairs of different components only, filtered by a
-parity sketch whose bit difference never exceeds the true one; what passes is verified exactly too.
+members to its smallest class, those pairs are verified (a parity sketch first, then exactly) and components formed; only keys that still touch several
+components are compared all-against-all, in blocks inside the tasks, pairs of different components only, filtered by the
+sketch, whose bit difference never exceeds the true one; what passes is verified exactly too.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from .common import block_pairs, components, map_arrow, saved
 
 #: Segments beyond the number needed, as a factor; keys buffered by a task; keys meant for one bucket; rows of a block.
 SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.12, 1_500_000, 400_000, 1024
-#: Bits of the parity sketch for each shingle.
-SKETCH = 16
+#: Bits of the parity sketch for each shingle; rows meant for one task of the all-against-all pass; pairs compared at once.
+SKETCH, PART_ROWS, SIDE = 2, 20_000, 100_000
 
 _U = np.uint64
 
@@ -62,18 +62,20 @@ def _salt(*parts: int) -> np.uint64:
     return x[0]
 
 
-def keys_of(s: np.ndarray) -> np.ndarray:
-    """Candidate keys of one sorted distinct shingle set."""
+def keys_of(s: np.ndarray) -> list[np.ndarray]:
+    """Candidate keys of one sorted distinct shingle set, in the scheme of its own band and of the next."""
     n = len(s)
     if not n:
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64)] * 2
     own = int(np.searchsorted(_BANDS, n, "right")) - 1
-    out = []
+    schemes = []
     high = s >> _U(32)
     for band in (own, own + 1):
+        out = [np.zeros(0, np.uint64)]
         # The larger set of a pair in this scheme has at most this size.
         partner = min(4 * n // 3, _BANDS[band + 1] - 1)
         if partner < _BANDS[band]:
+            schemes.append(out[0])
             continue
         differ = (n + partner) // 7
         m = segments(band)
@@ -83,6 +85,7 @@ def keys_of(s: np.ndarray) -> np.ndarray:
         base = K.mix(part[at] + _salt(band, m))
         out.append(K.mix(sums + base))
         if len(at) > differ:
+            schemes.append(np.unique(out[1]))
             continue
         counts = np.diff(np.concatenate((at, [n])))
         less = np.repeat(sums, counts) - K.mix(s)  # each segment without one of its shingles
@@ -91,7 +94,8 @@ def keys_of(s: np.ndarray) -> np.ndarray:
         out += [short, K.mix(sums + base + _salt(band, m, 1))]
         if (counts == 1).sum() + 2 * (counts > 1).sum() <= differ:
             out.append(K.mix(s + _salt(band, m, 2)))
-    return np.unique(np.concatenate(out))
+        schemes.append(np.unique(np.concatenate(out)))
+    return schemes
 
 
 def class_of(s: np.ndarray) -> int:
@@ -108,26 +112,29 @@ def _fingerprints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("names", pa.binary()), ("sizes", pa.binary())])
+    """Rows (bucket, keys, counts, names, sizes): the lower key halves of a run of classes that fall into a bucket, ordered by
+    class and scheme; how many each class has in either scheme; the classes' names and sizes."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "names", "sizes"))])
 
     def flush(names: list[int], sizes: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not keys:
             return
-        owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+        owner = np.repeat(np.arange(len(keys), dtype=np.int64), [len(k) for k in keys])  # 2 * class + scheme
         key = np.concatenate(keys)
         bucket = (((key >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        bucket, key, owner = bucket[order], key[order], owner[order]
+        bucket, key, owner = bucket[order], key[order].astype(np.uint32), owner[order]
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        rows: list[list] = [[], [], [], [], []]
-        name, size = np.array(names, np.int64), np.array(sizes, np.int64)
+        name, size = np.array(names, np.int64), np.array(sizes, np.int32)
+        rows: list[list] = [[] for _ in schema]
         for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
-            local, back = np.unique(owner[lo:hi], return_inverse=True)
-            for column, value in zip(rows, (int(bucket[lo]), key[lo:hi].astype(np.uint32).tobytes(), back.astype(np.uint32).tobytes(), name[local].tobytes(), size[local].tobytes()), strict=True):
+            local = np.unique(owner[lo:hi] >> 1)
+            counts = np.bincount(2 * np.searchsorted(local, owner[lo:hi] >> 1) + (owner[lo:hi] & 1), minlength=2 * len(local)).astype(np.uint32)
+            for column, value in zip(rows, (int(bucket[lo]), key[lo:hi].tobytes(), counts.tobytes(), name[local].tobytes(), size[local].tobytes()), strict=True):
                 column.append(value)
             if len(rows[0]) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-                rows = [[], [], [], [], []]
+                rows = [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +149,8 @@ def _keys(buckets: int):
                 seen.add(name)
                 names.append(name)
                 sizes.append(len(s))
-                keys.append(keys_of(s))
-                held += len(keys[-1])
+                keys += (own := keys_of(s))
+                held += len(own[0]) + len(own[1])
                 if held >= FLUSH:
                     yield from flush(names, sizes, keys)
                     names, sizes, keys, seen, held = [], [], [], set(), 0
@@ -154,33 +161,34 @@ def _keys(buckets: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket: the keys that several classes have, with their classes."""
-    keys, names, sizes = [], [], []
-    for k, o, c, n in zip(*(table[x].to_pylist() for x in ("keys", "owners", "names", "sizes")), strict=True):
-        owner = np.frombuffer(o, np.uint32)
+    keys, names, sizes, schemes = [], [], [], []
+    for k, c, x, n in zip(*(table[f].to_pylist() for f in ("keys", "counts", "names", "sizes")), strict=True):
+        counts = np.frombuffer(c, np.uint32)
         keys.append(np.frombuffer(k, np.uint32))
-        names.append(np.frombuffer(c, np.int64)[owner])
-        sizes.append(np.frombuffer(n, np.int64)[owner])
-    key, name, size = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
+        names.append(np.repeat(np.repeat(np.frombuffer(x, np.int64), 2), counts))
+        sizes.append(np.repeat(np.repeat(np.frombuffer(n, np.int32), 2), counts))
+        schemes.append(np.repeat(np.tile(np.array([0, 1], np.int8), len(counts) // 2), counts))
+    key, name, size, scheme = (np.concatenate(x) for x in (keys, names, sizes, schemes))
     order = np.argsort(key, kind="stable")
     key = key[order]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     counts = np.diff(np.append(at, len(key)))
     many = order[np.repeat(counts > 1, counts)]
-    key, name, size = np.concatenate(keys)[many], name[many], size[many]
+    key, name, size, scheme = np.concatenate(keys)[many], name[many], size[many], scheme[many]
     order = np.lexsort((name, key))
-    key, name, size = key[order], name[order], size[order]
+    key, name, size, scheme = key[order], name[order], size[order], scheme[order]
     if len(key):
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
-        key, name, size = key[fresh], name[fresh], size[fresh]
+        key, name, size, scheme = key[fresh], name[fresh], size[fresh], scheme[fresh]
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         counts = np.diff(np.append(at, len(key)))
         keep = np.repeat(counts > 1, counts)
         leader = np.repeat(name[at], counts)[keep]
-        key, name, size = key[keep], name[keep], size[keep]
+        key, name, size, scheme = key[keep], name[keep], size[keep], scheme[keep]
     else:
         leader = name
     bucket = table["bucket"][0].as_py() if table.num_rows else 0
-    return pa.table({"key": pa.array((np.int64(bucket) << 32) + key.astype(np.int64)), "leader": pa.array(leader), "name": pa.array(name), "n": pa.array(size)})
+    return pa.table({"key": pa.array((np.int64(bucket) << 32) + key.astype(np.int64)), "leader": pa.array(leader), "name": pa.array(name), "scheme": pa.array(scheme.astype(np.int32))})
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -188,7 +196,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for i, s in K.shingle_sets(batch["text"]):
         rows.append(i)
         sets.append(s.view(np.int64))
-    yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(rows)), batch["name"].take(pa.array(rows)), pa.array(sets, pa.list_(pa.int64()))], ["rep", "name", "shingles"])
+    yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(rows)), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
 
 def sketch(s: np.ndarray, bits: int) -> np.ndarray:
@@ -198,51 +206,79 @@ def sketch(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sketched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    out = []
-    for v in batch["shingles"]:
-        s = v.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if len(v.values) else np.zeros(0, np.uint64)
+    rows, sizes, out = [], [], []
+    for i, s in K.shingle_sets(batch["text"]):
         band = int(np.searchsorted(_BANDS, len(s), "right")) - 1
+        rows.append(i)
+        sizes.append(len(s))
         # In the widths of the two schemes in which the set can meet a partner.
         out.append([sketch(s, 64 * -(-SKETCH * _BANDS[b + 1] // 64)).tobytes() for b in (band, band + 1)])
-    yield pa.RecordBatch.from_arrays([batch["rep"], batch["name"], batch["n"], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["rep", "name", "n", "sketch0", "sketch1"])
+    at = pa.array(rows)
+    yield pa.RecordBatch.from_arrays([batch["rep"].take(at), batch["name"].take(at), pa.array(sizes, pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["rep", "name", "n", "sketch0", "sketch1"])
+
+
+def _apart(flat: np.ndarray, at: np.ndarray, length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of the sketches i and j; 0, which rules nothing out, where their widths differ."""
+    out = np.zeros(len(i), np.int64)
+    for width in np.unique(length[i]):
+        pick = np.flatnonzero((length[i] == width) & (length[j] == width))
+        cols = np.arange(width)
+        for lo in range(0, len(pick), max(1, SIDE * 8 // max(1, int(width)))):
+            p = pick[lo : lo + max(1, SIDE * 8 // max(1, int(width)))]
+            out[p] = np.bitwise_count(flat[at[i[p]][:, None] + cols] ^ flat[at[j[p]][:, None] + cols]).sum(axis=1)
+    return out
+
+
+def _flat(*columns: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sketches of the columns in one array of words: the words, each sketch's start and length."""
+    raw = [x for c in columns for x in c.to_pylist()]
+    length = np.array([len(x) // 8 for x in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint64), np.cumsum(length) - length, length
+
+
+def _possible(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs of a batch that their sketches leave possible."""
+    n = len(batch)
+    flat, at, length = _flat(batch["su"], batch["sv"])
+    apart = _apart(flat, at, length, np.arange(n), n + np.arange(n))
+    keep = pa.array(np.flatnonzero(7 * apart <= batch["nu"].to_numpy() + batch["nv"].to_numpy()))
+    yield pa.RecordBatch.from_arrays([batch["u"].take(keep), batch["v"].take(keep)], ["u", "v"])
 
 
 def _crossing(table: pa.Table) -> pa.Table:
-    """Of one block of a key: pairs of different components that the sizes and sketches leave possible."""
-    rep, n, root, chunk = (table[c].to_numpy() for c in ("rep", "n", "root", "chunk"))
-    two = table["block_i"][0].as_py() != table["block_j"][0].as_py()
-    s0, s1 = table["sketch0"].to_pylist(), table["sketch1"].to_pylist()
-    band = np.searchsorted(_BANDS, n, "right") - 1
-    found: list[np.ndarray] = []
-    for b in np.unique(band):
-        same, below = np.flatnonzero(band == b), np.flatnonzero(band == b - 1)
-        rows = np.concatenate((same, below))
-        sk = np.stack([np.frombuffer(s0[i] if band[i] == b else s1[i], np.uint64) for i in rows])
-        for k in range(len(same)):
-            later = slice(k + 1, None)
-            j = rows[later]
-            i = rows[k]
-            ok = root[j] != root[i]
-            if two:
-                ok &= chunk[j] != chunk[i]
-            ok &= 4 * np.minimum(n[j], n[i]) >= 3 * np.maximum(n[j], n[i])
-            hit = np.flatnonzero(ok)
-            if len(hit):
-                apart = np.bitwise_count(sk[later][hit] ^ sk[k]).sum(axis=1)
-                hit = hit[7 * apart.astype(np.int64) <= n[j[hit]] + n[i]]
-                if len(hit):
-                    found.append(np.stack([np.minimum(rep[j[hit]], rep[i]), np.maximum(rep[j[hit]], rep[i])], 1))
+    """Of the blocks dealt to a part: pairs of different components that sizes and sketches leave possible."""
+    cols = ("key", "block_i", "block_j", "rep", "n", "root", "chunk")
+    key, bi, bj, rep, n, root, chunk = (table[c].to_numpy() for c in cols)
+    order = np.lexsort((rep, bj, bi, key))
+    key, bi, bj, rep, n, root, chunk = (x[order] for x in (key, bi, bj, rep, n, root, chunk))
+    flat, at, length = _flat(table["sketch"])
+    at, length = at[order], length[order]
+    end = np.flatnonzero(np.concatenate(((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), [True]))) + 1
+    last = np.repeat(end, np.diff(np.concatenate(([0], end))))  # where each row's block ends
+    found, rows, step = [], np.arange(len(key)), 1
+    while True:
+        i = rows[rows + step < last[rows]]
+        if not len(i):
+            break
+        j, rows, step = i + step, i, step + 1
+        ok = (root[i] != root[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (chunk[i] != chunk[j]))
+        i, j = i[ok], j[ok]
+        near = 7 * _apart(flat, at, length, i, j) <= n[i] + n[j]
+        found.append(np.stack((np.minimum(rep[i], rep[j])[near], np.maximum(rep[i], rep[j])[near]), 1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes whose sets are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes whose sets are similar enough; only texts of classes in a pair are shingled again."""
+    pairs = saved(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    sets = saved(map_arrow(texts.join(asked, "rep", "left_semi").select("rep", "text"), _sets, "rep long, shingles array<long>"), "sets")
     a = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     met = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-    return met.where("100L * both >= 75L * (sum - both)").select("u", "v")
+    return saved(met.where("100L * both >= 75L * (sum - both)").select("u", "v"), "links")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,29 +296,39 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = saved(solid.join(classes, ["h1", "h2", "n"]).select("id", "rep", "h1", "n"), "classes")
     total = prints.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(12, 1 + total // BUCKET_KEYS))
-    blobs = source.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary, owners binary, names binary, sizes binary")
-    shared = saved(blobs.groupBy("bucket").applyInArrow(_shared, "key long, leader long, name long, n long"), "shared")
+    blobs = source.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary, counts binary, names binary, sizes binary")
+    shared = saved(blobs.groupBy("bucket").applyInArrow(_shared, "key long, leader long, name long, scheme int"), "shared")
     reps = member.where("id = rep").select("rep", F.col("h1").alias("name"), "n")
-    # The sets of the classes that share a key, from their texts.
+    # Texts of the classes that share a key; sketches and sets are made from these.
     meeting = reps.join(shared.select("name").distinct(), "name", "left_semi")
-    texts = source.join(meeting.select(F.col("rep").alias("id"), "name", F.col("rep")), "id").select("rep", "name", "text").dropDuplicates(["rep"])
-    sets = saved(map_arrow(texts, _sets, "rep long, name long, shingles array<long>"), "sets")
-    named = sets.select("rep", "name", F.size("shingles").cast("long").alias("n"))
+    texts = source.join(meeting.select(F.col("rep").alias("id"), "name", "rep"), "id").select("rep", "name", "text").dropDuplicates(["rep"])
+    texts = saved(texts, "texts")
+    sketches = saved(map_arrow(texts, _sketched, "rep long, name long, n long, sketch0 binary, sketch1 binary"), "sketches")
 
     stars = shared.where("leader <> name").select("leader", "name").distinct()
-    left = named.select(F.col("name").alias("leader"), F.col("rep").alias("u"), F.col("n").alias("nu"))
-    right = named.select("name", F.col("rep").alias("v"), F.col("n").alias("nv"))
-    stars = stars.join(left, "leader").join(right, "name").where("4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
-    links = saved(_verified(stars, sets), "links")
+    left = sketches.select(F.col("name").alias("leader"), F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("sketch0").alias("u0"), F.col("sketch1").alias("u1"))
+    right = sketches.select("name", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("sketch0").alias("v0"), F.col("sketch1").alias("v1"))
+    # Sizes first: sketches travel only with pairs whose sizes fit.
+    sized = stars.join(left.select("leader", "u", "nu"), "leader").join(right.select("name", "v", "nv"), "name").where("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
+    # Of a class's two sketches the one in the width of the pair's scheme, that of the larger set's band.
+    bounds = F.array(*[F.lit(b) for b in _BANDS[:64]])
+    band = lambda n: F.size(F.filter(bounds, lambda b: b <= n))
+    sized = sized.select("u", "v", "nu", "nv", (band(F.col("nu")) - band(F.col("nv"))).alias("up"))
+    sized = sized.join(left.select("u", "u0", "u1"), "u").select("u", "v", "nu", "nv", "up", F.when(F.col("up") < 0, F.col("u1")).otherwise(F.col("u0")).alias("su"))
+    sized = sized.join(right.select("v", "v0", "v1"), "v").select("u", "v", "nu", "nv", "su", F.when(F.col("up") > 0, F.col("v1")).otherwise(F.col("v0")).alias("sv"))
+    links = _verified(map_arrow(sized, _possible, "u long, v long"), texts)
     roots = components(links)
 
+    named = sketches.select("rep", "name")
     placed = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "name", F.coalesce("root", "rep").alias("root"))
-    rows = saved(shared.select("key", "name").join(placed, "name"), "rooted")
+    rows = saved(shared.select("key", "name", "scheme").join(placed, "name").select("key", "scheme", "rep", "root"), "rooted")
     open_keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size")
-    sketches = map_arrow(sets.select("rep", "name", F.size("shingles").cast("long").alias("n"), "shingles"), _sketched, "rep long, name long, n long, sketch0 binary, sketch1 binary").drop("name")
-    dealt = block_pairs(rows.join(open_keys, "key").join(sketches, "rep"), "key", "size", "rep", BLOCK)
-    crossing = dealt.groupBy("key", "block_i", "block_j").applyInArrow(_crossing, "u long, v long").distinct()
-    links = links.unionAll(saved(_verified(crossing, sets), "links"))
+    met = rows.join(open_keys, "key").join(sketches.drop("name"), "rep").withColumn("sketch", F.when(F.col("scheme") == 0, F.col("sketch0")).otherwise(F.col("sketch1")))
+    dealt = block_pairs(met.drop("sketch0", "sketch1", "scheme"), "key", "size", "rep", BLOCK)
+    parts = max(12, 1 + shared.count() // PART_ROWS)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "block_i", "block_j"), F.lit(parts)))
+    crossing = dealt.groupBy("part").applyInArrow(_crossing, "u long, v long").distinct()
+    links = links.unionAll(_verified(crossing, texts))
     roots = components(links)
     placed = member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id")).distinct()
     out = prints.select("id", "n").join(placed, "id", "left")
