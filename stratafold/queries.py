@@ -1,2 +1,230 @@
-QUERIES = {}
-SQL = {}
+"""Registered queries over the domain frames, each with its SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import schemas as S
+from . import views as V
+from .functions import exprs as X
+from .functions import parse
+from .operators import gold as G
+from .operators import relational as R
+from .plans import features as P
+from .quality import report as Q
+from .quality import rules as QR
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+_ROLES = ", ".join(f"'{r}'" for r in X.ROLES)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Averages are compared to six places: sums of doubles differ in their last bits."""
+    return df.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") or c in ("kda", "win_rate", "pick_rate") else F.col(c) for c in df.columns])
+
+
+def _with(*tables: str, extra: str = "") -> str:
+    return "WITH " + ", ".join(f"{t} AS ({V.SQL[t]})" for t in tables) + extra
+
+
+def _dedup(table: str) -> str:
+    keys = ", ".join(S.SILVER_KEYS[table])
+    return f", {table}_1 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ingest_ts DESC, file_hash DESC) AS rn FROM {table}) WHERE rn = 1)"
+
+
+_BUCKET = lambda c: f"CASE WHEN upper(trim({c})) IN ({_ROLES}) THEN upper(trim({c})) END"
+_PEOPLE = _with("participants", extra=_dedup("participants") + f", p AS (SELECT * REPLACE (coalesce({_BUCKET('team_position')}, {_BUCKET('individual_position')}, {_BUCKET('lane')}, {_BUCKET('role')}, 'UNKNOWN') AS team_position), coalesce(total_minions_killed, 0) + coalesce(neutral_minions_killed, 0) AS cs FROM participants_1) ")
+_SCORE = " + ".join(f"coalesce({c}, 0)" for c in X.OBJECTIVES)
+_SIDES = _with("teams", extra=_dedup("teams") + f", t AS (SELECT *, CASE team_id WHEN 100 THEN 'BLUE' WHEN 200 THEN 'RED' ELSE 'UNKNOWN' END AS team_side, {_SCORE} AS objective_score FROM teams_1) ")
+_AVG = ", ".join(f"round(avg({c}), 6) AS {k}" for k, c in R.AVERAGES.items())
+_TOT = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {k}" for k, c in R.TOTALS.items())
+_FIRST = lambda c, d="game_date": f"arg_min({c}, {d} || '|' || CAST({c} AS VARCHAR)) FILTER ({c} IS NOT NULL) AS {c}"
+
+
+def _mart(by: str, block: str, source: str, games: str) -> str:
+    return f"{source} SELECT * EXCLUDE (g), {games} - wins AS losses, round(CAST(wins AS DOUBLE) / {games}, 6) AS win_rate FROM (SELECT {by}, {block}, 1 AS g FROM {'p' if source == _PEOPLE else 't'} GROUP BY {by})"
+
+
+_WINS = "CAST(count(*) FILTER (win) AS BIGINT) AS wins"
+_N = lambda c, k: f"count(DISTINCT {c}) AS {k}"
+
+GOLD_SQL = {
+    "dim_date": _with("participants") + " SELECT DISTINCT game_date, replace(game_date, '-', '') AS date_key, year(CAST(game_date AS DATE)) AS date_year, month(CAST(game_date AS DATE)) AS date_month, day(CAST(game_date AS DATE)) AS date_day, dayofweek(CAST(game_date AS DATE)) + 1 AS day_of_week FROM participants",
+    "dim_match": _with("matches") + f" SELECT {', '.join(S.GOLD['dim_match'])} FROM matches",
+    "dim_summoner": _with("participants", "summoners", "ranked", extra=""", u AS (SELECT puuid, game_date, summoner_id, NULL::VARCHAR AS account_id, summoner_name, riot_id_game_name, riot_id_tagline, NULL::BIGINT AS profile_icon_id, NULL::BIGINT AS revision_date, NULL::BIGINT AS summoner_level FROM participants
+        UNION ALL SELECT puuid, game_date, summoner_id, account_id, NULL, NULL, NULL, profile_icon_id, revision_date, summoner_level FROM summoners UNION ALL SELECT puuid, game_date, summoner_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ranked)""")
+    + f" SELECT puuid, {', '.join(_FIRST(c) for c in ('summoner_id', 'account_id', 'summoner_name', 'riot_id_game_name', 'riot_id_tagline'))}, max(profile_icon_id) AS profile_icon_id, max(revision_date) AS revision_date, max(summoner_level) AS summoner_level, min(game_date) AS first_seen_game_date, max(game_date) AS last_seen_game_date FROM u GROUP BY puuid",
+    "dim_champion": _with("participants") + f" SELECT champion_id, {_FIRST('champion_name')}, min(game_date) AS first_seen_game_date, max(game_date) AS last_seen_game_date FROM participants GROUP BY champion_id",
+    "dim_team": _with("teams") + " SELECT team_id, CASE team_id WHEN 100 THEN 'BLUE' WHEN 200 THEN 'RED' ELSE 'UNKNOWN' END AS team_side, min(game_date) AS first_seen_game_date, max(game_date) AS last_seen_game_date FROM teams GROUP BY 1, 2",
+    "dim_rank": _with("ranked") + f" SELECT DISTINCT queue, tier, rank, CAST(10 * coalesce(list_position({list(X.TIERS)}, upper(tier)), 0) + coalesce(list_position({list(X.DIVISIONS)}, upper(rank)), 0) AS BIGINT) AS rank_order FROM ranked",
+    "fact_participant_performance": _PEOPLE + f"SELECT {', '.join('round(kda, 6) AS kda' if c == 'kda' else c for c in S.GOLD['fact_participant_performance'])} FROM p",
+    "fact_team_objectives": _SIDES + f"SELECT {', '.join(S.GOLD['fact_team_objectives'])} FROM t",
+    "fact_rank_snapshot": _with("ranked") + f" SELECT {', '.join('round(win_rate, 6) AS win_rate' if c == 'win_rate' else c for c in S.GOLD['fact_rank_snapshot'])} FROM ranked",
+    "fact_timeline_frames": f"WITH timeline_frames AS ({V.SQL['timeline_frames']}) SELECT {', '.join(S.GOLD['fact_timeline_frames'])} FROM timeline_frames",
+    "fact_timeline_events": _with("timeline_events") + f" SELECT {', '.join(S.GOLD['fact_timeline_events'])} FROM timeline_events",
+    "mart_player_daily_performance": _mart("game_date, puuid", ", ".join([_N("match_id", "matches_played"), _N("champion_id", "unique_champions"), _WINS, _TOT, _AVG, *(_FIRST(c, "match_id") for c in ("summoner_id", "summoner_name", "riot_id_game_name", "riot_id_tagline"))]), _PEOPLE, "matches_played"),
+    "mart_champion_daily_performance": _mart("game_date, champion_id, champion_name", ", ".join([_N("match_id", "matches_played"), _N("puuid", "unique_players"), _WINS, _TOT, _AVG]), _PEOPLE, "matches_played"),
+    "mart_role_daily_performance": _mart("game_date, team_position", ", ".join([_N("match_id", "matches_played"), _N("puuid", "unique_players"), _N("champion_id", "unique_champions"), _WINS, _AVG]), _PEOPLE, "matches_played"),
+    "mart_rank_daily_summary": _with("ranked") + " SELECT game_date, queue, tier, rank, count(DISTINCT coalesce(summoner_id, puuid)) AS players, round(avg(league_points), 6) AS avg_league_points, CAST(sum(wins) AS BIGINT) AS total_wins, CAST(sum(losses) AS BIGINT) AS total_losses, round(avg(win_rate), 6) AS avg_win_rate, " + ", ".join(f"count(*) FILTER ({c}) AS {c}_players" for c in ("hot_streak", "veteran", "fresh_blood", "inactive")) + " FROM ranked GROUP BY 1, 2, 3, 4",
+    "mart_team_objective_daily_summary": _mart("game_date, team_id, team_side", ", ".join([_N("match_id", "games_played"), _WINS, *(f"round(avg({c}), 6) AS avg_{c}" for c in (*X.OBJECTIVES, "objective_score"))]), _SIDES, "games_played"),
+}
+
+
+def _gold_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    sources = sorted({s for n in names for s in G.BUILDERS[n][1]})
+    return G.build(V.silver(spark, sf_dir, *sources), list(names))[0]
+
+
+def _register_gold(name: str) -> None:
+    key = name.replace("_performance", "").replace("_summary", "") if name.startswith("mart_") else name
+    QUERIES[key] = lambda spark, d: _rounded(_gold_tables(spark, d, name)[name])
+    SQL[key] = GOLD_SQL[name]
+
+
+for _name in G.BUILDERS:
+    _register_gold(_name)
+
+
+def _silver_query(table: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = parse.build_silver(V.payloads(spark, d), [table])[table]
+        return _rounded(out.select(*[c for c in S.SILVER[table] if c not in S.LINEAGE and c not in ("participant_count", "frame_timestamp", "participant_frame_count")]))
+
+    return run
+
+
+for _t in S.SILVER:
+    QUERIES[f"silver_{_t}"] = _silver_query(_t)
+    _cols = ", ".join(f"round({c}, 6) AS {c}" if c in ("kda", "win_rate") else c for c in S.SILVER[_t] if c not in S.LINEAGE and c not in ("participant_count", "frame_timestamp", "participant_frame_count"))
+    if _t != "participants":  # doubled participants of one file have no order of their own
+        SQL[f"silver_{_t}"] = (f"WITH timeline_frames AS ({V.SQL[_t]})" if _t == "timeline_frames" else _with(_t)) + f" SELECT DISTINCT {_cols} FROM {_t}"
+
+
+def expr_all(spark: SparkSession, d: str) -> DataFrame:
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    text = F.when(F.col("l_partkey") % 5 == 0, "x").when(F.col("l_partkey") % 5 == 1, "100").when(F.col("l_partkey") % 5 == 2, " 200 ").when(F.col("l_partkey") % 5 == 3, "300")
+    ms = (F.col("l_partkey").cast("long") - 500) * 86_400_000
+    return line.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(X.kda("l_quantity", F.round(F.col("l_discount") * 100), "l_tax"), 6).alias("kda"), F.round(X.win_rate("l_linenumber", F.col("l_partkey") % 3), 6).alias("rate"),
+        F.round(X.safe_divide("l_quantity", F.col("l_suppkey") % 2), 6).alias("ratio"), X.standard_team(text).alias("team"), X.game_date(ms).alias("day"), X.detect_dataset(F.concat(F.lit("/raw/"), F.when(F.col("l_linenumber") == 1, "Matches").otherwise("other"), F.lit("/a.json"))).alias("dataset"),
+        X.non_negative(F.col("l_partkey") - 50).alias("sign_ok"),
+    )
+
+
+QUERIES["expr_all"] = expr_all
+SQL["expr_all"] = """SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN round(l_discount * 100) = 0 THEN l_quantity + l_tax ELSE (l_quantity + l_tax) / round(l_discount * 100) END, 6) AS kda,
+    round(CASE WHEN l_linenumber + l_partkey % 3 = 0 THEN NULL ELSE l_linenumber::DOUBLE / (l_linenumber + l_partkey % 3) END, 6) AS rate, round(CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE l_quantity / (l_suppkey % 2) END, 6) AS ratio,
+    CASE l_partkey % 5 WHEN 1 THEN 100::BIGINT WHEN 2 THEN 200::BIGINT END AS team, CASE WHEN l_partkey > 500 THEN CAST(CAST(make_timestamp((l_partkey - 500) * 86400000000) AS DATE) AS VARCHAR) END AS day,
+    CASE WHEN l_linenumber = 1 THEN 'matches' ELSE 'unknown' END AS dataset, l_partkey >= 50 AS sign_ok FROM lineitem"""
+
+
+def _sql_query(sql: str, silver: tuple[str, ...] = (), gold: tuple[str, ...] = ()):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        tables = (V.silver(spark, d, *silver) if silver else {}) | (_gold_tables(spark, d, *gold) if gold else {})
+        return _rounded(P.run(sql, tables))
+
+    return run
+
+
+for _n, _q in P.GOLD_SQL.items():
+    _from = _q.split(" FROM ")[1].split()[0]
+    QUERIES[f"sql_{_n}"] = _sql_query(_q, (_from,))
+    SQL[f"sql_{_n}"] = (f"WITH timeline_frames AS ({V.SQL[_from]}) " if _from == "timeline_frames" else _with(_from) + " ") + _q.replace("sum(kills)", "CAST(sum(kills) AS BIGINT)")
+for _n, _q in (P.FEATURE_SQL | P.BI_SQL).items():
+    _from = _q.split(" FROM ")[1].split()[0]
+    _key = _n if _n.startswith("bi_") else f"feat_{_n}"
+    QUERIES[_key] = _sql_query(_q, gold=(_from,))
+    _duck = _q.replace("1.0D", "CAST(1 AS DOUBLE)").replace("matches_played * CAST(1 AS DOUBLE) / sum(matches_played) OVER (PARTITION BY game_date)", "round(CAST(matches_played AS DOUBLE) / sum(matches_played) OVER (PARTITION BY game_date), 6)")
+    for _c in ("sum(matches_played)", "sum(wins)", "sum(dragon_kills)", "sum(baron_kills)"):
+        _duck = _duck.replace(f"{_c} AS", f"CAST({_c} AS BIGINT) AS")
+    SQL[_key] = f"WITH {_from} AS ({GOLD_SQL[_from]}) {_duck}"
+
+
+def _checked(table: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = V.silver(spark, d, table)[table] if table in S.SILVER else _gold_tables(spark, d, table)[table]
+        return QR.evaluate(df, table, QR.rules_for(table)).drop("detail")
+
+    return run
+
+
+for _t in (*S.SILVER, *S.GOLD):
+    QUERIES[f"dq_rules_{_t}"] = _checked(_t)
+
+
+def _rule_sql(table: str) -> str:
+    """The catalogue's row rules of a silver table, written out for DuckDB."""
+    frame, parts = ("timeline_frames" if table == "timeline_frames" else table), []
+    for rule in QR.rules_for(table):
+        cols = list(rule.columns)
+        warn = "WARN" if rule.severity == "warning" else "FAIL"
+        if rule.kind in ("required_columns", "row_count_min", "boolean"):
+            bad = "0"
+        elif rule.kind in ("unique", "first_available_unique"):
+            key = cols + (["game_date"] if "candidates" in rule.params else [])
+            bad = f"(SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM {frame} GROUP BY {', '.join(key)}))"
+        else:
+            key = cols + (["game_date"] if "candidates" in rule.params else [])
+            test = {"not_null": "{c} IS NULL", "non_negative": "{c} < 0", "between": "NOT {c} BETWEEN 0 AND 1", "accepted": "{c} NOT IN (" + ", ".join(repr(v) for v in rule.params.get("values", [])) + ")"}[rule.kind]
+            bad = f"(SELECT count(*) FROM {frame} WHERE {' OR '.join(test.format(c=c) for c in key)})"
+        parts.append(f"SELECT '{rule.name}' AS rule, '{warn}' AS worst, CAST({bad} AS BIGINT) AS failed_rows")
+    head = f"WITH timeline_frames AS ({V.SQL[table]})" if table == "timeline_frames" else _with(table)
+    return f"{head} SELECT '{table}' AS \"table\", rule, CASE WHEN failed_rows > 0 THEN worst ELSE 'PASS' END AS status, failed_rows, n AS total_rows, round(failed_rows::DOUBLE / n, 6) AS failed_rate FROM ({' UNION ALL '.join(parts)}), (SELECT count(*) AS n FROM {frame})"
+
+
+for _t in S.SILVER:
+    SQL[f"dq_rules_{_t}"] = _rule_sql(_t)
+
+QUERIES["dq_top_invalid"] = lambda spark, d: QR.top_invalid(V.silver(spark, d, "ranked")["ranked"], "tier", list(X.TIERS))
+SQL["dq_top_invalid"] = _with("ranked") + f" SELECT tier AS value, count(*) AS n FROM ranked WHERE tier NOT IN {X.TIERS} GROUP BY 1 ORDER BY n DESC, value LIMIT 10"
+QUERIES["dq_duplicate_keys"] = lambda spark, d: QR.duplicate_keys(V.silver(spark, d, "participants")["participants"], ["match_id", "participant_id"])
+SQL["dq_duplicate_keys"] = _with("participants") + " SELECT match_id, participant_id, count(*) AS n FROM participants GROUP BY 1, 2 HAVING count(*) > 1"
+
+
+def dq_fk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """References of participants, with dimensions cut to show orphans."""
+    t = _gold_tables(spark, d, "fact_participant_performance", "dim_champion", "fact_rank_snapshot", "dim_rank")
+    t["dim_champion"] = t["dim_champion"].where("champion_id <> 7")
+    t["dim_rank"] = t["dim_rank"].where("NOT (tier = 'IRON' AND rank = 'I')")
+    return Q.foreign_keys(t, [r for r in Q.REFERENCES if r[2] in ("dim_champion", "dim_rank")])
+
+
+QUERIES["dq_fk_checks"] = dq_fk_checks
+SQL["dq_fk_checks"] = _with("participants", "ranked") + """, x AS (
+    SELECT 'fact_participant_performance(champion_id)->dim_champion' AS "check", count(*) AS keys, count(*) FILTER (champion_id = 7) AS orphans FROM (SELECT DISTINCT champion_id FROM participants)
+    UNION ALL SELECT 'fact_rank_snapshot(queue,tier,rank)->dim_rank', count(*), count(*) FILTER (tier = 'IRON' AND rank = 'I') FROM (SELECT DISTINCT queue, tier, rank FROM ranked))
+    SELECT *, round(orphans::DOUBLE / keys, 6) AS orphan_rate, CASE WHEN orphans > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM x"""
+QUERIES["dq_row_alignment"] = lambda spark, d: Q.row_alignment(_gold_tables(spark, d, "dim_match")["dim_match"], V.silver(spark, d, "teams")["teams"])
+SQL["dq_row_alignment"] = _with("matches", "teams") + " SELECT (SELECT count(*) FROM matches) AS dim_rows, (SELECT count(*) FROM teams) AS silver_rows, 'WARN' AS status"
+QUERIES["dq_profile"] = lambda spark, d: Q.profile(V.silver(spark, d, "ranked")["ranked"].select("queue", "summoner_id", "wins"), "ranked", exact=True).withColumn("avg_value", F.round("avg_value", 6))
+SQL["dq_profile"] = _with("ranked") + " " + " UNION ALL ".join(
+    f"SELECT 'ranked' AS \"table\", '{c}' AS \"column\", '{t}' AS type, count(*) FILTER ({c} IS NULL) AS nulls, round((count(*) FILTER ({c} IS NULL))::DOUBLE / count(*), 6) AS null_ratio, count(DISTINCT {c}) AS distinct_values, 0::BIGINT AS empty_strings, {s} FROM ranked"
+    for c, t, s in (("queue", "string", "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS avg_value"), ("summoner_id", "string", "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"), ("wins", "bigint", "min(wins)::DOUBLE, max(wins)::DOUBLE, round(avg(wins), 6)"))
+)
+QUERIES["dq_profile_approx"] = lambda spark, d: Q.profile(V.silver(spark, d, "participants")["participants"], "participants")
+QUERIES["dq_date_coverage"] = lambda spark, d: Q.date_coverage(V.silver(spark, d, "participants")["participants"])
+SQL["dq_date_coverage"] = _with("participants") + " SELECT min(game_date) AS min_date, max(game_date) AS max_date, count(DISTINCT game_date) AS dates FROM participants"
+QUERIES["dq_top_dates"] = lambda spark, d: Q.top_dates(V.silver(spark, d, "participants")["participants"])
+SQL["dq_top_dates"] = _with("participants") + " SELECT game_date, count(*) AS n FROM participants GROUP BY 1 ORDER BY n DESC, game_date LIMIT 20"
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    return Q.check_tables(V.silver(spark, d, *S.SILVER), spark)
+
+
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({_rule_sql(t)})" for t in S.SILVER)
+_STATUS = f"SELECT \"table\", CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM ({_ALL}) GROUP BY 1"
+QUERIES["dq_status"] = lambda spark, d: Q.table_status(_checks(spark, d))
+SQL["dq_status"] = _STATUS
+QUERIES["dq_summary"] = lambda spark, d: Q.summary(_checks(spark, d)).drop("recommendation")
+SQL["dq_summary"] = f"SELECT *, tables_expected AS tables_analysed, 0::BIGINT AS tables_missing, CASE WHEN tables_failed > 0 THEN 'FAIL' WHEN tables_warned > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS status, tables_failed = 0 AS ready FROM (SELECT count(*) AS tables_expected, count(*) FILTER (status = 'PASS') AS tables_passed, count(*) FILTER (status = 'WARN') AS tables_warned, count(*) FILTER (status = 'FAIL') AS tables_failed FROM ({_STATUS}))"
+QUERIES["dq_issues"] = lambda spark, d: Q.issues(_checks(spark, d)).drop("details")
+SQL["dq_issues"] = f"SELECT \"table\", rule, status FROM ({_ALL}) WHERE status IN ('FAIL', 'WARN')"
+QUERIES["dq_check_counts"] = lambda spark, d: Q.check_counts(_checks(spark, d))
+SQL["dq_check_counts"] = f"SELECT status, count(*) AS n FROM ({_ALL}) GROUP BY 1"
+QUERIES["dq_score"] = lambda spark, d: Q.score(_checks(spark, d))
+SQL["dq_score"] = f"SELECT *, round(passed::DOUBLE / total, 4) AS score FROM (SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) AS total FROM ({_ALL}))"
+QUERIES["dq_required_keys"] = lambda spark, d: Q.missing_keys(V.silver(spark, d, "ranked")["ranked"], "puuid", ["summoner_id", "queue", "absent"])
+SQL["dq_required_keys"] = _with("ranked") + " SELECT puuid AS \"row\", 'summoner_id' AS field FROM ranked WHERE summoner_id IS NULL UNION ALL SELECT puuid, 'absent' FROM ranked"
