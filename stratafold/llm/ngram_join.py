@@ -31,7 +31,7 @@ from . import textkernel as K
 from .common import block_pairs, components, map_arrow, saved
 
 #: Segments beyond the number needed, as a factor; keys buffered by a task; keys meant for one bucket; rows of a block.
-SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.12, 1_500_000, 400_000, 1024
+SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_500_000, 400_000, 1024
 #: Bits of the parity sketch for each shingle; rows meant for one task of the all-against-all pass; pairs compared at once.
 SKETCH, PART_ROWS, SIDE = 2, 20_000, 100_000
 
@@ -62,13 +62,14 @@ def _salt(*parts: int) -> np.uint64:
     return x[0]
 
 
-def keys_of(s: np.ndarray) -> list[np.ndarray]:
-    """Candidate keys of one sorted distinct shingle set, in the scheme of its own band and of the next."""
+def keys_of(s: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Of one sorted distinct shingle set, in the scheme of its own band and of the next: candidate keys, and how many of them the
+    set shares at least with any partner (segments in use beyond the differences a partner may have; 1 after widening)."""
     n = len(s)
     if not n:
-        return [np.zeros(0, np.uint64)] * 2
+        return [np.zeros(0, np.uint64)] * 2, [1, 1]
     own = int(np.searchsorted(_BANDS, n, "right")) - 1
-    schemes = []
+    schemes, need = [], []
     high = s >> _U(32)
     for band in (own, own + 1):
         out = [np.zeros(0, np.uint64)]
@@ -76,6 +77,7 @@ def keys_of(s: np.ndarray) -> list[np.ndarray]:
         partner = min(4 * n // 3, _BANDS[band + 1] - 1)
         if partner < _BANDS[band]:
             schemes.append(out[0])
+            need.append(1)
             continue
         differ = (n + partner) // 7
         m = segments(band)
@@ -86,6 +88,7 @@ def keys_of(s: np.ndarray) -> list[np.ndarray]:
         out.append(K.mix(sums + base))
         if len(at) > differ:
             schemes.append(np.unique(out[1]))
+            need.append(len(at) - differ)
             continue
         counts = np.diff(np.concatenate((at, [n])))
         less = np.repeat(sums, counts) - K.mix(s)  # each segment without one of its shingles
@@ -95,7 +98,22 @@ def keys_of(s: np.ndarray) -> list[np.ndarray]:
         if (counts == 1).sum() + 2 * (counts > 1).sum() <= differ:
             out.append(K.mix(s + _salt(band, m, 2)))
         schemes.append(np.unique(np.concatenate(out)))
-    return schemes
+        need.append(1)
+    return schemes, need
+
+
+def needs(s: np.ndarray) -> list[int]:
+    """The second value of :func:`keys_of`, without the keys."""
+    n, out = len(s), []
+    if not n:
+        return [1, 1]
+    own = int(np.searchsorted(_BANDS, n, "right")) - 1
+    for band in (own, own + 1):
+        partner = min(4 * n // 3, _BANDS[band + 1] - 1)
+        part = ((s >> _U(32)) * _U(segments(band))) >> _U(32)
+        spare = 1 + int(np.count_nonzero(part[1:] != part[:-1])) - (n + partner) // 7
+        out.append(spare if partner >= _BANDS[band] and spare > 0 else 1)
+    return out
 
 
 def class_of(s: np.ndarray) -> int:
@@ -104,11 +122,12 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _fingerprints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    n, h1, h2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+    n, h1, h2, need0, need1 = (np.zeros(batch.num_rows, np.int64) for _ in range(5))
     for i, s in K.shingle_sets(batch["text"]):
         n[i], h1[i] = len(s), class_of(s)
         h2[i] = class_of(K.mix(s + _U(11)))
-    yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n), pa.array(h1), pa.array(h2)], ["id", "n", "h1", "h2"])
+        need0[i], need1[i] = needs(s)
+    yield pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, (n, h1, h2, need0, need1))], ["id", "n", "h1", "h2", "need0", "need1"])
 
 
 def _keys(buckets: int):
@@ -149,7 +168,8 @@ def _keys(buckets: int):
                 seen.add(name)
                 names.append(name)
                 sizes.append(len(s))
-                keys += (own := keys_of(s))
+                own, _ = keys_of(s)
+                keys += own
                 held += len(own[0]) + len(own[1])
                 if held >= FLUSH:
                     yield from flush(names, sizes, keys)
@@ -290,15 +310,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their shingles.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = saved(map_arrow(source, _fingerprints, "id long, n long, h1 long, h2 long"), "prints")
+    prints = saved(map_arrow(source, _fingerprints, "id long, n long, h1 long, h2 long, need0 long, need1 long"), "prints")
     solid = prints.where("n > 0 and id is not null")
     classes = solid.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    member = saved(solid.join(classes, ["h1", "h2", "n"]).select("id", "rep", "h1", "n"), "classes")
+    member = saved(solid.join(classes, ["h1", "h2", "n"]).select("id", "rep", "h1", "n", "need0", "need1"), "classes")
     total = prints.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(12, 1 + total // BUCKET_KEYS))
     blobs = source.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary, counts binary, names binary, sizes binary")
     shared = saved(blobs.groupBy("bucket").applyInArrow(_shared, "key long, leader long, name long, scheme int"), "shared")
-    reps = member.where("id = rep").select("rep", F.col("h1").alias("name"), "n")
+    reps = member.where("id = rep").select("rep", F.col("h1").alias("name"), "n", "need0", "need1")
+    # A class that shares fewer keys of a scheme, with all others together, than a partner would share has no partner there.
+    held = shared.groupBy("name", "scheme").agg(F.count("*").alias("k")).join(reps, "name")
+    able = held.where(F.col("k") >= F.when(F.col("scheme") == 0, F.col("need0")).otherwise(F.col("need1"))).select("name", "scheme").distinct()
+    shared = shared.drop("leader").join(able, ["name", "scheme"])
+    lead = shared.groupBy("key").agg(F.min("name").alias("leader"), F.count("*").alias("k")).where("k > 1").drop("k")
+    shared = saved(shared.join(lead, "key"), "able")
     # Texts of the classes that share a key; sketches and sets are made from these.
     meeting = reps.join(shared.select("name").distinct(), "name", "left_semi")
     texts = source.join(meeting.select(F.col("rep").alias("id"), "name", "rep"), "id").select("rep", "name", "text").dropDuplicates(["rep"])

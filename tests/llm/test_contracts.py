@@ -78,7 +78,12 @@ def test_keys_lose_no_pair():
             if 100 * (n - drop) < 75 * (n + add):
                 continue
             b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**63, add, dtype=np.int64).astype(np.uint64))))
-            assert len(np.intersect1d(*(np.concatenate(ngram_join.keys_of(x)) for x in (a, b)))), (n, drop, add)
+            assert len(np.intersect1d(*(np.concatenate(ngram_join.keys_of(x)[0]) for x in (a, b)))), (n, drop, add)
+            for x in (a, b):
+                keys, need = ngram_join.keys_of(x)
+                assert need == ngram_join.needs(x)
+            both = [np.intersect1d(k, m) for k in ngram_join.keys_of(a)[0] for m in ngram_join.keys_of(b)[0]]
+            assert max(len(x) for x in both) >= min(min(ngram_join.needs(a)), min(ngram_join.needs(b)))
 
 
 def test_embeddings(spark):
