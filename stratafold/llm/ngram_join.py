@@ -12,9 +12,9 @@ allocation is then widened at the least cost: such a document also indexes the o
 shingles.  Since a document with enough segments finds all its partners, these extra keys only have to meet among
 documents that lack segments.  No candidate is lost.
 
-Candidates are resolved without listing all pairs of a group: equal sets form one class first; every key links its
-members to its smallest class, those pairs are verified (a parity sketch first, then exactly) and components formed; only keys that still touch several
-components are compared all-against-all, in blocks inside the tasks, pairs of different components only, filtered by the
+Candidates are resolved without listing all pairs of a group: equal sets form one class first, and keys with the same
+classes one key; in a few rounds every key that touches several components links its members to one of them, those pairs
+are verified (a parity sketch first, then exactly) and components formed; only keys that still touch several components are compared all-against-all, in blocks inside the tasks, pairs of different components only, filtered by the
 sketch, whose bit difference never exceeds the true one; what passes is verified exactly too.
 """
 
@@ -31,9 +31,13 @@ from . import textkernel as K
 from .common import block_pairs, components, map_arrow, saved
 
 #: Segments beyond the number needed, as a factor; keys buffered by a task; keys meant for one bucket; rows of a block.
-SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_500_000, 400_000, 1024
+SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_500_000, 1_000_000, 1024
+#: Bytes of a class's name sent with its keys (equal ones only add candidates); keys of a class in one tag.
+NAME_BYTES, MOST = 6, 127
 #: Bits of the parity sketch for each shingle; rows meant for one task of the all-against-all pass; pairs compared at once.
-SKETCH, PART_ROWS, SIDE = 2, 20_000, 100_000
+SKETCH, PART_ROWS, SIDE = 4, 40_000, 100_000
+#: Rounds in which every open key links its members to one of them, another in each round.
+STARS = 2
 
 _U = np.uint64
 
@@ -131,11 +135,11 @@ def _fingerprints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(buckets: int):
-    """Rows (bucket, keys, counts, names, sizes): the lower key halves of a run of classes that fall into a bucket, ordered by
-    class and scheme; how many each class has in either scheme; the classes' names and sizes."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "names", "sizes"))])
+    """Rows (bucket, keys, names, tags): the lower key halves of a run of classes that fall into a bucket, ordered by class and
+    scheme; for each class and scheme the lower bytes of the class's name and a byte with the scheme (high bit) and number of keys."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "names", "tags"))])
 
-    def flush(names: list[int], sizes: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(names: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not keys:
             return
         owner = np.repeat(np.arange(len(keys), dtype=np.int64), [len(k) for k in keys])  # 2 * class + scheme
@@ -143,22 +147,24 @@ def _keys(buckets: int):
         bucket = (((key >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, key, owner = bucket[order], key[order].astype(np.uint32), owner[order]
+        fresh = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
+        held = np.diff(np.append(fresh, len(key)))
+        parts = -(-held // MOST)
+        count = np.full(parts.sum(), MOST, np.int64)
+        count[np.cumsum(parts) - 1] = held - MOST * (parts - 1)
+        who, place = np.repeat(owner[fresh], parts), np.repeat(bucket[fresh], parts)
+        name = np.array(names, np.int64)[who >> 1].view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
+        tag = (count + 128 * (who & 1)).astype(np.uint8)
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        name, size = np.array(names, np.int64), np.array(sizes, np.int32)
-        rows: list[list] = [[] for _ in schema]
-        for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
-            local = np.unique(owner[lo:hi] >> 1)
-            counts = np.bincount(2 * np.searchsorted(local, owner[lo:hi] >> 1) + (owner[lo:hi] & 1), minlength=2 * len(local)).astype(np.uint32)
-            for column, value in zip(rows, (int(bucket[lo]), key[lo:hi].tobytes(), counts.tobytes(), name[local].tobytes(), size[local].tobytes()), strict=True):
-                column.append(value)
-            if len(rows[0]) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-                rows = [[] for _ in schema]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        to = np.append(at[1:], len(key))
+        lo, hi = np.searchsorted(place, bucket[at]), np.searchsorted(place, bucket[at], "right")
+        for i in range(0, len(at), 4096):
+            pick = range(i, min(i + 4096, len(at)))
+            rows = [key[at[x] : to[x]].tobytes() for x in pick], [name[lo[x] : hi[x]].tobytes() for x in pick], [tag[lo[x] : hi[x]].tobytes() for x in pick]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[pick]]), *(pa.array(r, pa.binary()) for r in rows)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[int] = []
-        sizes: list[int] = []
         keys: list[np.ndarray] = []
         seen, held = set(), 0
         for batch in batches:
@@ -167,48 +173,49 @@ def _keys(buckets: int):
                     continue
                 seen.add(name)
                 names.append(name)
-                sizes.append(len(s))
                 own, _ = keys_of(s)
                 keys += own
                 held += len(own[0]) + len(own[1])
                 if held >= FLUSH:
-                    yield from flush(names, sizes, keys)
-                    names, sizes, keys, seen, held = [], [], [], set(), 0
-        yield from flush(names, sizes, keys)
+                    yield from flush(names, keys)
+                    names, keys, seen, held = [], [], set(), 0
+        yield from flush(names, keys)
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: the keys that several classes have, with their classes."""
-    keys, names, sizes, schemes = [], [], [], []
-    for k, c, x, n in zip(*(table[f].to_pylist() for f in ("keys", "counts", "names", "sizes")), strict=True):
-        counts = np.frombuffer(c, np.uint32)
+    """Of one bucket: the keys that several classes have, with their classes; ``w`` of them have the same classes."""
+    keys, names, schemes = [], [], []
+    for k, c, t in zip(*(table[f].to_pylist() for f in ("keys", "names", "tags")), strict=True):
+        tag = np.frombuffer(t, np.uint8)
+        name = np.zeros((len(tag), 8), np.uint8)
+        name[:, :NAME_BYTES] = np.frombuffer(c, np.uint8).reshape(-1, NAME_BYTES)
         keys.append(np.frombuffer(k, np.uint32))
-        names.append(np.repeat(np.repeat(np.frombuffer(x, np.int64), 2), counts))
-        sizes.append(np.repeat(np.repeat(np.frombuffer(n, np.int32), 2), counts))
-        schemes.append(np.repeat(np.tile(np.array([0, 1], np.int8), len(counts) // 2), counts))
-    key, name, size, scheme = (np.concatenate(x) for x in (keys, names, sizes, schemes))
+        names.append(np.repeat(name.view(np.int64)[:, 0], tag & 127))
+        schemes.append(np.repeat(tag >> 7, tag & 127))
+    key, name, scheme = (np.concatenate(x) for x in (keys, names, schemes))
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ordered = key[order]
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(at, len(key)))
     many = order[np.repeat(counts > 1, counts)]
-    key, name, size, scheme = np.concatenate(keys)[many], name[many], size[many], scheme[many]
+    key, name, scheme = key[many], name[many], scheme[many]
     order = np.lexsort((name, key))
-    key, name, size, scheme = key[order], name[order], size[order], scheme[order]
-    if len(key):
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
-        key, name, size, scheme = key[fresh], name[fresh], size[fresh], scheme[fresh]
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        counts = np.diff(np.append(at, len(key)))
-        keep = np.repeat(counts > 1, counts)
-        leader = np.repeat(name[at], counts)[keep]
-        key, name, size, scheme = key[keep], name[keep], size[keep], scheme[keep]
-    else:
-        leader = name
-    bucket = table["bucket"][0].as_py() if table.num_rows else 0
-    return pa.table({"key": pa.array((np.int64(bucket) << 32) + key.astype(np.int64)), "leader": pa.array(leader), "name": pa.array(name), "scheme": pa.array(scheme.astype(np.int32))})
+    key, name, scheme = key[order], name[order], scheme[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name, scheme = key[fresh], name[fresh], scheme[fresh]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(at, len(key)))
+    at, counts = at[counts > 1], counts[counts > 1]
+    # Keys with the same classes become one, named by a hash of its classes.
+    total = np.concatenate(([_U(0)], np.cumsum(K.mix(name.view(np.uint64) + scheme.astype(np.uint64)), dtype=np.uint64)))
+    group, first, weight = np.unique(K.mix(total[at + counts] - total[at]), return_index=True, return_counts=True)
+    counts = counts[first]
+    take = np.repeat(at[first] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    columns = np.repeat(group, counts).view(np.int64), name[take], scheme[take].astype(np.int32), np.repeat(weight, counts)
+    return pa.table([pa.array(c) for c in columns], names=["key", "name", "scheme", "w"])
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -234,7 +241,7 @@ def _sketched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         # In the widths of the two schemes in which the set can meet a partner.
         out.append([sketch(s, 64 * -(-SKETCH * _BANDS[b + 1] // 64)).tobytes() for b in (band, band + 1)])
     at = pa.array(rows)
-    yield pa.RecordBatch.from_arrays([batch["rep"].take(at), batch["name"].take(at), pa.array(sizes, pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["rep", "name", "n", "sketch0", "sketch1"])
+    yield pa.RecordBatch.from_arrays([batch["rep"].take(at), pa.array(sizes, pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["rep", "n", "sketch0", "sketch1"])
 
 
 def _apart(flat: np.ndarray, at: np.ndarray, length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -301,6 +308,24 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return saved(met.where("100L * both >= 75L * (sum - both)").select("u", "v"), "links")
 
 
+def _still_open(rows: DataFrame) -> DataFrame:
+    """The rows of keys that touch several components."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return saved(rows.join(keys, "key", "left_semi"), "open")
+
+
+def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) those whose sizes fit, with both sizes and sketches; sketches travel only with these pairs."""
+    left, right = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch0").alias(f"{x}0"), F.col("sketch1").alias(f"{x}1")) for x in ("u", "v"))
+    sized = pairs.join(left.select("u", "nu"), "u").join(right.select("v", "nv"), "v").where("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
+    # Of a class's two sketches the one in the width of the pair's scheme, that of the larger set's band.
+    bounds = F.array(*[F.lit(b) for b in _BANDS[:64]])
+    band = lambda n: F.size(F.filter(bounds, lambda b: b <= n))
+    sized = sized.withColumn("up", band(F.col("nu")) - band(F.col("nv")))
+    sized = sized.join(left.drop("nu"), "u").select("u", "v", "nu", "nv", "up", F.when(F.col("up") < 0, F.col("u1")).otherwise(F.col("u0")).alias("su"))
+    return sized.join(right.drop("nv"), "v").select("u", "v", "nu", "nv", "su", F.when(F.col("up") > 0, F.col("v1")).otherwise(F.col("v0")).alias("sv"))
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, ``n_shingles`` (size of its set of five-word shingles) and ``component_id``, the
     smallest id reachable over links of Jaccard similarity 0.75 or more, itself included.
@@ -316,42 +341,35 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = saved(solid.join(classes, ["h1", "h2", "n"]).select("id", "rep", "h1", "n", "need0", "need1"), "classes")
     total = prints.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(12, 1 + total // BUCKET_KEYS))
-    blobs = source.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary, counts binary, names binary, sizes binary")
-    shared = saved(blobs.groupBy("bucket").applyInArrow(_shared, "key long, leader long, name long, scheme int"), "shared")
-    reps = member.where("id = rep").select("rep", F.col("h1").alias("name"), "n", "need0", "need1")
+    blobs = source.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary, names binary, tags binary")
+    shared = saved(blobs.groupBy("bucket").applyInArrow(_shared, "key long, name long, scheme int, w long"), "shared")
+    shared = shared.groupBy("key", "name", "scheme").agg(F.sum("w").alias("w"))
+    reps = member.where("id = rep").select("rep", F.col("h1").bitwiseAND(F.lit((1 << 8 * NAME_BYTES) - 1)).alias("name"), "need0", "need1")
     # A class that shares fewer keys of a scheme, with all others together, than a partner would share has no partner there.
-    held = shared.groupBy("name", "scheme").agg(F.count("*").alias("k")).join(reps, "name")
-    able = held.where(F.col("k") >= F.when(F.col("scheme") == 0, F.col("need0")).otherwise(F.col("need1"))).select("name", "scheme").distinct()
-    shared = shared.drop("leader").join(able, ["name", "scheme"])
-    lead = shared.groupBy("key").agg(F.min("name").alias("leader"), F.count("*").alias("k")).where("k > 1").drop("k")
-    shared = saved(shared.join(lead, "key"), "able")
+    held = shared.groupBy("name", "scheme").agg(F.sum("w").alias("k")).join(reps, "name")
+    able = held.where(F.col("k") >= F.when(F.col("scheme") == 0, F.col("need0")).otherwise(F.col("need1"))).select("name", "scheme", "rep").distinct()
+    rows = saved(shared.join(able, ["name", "scheme"]).select("key", "scheme", "rep", F.col("rep").alias("root")), "able")
     # Texts of the classes that share a key; sketches and sets are made from these.
-    meeting = reps.join(shared.select("name").distinct(), "name", "left_semi")
-    texts = source.join(meeting.select(F.col("rep").alias("id"), "name", "rep"), "id").select("rep", "name", "text").dropDuplicates(["rep"])
+    texts = source.join(rows.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
     texts = saved(texts, "texts")
-    sketches = saved(map_arrow(texts, _sketched, "rep long, name long, n long, sketch0 binary, sketch1 binary"), "sketches")
-
-    stars = shared.where("leader <> name").select("leader", "name").distinct()
-    left = sketches.select(F.col("name").alias("leader"), F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("sketch0").alias("u0"), F.col("sketch1").alias("u1"))
-    right = sketches.select("name", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("sketch0").alias("v0"), F.col("sketch1").alias("v1"))
-    # Sizes first: sketches travel only with pairs whose sizes fit.
-    sized = stars.join(left.select("leader", "u", "nu"), "leader").join(right.select("name", "v", "nv"), "name").where("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
-    # Of a class's two sketches the one in the width of the pair's scheme, that of the larger set's band.
-    bounds = F.array(*[F.lit(b) for b in _BANDS[:64]])
-    band = lambda n: F.size(F.filter(bounds, lambda b: b <= n))
-    sized = sized.select("u", "v", "nu", "nv", (band(F.col("nu")) - band(F.col("nv"))).alias("up"))
-    sized = sized.join(left.select("u", "u0", "u1"), "u").select("u", "v", "nu", "nv", "up", F.when(F.col("up") < 0, F.col("u1")).otherwise(F.col("u0")).alias("su"))
-    sized = sized.join(right.select("v", "v0", "v1"), "v").select("u", "v", "nu", "nv", "su", F.when(F.col("up") > 0, F.col("v1")).otherwise(F.col("v0")).alias("sv"))
-    links = _verified(map_arrow(sized, _possible, "u long, v long"), texts)
-    roots = components(links)
-
-    named = sketches.select("rep", "name")
-    placed = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "name", F.coalesce("root", "rep").alias("root"))
-    rows = saved(shared.select("key", "name", "scheme").join(placed, "name").select("key", "scheme", "rep", "root"), "rooted")
-    open_keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size")
-    met = rows.join(open_keys, "key").join(sketches.drop("name"), "rep").withColumn("sketch", F.when(F.col("scheme") == 0, F.col("sketch0")).otherwise(F.col("sketch1")))
+    sketches = saved(map_arrow(texts, _sketched, "rep long, n long, sketch0 binary, sketch1 binary"), "sketches")
+
+    links = None
+    for turn in range(STARS):
+        rows = _still_open(rows)
+        lead = rows.groupBy("key").agg(F.min_by(F.struct("rep", "root"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("lead"))
+        stars = rows.join(lead, "key").where("root <> lead.root").select(F.col("lead.rep").alias("u"), F.col("rep").alias("v")).distinct()
+        more = _verified(map_arrow(_with_sketches(stars, sketches), _possible, "u long, v long"), texts)
+        links = more if links is None else links.unionAll(more)
+        roots = components(links)
+        placed = rows.drop("root").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        rows = saved(placed.select("key", "scheme", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+
+    rows = _still_open(rows)
+    met = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key").join(sketches, "rep")
+    met = met.withColumn("sketch", F.when(F.col("scheme") == 0, F.col("sketch0")).otherwise(F.col("sketch1")))
     dealt = block_pairs(met.drop("sketch0", "sketch1", "scheme"), "key", "size", "rep", BLOCK)
-    parts = max(12, 1 + shared.count() // PART_ROWS)
+    parts = max(12, 1 + rows.count() // PART_ROWS)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "block_i", "block_j"), F.lit(parts)))
     crossing = dealt.groupBy("part").applyInArrow(_crossing, "u long, v long").distinct()
     links = links.unionAll(_verified(crossing, texts))
