@@ -32,7 +32,8 @@ from .common import block_pairs, components, map_arrow, saved
 
 #: Segments beyond the number needed, as a factor; keys buffered by a task; keys meant for one bucket; rows of a block.
 SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_500_000, 1_000_000, 1024
-#: Bytes of a class's name sent with its keys (equal ones only add candidates); keys of a class in one tag.
+#: Bytes of a class's name sent with its keys; keys of a class in one tag.  Classes of equal names are all candidates of the keys they share
+#: with others; only a key of two classes whose names are equal (odds 2**-48 for a pair) is missed.
 NAME_BYTES, MOST = 6, 127
 #: Bits of the parity sketch for each shingle; rows meant for one task of the all-against-all pass; pairs compared at once.
 SKETCH, PART_ROWS, SIDE = 4, 40_000, 100_000
