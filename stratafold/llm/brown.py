@@ -1,12 +1,14 @@
 """Brown class bigrams: exchange clustering puts words into classes; class transitions and word emissions score a text.
 
-P(w | v) = P(class(w) | class(v)) * P(w | class(w)).  The ``WORDS`` most frequent training words are clustered; each
-iteration a Spark job sums, over the corpus' table of bigrams, how often every word stands beside every class, and the
-driver moves words to the class that raises the class bigrams' likelihood most (``WORDS`` x ``CLASSES`` counts, whatever
-the input).  Other words belong to one of ``RARE`` fixed classes by the hash of their last two bytes; the end of a text is a class of its own.
-
-Counts of words cover all training documents.  Words are named by 64-bit hashes.  For scoring, the clustered words travel with the
-tasks; the other words of a text are joined with the table of counts.
+P(w | v) = P(class(w) | class(v)) * P(w | class(w)).  Every training word that occurs ``LEAST`` times or more is clustered.  The
+``SEEDS`` most frequent words start the classes: each iteration a Spark job sums how often they stand beside every class, and the
+driver moves them to the class that raises the class bigrams' likelihood most.  All the others then choose, in tasks, the class
+that raises it most against the class bigrams of the start; their neighbours have the classes they had at the start, and the words
+placed at once do not see each other's moves.  Rarer words belong to one of ``RARE`` fixed classes by the hash of their last
+two bytes; the end of a text is a class of its own.  Class bigrams and emissions of the model are counted with the final classes.
+
+Counts of words cover all training documents.  Words are named by 64-bit hashes.  Counts and classes are a table (word, n, c); those of the
+most frequent words also travel with the tasks, the other words of a text are joined with the table.
 """
 
 from __future__ import annotations
@@ -17,15 +19,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import map_arrow, saved
 
-#: Clustered words, their classes, fixed classes of other words, passes of the exchange, table entries a task holds before it sends them.
-WORDS, CLASSES, RARE, PASSES, HELD = 4096, 48, 16, 4, 600_000
-#: Words whose counts travel with the tasks when scoring: bounds the broadcast, not the result.
+#: Words that start the classes, classes, fixed classes of rare words, passes of the start, table entries a task holds before it sends them.
+SEEDS, CLASSES, RARE, PASSES, HELD = 4096, 48, 16, 4, 600_000
+#: Occurrences from which a word is clustered; contexts meant for one group of words, and held by a task before it sends them.
+LEAST, GROUP, CONTEXTS = 5, 4_000_000, 3_000_000
+#: All classes: clustered, fixed, the end of a text; the mark of a word whose class is joined.
+TOTAL, FAR = CLASSES + RARE + 1, 255
+#: Words whose counts and classes travel with the tasks when scoring: bounds the broadcast, not the result.
 KNOWN = 131_072
 #: Weight of the class distribution in a transition.
 PRIOR = 5.0
@@ -124,9 +131,91 @@ def exchange(left: np.ndarray, right: np.ndarray, own: np.ndarray, classes: int,
     return labels
 
 
+def _gain(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    f = lambda v: v * np.log(np.maximum(v, 1e-9))
+    return f(x + more) - f(x)
+
+
+def _contexts(texts: DataFrame, text: str, seeds: np.ndarray, labels: np.ndarray, groups: int) -> DataFrame:
+    """Rows (part, words, entries, beside, n) of a run of words, packed: how often each word but the seeds stands after a class (0 ..) or
+    before one (``TOTAL`` ..).  A word has at most 2 * ``TOTAL`` entries in a row, however often it occurs."""
+    sent = texts.sparkSession.sparkContext.broadcast((seeds, labels))
+    schema = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("words", "entries", "beside", "n"))])
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        word, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        part = (word.view(np.uint64) % _U(groups)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        key, n = np.unique(place[back] * (2 * TOTAL) + np.concatenate([k for _, k in held]), return_counts=True)
+        word, part, who = word[order], part[order], key // (2 * TOTAL)
+        entries, beside, n = np.bincount(who).astype(np.uint8), (key % (2 * TOTAL)).astype(np.uint8), n.astype(np.uint32)
+        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        to = np.append(at[1:], len(part))
+        lo, hi = np.searchsorted(who, at), np.searchsorted(who, to)
+        blobs = [[x[i:j].tobytes() for i, j in zip(a, b, strict=True)] for x, a, b in ((word, at, to), (entries, at, to), (beside, lo, hi), (n, lo, hi))]
+        return pa.RecordBatch.from_arrays([pa.array(part[at]), *(pa.array(x, pa.binary()) for x in blobs)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, labels = sent.value
+        held, size = [], 0
+        for batch in batches:
+            for _, word, _ in tokens(batch[text]):
+                cls = np.where(word == END, CLASSES + RARE, CLASSES + tail(word))
+                free = word != END
+                if len(seeds):
+                    at = np.minimum(np.searchsorted(seeds, word), len(seeds) - 1)
+                    known = seeds[at] == word
+                    cls[known] = labels[at[known]]
+                    free &= ~known
+                pick = np.flatnonzero(free)  # never the last token, which is an end
+                before = np.where(pick > 0, cls[pick - 1], CLASSES + RARE)
+                if len(pick):
+                    held += [(word[pick], before), (word[pick], TOTAL + cls[pick + 1])]
+                size += 2 * len(pick)
+                if size >= CONTEXTS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return texts.select(text).mapInArrow(run, "part long, words binary, entries binary, beside binary, n binary")
+
+
+def _placed(contexts: DataFrame, moves: np.ndarray) -> DataFrame:
+    """(word, c): of the words of ``LEAST`` occurrences or more the class that raises the likelihood of the class bigrams most."""
+    sent = contexts.sparkSession.sparkContext.broadcast((np.concatenate((moves[:, :CLASSES], moves.T[:, :CLASSES])), moves.sum(axis=0)[:CLASSES]))
+
+    def place(table: pa.Table) -> pa.Table:
+        beside_class, size = sent.value
+        word, entries, beside, n = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("words", np.int64), ("entries", np.uint8), ("beside", np.uint8), ("n", np.uint32)))
+        word, back = np.unique(word, return_inverse=True)
+        key, at = np.unique(np.repeat(back, entries) * (2 * TOTAL) + beside, return_inverse=True)
+        n = np.bincount(at, n)
+        who, beside = key // (2 * TOTAL), key % (2 * TOTAL)
+        own = np.bincount(who, n, minlength=len(word)) / 2  # every occurrence has a class before and one after
+        keep = own >= LEAST
+        stay = keep[who]
+        who, beside, n = (np.cumsum(keep) - 1)[who[stay]], beside[stay], n[stay]
+        word, own = word[keep], own[keep]
+        start = np.searchsorted(who, np.arange(len(word) + 1))
+        out = np.zeros(len(word), np.int32)
+        i = 0
+        while i < len(word):
+            j = max(i + 1, int(np.searchsorted(start, start[i] + 50_000, "right")) - 1)
+            part = slice(start[i], start[j])
+            gain = np.add.reduceat(_gain(beside_class[beside[part]], n[part, None]), start[i:j] - start[i])
+            out[i:j] = (gain - 2 * _gain(size, own[i:j, None])).argmax(axis=1)
+            i = j
+        return pa.table({"word": pa.array(word), "c": pa.array(out)})
+
+    return contexts.groupBy("part").applyInArrow(place, "word long, c int")
+
+
 @dataclass(frozen=True)
 class BrownModel:
-    """Known words (sorted hashes) with counts and classes, log10 transitions, log10 class totals, corpus totals."""
+    """Words that travel with the tasks (sorted hashes) with counts and classes, log10 transitions, log10 class totals, corpus totals."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -137,19 +226,83 @@ class BrownModel:
     tokens: int
     vocabulary: int
 
-    def lookup(self, word: np.ndarray) -> np.ndarray:
-        """Position of each word among the known ones, -1 for others."""
-        if not len(self.words):
-            return np.full(len(word), -1)
-        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        return np.where(self.words[at] == word, at, -1)
 
-    def class_of(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = CLASSES + tail(word)
-        known = at >= 0
-        own = self.classes[at[known]]
-        out[known] = np.where(own >= 0, own, out[known])
-        return out
+def _coded(source: DataFrame, table: DataFrame, words: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """``source`` (id, row, text) as (id, row, n_tokens, hits, logs, seq, words, at, found): the class of each token in a byte; words
+    that do not travel (``FAR``), with their places and what the table (word, n, c) holds of them."""
+    sent = source.sparkSession.sparkContext.broadcast((words, np.log10(np.append(counts, 0) + 1.0), classes))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names, log_counts, own = sent.value
+        rows = batch.num_rows
+        n, hits, logs = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
+        seq, places = [b""] * rows, [b""] * rows
+        far: list = [[]] * rows
+        for first, word, bounds in tokens(batch["text"]):
+            at = np.full(len(word), -1)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, word), len(names) - 1)
+                at = np.where(names[at] == word, at, -1)
+            hit = at >= 0
+            cls = np.full(len(word), FAR, np.uint8)
+            cls[hit] = own[at[hit]]
+            lg = np.concatenate(([0.0], np.cumsum(log_counts[at])))  # the last count, 0, stands for no word that travels
+            for i in range(len(bounds) - 1):
+                a, b = bounds[i], bounds[i + 1]
+                r = first + i
+                n[r], hits[r], logs[r], seq[r] = b - a, hit[a:b].sum(), lg[b] - lg[a], cls[a:b].tobytes()
+                if hits[r] < n[r]:
+                    far[r], back = np.unique(word[a:b][~hit[a:b]], return_inverse=True)
+                    places[r] = back.astype(np.uint32).tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [batch["id"], batch["row"], pa.array(n), pa.array(hits), pa.array(logs), pa.array(seq, pa.binary()), pa.array(far, pa.list_(pa.int64())), pa.array(places, pa.binary())],
+            ["id", "row", "n_tokens", "hits", "logs", "seq", "words", "at"],
+        )
+
+    kind = source.schema["id"].dataType.simpleString()
+    coded = saved(map_arrow(source, parts, f"id {kind}, row long, n_tokens long, hits long, logs double, seq binary, words array<long>, at binary"), "brown-parts")
+    far = coded.select("row", F.posexplode("words").alias("i", "word"))
+    found = far.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("i", "n", "c")).alias("found"))
+    return coded.join(found, "row", "left")
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of a batch of coded texts: all classes in order, each row's bounds, tokens found in the table and the sum of their log10 counts."""
+    rows = batch.num_rows
+    sizes = batch["n_tokens"].to_numpy()
+    seq = np.frombuffer(b"".join(batch["seq"].to_pylist()), np.uint8).astype(np.int64)
+    lengths = lambda c: pc.fill_null(pc.list_value_length(batch[c]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = lengths("words")
+    start = np.cumsum(held) - held
+    words = batch["words"].flatten().to_numpy()
+    cls, n = CLASSES + tail(words), np.zeros(len(words), np.int64)
+    items = batch["found"].flatten()
+    to = np.repeat(start, lengths("found")) + items.field("i").to_numpy()
+    cls[to], n[to] = items.field("c").to_numpy(), items.field("n").to_numpy()
+    raw = batch["at"].to_pylist()
+    spots = np.array([len(x) // 4 for x in raw], np.int64)
+    at = np.frombuffer(b"".join(raw), np.uint32) + np.repeat(start, spots)
+    seq[seq == FAR] = cls[at]
+    owner = np.repeat(np.arange(rows), spots)
+    return seq, np.concatenate(([0], np.cumsum(sizes))), np.bincount(owner, n[at] > 0, minlength=rows).astype(np.int64), np.bincount(owner, np.log10(n[at] + 1.0), minlength=rows)
+
+
+def _transitions(coded: DataFrame) -> np.ndarray:
+    """Class bigrams of coded texts; every text begins after an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TOTAL * TOTAL, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                seq = _read(batch)[0]
+                total += np.bincount(np.concatenate(([CLASSES + RARE], seq[:-1])) * TOTAL + seq, minlength=TOTAL * TOTAL)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
+
+    sums = coded.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(TOTAL * TOTAL)
+    out[sums["k"].to_numpy()] = sums["n"].to_numpy()
+    return out.reshape(TOTAL, TOTAL)
 
 
 def _frequent(counts: DataFrame) -> pd.DataFrame:
@@ -168,12 +321,12 @@ def _frequent(counts: DataFrame) -> pd.DataFrame:
 
 
 def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFrame]:
-    """The model of the training texts and the table of all their word counts (word, n)."""
+    """The model of the training texts and the table of all their words (word, n, c): counts and classes."""
     spark = texts.sparkSession
     counts = saved(word_counts(texts, text), "brown-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     top = _frequent(counts)
-    inner = top[top["word"] != END].sort_values(["n", "word"], ascending=[False, True]).head(WORDS)
+    inner = top[top["word"] != END].sort_values(["n", "word"], ascending=[False, True]).head(SEEDS)
     words = np.sort(inner["word"].to_numpy(np.int64))
     own = inner.set_index("word")["n"].reindex(words).to_numpy(float)
     classes = CLASSES + RARE + 1
@@ -184,8 +337,8 @@ def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFr
     sent = spark.sparkContext.broadcast(words)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bigrams as pairs of symbols: the number of a clustered word, or WORDS + its fixed class."""
-        merge, base = _summed(HELD), WORDS + RARE + 1
+        """Bigrams as pairs of symbols: the number of a clustered word, or SEEDS + its fixed class."""
+        merge, base = _summed(HELD), SEEDS + RARE + 1
         known = sent.value
 
         def send(got: tuple) -> pa.RecordBatch:
@@ -193,11 +346,11 @@ def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFr
 
         for batch in batches:
             for _, word, _ in tokens(batch[text]):
-                symbol = np.where(word == END, WORDS + RARE, WORDS + tail(word))
+                symbol = np.where(word == END, SEEDS + RARE, SEEDS + tail(word))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                     symbol = np.where(known[at] == word, at, symbol)
-                before = np.concatenate(([WORDS + RARE], symbol[:-1]))
+                before = np.concatenate(([SEEDS + RARE], symbol[:-1]))
                 if got := merge(before * base + symbol):
                     yield send(got)
         if got := merge(np.zeros(0, np.int64), last=True):
@@ -207,7 +360,7 @@ def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFr
 
     def tables(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of words beside classes, and of class bigrams, over the whole table."""
-        full = np.concatenate((labels, np.zeros(WORDS - len(labels), np.int64), CLASSES + np.arange(RARE + 1)))
+        full = np.concatenate((labels, np.zeros(SEEDS - len(labels), np.int64), CLASSES + np.arange(RARE + 1)))
         to = spark.createDataFrame([(i, int(c)) for i, c in enumerate(full)], "s long, c long")
         ca = to.select(F.col("s").alias("a"), F.col("c").alias("ca"))
         cb = to.select(F.col("s").alias("b"), F.col("c").alias("cb"))
@@ -236,71 +389,49 @@ def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFr
             best, best_value, best_moves = labels, value, moves
         if step < PASSES and len(words):
             labels = exchange(left, right, own, CLASSES, labels, rng)
-    size = best_moves.sum(axis=0)
+    groups = int(max(12, 1 + 2 * (total["n"] or 0) // GROUP))
+    placed = _placed(_contexts(texts, text, words, best, groups), best_moves)
+    fixed = spark.createDataFrame([*zip(words.tolist(), best.tolist(), strict=True), (END, CLASSES + RARE)], "word long, c int")
+    labelled = counts.join(placed.unionAll(fixed), "word", "left")
+    table = saved(labelled.select("word", "n", F.coalesce("c", (F.shiftrightunsigned("word", 60) + CLASSES).cast("int")).alias("c")), "brown-classes")
+    known = _frequent(table).sort_values("word")
+    sent_words = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64), known["c"].to_numpy(np.int64)
+    source = texts.select(F.lit(None).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    final = _transitions(_coded(source, table, *sent_words))
+    size = final.sum(axis=0)
     share = (size + 1) / (size + 1).sum()
-    moves = np.log10((best_moves + PRIOR * classes * share[None]) / (best_moves.sum(axis=1, keepdims=True) + PRIOR * classes))
-    known = top.sort_values("word")
-    hashes = known["word"].to_numpy(np.int64)
-    at = np.searchsorted(words, hashes)
-    at = np.minimum(at, max(len(words) - 1, 0))
-    clustered = (words[at] == hashes) if len(words) else np.zeros(len(hashes), bool)
-    own_class = np.where(clustered, best[at], -1) if len(words) else np.full(len(hashes), -1)
-    own_class[hashes == END] = CLASSES + RARE
+    moves = np.log10((final + PRIOR * classes * share[None]) / (final.sum(axis=1, keepdims=True) + PRIOR * classes))
     # Distinct words of each class, for its emissions.
-    distinct = np.bincount(own_class[own_class >= 0], minlength=classes).astype(float)
-    tails = counts.where(F.col("word") != END).groupBy(F.shiftrightunsigned("word", 60).alias("c")).agg(F.count("*").alias("v"))
-    for r in tails.collect():  # RARE rows
-        distinct[CLASSES + r["c"]] += r["v"]
-    distinct[CLASSES : CLASSES + RARE] -= np.bincount(tail(words), minlength=RARE) if len(words) else 0
+    distinct = np.zeros(classes)
+    for r in table.groupBy("c").agg(F.count("*").alias("v")).collect():  # TOTAL rows
+        distinct[r["c"]] = r["v"]
     emit = np.log10(size + distinct + 1)
-    model = BrownModel(hashes, known["n"].to_numpy(np.int64), own_class, len(words), moves, emit, int(total["n"] or 0), int(total["v"] or 0))
-    return model, counts
+    model = BrownModel(*sent_words, int(distinct[:CLASSES].sum()), moves, emit, int(total["n"] or 0), int(total["v"] or 0))
+    return model, table
 
 
 def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document row: id, n_tokens, n_known, train_tokens, base_score, score (both log10 probabilities of the text)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.moves, model.emit))
 
-    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        rows = batch.num_rows
-        n, known = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        logs, rest = np.zeros(rows), np.zeros(rows)
-        words: list = [[]] * rows
-        times: list = [[]] * rows
-        log_counts = np.log10(np.append(m.counts, 0) + 1.0)  # the last stands for no known word
-        for first, word, bounds in tokens(batch["text"]):
-            at = m.lookup(word)
-            cls = m.class_of(word, at)
-            before = np.concatenate(([CLASSES + RARE], cls[:-1]))
-            before[bounds[:-1]] = CLASSES + RARE
-            own = np.concatenate(([0.0], np.cumsum(m.moves[before, cls] - m.emit[cls])))
-            hit = at >= 0
-            lg = np.concatenate(([0.0], np.cumsum(log_counts[at])))
-            for i in range(len(bounds) - 1):
-                a, b = bounds[i], bounds[i + 1]
-                r = first + i
-                n[r], known[r] = b - a, hit[a:b].sum()
-                logs[r], rest[r] = lg[b] - lg[a], own[b] - own[a]
-                w, c = np.unique(word[a:b][~hit[a:b]], return_counts=True)
-                words[r], times[r] = w, c
+    def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        moves, emit = sent.value
+        seq, bounds, more, more_logs = _read(batch)
+        before = np.concatenate(([CLASSES + RARE], seq[:-1]))
+        own = np.concatenate(([0.0], np.cumsum(moves[before, seq] - emit[seq])))
         yield pa.RecordBatch.from_arrays(
-            [batch["id"], batch["row"], pa.array(n), pa.array(known), pa.array(logs), pa.array(rest), pa.array(words, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-            ["id", "row", "n_tokens", "hits", "logs", "rest", "words", "times"],
+            [batch["id"], batch["n_tokens"], pa.array(batch["hits"].to_numpy() + more), pa.array(batch["logs"].to_numpy() + more_logs), pa.array(own[bounds[1:]] - own[bounds[:-1]])],
+            ["id", "n_tokens", "n_known", "logs", "rest"],
         )
 
     source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    scored = saved(map_arrow(source, parts, f"id {kind}, row long, n_tokens long, hits long, logs double, rest double, words array<long>, times array<long>"), "brown-parts")
-    far = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    found = far.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_logs"))
-    out = scored.drop("words", "times").join(found, "row", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    coded = _coded(source, counts, model.words, model.counts, model.classes)
+    out = map_arrow(coded, finish, f"id {kind}, n_tokens long, n_known long, logs double, rest double")
     base = F.lit(float(np.log10(model.tokens + model.vocabulary + 1)))
     return out.select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * base).alias("base_score"), (logs + F.col("rest")).alias("score"),
+        F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * base).alias("base_score"), (F.col("logs") + F.col("rest")).alias("score"),
     )
 
 

@@ -8,6 +8,7 @@ import brute
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,39 @@ def test_brown(spark, docs, odd):
     assert brown.score(odd, model, counts, "doc_id", "text").count() == len(ODD)
 
 
+def test_brown_clusters_by_count(spark, monkeypatch):
+    """Words beyond the seeds are clustered by their count alone, and by their contexts; most do not travel with the tasks."""
+    rng = np.random.default_rng(5)
+    nouns, verbs = [f"n{i}" for i in range(300)], [f"v{i}" for i in range(300)]
+    lines = [" ".join(w for _ in range(20) for w in ("the", nouns[rng.integers(300)], "will", verbs[rng.integers(300)])) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate([*lines, "seldom seldom seldom seldom"])), "doc_id long, text string")
+    monkeypatch.setattr(brown, "SEEDS", 64)
+    monkeypatch.setattr(brown, "KNOWN", 100)
+    monkeypatch.setattr(brown, "CLASSES", 8)
+    monkeypatch.setattr(brown, "TOTAL", 8 + brown.RARE + 1)
+    model, table = brown.fit(frame, "text")
+    got = {r.word: r for r in table.collect()}
+    assert sum(r.c < 8 for r in got.values()) == sum(r.n >= brown.LEAST and w != brown.END for w, r in got.items()) == model.clustered > 500
+    assert len(model.words) <= 100
+    name = lambda w: int(next(brown.tokens(pa.array([w])))[1][0])
+    assert got[name("seldom")].c >= 8
+    n, v = (np.bincount([got[name(w)].c for w in x if got[name(w)].n >= brown.LEAST], minlength=8) for x in (nouns, verbs))
+    assert np.maximum(n, v).sum() >= 0.9 * (n + v).sum() and n.argmax() != v.argmax()
+    seen, size = np.zeros((brown.TOTAL, brown.TOTAL)), np.zeros(brown.TOTAL)
+    coded = [[got[int(w)] for w in next(brown.tokens(pa.array([r.text])))[1]] for r in frame.orderBy("doc_id").collect()]
+    for text in coded:
+        np.add.at(seen, ([got[brown.END].c, *(r.c for r in text[:-1])], [r.c for r in text]), 1)
+    size = seen.sum(axis=0)
+    share, prior = (size + 1) / (size + 1).sum(), brown.PRIOR * brown.TOTAL
+    assert np.allclose(model.moves, np.log10((seen + prior * share) / (seen.sum(axis=1, keepdims=True) + prior)))
+    assert np.allclose(model.emit, np.log10(size + np.bincount([r.c for r in got.values()], minlength=brown.TOTAL) + 1))
+    scored = rows(brown.score(frame, model, table, "doc_id", "text"))
+    for i, text in enumerate(coded):
+        c = [got[brown.END].c, *(r.c for r in text)]
+        assert scored[i].n_known == len(text)
+        assert scored[i].score == pytest.approx(sum(np.log10(r.n + 1) + model.moves[p, r.c] - model.emit[r.c] for p, r in zip(c, text, strict=False)))
+
+
 def plain_pii(text):
     text = text or ""
     out = []
