@@ -24,10 +24,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays; of rows that share an id, one."""
-    groups = ngram_join.jaccard_groups(docs.select("doc_id", "text"))
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates one row stays, of the smallest id (null last), then row number.  Rows that share an id, or have
+    none, are rows of their own: they go only if their text is a near duplicate."""
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "rows")
+    groups = ngram_join.jaccard_groups(rows.select("_row", F.col("_doc.text").alias("text")), "_row")
+    order = F.struct(F.col("_doc.doc_id").isNull(), F.col("_doc.doc_id"), F.col("_row"))
+    placed = rows.select("_row", order.alias("_order")).join(groups.select("_row", "component_id"), "_row")
+    heads = placed.groupBy("component_id").agg(F.min("_order").alias("_head")).select(F.col("_head._row").alias("_row"))
+    return rows.join(heads, "_row", "left_semi").select("_doc.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,14 @@ def test_stages(spark):
     packed = seen[5].toPandas()
     assert set(packed["doc_id"]) == set(rows[4])
     assert (packed.groupby("doc_id")["length"].sum() == packed.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def test_rows_without_an_own_id(spark):
+    """Null and shared ids: a row goes only if its text is a near duplicate."""
+    rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (None, "one two three four five six seven"), (5, "red green blue black white grey"),
+            (5, "north south east west up down"), (7, "north south east west up down"), (3, "red green blue black white grey"), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(None, ""), (None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (3, "red green blue black white grey"), (5, "north south east west up down"), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
