@@ -327,6 +327,18 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return sized.join(right.drop("nv"), "v").select("u", "v", "nu", "nv", "su", F.when(F.col("up") > 0, F.col("v1")).otherwise(F.col("v0")).alias("sv"))
 
 
+def _dealt(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of open keys dealt into blocks, and these into parts of about ``PART_ROWS`` dealt rows, whatever the size of a key."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+    met = rows.join(sizes, "key").join(sketches, "rep")
+    met = met.withColumn("sketch", F.when(F.col("scheme") == 0, F.col("sketch0")).otherwise(F.col("sketch1")))
+    dealt = block_pairs(met.drop("sketch0", "sketch1", "scheme"), "key", "size", "rep", BLOCK)
+    # A key of N rows becomes N * ceil(N / BLOCK) dealt rows.
+    total = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
+    parts = max(12, 1 + int(total) // PART_ROWS)
+    return dealt.withColumn("part", F.pmod(F.xxhash64("key", "block_i", "block_j"), F.lit(parts)))
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, ``n_shingles`` (size of its set of five-word shingles) and ``component_id``, the
     smallest id reachable over links of Jaccard similarity 0.75 or more, itself included.
@@ -367,12 +379,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = saved(placed.select("key", "scheme", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
 
     rows = _still_open(rows)
-    met = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key").join(sketches, "rep")
-    met = met.withColumn("sketch", F.when(F.col("scheme") == 0, F.col("sketch0")).otherwise(F.col("sketch1")))
-    dealt = block_pairs(met.drop("sketch0", "sketch1", "scheme"), "key", "size", "rep", BLOCK)
-    parts = max(12, 1 + rows.count() // PART_ROWS)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "block_i", "block_j"), F.lit(parts)))
-    crossing = dealt.groupBy("part").applyInArrow(_crossing, "u long, v long").distinct()
+    crossing = _dealt(rows, sketches).groupBy("part").applyInArrow(_crossing, "u long, v long").distinct()
     links = links.unionAll(_verified(crossing, texts))
     roots = components(links)
     placed = member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id")).distinct()

@@ -66,6 +66,17 @@ def test_jaccard_near_copies(spark):
     assert got == brute.jaccard(texts)
 
 
+def test_crossing_parts_are_bounded(spark, monkeypatch):
+    """A key of many classes is dealt over parts by its dealt rows."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 100)
+    rows = spark.range(400).selectExpr("7L as key", "0 as scheme", "id as rep", "id as root")
+    sketches = spark.range(400).selectExpr("id as rep", "5L as n", "cast('' as binary) as sketch0", "cast('' as binary) as sketch1")
+    dealt = ngram_join._dealt(rows, sketches)
+    sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert sum(sizes) == 400 * 50 and max(sizes) <= 600
+
+
 def test_keys_lose_no_pair():
     """Every pair at the bound shares a key, for many sizes."""
     rng = np.random.default_rng(1)
