@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join of word shingle sets by universe-partition pigeonhole (after Deng et al., VLDB 2016).
+"""Connected components of the exact Jaccard self-join of word shingle sets, by universe-partition pigeonhole (after Deng et al., VLDB 2016).
 
 Two sets with Jaccard similarity >= 3/4 differ in at most (a + b) / 7 elements.  Sizes fall into bands whose bounds
 grow by 4/3, so a linked pair's larger set lies in the band of the smaller one or the next.  A band has a *scheme*: the hash
@@ -15,7 +15,8 @@ documents that lack segments.  No candidate is lost.
 Candidates are resolved without listing all pairs of a group: equal sets form one class first, and keys with the same
 classes one key; in a few rounds every key that touches several components links its members to one of them, those pairs
 are verified (a parity sketch first, then exactly) and components formed; only keys that still touch several components are compared all-against-all, in blocks inside the tasks, pairs of different components only, filtered by the
-sketch, whose bit difference never exceeds the true one; what passes is verified exactly too.
+sketch, whose bit difference never exceeds the true one; what passes is verified exactly too.  Only components are computed: pairs inside
+a component are not sought, so there is no table of all linked pairs and no number of links of a document.
 """
 
 from __future__ import annotations
