@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: scratch tables, Arrow maps, blocks of large groups, connected components."""
+"""Helpers shared by the operators: scratch tables, Arrow maps, samples, blocks of large groups, connected components."""
 
 from __future__ import annotations
 
@@ -10,21 +10,23 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows in one Arrow batch sent to a Python worker; bounds a worker's memory when texts are long.
-ARROW_ROWS = 1000
+#: Temporary folder of each local application that names no checkpoint folder.
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir``; where it is unset, the warehouse on a cluster and a
-    temporary folder in local mode (tests)."""
+    temporary folder in local mode (tests).  The session's settings stay as they are."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if spark.sparkContext.master.startswith("local["):
-        root = tempfile.mkdtemp(prefix="stratafold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
+    if spark.sparkContext.master.startswith("local"):
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="stratafold-")
+        return _LOCAL[app]
     return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
 
 
@@ -33,21 +35,72 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete scratch tables that nothing reads any more: those :func:`saved` returned, and that no frame still to be run is made from."""
+    for df in tables:
+        if df is not None and getattr(df, "_scratch", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` where ``fn`` turns one batch into batches."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` where ``fn`` turns one batch into batches.  Spark bounds the bytes of a batch
+    (``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts come in small batches."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(each, schema)
 
 
+def annotated(docs: DataFrame, text_col: str, fn: Callable[..., list[pa.Array]], added: str, *more: Column) -> DataFrame:
+    """``docs`` with the columns ``added`` (as DDL) that ``fn`` makes from a batch of texts and of the expressions ``more``.
+
+    The rest of the caller's row travels as one struct, so no column of it can clash with those used here; a column of a name in
+    ``added`` is replaced."""
+    new = T._parse_datatype_string(added)
+    rest = [c for c in docs.columns if c != text_col]
+    frame = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("row"), F.col(f"`{text_col}`").alias("text"), *[m.alias(f"more{i}") for i, m in enumerate(more)]
+    )
+    schema = T.StructType([*frame.schema.fields[:2], *[T.StructField(f"new{i}", f.dataType) for i, f in enumerate(new)]])
+    names, extra = schema.names, [f"more{i}" for i in range(len(more))]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        made = fn(batch["text"], *(batch[c] for c in extra))
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], *made], names)
+
+    old = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in new.names]
+    return map_arrow(frame, run, schema).select(*old, *[F.col(f"new{i}").alias(c) for i, c in enumerate(new.names)])
+
+
+def bounded_sample(rows: DataFrame, salt: Column, most: int) -> DataFrame:
+    """Rows of the smallest ``salt`` (a hash, so uniform), at most ``most`` and nearly so many; the same ones in every run.
+
+    Only counts travel: the share of salts that holds about twice the sample is cut into ranges, and ranges are taken in order while
+    they fit.  A range that a much repeated salt overfills is passed over; if none fits, ``most`` rows of the first are taken."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    place = F.shiftrightunsigned(salt, 1) / F.lit(float(1 << 63))  # 0 to 1
+    part = F.floor(place * F.lit(64.0 * n / most)).cast("long")
+    sizes = rows.where(part < 128).groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    taken, left = [], most
+    for r in sizes:
+        if r["n"] <= left:
+            taken.append(r["part"])
+            left -= r["n"]
+    return rows.where(part.isin(taken)) if taken else rows.where(part == sizes[0]["part"] if sizes else F.lit(True)).limit(most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -89,6 +142,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
-        e = saved(small.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        last, e = e, saved(small.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        discard(last)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

@@ -6,7 +6,8 @@ it.  A text counts, for each language, the n-grams whose mask has its bit; count
 positives and for how often the language's own text hits its plane, and the largest decides.
 
 Training counts n-grams inside the tasks over a bounded sample of labelled rows (``SAMPLE``); each plane gets the
-``GRAMS`` n-grams most typical of its language, so the model's size does not grow with the data.
+``GRAMS`` n-grams most typical of its language, so the model's size grows with the languages only.  A slot has one word for every 64
+languages.
 """
 
 from __future__ import annotations
@@ -20,21 +21,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import map_arrow
+from .common import annotated, bounded_sample, discard, map_arrow, saved
 
 #: Labelled rows a model is fitted on, n-grams kept for each language, lengths in bytes, filter slots and hashes.
-SAMPLE, GRAMS, LENGTHS, SLOTS, HASHES, MAX_LANGS = 20_000, 6_000, (2, 4), 1 << 18, 3, 64
+SAMPLE, GRAMS, LENGTHS, SLOTS, HASHES = 20_000, 6_000, (2, 4), 1 << 18, 3
 
 _LETTER = r"\p{L}"
 _U = np.uint64
 
 
-def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte n-grams of a text buffer and their start positions.
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the byte n-grams inside the rows of a text buffer and their start positions.
 
     ASCII letters are lower-cased; runs of other ASCII bytes count as one kind of separator.  Bytes of longer UTF-8
     sequences are letters here."""
     low = _FOLD[data].astype(np.uint64)
+    border = np.zeros(len(low) + 1, bool)
+    border[offsets] = True
     out, at = [], []
     for n in LENGTHS:
         if len(low) < n:
@@ -45,6 +48,8 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             part = low[i : len(low) - n + 1 + i]
             h = h * _U(257) + part
             solid |= part != 32
+        for i in range(1, n):  # none reaches over the end of its row
+            solid &= ~border[i : len(h) + i]
         pos = np.flatnonzero(solid)
         out.append(K.mix(h[pos] + _U(n << 56)))
         at.append(pos)
@@ -62,9 +67,13 @@ def _fold() -> np.ndarray:
 _FOLD = _fold()
 
 
+def _slot(grams: np.ndarray, k: int) -> np.ndarray:
+    return ((grams >> _U(20 * k)) % _U(SLOTS)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class LanguageFilter:
-    """``slots`` (a bit for each language), and for each language its fill, its own hit rate and others' hit rate."""
+    """``slots`` (slot, word: a bit for each language), and for each language its fill and its own hit rate."""
 
     langs: list[str]
     slots: np.ndarray
@@ -72,23 +81,23 @@ class LanguageFilter:
     own: np.ndarray
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        """Languages that contain each n-gram, as bit masks."""
-        out = np.full(len(grams), ~_U(0))
+        """Languages that contain each n-gram, as bit masks (n-gram, word)."""
+        out = np.full((len(grams), self.slots.shape[1]), ~_U(0))
         for k in range(HASHES):
-            out &= self.slots[((grams >> _U(20 * k)) % _U(SLOTS)).astype(np.int64)]
+            out &= self.slots[_slot(grams, k)]
         return out
 
     def rates(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Share of each text's n-grams in every language's plane, corrected for false positives, and their number."""
         out, total = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
         for first, data, offsets in K.slices(texts, 1 << 20):
-            g, at = grams(data)
+            g, at = grams(data, offsets)
             row = np.searchsorted(offsets, at, "right") - 1
             masks = self.masks(g)
             n = np.bincount(row, minlength=len(offsets) - 1)
             total[first : first + len(n)] = n
             for i, fill in enumerate(self.fill):
-                hit = np.bincount(row[(masks >> _U(i)) & _U(1) != 0], minlength=len(n))
+                hit = np.bincount(row[(masks[:, i >> 6] >> _U(i & 63)) & _U(1) != 0], minlength=len(n))
                 rate = hit / np.maximum(n, 1)
                 out[first : first + len(n), i] = np.clip((rate - fill) / max(1 - fill, 1e-9), 0, 1)
         return out, total
@@ -102,46 +111,43 @@ class LanguageFilter:
 
 
 def fit(labelled: DataFrame, text: str, lang: str, salt: Column, sample: int = SAMPLE) -> LanguageFilter | None:
-    """Fit on the ``sample`` rows of smallest ``salt``; None without rows.  At most ``MAX_LANGS`` languages, the
-    most frequent first."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).orderBy(salt).limit(sample).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = rows.repartition(max(8, labelled.sparkSession.sparkContext.defaultParallelism))
+    """Fit on at most ``sample`` rows of smallest ``salt`` (see :func:`bounded_sample`); None without rows.  Rows whose text or language is
+    null teach nothing."""
+    rows = bounded_sample(labelled.where(F.col(lang).isNotNull()), salt, sample).where(F.col(text).isNotNull())
+    rows = saved(rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")), "langid-sample")
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = np.array(batch["lang"].to_pylist(), object)
         for name in sorted(set(names)):
             own = batch["text"].filter(pa.array(names == name))
             got = []
-            for _, data, _ in K.slices(own, 1 << 20):
-                h, c = np.unique(grams(data)[0], return_counts=True)
+            for _, data, offsets in K.slices(own, 1 << 20):
+                h, c = np.unique(grams(data, offsets)[0], return_counts=True)
                 got.append((h, c))
             if got:
                 h, back = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
                 c = np.bincount(back, np.concatenate([x for _, x in got])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "gram", "n"])
 
-    counts = map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = saved(map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not sums:
-        counts.unpersist()
         return None
     langs = sorted(sums)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(float(sums[k])))])
     # Typical n-grams: frequent in the language and at least as frequent there as on average elsewhere.
-    f = counts.where(F.col("lang").isin(langs)).withColumn("f", F.col("n") / share[F.col("lang")])
+    f = counts.withColumn("f", F.col("n") / share[F.col("lang")])
     every = f.groupBy("gram").agg(F.sum("f").alias("all"))
     typical = f.join(every, "gram").withColumn("weight", F.col("f") * F.log(1 + F.col("f") * len(langs) / F.col("all")))
     typical = typical.where((F.col("f") * len(langs) > F.col("all")) | F.lit(len(langs) == 1))
     ranked = typical.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), "gram"))).where(F.col("k") <= GRAMS)
     top = ranked.select("lang", "gram").toArrow().to_pandas()
-    counts.unpersist()
-    slots = np.zeros(SLOTS, np.uint64)
+    slots = np.zeros((SLOTS, -(-len(langs) // 64)), np.uint64)
     for i, name in enumerate(langs):
         g = top.loc[top["lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64)
         for k in range(HASHES):
-            np.bitwise_or.at(slots, ((g >> _U(20 * k)) % _U(SLOTS)).astype(np.int64), _U(1 << i))
-    fill = np.array([(((slots >> _U(i)) & _U(1)).mean()) ** HASHES for i in range(len(langs))])
+            np.bitwise_or.at(slots[:, i >> 6], _slot(g, k), _U(1 << (i & 63)))
+    fill = np.array([((slots[:, i >> 6] >> _U(i & 63)) & _U(1)).mean() ** HASHES for i in range(len(langs))])
     model = LanguageFilter(langs, slots, fill, np.ones(len(langs)))
     # Mean own-plane rate over the sample, from sums made in the tasks.
     index = {k: i for i, k in enumerate(langs)}
@@ -149,32 +155,33 @@ def fit(labelled: DataFrame, text: str, lang: str, salt: Column, sample: int = S
 
     def own(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rates, n = sent.value.rates(batch["text"])
-        which = np.array([index.get(x, -1) for x in batch["lang"].to_pylist()])
-        ok = (which >= 0) & (n > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(which[ok]), pa.array(rates[np.flatnonzero(ok), which[ok]])], ["lang", "rate"])
+        which = np.array([index[x] for x in batch["lang"].to_pylist()])
+        ok = np.flatnonzero(n > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(which[ok]), pa.array(rates[ok, which[ok]])], ["lang", "rate"])
 
     means = {r["lang"]: r["rate"] for r in map_arrow(rows, own, "lang long, rate double").groupBy("lang").agg(F.avg("rate").alias("rate")).collect()}
+    discard(rows, counts)
     return LanguageFilter(langs, slots, fill, np.array([means.get(i, 1.0) or 1.0 for i in range(len(langs))]))
 
 
 def identify(docs: DataFrame, model: LanguageFilter | None, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` (a learned language; ``und`` where the text is null or has no letter, or nothing was learned) and
-    ``score`` (0 to 1; 0 for ``und``)."""
-    cols = docs.columns
+    """``docs`` with ``lang_pred`` (a learned language; ``und`` where the text is null or has no letter, or nothing was learned) and
+    ``score`` (0 to 1; 0 for ``und``).
+
+    Every row is kept, repeated ones too, and each is judged by its text alone.  Columns of ``docs`` that are named like the two are replaced.
+    An empty table gives no rows."""
     bare = F.coalesce(~F.rlike(F.col(text), F.lit(_LETTER)), F.lit(True))
-    frame = docs.withColumn("_bare", bare)
-    if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        best, score = m.predict(batch[text])
-        und = batch["_bare"].to_numpy(zero_copy_only=False)
+    def predict(texts: pa.Array, bare: pa.Array) -> list[pa.Array]:
+        m, und = sent.value, bare.to_numpy(zero_copy_only=False).copy()
+        if m is None:
+            und[:] = True
+            return [pa.array(["und"] * len(und)), pa.array(np.zeros(len(und)))]
+        best, score = m.predict(texts)
         names = np.array(m.langs, object)[best]
         names[und] = "und"
         score[und] = 0.0
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in cols), pa.array(names, pa.string()), pa.array(score)], [*cols, "lang_pred", "score"])
+        return [pa.array(names, pa.string()), pa.array(score)]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(frame, predict, f"{kinds}, lang_pred string, score double")
+    return annotated(docs, text, predict, "lang_pred string, score double", bare)

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: ``opN_<name>`` and ``pipeline``."""
+"""The registered queries of this subpackage: ``opN_<name>``."""
 
 from __future__ import annotations
 
@@ -69,18 +69,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = fold("doc_id", 4) == 2
+    out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     model = langid.fit(docs.where(~out), "text", "lang", F.xxhash64(F.lit(10), "doc_id"))
     return langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-OPERATORS = (op1_embedding_neardup, op2_toxicity, op3_media, op4_ngram_join, op5_mix, op6_brown, op7_pii, op8_pack, op9_url_filter, op10_langid, pipeline)
+OPERATORS = (op1_embedding_neardup, op2_toxicity, op3_media, op4_ngram_join, op5_mix, op6_brown, op7_pii, op8_pack, op9_url_filter, op10_langid)
 QUERIES = {f.__name__: f for f in OPERATORS}
 
 SQL = {
@@ -102,6 +96,4 @@ met AS (SELECT c.page_id, count(*) AS n_active, min(s.from_day) AS listed_since
     AND CASE s.kind WHEN 'url' THEN c.address = s.value ELSE c.host = s.value OR ends_with(c.host, '.' || s.value) END GROUP BY 1)
 SELECT c.page_id, c.url, c.fetch_day, coalesce(n_active, 0) AS n_active, listed_since, n_active IS NOT NULL AS blocked FROM captures c LEFT JOIN met USING (page_id)
 """,
-    "op5_mix": None,
 }
-SQL = {k: v for k, v in SQL.items() if v}

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratafold.llm import brown, jpeg, langid, lattice, mixing, ngram_join, packing, pii, queries, toxicity, url_filters
+from stratafold.llm import brown, common, jpeg, langid, lattice, mixing, ngram_join, packing, pii, queries, toxicity, url_filters
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -343,16 +343,70 @@ def test_langid(docs, odd):
     held = [i for i, r in got.items() if r.held_out]
     assert np.mean([got[i].lang_pred == known[i] for i in held]) > 0.9
     model = langid.fit(docs, "text", "lang", F.xxhash64("doc_id"))
-    bad = rows(langid.identify(odd.drop("score"), model))
+    named = langid.identify(odd, model)
+    assert named.columns == ["doc_id", "text", "lang", "source", "n", "lang_pred", "score"] and named.count() == len(ODD)
+    bad = rows(named)
+    assert {i: r.text for i, r in bad.items()} == {r[0]: r[1] for r in ODD}
     assert [bad[i].lang_pred for i in (1, 2, 3, 10)] == ["und"] * 4 and bad[9].lang_pred != "und"
     assert all(0 <= r.score <= 1 for r in bad.values())
     assert langid.fit(docs.limit(0), "text", "lang", F.lit(1)) is None
 
 
+def plain_language(model, text):
+    """Prediction of one text by sets of bits, n-gram by n-gram."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    hits, total = [0] * len(model.langs), 0
+    for n in langid.LENGTHS:
+        for at in range(len(low) - n + 1):
+            gram = low[at : at + n]
+            if gram.strip(b" "):
+                h = 0
+                for b in gram:
+                    h = (h * 257 + b) % 2**64
+                h = int(langid.K.mix(np.array([(h + (n << 56)) % 2**64], np.uint64))[0])
+                slots = [(h >> 20 * k) % langid.SLOTS for k in range(langid.HASHES)]
+                total += 1
+                for i in range(len(hits)):
+                    hits[i] += all(int(model.slots[x, i // 64]) >> i % 64 & 1 for x in slots)
+    rates = [min(max((h / max(total, 1) - f) / max(1 - f, 1e-9), 0), 1) for h, f in zip(hits, model.fill, strict=True)]
+    scaled = [(r / max(o, 1e-9)) ** 4 + 1e-12 for r, o in zip(rates, model.own, strict=True)]
+    best = max(range(len(scaled)), key=lambda i: scaled[i])
+    return model.langs[best], scaled[best] / sum(scaled)
+
+
+def test_langid_against_plain_counts(docs):
+    model = langid.fit(docs, "text", "lang", F.xxhash64("doc_id"))
+    for r in langid.identify(docs.where("length(text) < 600").limit(40), model).collect():
+        if r.lang_pred != "und":
+            name, score = plain_language(model, r.text)
+            assert r.lang_pred == name and r.score == pytest.approx(score)
+
+
+def test_more_than_64_languages(spark):
+    """Each invented language has letters of its own; the 70 of them fill two words a slot."""
+    letter = lambda i: chr(0x4E00 + 16 * i)
+    rows = [(100 * i + k, f"{letter(i)}{chr(0x4E00 + 16 * i + 1)} " * 20, f"l{i:02d}") for i in range(70) for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, "text", "lang", F.xxhash64("doc_id"))
+    assert model.slots.shape[1] == 2
+    assert all(r.lang_pred == r.lang for r in langid.identify(frame, model).collect())
+
+
+def test_bounded_sample(spark):
+    salt = F.xxhash64("id")
+    rows = spark.range(5000)
+    got = {r.id for r in common.bounded_sample(rows, salt, 400).collect()}
+    assert 330 <= len(got) <= 400 and got == {r.id for r in common.bounded_sample(rows.repartition(3), salt, 400).collect()}
+    hot = rows.unionAll(spark.range(4000).select(F.lit(7).cast("long").alias("id")))
+    assert 300 <= common.bounded_sample(hot, salt, 400).count() <= 400
+    assert common.bounded_sample(rows.select(F.lit(1).alias("id")), salt, 400).count() == 400
+    assert common.bounded_sample(rows.limit(0), salt, 400).count() == 0
+
+
 def test_bloom_has_no_false_negatives(docs):
     model = langid.fit(docs, "text", "lang", F.xxhash64("doc_id"))
-    masks = model.masks(langid.grams(np.frombuffer(b"the and of ", np.uint8))[0])
-    assert (masks >> np.uint64(model.langs.index("en")) & np.uint64(1)).any()
+    masks = model.masks(langid.grams(np.frombuffer(b"the and of ", np.uint8), np.array([0, 11]))[0])
+    assert (masks[:, 0] >> np.uint64(model.langs.index("en")) & np.uint64(1)).any()
 
 
 def test_toxicity(spark, odd):
