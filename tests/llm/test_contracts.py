@@ -98,32 +98,61 @@ def test_keys_lose_no_pair():
             assert max(len(x) for x in both) >= min(min(ngram_join.needs(a)), min(ngram_join.needs(b)))
 
 
+def plain_links(vectors):
+    """(links, component) of each row by all cosines; ``vectors``: rows of (id, vector or None)."""
+    good = [k for k, (_, v) in enumerate(vectors) if v is not None and len(v) == 64 and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    x = np.stack([np.array(vectors[k][1], float) for k in good])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    root = brute.groups([(good[a], good[b]) for a, b in zip(*np.nonzero(near), strict=True)], range(len(vectors)))
+    links = dict(zip(good, near.sum(axis=1).tolist(), strict=True))
+    low = {}
+    for k, (i, _) in enumerate(vectors):
+        low[root[k]] = min((x for x in (i, low.get(root[k])) if x is not None), default=None)
+    return [(i, links.get(k, 0), low[root[k]] if k in links else i) for k, (i, _) in enumerate(vectors)]
+
+
 def test_embeddings(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").limit(60)
     rng = np.random.default_rng(0)
     found = [(int(r.vec_id), np.array(r.embedding, float)) for r in e.collect()]
     near = [(10_000 + i, v * 3 + rng.standard_normal(len(v)) * 0.02) for i, v in found[:30]]
-    near += [(20_000, found[0][1]), (20_001, found[0][1])]
-    known = {i: v for i, v in found + near}
-    bad = [(30_000, None), (30_001, []), (30_002, [0.0] * 64), (30_003, [float("nan")] * 64), (30_004, [None] * 64), (30_005, [1.0] * 3)]
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in known.items()] + bad, "vec_id long, embedding array<double>")
-    got = rows(lattice.near_duplicates(table), "vec_id")
-    unit = {i: v / np.linalg.norm(v) for i, v in known.items()}
-    ids = sorted(unit)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if unit[a] @ unit[b] >= 0.95]
-    root = brute.groups(links, ids)
-    count = {i: 0 for i in ids}
-    for a, b in links:
-        count[a] += 1
-        count[b] += 1
-    recall = sum(got[i].n_links for i in ids) / sum(count.values())
-    assert 0.9 <= recall <= 1
-    assert all(got[i].n_links <= count[i] for i in ids)
-    assert all(got[i].component_id == root[i] for i in ids) or recall < 1
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in bad)
+    near += [(20_000, found[0][1]), (20_001, found[0][1]), (20_001, found[0][1]), (None, found[0][1]), (20_001, found[5][1]), (None, found[7][1] * 2), (None, rng.standard_normal(64))]
+    bad = [(30_000, None), (30_001, []), (30_002, [0.0] * 64), (30_003, [float("nan")] * 64), (30_004, [None] * 64), (30_005, [1.0] * 3), (30_006, [float("inf")] * 64), (None, None), (30_000, None)]
+    known = [(i, v.tolist()) for i, v in found + near]
+    table = spark.createDataFrame([(*r, 1, "x") for r in known + bad], "vec_id long, embedding array<double>, n_links int, rep string")
+    got = [tuple(r) for r in lattice.near_duplicates(table).collect()]
+    want = [(*r, r[0] is not None and r[0] == r[2]) for r in plain_links(known)] + [(i, 0, i, i is not None) for i, _ in bad]
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert lattice.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_large_cell(spark):
+    """A cluster of more than two blocks of rows: every link is counted once."""
+    rng = np.random.default_rng(4)
+    centre, other = rng.standard_normal((2, 64))
+    rows = [(i, (centre * 4 + rng.standard_normal(64) * 0.9).tolist()) for i in range(2600)] + [(5000 + i, (other * 4 + rng.standard_normal(64) * 0.2).tolist()) for i in range(40)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {i: (n, c) for i, n, c in plain_links(rows)}
+    total = sum(n for n, _ in want.values())
+    assert total > 2_000_000 and all(got[i][0] <= n for i, (n, _) in want.items())
+    assert sum(n for n, _ in got.values()) >= 0.99 * total and all(got[i][1] == want[i][1] for i in want)
+
+
+def test_embedding_recall(spark):
+    """Pairs just above the threshold, where recall is least."""
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.96, (1500, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((x, c * x + np.sqrt(1 - c * c) * y)))]
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.98 * 3000 and max(got.values()) == 1
+
+
 def test_e8_nearest():
     """The first candidate is the nearest lattice point, checked against all half-integer points around."""
     rng = np.random.default_rng(2)
