@@ -10,11 +10,17 @@ Segments that are empty cannot be indexed, so a document may have fewer usable s
 allocation is then widened at the least cost: such a document also indexes the one-deletion neighbourhoods of its segments
 (budget 2 instead of 1 for every segment of two or more shingles), and if even that is too little, its single
 shingles.  Since a document with enough segments finds all its partners, these extra keys only have to meet among
-documents that lack segments.  No candidate is lost.
+documents that lack segments.  The smallest sets, whose pairs differ in one shingle at most, have one segment with all its
+one-deletion neighbourhoods, so no key of theirs is a single frequent shingle.
+
+The rest of the allocation is by cost, and the cost of a key is the number of its owners: a document shares at least ``need`` keys with
+any partner, so its ``need - 1`` most frequent keys get no budget.  The order (owners, key) is the same for all documents, so the rarest key
+that two partners share is kept by both: no candidate is lost, and frequent passages cost only the documents that have little else.
 
 Candidates are resolved without listing all pairs of a group: equal sets form one class first, and keys with the same
 classes one key; in a few rounds every key that touches several components links its members to one of them, those pairs
-are verified (a parity sketch first, then exactly) and components formed; only keys that still touch several components are compared all-against-all, in blocks inside the tasks, pairs of different components only, filtered by the
+are verified (a parity sketch first, then exactly) and components formed; only keys that still touch several components are compared
+all-against-all, in blocks inside the tasks, pairs of different components only, filtered by the
 sketch, whose bit difference never exceeds the true one; what passes is verified exactly too.  Only components are computed: pairs inside
 a component are not sought, so there is no table of all linked pairs and no number of links of a document.
 """
@@ -25,16 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import block_pairs, components, map_arrow, saved
+from .common import block_pairs, components, discard, map_arrow, saved
 
 #: Segments beyond the number needed, as a factor; keys buffered by a task; keys meant for one bucket; rows of a block.
 SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_500_000, 1_000_000, 1024
 #: Bytes of a class's name sent with its keys; keys of a class in one tag.  Classes of equal names are all candidates of the keys they share
-#: with others; only a key of two classes whose names are equal (odds 2**-48 for a pair) is missed.
+#: with others, and of each other: their name is a key of its own.
 NAME_BYTES, MOST = 6, 127
 #: Bits of the parity sketch for each shingle; rows meant for one task of the all-against-all pass; pairs compared at once.
 SKETCH, PART_ROWS, SIDE = 4, 40_000, 100_000
@@ -58,7 +64,7 @@ _BANDS = bands(1 << 40)
 def segments(band: int) -> int:
     """Number of segments of a band's scheme."""
     most = 2 * (_BANDS[band + 1] - 1) // 7
-    return most + 1 if most < 1 else int((most + 1) * SLACK) + 1
+    return 1 if most <= 1 else int((most + 1) * SLACK) + 1
 
 
 def _salt(*parts: int) -> np.uint64:
@@ -128,12 +134,13 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _fingerprints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Size, two names and needs of the set of every text."""
     n, h1, h2, need0, need1 = (np.zeros(batch.num_rows, np.int64) for _ in range(5))
     for i, s in K.shingle_sets(batch["text"]):
         n[i], h1[i] = len(s), class_of(s)
         h2[i] = class_of(K.mix(s + _U(11)))
         need0[i], need1[i] = needs(s)
-    yield pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, (n, h1, h2, need0, need1))], ["id", "n", "h1", "h2", "need0", "need1"])
+    yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], *map(pa.array, (n, h1, h2, need0, need1))], ["row", "id", "n", "h1", "h2", "need0", "need1"])
 
 
 def _keys(buckets: int):
@@ -187,37 +194,55 @@ def _keys(buckets: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: the keys that several classes have, with their classes; ``w`` of them have the same classes."""
-    keys, names, schemes = [], [], []
-    for k, c, t in zip(*(table[f].to_pylist() for f in ("keys", "names", "tags")), strict=True):
+    """Of one bucket: the keys that several classes have, with their classes.  ``f``: owners of the key; ``w``: keys of the class that this row
+    stands for, of all keys with the same classes and of those that agree in the bits sent."""
+    keys, names, schemes, runs = [], [], [], []
+    for run, (k, c, t) in enumerate(zip(*(table[f].to_pylist() for f in ("keys", "names", "tags")), strict=True)):
         tag = np.frombuffer(t, np.uint8)
         name = np.zeros((len(tag), 8), np.uint8)
         name[:, :NAME_BYTES] = np.frombuffer(c, np.uint8).reshape(-1, NAME_BYTES)
         keys.append(np.frombuffer(k, np.uint32))
         names.append(np.repeat(name.view(np.int64)[:, 0], tag & 127))
         schemes.append(np.repeat(tag >> 7, tag & 127))
-    key, name, scheme = (np.concatenate(x) for x in (keys, names, schemes))
+        runs.append(np.full(len(keys[-1]), run, np.int32))
+    key, name, scheme, run = (np.concatenate(x) for x in (keys, names, schemes, runs))
     order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(at, len(key)))
+    counts = _runs(key[order])[1]
     many = order[np.repeat(counts > 1, counts)]
-    key, name, scheme = key[many], name[many], scheme[many]
-    order = np.lexsort((name, key))
-    key, name, scheme = key[order], name[order], scheme[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-    key, name, scheme = key[fresh], name[fresh], scheme[fresh]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(at, len(key)))
-    at, counts = at[counts > 1], counts[counts > 1]
+    order = many[np.lexsort((run[many], scheme[many], name[many], key[many]))]
+    key, name, scheme, run = key[order], name[order], scheme[order], run[order]
+    # One row for a key, class and scheme, with the number of the class's keys that agree in the bits sent.  Copies of a text in other
+    # runs send the same keys again, so the largest number counts.
+    at, own = _runs(key, name, scheme, run)
+    key, name, scheme = key[at], name[at], scheme[at]
+    at, _ = _runs(key, name, scheme)
+    key, name, scheme, own = key[at], name[at], scheme[at], np.maximum.reduceat(own, at) if len(at) else own
+    at, counts = _runs(key)
+    fresh = np.concatenate(([0], np.cumsum(np.concatenate((np.zeros(min(1, len(key)), np.int64), (key[1:] == key[:-1]) & (name[1:] != name[:-1]))))))
+    owners = 1 + fresh[at + counts] - fresh[at]
+    at, counts, owners = at[owners > 1], counts[owners > 1], owners[owners > 1]
     # Keys with the same classes become one, named by a hash of its classes.
-    total = np.concatenate(([_U(0)], np.cumsum(K.mix(name.view(np.uint64) + scheme.astype(np.uint64)), dtype=np.uint64)))
-    group, first, weight = np.unique(K.mix(total[at + counts] - total[at]), return_index=True, return_counts=True)
-    counts = counts[first]
-    take = np.repeat(at[first] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    columns = np.repeat(group, counts).view(np.int64), name[take], scheme[take].astype(np.int32), np.repeat(weight, counts)
-    return pa.table([pa.array(c) for c in columns], names=["key", "name", "scheme", "w"])
+    total = np.concatenate(([_U(0)], np.cumsum(K.mix(K.mix(name.view(np.uint64)) + scheme.astype(np.uint64)), dtype=np.uint64)))
+    group, inverse = np.unique(K.mix(total[at + counts] - total[at]), return_inverse=True)
+    take = np.repeat(at - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    key, name, scheme, w, f = np.repeat(group[inverse], counts), name[take], scheme[take], own[take], np.repeat(owners, counts)
+    order = np.lexsort((scheme, name, key))
+    key, name, scheme, w, f = (x[order] for x in (key, name, scheme, w, f))
+    at, _ = _runs(key, name, scheme)
+    w = np.add.reduceat(w, at) if len(at) else w
+    columns = key[at].view(np.int64), name[at], scheme[at].astype(np.int32), w, f[at]
+    return pa.table([pa.array(c) for c in columns], names=["key", "name", "scheme", "w", "f"])
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal rows."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(fresh)
+    return at, np.diff(np.append(at, n))
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -307,13 +332,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     b = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     met = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-    return saved(met.where("100L * both >= 75L * (sum - both)").select("u", "v"), "links")
+    found = saved(met.where("100L * both >= 75L * (sum - both)").select("u", "v"), "links")
+    discard(pairs, sets)
+    return found
 
 
 def _still_open(rows: DataFrame) -> DataFrame:
     """The rows of keys that touch several components."""
-    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return saved(rows.join(keys, "key", "left_semi"), "open")
+    # The keys are saved, so that Spark can split a key of many rows in the join.
+    keys = saved(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "open-keys")
+    out = saved(rows.join(keys, "key", "left_semi"), "open")
+    discard(keys)
+    return out
 
 
 def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -330,7 +360,7 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """The rows of open keys dealt into blocks, and these into parts of about ``PART_ROWS`` dealt rows, whatever the size of a key."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("size")), "key-sizes")
     met = rows.join(sizes, "key").join(sketches, "rep")
     met = met.withColumn("sketch", F.when(F.col("scheme") == 0, F.col("sketch0")).otherwise(F.col("sketch1")))
     dealt = block_pairs(met.drop("sketch0", "sketch1", "scheme"), "key", "size", "rep", BLOCK)
@@ -340,39 +370,54 @@ def _dealt(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return dealt.withColumn("part", F.pmod(F.xxhash64("key", "block_i", "block_j"), F.lit(parts)))
 
 
+def _candidates(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, scheme, rep) left by the allocation: of each class's keys all but the ``need - 1`` most frequent."""
+    named = classes.select("rep", F.col("h1").bitwiseAND(F.lit((1 << 8 * NAME_BYTES) - 1)).alias("name"), "need0", "need1")
+    owned = shared.join(named, "name")
+    # Keys of a class, bounded by the size of its set; the key itself breaks ties, the same way for all classes.
+    upto = Window.partitionBy("name", "rep", "scheme").orderBy(F.desc("f"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    need = F.when(F.col("scheme") == 0, F.col("need0")).otherwise(F.col("need1"))
+    rows = owned.withColumn("upto", F.sum("w").over(upto)).where(F.col("upto") >= need).select("key", "scheme", "rep")
+    # Classes whose names agree in the bytes sent look like one class above; they are candidates of each other here.
+    twins = named.groupBy("name").agg(F.count("*").alias("k")).where("k > 1")
+    met = named.join(twins, "name").select(F.xxhash64(F.lit(48), "name").alias("key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("scheme"), "rep")
+    return rows.unionAll(met)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, ``n_shingles`` (size of its set of five-word shingles) and ``component_id``, the
+    """One row per row of ``docs``: the id, ``n_shingles`` (size of its set of five-word shingles) and ``component_id``, the
     smallest id reachable over links of Jaccard similarity 0.75 or more, itself included.
 
-    Texts that are null or hold no word have an empty set and link with nothing; with one to four words the whole
-    sequence is the one shingle.  Repeated rows of an id are kept as rows.  Sets are compared by 64-bit hashes of
-    their shingles.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = saved(map_arrow(source, _fingerprints, "id long, n long, h1 long, h2 long, need0 long, need1 long"), "prints")
-    solid = prints.where("n > 0 and id is not null")
-    classes = solid.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    member = saved(solid.join(classes, ["h1", "h2", "n"]).select("id", "rep", "h1", "n", "need0", "need1"), "classes")
+    Every row is a document of its own, also where ids repeat or are null: rows of one id are linked only if their texts are.  A row of null id
+    has the smallest id it reaches as its component, null if there is none.  Texts that are null or hold no word have an empty set and
+    link with nothing; with one to four words the whole sequence is the one shingle.  Sets are compared by 64-bit hashes of
+    their shingles.  Further columns do not matter.  An empty table gives no rows."""
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = saved(source, "texts")
+    prints = saved(map_arrow(source, _fingerprints, "row long, id long, n long, h1 long, h2 long, need0 long, need1 long"), "prints")
+    named = prints.where("n > 0").groupBy("h1", "h2", "n")
+    classes = saved(named.agg(F.min("row").alias("rep"), F.min("id").alias("low"), F.min("need0").alias("need0"), F.min("need1").alias("need1")), "classes")
     total = prints.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(12, 1 + total // BUCKET_KEYS))
     blobs = source.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary, names binary, tags binary")
-    shared = saved(blobs.groupBy("bucket").applyInArrow(_shared, "key long, name long, scheme int, w long"), "shared")
-    shared = shared.groupBy("key", "name", "scheme").agg(F.sum("w").alias("w"))
-    reps = member.where("id = rep").select("rep", F.col("h1").bitwiseAND(F.lit((1 << 8 * NAME_BYTES) - 1)).alias("name"), "need0", "need1")
-    # A class that shares fewer keys of a scheme, with all others together, than a partner would share has no partner there.
-    held = shared.groupBy("name", "scheme").agg(F.sum("w").alias("k")).join(reps, "name")
-    able = held.where(F.col("k") >= F.when(F.col("scheme") == 0, F.col("need0")).otherwise(F.col("need1"))).select("name", "scheme", "rep").distinct()
-    rows = saved(shared.join(able, ["name", "scheme"]).select("key", "scheme", "rep", F.col("rep").alias("root")), "able")
+    shared = blobs.groupBy("bucket").applyInArrow(_shared, "key long, name long, scheme int, w long, f long")
+    shared = saved(shared.groupBy("key", "name", "scheme").agg(F.sum("w").alias("w"), F.max("f").alias("f")), "shared")
+    rows = saved(_candidates(shared, classes).withColumn("root", F.col("rep")), "able")
+    discard(shared)
+    opened = _still_open(rows)
+    discard(rows)
+    rows = opened
     # Texts of the classes that share a key; sketches and sets are made from these.
-    texts = source.join(rows.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
-    texts = saved(texts, "texts")
+    texts = source.join(rows.select(F.col("rep").alias("row")).distinct(), "row").select(F.col("row").alias("rep"), "text")
+    texts = saved(texts, "asked")
     sketches = saved(map_arrow(texts, _sketched, "rep long, n long, sketch0 binary, sketch1 binary"), "sketches")
 
     links = None
     for turn in range(STARS):
-        rows = _still_open(rows)
+        if turn:
+            rows = _still_open(rows)
         lead = rows.groupBy("key").agg(F.min_by(F.struct("rep", "root"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("lead"))
-        stars = rows.join(lead, "key").where("root <> lead.root").select(F.col("lead.rep").alias("u"), F.col("rep").alias("v")).distinct()
+        stars = rows.join(saved(lead, "lead"), "key").where("root <> lead.root").select(F.col("lead.rep").alias("u"), F.col("rep").alias("v")).distinct()
         more = _verified(map_arrow(_with_sketches(stars, sketches), _possible, "u long, v long"), texts)
         links = more if links is None else links.unionAll(more)
         roots = components(links)
@@ -382,7 +427,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _still_open(rows)
     crossing = _dealt(rows, sketches).groupBy("part").applyInArrow(_crossing, "u long, v long").distinct()
     links = links.unionAll(_verified(crossing, texts))
-    roots = components(links)
-    placed = member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id")).distinct()
-    out = prints.select("id", "n").join(placed, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    roots = components(links).select(F.col("node").alias("rep"), "root")
+    # The smallest id of each component, then each row by the class of its set; saved, so that Spark can split a class of many copies.
+    grown = saved(classes.select("h1", "h2", "n", "rep", "low").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")).drop("rep"), "grown")
+    lowest = saved(grown.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    placed = saved(grown.join(lowest, "root").select("h1", "h2", "n", "component_id"), "placed")
+    out = prints.join(placed, ["h1", "h2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    discard(source, classes, texts, sketches, grown, lowest)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

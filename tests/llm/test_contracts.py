@@ -45,14 +45,87 @@ def rows(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
-def test_jaccard(docs, texts, odd):
-    for frame, known in ((docs, texts), (odd, {r[0]: r[1] for r in ODD})):
-        got = {k: (r.n_shingles, r.component_id) for k, r in rows(ngram_join.jaccard_groups(frame)).items()}
-        assert got == brute.jaccard(known)
-    assert ngram_join.jaccard_groups(odd).count() == len(ODD)
+def plain_jaccard(known):
+    """(id, size, component) of each row of ``known`` (id, text)."""
+    got = brute.jaccard({k: t for k, (_, t) in enumerate(known)})
+    low = {}
+    for k, (i, _) in enumerate(known):
+        low[got[k][1]] = min((x for x in (i, low.get(got[k][1])) if x is not None), default=None)
+    return sorted([(i, got[k][0], low[got[k][1]] if got[k][0] else i) for k, (i, _) in enumerate(known)], key=str)
+
+
+def test_jaccard(spark, docs, texts, odd):
+    ids = [(1, "a b c d e f g h"), (1, "q r s t u v w"), (2, "Q R S T U V W"), (None, "a b c d e f g h"), (None, "z y x w v u"), (0, "z y x w v u"), (None, ""), (None, None), (7, "k k k k"), (None, "l l l l"), (None, "l  l l l")]
+    repeated = spark.createDataFrame([(*r, 5, 1) for r in ids], "doc_id long, text string, rep int, n int")
+    for frame, known in ((docs, list(texts.items())), (odd, [r[:2] for r in ODD]), (repeated, ids)):
+        assert sorted(map(tuple, ngram_join.jaccard_groups(frame).collect()), key=str) == plain_jaccard(known)
     assert ngram_join.jaccard_groups(odd.limit(0)).count() == 0
 
 
+def test_jaccard_with_one_line_in_every_short_text(spark):
+    """A frequent passage in documents of many small sizes, among them near copies."""
+    rng = np.random.default_rng(8)
+    known = []
+    for i in range(1800):
+        words = [f"w{k}" for k in rng.integers(0, 3000, rng.integers(0, 12))]
+        at = int(rng.integers(0, len(words) + 1))
+        known.append((i, " ".join([*words[:at], *"please click here to continue".split(), *words[at:]])))
+    for i in range(250):
+        words = known[int(rng.integers(0, 1800))][1].split()
+        words[-1 if i % 2 else 0] = f"x{i}"
+        known.append((5000 + i, " ".join(words)))
+    frame = spark.createDataFrame(known, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_groups(frame).collect()), key=str) == plain_jaccard(known)
+
+
+def test_crossing_of_a_key_beyond_one_block(spark):
+    """All links of a key of more than two blocks of classes are among the pairs of the all-against-all pass."""
+    rng = np.random.default_rng(9)
+    known = {i: " ".join(f"w{k}" for k in rng.integers(0, 500, 14)) for i in range(2300)}
+    for i in range(200):
+        words = known[int(rng.integers(0, 2300))].split()
+        known[5000 + i] = " ".join([*words, f"x{i}"][i % 2 :])
+    frame = spark.createDataFrame(list(known.items()), "rep long, text string")
+    sketches = common.map_arrow(frame, ngram_join._sketched, "rep long, n long, sketch0 binary, sketch1 binary")
+    # As in a common scheme: the band that all sizes here share, or its neighbour.
+    band = {i: int(np.searchsorted(ngram_join._BANDS, len(brute.shingle_set(t)), "right")) - 1 for i, t in known.items()}
+    top = max(band.values())
+    rows = spark.createDataFrame([(7, 0 if b == top else 1, i, i) for i, b in band.items() if b >= top - 1], "key long, scheme int, rep long, root long")
+    got = {tuple(r) for r in ngram_join._dealt(rows, sketches).groupBy("part").applyInArrow(ngram_join._crossing, "u long, v long").collect()}
+    sets = {i: brute.shingle_set(t) for i, t in known.items() if band[i] >= top - 1}
+    index = {}
+    for i, s in sets.items():
+        for x in s:
+            index.setdefault(x, []).append(i)
+    pairs = {(min(a, b), max(a, b)) for ids in index.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    links = {(a, b) for a, b in pairs if a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(links) > 100 and links <= got
+
+
+def test_classes_of_equal_names_are_candidates(spark):
+    low = (1 << 8 * ngram_join.NAME_BYTES) - 1
+    classes = spark.createDataFrame([(1, 5, 1, 1), (2, 5 + low + 1, 1, 1), (3, 6, 1, 1)], "rep long, h1 long, need0 long, need1 long")
+    shared = spark.createDataFrame([], "key long, name long, scheme int, w long, f long")
+    got = ngram_join._candidates(shared, classes).collect()
+    assert sorted((r.scheme, r.rep) for r in got) == [(0, 1), (0, 2), (1, 1), (1, 2)] and len({r.key for r in got}) == 1
+
+
+def test_frequent_keys_get_no_budget(spark):
+    """Of keys with 9, 5, 5 and 2 owners, a class that shares two keys with any partner at least gives up the first only."""
+    classes = spark.createDataFrame([(1, 11, 2, 1)], "rep long, h1 long, need0 long, need1 long")
+    shared = spark.createDataFrame([(100, 11, 0, 1, 9), (101, 11, 0, 1, 5), (102, 11, 0, 2, 5), (103, 11, 0, 1, 2), (104, 11, 1, 1, 9)], "key long, name long, scheme int, w long, f long")
+    assert sorted(r.key for r in ngram_join._candidates(shared, classes).collect()) == [101, 102, 103, 104]
+
+
+def test_shared_keys(spark):
+    """Keys of one class that agree in the bits sent count as many, copies in another run do not; schemes stay apart."""
+    name = lambda *xs: b"".join(int(x).to_bytes(8, "little")[: ngram_join.NAME_BYTES] for x in xs)
+    keys = lambda *xs: np.array(xs, np.uint32).tobytes()
+    table = pa.table({"bucket": [0, 0, 0], "keys": [keys(7, 7, 9, 7), keys(7, 7, 9), keys(7, 8)], "names": [name(1, 1), name(1), name(2)], "tags": [bytes([3, 128 + 1]), bytes([3]), bytes([2])]})
+    got = {(r["name"], r["scheme"]): (r["w"], r["f"]) for r in ngram_join._shared(table).to_pylist()}
+    assert got == {(1, 0): (2, 2), (1, 1): (1, 2), (2, 0): (1, 2)}
+
+
 def test_jaccard_near_copies(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 400, 90)]
