@@ -136,13 +136,14 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = (mark["n"], mark["h"])
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Least neighbours are saved, so that Spark can split a node of many edges in the joins.
+        near = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "cc-near")
+        large = e.join(near.select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v")).distinct()
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         last, e = e, saved(small.select("e.u", "e.v").where("u <> v").distinct(), "cc")
-        discard(last)
+        discard(last, near, least)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

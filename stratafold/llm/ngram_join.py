@@ -38,7 +38,7 @@ from . import textkernel as K
 from .common import block_pairs, components, discard, map_arrow, saved
 
 #: Segments beyond the number needed, as a factor; keys buffered by a task; keys meant for one bucket; rows of a block.
-SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_500_000, 1_000_000, 1024
+SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_000_000, 500_000, 1024
 #: Bytes of a class's name sent with its keys; keys of a class in one tag.  Classes of equal names are all candidates of the keys they share
 #: with others, and of each other: their name is a key of its own.
 NAME_BYTES, MOST = 6, 127
