@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import brute
@@ -405,6 +406,37 @@ def test_pii(spark, docs, texts):
     assert got[-2].redacted.startswith("iban [IBAN]") and got[-4].redacted is None
 
 
+def test_pii_patterns_equal_a_scan_from_every_position():
+    rng = np.random.default_rng(3)
+    for letters in ("a@.b1", "1.2", "12. -+()", "a@.-_%+1 ", "@.a"):
+        for _ in range(4000):
+            text = "".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(0, 40)))
+            found = pii.find(text)
+            assert pii.joined(found, pii.BASE) == plain_pii(text), text
+            assert pii.emails(text) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+
+
+def test_pii_on_long_and_odd_rows(spark, odd):
+    began = time.time()
+    for text in ("1" * 10**6, "a" * 10**6 + "@", "a" * 10**6 + "@b.c", "1." * 10**6, "@" * 10**6, "a@" * 10**6, "+1" + " " * 10**6, "A" * 10**6, "1-" * 10**6):
+        pii.find(text)
+    assert time.time() - began < 60
+    got = pii.personal_data(odd).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in ODD) and all(r.redacted == dict((x[0], x[1]) for x in ODD)[r.doc_id] for r in got)
+    assert pii.personal_data(odd.limit(0)).count() == 0
+    clash = odd.select("doc_id", "text", F.lit(9).alias("n_ip"), F.lit("x").alias("spans"))
+    assert "n_ip" in pii.personal_data(clash).columns and pii.personal_data(clash).agg(F.sum("n_ip")).first()[0] == 0
+
+
+def test_pii_context_moves_scores():
+    iban = "GB82WEST12345698765432"
+    kinds = lambda t: {k: s[0][2] for k, s in pii.find(t).items() if s}
+    assert kinds(f"see {iban}")["iban"] == pytest.approx(0.7) and kinds(f"bank account {iban}")["iban"] == 1
+    assert "iban" not in kinds(f"invoice {iban}") and kinds(f"invoice, account {iban}")["iban"] == pytest.approx(0.7)
+    assert "phone_local" not in kinds("see 310-555-4510") and "phone_local" in kinds("phone 310-555-4510")
+    assert kinds("version 1.2.3.4")["ip"] == pytest.approx(0.3) and kinds("server 1.2.3.4")["ip"] == pytest.approx(0.9)
+
+
 def test_packing(docs, texts, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
