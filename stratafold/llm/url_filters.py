@@ -1,13 +1,13 @@
 """URL filters as a temporal list join, with DataFrame functions only.
 
 Dated list events (an entry is added or removed on a day) become validity intervals: an entry is active from a day it is added
-until its next event.  Captures are joined as of their fetch day with the entries active then.  An entry is a ``domain``
-(matches the host and its subdomains) or a ``url`` (matches the address without query and fragment).
+until its next event.  Captures are joined as of their fetch day: the last event of an entry up to that day decides.  An entry is a
+``domain`` (matches the host and its subdomains) or a ``url`` (matches the address without query and fragment).
 
-Scale: events are first reduced to one a day for each entry, so an entry's window is bounded by the number of days.  The as-of
-join is an equi-join on (kind, value, month, salt): intervals are repeated for each month they touch and for each salt,
-captures carry one month and a salt from their row, so a host with a third of all captures is dealt over ``SALTS`` tasks a
-month, and AQE may split further.  Matches are aggregated by capture before they meet the captures again.
+Scale: what is looked up are distinct (kind, value, day), combined before the shuffle, so a host with a third of all captures is one row a day;
+the window of an entry holds at most two rows a day, whatever the number of captures and events.  Entries that are active meet the addresses
+by an equi-join on (kind, value, day), and results meet the captures by (URL, day); both tables are saved first, so Spark can split a
+day of a hot host.  No interval is repeated.
 """
 
 from __future__ import annotations
@@ -15,52 +15,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+from .common import saved
+
+_HEAD = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host; null where the text is no absolute URL."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
+    """Lower-case host without user, port and final dots; null where the text is no absolute URL."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", 1))
+    host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host != "", host)
 
 
 def address_of(url: Column) -> Column:
-    """The URL without query and fragment; null where nothing is left."""
-    address = F.regexp_extract(url, r"^[^?#]+", 0)
+    """The URL without query and fragment, scheme and host in lower case; null where nothing is left."""
+    address, head = F.regexp_extract(url, r"^[^?#]+", 0), F.regexp_extract(url, _HEAD, 0)
+    address = F.concat(F.lower(head), F.substr(address, F.length(head) + 1))
     return F.when(address != "", address)
 
 
-def intervals(events: DataFrame) -> DataFrame:
-    """(kind, value, from_day, to_day) of ``events`` (kind, value, day, added boolean).
+def domain_of(value: Column) -> Column:
+    """A domain entry as hosts are written: lower case, without blanks, a leading ``*.`` or dot, and final dots; null where nothing is left."""
+    bare = F.regexp_replace(F.lower(F.trim(value)), r"^\*?\.+|\.+$", "")
+    return F.when(bare != "", bare)
+
+
+def daily(events: DataFrame) -> DataFrame:
+    """(kind, value, day, added) of ``events``, values normalised, one row for an entry and day.
+
+    Of several events of an entry on a day, an addition wins.  Events with a null field, or of another kind, are left out."""
+    value = F.when(F.col("kind") == "domain", domain_of(F.col("value"))).when(F.col("kind") == "url", address_of(F.trim("value")))
+    rows = events.select("kind", value.alias("value"), F.col("day").cast("date").alias("day"), "added").dropna()
+    return rows.groupBy("kind", "value", "day").agg(F.max("added").alias("added"))
+
 
-    Of several events of an entry on a day, an addition wins.  ``to_day`` is exclusive and null while nothing follows.  Events
-    with a null field are left out."""
-    daily = events.dropna(subset=["kind", "value", "day", "added"]).groupBy("kind", "value", "day").agg(F.max("added").alias("added"))
+def intervals(events: DataFrame) -> DataFrame:
+    """(kind, value, from_day, to_day) of ``events`` (kind, value, day, added boolean); ``to_day`` is exclusive and null while nothing follows."""
     follow = F.lead("day").over(Window.partitionBy("kind", "value").orderBy("day"))
-    return daily.withColumn("to_day", follow).where("added").select("kind", "value", F.col("day").alias("from_day"), "to_day")
-
-
-def evaluate(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetch_day") -> DataFrame:
-    """``captures`` with ``n_active`` (entries that match and are active on the fetch day), ``listed_since`` (the earliest start among
-    them) and ``blocked``.
-
-    The id names a capture: rows with equal id, URL and day share a result.  A null URL or day matches nothing."""
-    days = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(day_col).alias("_day")).where("_url is not null and _day is not null").distinct()
-    parts = F.split(host_of(F.col("_url")), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("value")))
-    whole = F.array(F.struct(F.lit("url").alias("kind"), address_of(F.col("_url")).alias("value")))
-    keys = F.concat(F.coalesce(suffixes, F.slice(whole, 1, 0)), whole)
-    asked = days.withColumn("key", F.explode(keys)).select("_id", "_url", "_day", "key.kind", "key.value")
-    asked = asked.withColumns({"month": F.trunc("_day", "month"), "salt": F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")})
-    spans = intervals(events)
-    # An open interval reaches to the last capture: one row, joined to every interval.
-    open_until = captures.agg(F.max(day_col).alias("_top"))
-    until = F.greatest(F.coalesce(F.date_sub("to_day", 1), F.col("_top")), F.col("from_day"))
-    months = F.sequence(F.trunc("from_day", "month"), F.trunc(until, "month"), F.expr("interval 1 month"))
-    spans = spans.crossJoin(F.broadcast(open_until)).withColumn("month", F.explode(F.when(F.col("_top").isNotNull(), months))).drop("_top")
-    spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = asked.join(spans, ["kind", "value", "month", "salt"]).where("_day >= from_day and (to_day is null or _day < to_day)")
-    found = met.groupBy("_id", "_url", "_day").agg(F.count("*").alias("n_active"), F.min("from_day").alias("listed_since"))
-    same = (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col(url_col) == F.col("_url")) & (F.col(day_col) == F.col("_day"))
-    out = captures.join(found, same, "left").drop("_id", "_url", "_day")
-    return out.withColumns({"n_active": F.coalesce("n_active", F.lit(0)).cast("long"), "blocked": F.col("n_active").isNotNull()})
+    return daily(events).withColumn("to_day", follow).where("added").select("kind", "value", F.col("day").alias("from_day"), "to_day")
+
+
+def as_of(points: DataFrame, events: DataFrame) -> DataFrame:
+    """Of the distinct ``points`` (kind, value, day) those at which the entry is active, with ``from_day``, the start of the interval."""
+    event = F.struct("day", "added")
+    both = daily(events).select("kind", "value", "day", event.alias("event"), F.lit(0).alias("asked"))
+    both = both.unionByName(points.withColumns({"event": F.lit(None).cast("struct<day:date,added:boolean>"), "asked": F.lit(1)}))
+    last = F.last("event", ignorenulls=True).over(Window.partitionBy("kind", "value").orderBy("day", "asked"))
+    found = both.withColumn("last", last).where("asked = 1 and last.added")
+    return found.select("kind", "value", "day", F.col("last.day").alias("from_day"))
+
+
+def evaluate(captures: DataFrame, events: DataFrame, url_col: str = "url", day_col: str = "fetch_day") -> DataFrame:
+    """``captures`` with ``n_active`` (entries that match and are active on the fetch day), ``listed_since`` (the latest addition of the
+    one listed longest) and ``blocked``.
+
+    Every row is kept, repeated ones too; the result depends on URL and day alone.  A null, empty or malformed URL or a null day matches
+    nothing.  Columns of ``captures`` that are named like the three are replaced.  An empty table gives no rows."""
+    added = ("n_active", "listed_since", "blocked")
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"), F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("day"))
+    asked = rows.select("url", "day").where("url is not null and day is not null").distinct()
+    parts = F.split(host_of(F.col("url")), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("value")))
+    whole = F.array(F.struct(F.lit("url").alias("kind"), address_of(F.col("url")).alias("value")))
+    keys = F.concat(F.when(parts.isNotNull(), suffixes).otherwise(F.slice(whole, 1, 0)), whole)
+    asked = asked.withColumn("key", F.explode(keys)).select("url", "day", "key.kind", "key.value").where("value is not null")
+    active = saved(as_of(asked.select("kind", "value", "day").distinct(), events), "active")
+    found = asked.join(active, ["kind", "value", "day"]).groupBy("url", "day").agg(F.count("*").alias("n_active"), F.min("from_day").alias("listed_since"))
+    out = rows.join(saved(found, "found"), ["url", "day"], "left")
+    kept = [F.col(f"row.`{c}`") for c in captures.columns if c not in added]
+    return out.select(*kept, F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "listed_since", F.col("n_active").isNotNull().alias("blocked"))
