@@ -80,23 +80,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame
     ``taken`` (words the mix takes, repeats counted), ``finish`` (of the first pass).
 
     The shuffle is a seeded hash of id and text, so reruns agree; rows equal in both are interchangeable.  Null texts have
-    size 0 and take nothing.  A null source is a source of its own.  An empty table gives no rows."""
+    size 0 and take nothing.  A null source is a source of its own.  Rows of one id are documents of their own.  Further columns do not matter.  An
+    empty table gives no rows."""
     return serve(docs, [id_col], id_col=id_col, **options).orderBy("finish", id_col)
 
 
 def mixed(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars", **options: object) -> DataFrame:
     """The documents of the mix, in its order, with the columns of ``docs``: what the mix takes of a document is its text.
     A second pass follows the first after a newline; a cut pass has its first words, joined by single spaces.
-    Documents of which nothing is taken go.  ``count_col``, if present, gets the new length."""
-    cols = docs.columns
-    out = serve(docs, cols, text_col=text_col, store=False, **options).where("taken > 0")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    Documents of which nothing is taken go, so those without words too.  ``count_col``, if present, gets the new length.  Columns of ``docs``
+    may have any names."""
+    cols, source, key = docs.columns, options.pop("source_col", "source"), options.pop("id_col", "doc_id")
+    frame = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col], F.lit(0).alias("_")).alias("row"), F.col(text_col).alias("text"), F.col(source).alias("source"), F.col(key).alias("id")
+    )
+    out = serve(frame, ["row", "text"], id_col="id", store=False, **options).where("taken > 0")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = lambda n: F.array_join(F.slice(words, F.lit(1), n.cast("int")), " ")
-    text, size, taken = F.col(text_col), F.col("size"), F.col("taken")
+    text, size, taken = F.col("text"), F.col("size"), F.col("taken")
     more = (
         F.when(taken < size, part(taken)).when(taken == size, text).when(taken == 2 * size, F.concat(text, F.lit("\n"), text)).otherwise(F.concat(text, F.lit("\n"), part(taken - size)))
     )
-    out = out.withColumn(text_col, more)
-    if count_col in cols:
-        out = out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
-    return out.orderBy("finish").select(*cols)
+    out = out.withColumn("text", more).orderBy("finish")
+    length = lambda c: F.length("text").cast(docs.schema[c].dataType)
+    return out.select(*[(F.col("text") if c == text_col else length(c) if c == count_col else F.col(f"row.`{c}`")).alias(c) for c in cols])
