@@ -15,9 +15,8 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    learn = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(fold("doc_id", 5) != 0)
-    model = toxicity.fit(learn, "text", "toxic", F.xxhash64(F.lit(2), "doc_id"))
-    held = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0), F.xxhash64(F.lit(2), "id"))
+    held = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
     return toxicity.score(held, model).drop("text")
 
 
@@ -80,7 +79,8 @@ QUERIES = {f.__name__: f for f in OPERATORS}
 SQL = {
     "op9_url_filter": r"""
 WITH captures AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INTEGER) AS fetch_day,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '') AS host, nullif(regexp_extract(url, '^[^?#]+', 0), '') AS address FROM pages),
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '.'), '') AS host,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)) || substr(regexp_extract(url, '^[^?#]+', 0), length(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)) + 1), '') AS address FROM pages),
 parts AS (SELECT *, string_split(host, '.') AS labels FROM captures),
 entries AS (
     SELECT page_id, 'domain' AS kind, host AS value FROM parts WHERE page_id % 5 = 0

@@ -13,7 +13,6 @@ vector and are told apart by their characters only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import map_arrow
+from .common import annotated, bounded_sample, discard, saved
 
-#: Labelled texts and bytes of text in the training sample; longest text sampled.
+#: Labelled texts and bytes of text in the training sample; bytes of the longest text sampled whole.
 SAMPLE, SAMPLE_BYTES, LONGEST = 5000, 10_000_000, 40_000
-WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_SLOTS, MAX_WORDS = 16, 12, 8, 8, 8, 2048, 20_000
+WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_SLOTS, MAX_WORDS = 16, 8, 8, 8, 8, 2048, 20_000
 ROUNDS, STEPS, BATCH, RATE = 3, 120, 192, 0.01
 #: Strength (root of the likelihood ratio) from which a word marks its window as positive at first.
 SURE = 3.5
@@ -273,29 +272,38 @@ def _calibrate(top: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fit(labelled: DataFrame, text: str, label: str, salt: Column) -> Network:
-    """Train on the ``SAMPLE`` labelled rows of smallest ``salt`` whose texts have at most ``LONGEST`` bytes, up to
-    ``SAMPLE_BYTES`` in all.  Only the sample comes to the driver."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= LONGEST))
-    rows = rows.select(salt.alias("salt"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).orderBy("salt", "text").limit(SAMPLE).toArrow().to_pandas()
-    size = rows["text"].str.len().cumsum()
-    rows = rows[size <= SAMPLE_BYTES]
-    return train(rows["text"].tolist(), rows["label"].to_numpy(float))
+def fit(docs: DataFrame, labels: DataFrame, salt: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
+    """Train on at most ``SAMPLE`` rows of ``labels`` (id, label), those of smallest ``salt`` (of the id), and about ``SAMPLE_BYTES`` of text.
+
+    Ids are chosen first; only their texts are fetched, by a broadcast of at most ``SAMPLE`` rows, and come to the driver.  Of a clean text of more
+    than ``LONGEST`` characters a run of that length is read; toxic ones of that length are left out, as a run may miss what makes them toxic.
+    Null labels and texts teach nothing.  Without rows of both labels all scores are the same."""
+    chosen = bounded_sample(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null"), salt, SAMPLE)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
+    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - LONGEST, F.lit(1)))
+    rows = rows.where((F.length("text") <= LONGEST) | (F.col("label") == 0)).withColumn("text", F.when(F.length("text") > LONGEST, F.substr("text", start.cast("int"), F.lit(LONGEST))).otherwise(F.col("text")))
+    rows = saved(rows, "toxicity-sample")
+    # Texts of ids that repeat may be more than the labels.
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    most = int(min(SAMPLE, n, n * SAMPLE_BYTES / max(size, 1)))
+    few = bounded_sample(rows, F.xxhash64("id", "text"), max(1, most)).toArrow().to_pandas().sort_values(["id", "text"])
+    discard(rows)
+    return train(few["text"].tolist(), few["label"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Network, text_col: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1, higher: toxic likelier) and ``predicted`` (1 if score >= 0.5).  Whole texts are scored; a text
-    without words has the score of the lowest window logit."""
-    cols = docs.columns
+    """``docs`` with ``score`` (0 to 1, higher: toxic likelier) and ``predicted`` (1 if score >= 0.5).
+
+    Whole texts are scored, every row by its text alone; a text that is null or without words has the score of the lowest window logit.
+    Columns of ``docs`` that are named like the two are replaced.  An empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        net, top = sent.value, np.full(batch.num_rows, -20.0)
-        for first, data, offsets in K.slices(batch[text_col], 1 << 20):
+    def run(texts: pa.Array) -> list[pa.Array]:
+        net, top = sent.value, np.full(len(texts), -20.0)
+        for first, data, offsets in K.slices(texts, 1 << 20):
             logit, _, row = net.logits(read(data, offsets))
             np.maximum.at(top, first + row, logit)
         score = _sigmoid(net.scale * np.clip(top, -20, 20) + net.shift)
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in cols), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*cols, "score", "predicted"])
+        return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, run, f"{kinds}, score double, predicted int")
+    return annotated(docs, text_col, run, "score double, predicted int")

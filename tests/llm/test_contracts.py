@@ -316,7 +316,10 @@ def test_mix(docs, odd):
         out = mixing.mixed(frame)
         assert out.columns == frame.columns
         assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(taken.values())
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+    clash = odd.selectExpr("doc_id", "text", "source", *[f"'{c}' as {c}" for c in ("size", "target", "taken", "finish", "source_size", "bucket", "row")])
+    out = mixing.mixed(clash)
+    assert out.columns == clash.columns and {(r["size"], r.target, r.row) for r in out.collect()} == {("size", "target", "row")}
 
 
 def test_brown(spark, docs, odd):
@@ -550,9 +553,50 @@ def test_toxicity(spark, odd):
     a, b = held.loc[held["toxic"] == 1, "score"].to_numpy(), held.loc[held["toxic"] == 0, "score"].to_numpy()
     assert (a[:, None] > b[None]).mean() > 0.8
     assert got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
-    net = toxicity.fit(odd.withColumn("toxic", F.lit(0)), "text", "toxic", F.lit(1))
-    assert toxicity.score(odd.select("doc_id", "text"), net).count() == len(ODD)
-    assert toxicity.score(odd.select("doc_id", "text").limit(0), net).count() == 0
+    labels = odd.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    for learn in (labels, labels.limit(0)):
+        net = toxicity.fit(odd, learn, F.xxhash64("id"))
+        out = toxicity.score(odd, net)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n", "score", "predicted"] and out.count() == len(ODD)
+        assert len({r.score for r in out.where("doc_id in (1, 2, 3)").collect()}) == 1 and all(0 <= r.score <= 1 for r in out.collect())
+        assert toxicity.score(odd.limit(0), net).count() == 0
+
+
+def test_toxicity_against_a_plain_network():
+    """Scores of whole texts by the recurrence written out word by word, for a trained network."""
+    rng = np.random.default_rng(1)
+    clean = [" ".join(f"w{k}" for k in rng.integers(0, 60, rng.integers(1, 60))) for _ in range(60)]
+    texts = clean + [c + " vile nasty slur" for c in clean[:20]]
+    labels = np.array([0] * 60 + [1] * 20, float)
+    net = toxicity.train(texts, labels)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    hashed = lambda t: toxicity.read(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+
+    def vector(word):
+        t = hashed(word)
+        return np.concatenate((net.p["word"][net.ids(t.hashes)[0]], net.p["char"][t.grams].mean(axis=0)))
+
+    def window(words):
+        x, states = [vector(w) for w in words], np.zeros((len(words), 2 * toxicity.HIDDEN))
+        for k, side, order in (("f", 0, range(len(x))), ("b", toxicity.HIDDEN, range(len(x) - 1, -1, -1))):
+            h = np.zeros(toxicity.HIDDEN)
+            for i in order:
+                g, u = x[i] @ net.p[f"x{k}"] + net.p[f"b{k}"], h @ net.p[f"h{k}"]
+                z, r, c = np.split(g, 3)[0] + np.split(u, 3)[0], np.split(g, 3)[1] + np.split(u, 3)[1], np.split(g, 3)[2]
+                h = h + sig(z) * (np.tanh(c + sig(r) * np.split(u, 3)[2]) - h)
+                states[i, side : side + toxicity.HIDDEN] = h
+        e = np.exp(np.tanh(states @ net.p["att"]) @ net.p["query"])
+        return (e / e.sum()) @ states @ net.p["out"] + net.p["bias"][0]
+
+    n, step = toxicity.WINDOW, toxicity.STRIDE
+    for text in texts[::7]:
+        words = text.split()
+        starts = [min(s, max(len(words) - n, 0)) for s in range(0, max(len(words) - n, 0) + step, step)] if len(words) > n else [0]
+        best = max(window(words[s : s + n]) for s in starts)
+        t = hashed(text)
+        assert net.logits(t)[0].max() == pytest.approx(best, abs=1e-4)
+    top = np.array([net.logits(hashed(t))[0].max() for t in texts])
+    assert (sig(net.scale * np.clip(top, -20, 20) + net.shift) >= 0.5).tolist() == (labels == 1).tolist()
 
 
 def test_network_gradients():
@@ -587,9 +631,26 @@ def test_url_filter(spark):
     got = queries.op9_url_filter(spark, SF).toPandas().sort_values("page_id")
     for c in want.columns:
         assert [None if pd.isna(x) else str(x)[:10] for x in got[c]] == [None if pd.isna(x) else str(x)[:10] for x in want[c]], c
-    day = lambda d: F.to_date(F.lit(d))
-    captures = spark.createDataFrame([(1, "http://a.b.c/x?q=1"), (2, None), (3, "no url"), (1, "http://a.b.c/x?q=1"), (4, "")], "page_id long, url string").withColumn("fetch_day", day("2024-03-01"))
-    events = spark.createDataFrame([("domain", "b.c", "2024-01-01", True), ("url", "http://a.b.c/x", "2024-02-01", True), ("url", "http://a.b.c/x", "2024-03-01", False), ("domain", None, "2024-01-01", True)], "kind string, value string, day string, added boolean")
-    out = url_filters.evaluate(captures, events.withColumn("day", F.to_date("day"))).collect()
-    assert sorted((r.page_id, r.n_active) for r in out) == [(1, 1), (1, 1), (2, 0), (3, 0), (4, 0)]
-    assert url_filters.evaluate(captures.limit(0), events.withColumn("day", F.to_date("day"))).count() == 0
+    urls = ["http://a.b.c/x?q=1", None, "no url", "http://a.b.c/x?q=1", "", "http://user:pw@A.b.C./x", "HTTP://a.b.c:80/y", "http://net/z", "http://deep.net/z", "http://[::1]/", "http://xb.c/"]
+    captures = spark.createDataFrame([(k, u, "2024-03-01", "clash") for k, u in enumerate(urls)] + [(20, "http://a.b.c/x", None, "clash")], "page_id long, url string, day string, n_active string")
+    captures = captures.withColumn("fetch_day", F.to_date("day"))
+    events = [("domain", " *.B.c. ", "2024-01-01", True), ("url", "http://A.b.c/x", "2024-02-01", True), ("url", "http://a.b.c/x", "2024-03-01", False), ("domain", None, "2024-01-01", True), ("domain", "net", "2024-03-01", True),
+              ("domain", "net", "2024-03-01", False), ("domain", "", "2024-01-01", True), ("other", "b.c", "2024-01-01", True), ("domain", "b.c", "2024-03-02", False), ("domain", "a.b.c", "2024-01-01", True), ("domain", "a.b.c", "2024-01-05", False)]
+    events = spark.createDataFrame(events, "kind string, value string, day string, added boolean")
+    out = url_filters.evaluate(captures, events)
+    assert out.columns == ["page_id", "url", "day", "fetch_day", "n_active", "listed_since", "blocked"]
+    assert {r.page_id: r.n_active for r in out.collect()} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1, 6: 1, 7: 1, 8: 1, 9: 0, 10: 0, 20: 0}
+    assert out.where("page_id = 7").first().listed_since.isoformat() == "2024-03-01"
+    assert url_filters.evaluate(captures.unionAll(captures), events).count() == 24 and url_filters.evaluate(captures.limit(0), events).count() == 0
+    assert url_filters.evaluate(captures, events.limit(0)).where("blocked").count() == 0
+
+
+def test_as_of_equals_intervals(spark):
+    """The last event decides: the same as a join of days with intervals."""
+    rng = np.random.default_rng(7)
+    day = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}"
+    events = spark.createDataFrame([("domain", f"d{a}", day(int(b)), bool(c)) for a, b, c in zip(rng.integers(0, 6, 80), rng.integers(0, 90, 80), rng.integers(0, 2, 80), strict=True)], "kind string, value string, day string, added boolean")
+    points = spark.createDataFrame([("domain", f"d{a}", day(b)) for a in range(7) for b in range(0, 95, 3)], "kind string, value string, day string").withColumn("day", F.to_date("day"))
+    got = {tuple(r) for r in url_filters.as_of(points, events).collect()}
+    want = points.alias("p").join(url_filters.intervals(events).alias("i"), ["kind", "value"]).where("day >= from_day and (to_day is null or day < to_day)").select("kind", "value", "day", "from_day")
+    assert got == {tuple(r) for r in want.collect()} and got
