@@ -1,11 +1,13 @@
 """Nested JSON payloads to the seven silver tables, with Spark's JSON functions.
 
-A payload counts only if it is a JSON object: the test is a map parse, which is null for malformed text, arrays and scalars.
+A payload counts only if it is a JSON object.  It is parsed once; where the parser reports a bad record, a map parse tells an object with a
+field of a wrong type from malformed text, arrays and scalars.
 A field of the wrong type becomes null.  Null array elements give rows of nulls, null or missing arrays no rows.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from .. import schemas as S
 from ..operators.relational import conform, dedup_latest
 from . import exprs as X
 
+_BAD = "bad_record"
 _KILLS = "struct<kills:bigint>"
 PAYLOADS = {
     "matches": "metadata struct<matchId:string>, info struct<gameId:bigint,platformId:string,queueId:bigint,gameMode:string,gameType:string,gameVersion:string,gameCreation:bigint,gameStartTimestamp:bigint,gameEndTimestamp:bigint,gameDuration:bigint,"
@@ -34,8 +37,10 @@ _SNAKE = {
 
 def parse(bronze: DataFrame, dataset: str) -> DataFrame:
     """Lineage, ``game_date`` and the parsed payload ``p`` of the dataset's objects."""
-    rows = bronze.where((F.col("dataset") == dataset) & F.from_json("payload_json", "map<string,string>").isNotNull())
-    rows = rows.select(*S.BRONZE[:-1], F.from_json("payload_json", PAYLOADS[dataset]).alias("p"))
+    whole = F.from_json("payload_json", f"{PAYLOADS[dataset]}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD})
+    # A generator, so that neither filter nor projection parses the text again.
+    good = F.filter(F.array(whole), lambda p: p.isNotNull() & (p[_BAD].isNull() | F.from_json(p[_BAD], "map<string,string>").isNotNull()))
+    rows = bronze.where(F.col("dataset") == dataset).select(*S.BRONZE[:-1], F.explode(good).alias("p"))
     date = F.col("ingest_date")
     if dataset in ("matches", "timelines"):
         date = F.coalesce(X.game_date("p.info.gameCreation"), X.game_date("p.info.gameStartTimestamp"), date)
@@ -74,15 +79,20 @@ def flatten(parsed: DataFrame, table: str) -> DataFrame:
         else:
             events = frames.select(*keep, "match_id", "frame_index", F.posexplode("x.events").alias("event", "e"))
             out = events.select(*keep, "match_id", "frame_index", F.col("event").cast("long").alias("event_index"), *_pick(_SNAKE["events"], "e"))
-    return conform(out, S.schema(S.SILVER[table]))
+    return conform(out, S.SILVER_SCHEMAS[table])
 
 
-def build_silver(bronze: DataFrame, tables: list[str] | None = None, keys: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """The requested silver tables, once for each key (``keys`` overrides the tables' own)."""
+def build_silver(bronze: DataFrame, tables: list[str] | None = None, keys: dict[str, list[str]] | None = None, keep: list[DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The requested silver tables, once for each key (``keys`` overrides the tables' own).
+
+    With ``keep`` (a list) the parsed payloads of a dataset that several of the tables need are persisted, so each is parsed once; they are added
+    to the list, for the caller to unpersist after use."""
     out = {}
     for dataset, made in ROUTES.items():
         wanted = [t for t in made if tables is None or t in tables]
         if wanted:
             parsed = parse(bronze, dataset)
+            if keep is not None and len(wanted) > 1:
+                keep.append(parsed := parsed.persist(StorageLevel.DISK_ONLY))
             out |= {t: dedup_latest(flatten(parsed, t), (keys or S.SILVER_KEYS)[t]) for t in wanted}
     return out

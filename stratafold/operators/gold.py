@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import exprs as X
@@ -40,7 +41,7 @@ def _seen() -> list:
 def dim_summoner(t: Tables) -> DataFrame:
     wanted = ["puuid", "game_date", *(c for c in S.GOLD["dim_summoner"] if c not in ("puuid", "first_seen_game_date", "last_seen_game_date"))]
     frames = [df.select(*[c for c in wanted if c in df.columns]) for k, df in t.items() if k in ("participants", "summoners", "ranked")]
-    rows = R.conform(R.union_all(frames), S.schema(wanted)).where("puuid is not null")
+    rows = R.conform(R.union_all(frames), T.StructType([f for f in (*S.LINEAGE_SCHEMA, *S.GOLD_SCHEMAS["dim_summoner"]) if f.name in wanted])).where("puuid is not null")
     names = [R.first_known(c).alias(c) for c in ("summoner_id", "account_id", "summoner_name", "riot_id_game_name", "riot_id_tagline")]
     return rows.groupBy("puuid").agg(*names, *[F.max(c).alias(c) for c in ("profile_icon_id", "revision_date", "summoner_level")], *_seen())
 
@@ -115,5 +116,5 @@ def build(t: Tables, tables: list[str] | None = None) -> tuple[dict[str, DataFra
         if missing:
             skipped[name] = missing
         else:
-            out[name] = R.conform(builder({s: t[s] for s in sources}), S.schema(S.GOLD[name]))
+            out[name] = R.conform(builder({s: t[s] for s in sources}), S.GOLD_SCHEMAS[name])
     return out, skipped

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,19 +17,18 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def dedup_latest(df: DataFrame, keys: list[str], order: tuple[str, ...] = ("ingest_ts", "file_hash")) -> DataFrame:
-    """One row for each key, nulls equal: the newest by ``order``, ties by the whole row, so reruns agree.
+    """One row for each key, nulls equal: the newest by ``order``, ties by the other columns, so reruns agree.
 
-    An aggregation with map-side combine: rows of a hot key are reduced before the shuffle.  A frame that lacks a key column
-    passes unchanged."""
+    The first row of a window: Spark keeps one row of a key in each task before the shuffle, so a hot key is reduced there.  A frame that
+    lacks a key column passes unchanged."""
     if any(k not in df.columns for k in keys):
         return df
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(keys)
     lead = [c for c in order if c in rest]
-    row = F.struct(*lead, *[c for c in rest if c not in lead])
-    best = df.groupBy(*keys).agg(F.max(row).alias("_row"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in (*lead, *(c for c in rest if c not in lead))])
+    return df.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -113,9 +113,9 @@ def check_counts(checks: DataFrame) -> DataFrame:
     return checks.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def score(checks: DataFrame) -> DataFrame:
-    """Share of checks passed, skipped ones aside."""
-    out = checks.agg(F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") != "SKIP").alias("total"))
+def score(checks: DataFrame, *by: str) -> DataFrame:
+    """Share of checks passed, skipped ones aside, by the columns ``by`` (such as a run's id)."""
+    out = checks.groupBy(*by).agg(F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") != "SKIP").alias("total"))
     return out.withColumn("score", X.quality_score("passed", "total"))
 
 

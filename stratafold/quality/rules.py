@@ -7,6 +7,7 @@ whose columns are missing is SKIP; a violated one is FAIL, or WARN where its sev
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -61,19 +62,20 @@ def first_available(candidates: list[list[str]], present: set[str]) -> list[str]
 
 
 def resolve(r: Rule, df: DataFrame) -> Rule:
-    """The rule with candidate columns resolved against the frame."""
+    """The rule with candidate columns resolved against the frame; what is missing but optional goes to ``params["optional"]``."""
     present, p = set(df.columns), r.params
     if "candidates" in p:  # a key among several
         key = first_available(p["candidates"], present)
-        return Rule(r.name, {"first_available_unique": "unique"}.get(r.kind, r.kind), (*r.columns, *key), {k: v for k, v in p.items() if k != "candidates"}, r.severity)
+        columns = tuple(dict.fromkeys((*r.columns, *key)))
+        return Rule(r.name, {"first_available_unique": "unique"}.get(r.kind, r.kind), columns, {k: v for k, v in p.items() if k != "candidates"}, r.severity)
     if r.kind in ("positive_metrics", "non_negative_metrics"):
-        found = [next((c for c in options if c in present), None) for options in p["metrics"].values()]
+        found = {metric: next((c for c in options if c in present), None) for metric, options in p["metrics"].items()}
         kind, extra = ("greater_than", {"min": 0}) if r.kind == "positive_metrics" else ("non_negative", {})
-        if any(f is None for f in found):
-            extra["unresolved"] = [k for k, f in zip(p["metrics"], found, strict=True) if f is None]
-        return Rule(r.name, kind, tuple(f for f in found if f), extra, r.severity)
-    if r.kind == "not_null_if_present":
-        return Rule(r.name, "not_null", tuple(c for c in r.columns if c in present), p, r.severity)
+        extra["optional"] = [metric for metric, c in found.items() if c is None]
+        return Rule(r.name, kind, tuple(c for c in found.values() if c), extra, r.severity)
+    if r.kind in ("not_null_if_present", "null_profile"):
+        here = tuple(c for c in r.columns if c in present)
+        return Rule(r.name, "not_null" if r.kind == "not_null_if_present" else r.kind, here, p | {"optional": [c for c in r.columns if c not in present]}, r.severity)
     return r
 
 
@@ -85,44 +87,53 @@ def evaluate(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
     rows: list[Column] = []
     n = F.col("_n")
 
-    def result(rule: Rule, failed: Column, bad: Column | None = None, detail: Column | None = None) -> Column:
+    def result(rule: Rule, failed: Column | None, bad: Column | None = None, detail: Column | None = None) -> Column:
+        """``failed`` is None for rules that do not count rows."""
         bad = failed > 0 if bad is None else bad
         status = F.when(bad, "WARN" if rule.severity == "warning" else "FAIL").otherwise("PASS")
-        return F.struct(F.lit(rule.name).alias("rule"), status.alias("status"), failed.cast("long").alias("failed_rows"), n.alias("total_rows"), F.coalesce(F.round(F.try_divide(failed, n), 6), F.lit(0.0)).alias("failed_rate"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+        if detail is None:
+            detail = F.lit(json.dumps({"missing_optional": rule.params["optional"]}) if rule.params.get("optional") else None).cast("string")
+        rate = F.coalesce(F.round(F.try_divide(failed, n), 6), F.lit(0.0)) if failed is not None else F.lit(None).cast("double")
+        return row(rule, status, (F.lit(None) if failed is None else failed).cast("long"), rate, detail)
 
-    def skip(rule: Rule) -> Column:
-        return F.struct(F.lit(rule.name).alias("rule"), F.lit("SKIP").alias("status"), F.lit(0).cast("long").alias("failed_rows"), n.alias("total_rows"), F.lit(0.0).alias("failed_rate"), F.lit("missing columns").alias("detail"))
+    def skip(rule: Rule, missing: list[str]) -> Column:
+        nothing = F.lit(None).cast("long")
+        return row(rule, F.lit("SKIP"), nothing, nothing.cast("double"), F.lit(json.dumps({"missing_columns": missing})))
+
+    def row(rule: Rule, status: Column, failed: Column, rate: Column, detail: Column) -> Column:
+        return F.struct(
+            F.lit(rule.name).alias("rule"), status.alias("status"), failed.alias("failed_rows"), n.alias("total_rows"), rate.alias("failed_rate"), detail.alias("detail")
+        )
 
     for i, given in enumerate(rules):
         r = resolve(given, df)
         missing = [c for c in (*r.columns, *([r.params["target"]] if "target" in r.params else [])) if c not in present]
-        zero = F.lit(0)
         if r.kind == "required_columns":
-            rows.append(result(r, F.lit(len(missing)), detail=F.lit(",".join(missing) or None)))
+            rows.append(result(r, None, F.lit(bool(missing)), F.lit(json.dumps({"missing_columns": missing}))))
         elif r.kind == "column_count_min":
-            rows.append(result(r, F.lit(int(len(df.columns) < r.params["min"]))))
+            rows.append(result(r, None, F.lit(len(df.columns) < r.params["min"])))
         elif r.kind == "row_count_min":
-            rows.append(result(r, zero, n < r.params["min"]))
+            rows.append(result(r, None, n < r.params["min"]))
         elif r.kind == "row_count":
             p = r.params
-            rows.append(result(r, zero, (n != p["equals"]) if "equals" in p else ~n.between(p["min"], p["max"])))
+            rows.append(result(r, None, (n != p["equals"]) if "equals" in p else ~n.between(p["min"], p["max"])))
         elif r.kind in ("boolean", "boolean_if_present"):
-            wrong = [c for c in r.columns if not isinstance(kinds.get(c), T.BooleanType) and (c in kinds or r.kind == "boolean")]
-            rows.append(skip(r) if r.kind == "boolean" and missing else result(r, F.lit(len(wrong))))
+            wrong = [c for c in r.columns if c in kinds and not isinstance(kinds[c], T.BooleanType)]
+            rows.append(skip(r, missing) if r.kind == "boolean" and missing else result(r, None, F.lit(bool(wrong))))
         elif missing or not r.columns:
-            rows.append(skip(r))
+            rows.append(skip(r, missing or list(given.columns)))
         elif r.kind == "unique":
             # Rows beyond the first of each key, null keys counting as a value.
             keyed.append(df.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias(f"_v{i}")))
             rows.append(result(r, F.col(f"_v{i}")))
         elif r.kind == "null_profile":
             aggs += [F.count_if(F.col(c).isNull()).alias(f"_v{i}_{j}") for j, c in enumerate(r.columns)]
-            rows.append(result(r, zero, detail=F.to_json(F.struct(*[F.col(f"_v{i}_{j}").alias(c) for j, c in enumerate(r.columns)]))))
+            rows.append(result(r, F.lit(0), detail=F.to_json(F.struct(*[F.col(f"_v{i}_{j}").alias(c) for j, c in enumerate(r.columns)]))))
         else:
             aggs.append(F.count_if(_violation(r)).alias(f"_v{i}"))
             failed = F.col(f"_v{i}")
             bad = F.try_divide(failed, n) > r.params["max_rate"] if r.kind == "tolerance" else failed > 0
-            rows.append(result(r, failed, F.coalesce(bad, F.lit(False)) | F.lit("unresolved" in r.params)))
+            rows.append(result(r, failed, F.coalesce(bad, F.lit(False))))
     one = df.agg(*aggs)
     for k in keyed:
         one = one.crossJoin(k)  # one row with one row
@@ -139,71 +150,128 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-_SILVER_RULES = {
-    "matches": ("match_id dataset game_date", "game_id queue_id game_creation game_start_timestamp game_end_timestamp game_duration participant_count"),
-    "participants": ("match_id participant_id puuid champion_id team_id dataset game_date", "participant_id champion_id team_id kills deaths assists kda gold_earned total_damage_dealt_to_champions total_damage_taken vision_score total_minions_killed neutral_minions_killed"),
-    "teams": ("match_id team_id dataset game_date", "team_id baron_kills dragon_kills rift_herald_kills tower_kills inhibitor_kills champion_kills"),
-    "summoners": ("puuid dataset game_date", "profile_icon_id revision_date summoner_level"),
-    "ranked": ("queue tier rank puuid dataset", "league_points wins losses win_rate"),
-    "timeline_frames": ("match_id frame_index dataset game_date", "frame_index frame_timestamp participant_frame_count event_count"),
-    "timeline_events": ("match_id frame_index event_index event_type dataset game_date", "frame_index event_index event_timestamp participant_id killer_id victim_id team_id"),
-}
-_GOLD_REQUIRED = {
-    "dim_date": "date_key game_date date_year date_month date_day", "dim_match": "match_id game_date", "dim_summoner": "puuid", "dim_champion": "champion_id champion_name", "dim_team": "team_id team_side", "dim_rank": "queue tier rank",
-    "fact_participant_performance": "game_date match_id participant_id puuid champion_id", "fact_team_objectives": "game_date match_id team_id", "fact_rank_snapshot": "game_date queue tier rank puuid", "fact_timeline_frames": "game_date match_id frame_index",
-    "fact_timeline_events": "game_date match_id frame_index event_index event_type", "mart_player_daily_performance": "game_date puuid matches_played wins losses win_rate", "mart_champion_daily_performance": "game_date champion_id champion_name matches_played wins losses win_rate",
-    "mart_role_daily_performance": "game_date team_position matches_played wins losses win_rate", "mart_rank_daily_summary": "game_date queue tier rank players avg_win_rate",
-    "mart_team_objective_daily_summary": "game_date team_id games_played wins losses win_rate avg_baron_kills avg_dragon_kills avg_rift_herald_kills avg_tower_kills avg_inhibitor_kills avg_champion_kills",
+def _rule(kind: str, name: str, *columns: str, severity: str = "error", **params: object) -> Rule:
+    return Rule(name, kind, columns, params, severity)
+
+
+def _table(table: str, required: list[str], key: list[str], signed: list[str], *more: Rule) -> list[Rule]:
+    """The rules that all tables have, and the table's own."""
+    columns = (S.SILVER | S.GOLD)[table]
+    flags = S.columns_of(table, T.BooleanType)
+    out = [
+        _rule("required_columns", "required_columns", *columns),
+        _rule("column_count_min", "column_count_positive", min=1),
+        _rule("row_count_min", "table_not_empty", min=1),
+        *([_rule("not_null", "required_values_not_null", *required)] if required else []),
+        *([_rule("unique", "unique_business_key", *key)] if key else []),
+        *([_rule("non_negative", "non_negative_metrics", *signed)] if signed else []),
+        *more,
+    ]
+    return [*out, _rule("boolean", "boolean_column_types", *flags)] if flags else out
+
+
+def _gold(table: str, required: list[str], *more: Rule) -> list[Rule]:
+    """A gold table: all its numbers are non-negative."""
+    return _table(table, required, S.GOLD_KEYS[table], S.columns_of(table, T.LongType, T.DoubleType), *more)
+
+
+def _rates(column: str = "win_rate") -> Rule:
+    return _rule("between", "rates_between_zero_and_one", column, min=0.0, max=1.0)
+
+
+def _positive(*columns: str) -> Rule:
+    return _rule("greater_than", "positive_metrics", *columns, min=0)
+
+
+def _games(target: str) -> Rule:
+    return _rule("sum_equals", "wins_losses_match_games", "wins", "losses", target=target)
+
+
+# Names of checks, columns, bounds and accepted values of the catalogue.
+_TEAM_IDS = _rule("accepted", "team_id_known_values", "team_id", severity="warning", values=[100, 200])
+_EVENT_TEAM_IDS = _rule("accepted", "team_id_known_values", "team_id", severity="warning", values=[0, 100, 200])
+_ROLE_NAMES = _rule("accepted", "role_known_values", "team_position", severity="warning", values=["TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY", "UNKNOWN"])
+_TIER_NAMES = _rule("accepted", "tier_known_values", "tier", severity="warning", values=list(X.TIERS))
+_RANKED_KEYS = [["queue", "tier", "rank", "puuid", "game_date"], ["queue", "tier", "rank", "puuid", "ingest_date"]]
+_KILLS = ["baron_kills", "dragon_kills", "rift_herald_kills", "tower_kills", "inhibitor_kills", "champion_kills"]
+
+CATALOGUE: dict[str, list[Rule]] = {
+    "matches": _table(
+        "matches", ["match_id", "dataset", "game_date"], ["match_id"],
+        ["game_id", "queue_id", "game_creation", "game_start_timestamp", "game_end_timestamp", "game_duration", "participant_count"],
+    ),
+    "participants": _table(
+        "participants", ["match_id", "participant_id", "puuid", "champion_id", "team_id", "dataset", "game_date"], ["match_id", "participant_id"],
+        ["participant_id", "champion_id", "team_id", "kills", "deaths", "assists", "kda", "gold_earned", "total_damage_dealt_to_champions",
+         "total_damage_taken", "vision_score", "total_minions_killed", "neutral_minions_killed"], _TEAM_IDS,
+    ),
+    "teams": _table("teams", ["match_id", "team_id", "dataset", "game_date"], ["match_id", "team_id"], ["team_id", *_KILLS], _TEAM_IDS),
+    "summoners": _table("summoners", ["puuid", "dataset", "game_date"], ["puuid"], ["profile_icon_id", "revision_date", "summoner_level"]),
+    "ranked": _table(
+        "ranked", [], [], ["league_points", "wins", "losses", "win_rate"],
+        _rule("not_null", "required_values_not_null", "queue", "tier", "rank", "puuid", "dataset", candidates=_RANKED_KEYS),
+        _rule("first_available_unique", "unique_business_key", candidates=_RANKED_KEYS), _rates(),
+    ),
+    "timeline_frames": _table(
+        "timeline_frames", ["match_id", "frame_index", "dataset", "game_date"], ["match_id", "frame_index"],
+        ["frame_index", "frame_timestamp", "participant_frame_count", "event_count"],
+    ),
+    "timeline_events": _table(
+        "timeline_events", ["match_id", "frame_index", "event_index", "event_type", "dataset", "game_date"], ["match_id", "frame_index", "event_index"],
+        ["frame_index", "event_index", "event_timestamp", "participant_id", "killer_id", "victim_id", "team_id"],
+    ),
+    "dim_date": _gold(
+        "dim_date", ["date_key", "game_date", "date_year", "date_month", "date_day"],
+        _rule("between", "date_month_between", "date_month", min=1.0, max=12.0), _rule("between", "date_day_between", "date_day", min=1.0, max=31.0),
+        _rule("boolean_if_present", "optional_boolean_column_types", "is_weekend"),
+    ),
+    "dim_match": _gold(
+        "dim_match", ["match_id", "game_date"], _rule("not_null_if_present", "optional_values_not_null", "queue_id", "game_date"),
+        _rule("tolerance", "game_duration_positive_tolerance", "game_duration", min=0.0, max_rate=0.001),
+        _rule("tolerance", "participant_count_positive_tolerance", "participant_count", min=0.0, max_rate=0.001),
+    ),
+    "dim_summoner": _gold(
+        "dim_summoner", ["puuid"], _rule("date_order", "valid_date_order", "first_seen_game_date", "last_seen_game_date"),
+        _rule("null_profile", "nullable_identifier_null_rates", "summoner_id", "riot_id_game_name", "riot_id_tagline", "summoner_name"),
+    ),
+    "dim_champion": _gold(
+        "dim_champion", ["champion_id", "champion_name"], _rule("row_count", "row_count_expectation", severity="warning", min=100, max=250),
+        _rule("non_empty", "non_empty_strings", "champion_name"),
+    ),
+    "dim_team": _gold("dim_team", ["team_id", "team_side"], _rule("row_count", "row_count_expectation", severity="warning", equals=2), _TEAM_IDS),
+    "dim_rank": _gold("dim_rank", ["queue", "tier", "rank"], _TIER_NAMES),
+    "fact_participant_performance": _gold("fact_participant_performance", ["game_date", "match_id", "participant_id", "puuid", "champion_id"], _TEAM_IDS, _ROLE_NAMES),
+    "fact_team_objectives": _gold("fact_team_objectives", ["game_date", "match_id", "team_id"], _TEAM_IDS),
+    "fact_rank_snapshot": _gold("fact_rank_snapshot", ["game_date", "queue", "tier", "rank", "puuid"], _rates(), _TIER_NAMES),
+    "fact_timeline_frames": _gold("fact_timeline_frames", ["game_date", "match_id", "frame_index"]),
+    "fact_timeline_events": _gold("fact_timeline_events", ["game_date", "match_id", "frame_index", "event_index", "event_type"], _EVENT_TEAM_IDS),
+    "mart_player_daily_performance": _gold(
+        "mart_player_daily_performance", ["game_date", "puuid", "matches_played", "wins", "losses", "win_rate"],
+        _positive("matches_played", "unique_champions"), _rates(), _games("matches_played"),
+    ),
+    "mart_champion_daily_performance": _gold(
+        "mart_champion_daily_performance", ["game_date", "champion_id", "champion_name", "matches_played", "wins", "losses", "win_rate"],
+        _positive("matches_played"), _rates(), _games("matches_played"),
+    ),
+    "mart_role_daily_performance": _gold(
+        "mart_role_daily_performance", ["game_date", "team_position", "matches_played", "wins", "losses", "win_rate"],
+        _positive("matches_played"), _rates(), _games("matches_played"), _ROLE_NAMES,
+    ),
+    "mart_rank_daily_summary": _gold(
+        "mart_rank_daily_summary", ["game_date", "queue", "tier", "rank", "players", "avg_win_rate"], _positive("players"), _rates("avg_win_rate"), _TIER_NAMES
+    ),
+    "mart_team_objective_daily_summary": _gold(
+        "mart_team_objective_daily_summary", ["game_date", "team_id", "games_played", "wins", "losses", "win_rate", *(f"avg_{c}" for c in _KILLS)],
+        _positive("games_played"), _rates(), _games("games_played"), _TEAM_IDS,
+        _rule("positive_metrics", "team_count_positive", metrics={"team_count": ["team_count", "games_played"]}),
+        _rule(
+            "non_negative_metrics", "team_objective_summary_non_negative",
+            metrics={"win_count": ["win_count", "wins"]} | {f"avg_{c}": [f"avg_{c}"] for c in (*_KILLS, "objective_score")},
+        ),
+    ),
 }
 
 
 def rules_for(table: str) -> list[Rule]:
     """The rule catalogue of a silver or gold table."""
-    if table in _SILVER_RULES:
-        required, signed = (tuple(x.split()) for x in _SILVER_RULES[table])
-        out = [Rule("required_columns", "required_columns", required), Rule("row_count_min", "row_count_min", (), {"min": 1})]
-        if table == "ranked":
-            dates = [["game_date"], ["ingest_date"]]
-            out.append(Rule("not_null", "not_null", required, {"candidates": dates}))
-            out.append(Rule("unique_key", "first_available_unique", ("queue", "tier", "rank", "puuid"), {"candidates": dates}))
-        else:
-            out += [Rule("not_null", "not_null", required), Rule("unique_key", "unique", tuple(S.SILVER_KEYS[table]))]
-        out.append(Rule("non_negative", "non_negative", signed))
-        columns = S.SILVER[table]
-    else:
-        required, columns = tuple(_GOLD_REQUIRED[table].split()), S.GOLD[table]
-        numbers = tuple(c for c in columns if isinstance(S.column_type(c), (T.LongType, T.DoubleType)))
-        out = [Rule("required_columns", "required_columns", tuple(columns)), Rule("row_count_min", "row_count_min", (), {"min": 1}), Rule("column_count_min", "column_count_min", (), {"min": len(columns)})]
-        out += [Rule("not_null", "not_null", required), Rule("unique_key", "unique", tuple(S.GOLD_KEYS[table]))]
-        if numbers:
-            out.append(Rule("non_negative", "non_negative", numbers))
-    rates = tuple(c for c in columns if c in ("win_rate", "avg_win_rate"))
-    if rates:
-        out.append(Rule("rates", "between", rates, {"min": 0, "max": 1}))
-    if flags := tuple(c for c in columns if isinstance(S.column_type(c), T.BooleanType)):
-        out.append(Rule("boolean", "boolean", flags))
-    positive = {"mart_player_daily_performance": ("matches_played", "unique_champions"), "mart_champion_daily_performance": ("matches_played",), "mart_role_daily_performance": ("matches_played",), "mart_rank_daily_summary": ("players",), "mart_team_objective_daily_summary": ("games_played",)}
-    if table in positive:
-        out.append(Rule("positive", "greater_than", positive[table], {"min": 0}))
-    games = {"mart_player_daily_performance": "matches_played", "mart_champion_daily_performance": "matches_played", "mart_role_daily_performance": "matches_played", "mart_team_objective_daily_summary": "games_played"}
-    if table in games:
-        out.append(Rule("wins_and_losses", "sum_equals", ("wins", "losses"), {"target": games[table]}))
-    special = {
-        "dim_match": [Rule("tolerance", "tolerance", ("game_duration", "participant_count"), {"min": 0, "max_rate": 0.001}), Rule("not_null_if_present", "not_null_if_present", ("queue_id", "game_date"))],
-        "dim_date": [Rule("month", "between", ("date_month",), {"min": 1, "max": 12}), Rule("day", "between", ("date_day",), {"min": 1, "max": 31}), Rule("weekend", "boolean_if_present", ("is_weekend",))],
-        "dim_champion": [Rule("name", "non_empty", ("champion_name",)), Rule("row_count", "row_count", (), {"min": 100, "max": 250}, "warning")],
-        "dim_summoner": [Rule("seen", "date_order", ("first_seen_game_date", "last_seen_game_date")), Rule("nulls", "null_profile", ("summoner_id", "summoner_name", "riot_id_game_name", "riot_id_tagline"))],
-        "dim_team": [Rule("row_count", "row_count", (), {"equals": 2}, "warning")],
-        "mart_team_objective_daily_summary": [
-            Rule("team_count", "positive_metrics", (), {"metrics": {"team_count": ["team_count", "games_played"]}}),
-            Rule("metrics", "non_negative_metrics", (), {"metrics": {c: [c] for c in ("wins", *(c for c in S.GOLD["mart_team_objective_daily_summary"] if c.startswith("avg_")))}}),
-        ],
-    }
-    out += special.get(table, [])
-    if "team_id" in columns:
-        out.append(Rule("team_ids", "accepted", ("team_id",), {"values": [0, 100, 200] if table == "fact_timeline_events" else [100, 200]}, "warning"))
-    if "team_position" in columns and table not in S.SILVER:
-        out.append(Rule("roles", "accepted", ("team_position",), {"values": [*X.ROLES, "UNKNOWN"]}, "warning"))
-    if "tier" in columns:
-        out.append(Rule("tiers", "accepted", ("tier",), {"values": list(X.TIERS)}, "warning"))
-    return out
+    return CATALOGUE[table]

@@ -98,8 +98,8 @@ def _silver_query(table: str):
 for _t in S.SILVER:
     QUERIES[f"silver_{_t}"] = _silver_query(_t)
     _cols = ", ".join(f"round({c}, 6) AS {c}" if c in ("kda", "win_rate") else c for c in S.SILVER[_t] if c not in S.LINEAGE and c not in ("participant_count", "frame_timestamp", "participant_frame_count"))
-    if _t != "participants":  # doubled participants of one file have no order of their own
-        SQL[f"silver_{_t}"] = (f"WITH timeline_frames AS ({V.SQL[_t]})" if _t == "timeline_frames" else _with(_t)) + f" SELECT DISTINCT {_cols} FROM {_t}"
+    _from = f"{_with(_t, extra=_dedup(_t))} SELECT DISTINCT {_cols} FROM {_t}_1" if _t == "participants" else f"{_with(_t)} SELECT DISTINCT {_cols} FROM {_t}"
+    SQL[f"silver_{_t}"] = _from
 
 
 def expr_all(spark: SparkSession, d: str) -> DataFrame:
@@ -154,29 +154,157 @@ for _t in (*S.SILVER, *S.GOLD):
     QUERIES[f"dq_rules_{_t}"] = _checked(_t)
 
 
+# The catalogue in SQL, written from its description and not from the rules: name, status if violated, violating rows (None: the rule counts
+# none), and for rules that count no rows when they are violated.  ``t`` is the table, ``n`` its rows.
+def _any(test: str, *columns: str) -> str:
+    return f"(SELECT count(*) FROM t WHERE {' OR '.join(f'{c} {test}' for c in columns)})"
+
+
+def _doubled(*key: str) -> str:
+    return f"(SELECT n - count(*) FROM (SELECT DISTINCT {', '.join(key)} FROM t))"
+
+
+def _common(required: tuple[str, ...], key: tuple[str, ...], signed: tuple[str, ...], flags: bool = False) -> list[tuple]:
+    out = [("required_columns", "FAIL", None, "false"), ("column_count_positive", "FAIL", None, "false"), ("table_not_empty", "FAIL", None, "n < 1")]
+    out += [("required_values_not_null", "FAIL", _any("IS NULL", *required), None), ("unique_business_key", "FAIL", _doubled(*key), None), ("non_negative_metrics", "FAIL", _any("< 0", *signed), None)]
+    return [*out, ("boolean_column_types", "FAIL", None, "false")] if flags else out
+
+
+_RATE = ("rates_between_zero_and_one", "FAIL", _any("NOT BETWEEN 0 AND 1", "win_rate"), None)
+_TEAM = ("team_id_known_values", "WARN", _any("NOT IN (100, 200)", "team_id"), None)
+_TIER = ("tier_known_values", "WARN", _any("NOT IN ('IRON', 'BRONZE', 'SILVER', 'GOLD', 'PLATINUM', 'EMERALD', 'DIAMOND', 'MASTER', 'GRANDMASTER', 'CHALLENGER')", "tier"), None)
+_ROLE = ("role_known_values", "WARN", _any("NOT IN ('TOP', 'JUNGLE', 'MIDDLE', 'BOTTOM', 'UTILITY', 'UNKNOWN')", "team_position"), None)
+
+
+def _games(target: str) -> tuple:
+    return ("wins_losses_match_games", "FAIL", f"(SELECT count(*) FROM t WHERE coalesce(wins, 0) + coalesce(losses, 0) <> {target})", None)
+
+
+def _positive(*columns: str) -> tuple:
+    return ("positive_metrics", "FAIL", _any("<= 0", *columns), None)
+
+
+def _tolerated(column: str) -> tuple:
+    return (f"{column}_positive_tolerance", "FAIL", _any("<= 0", column), f"{_any('<= 0', column)} > 0.001 * n")
+
+
+_OBJECTIVE_KILLS = ("baron_kills", "dragon_kills", "rift_herald_kills", "tower_kills", "inhibitor_kills", "champion_kills")
+_AVG_KILLS = tuple(f"avg_{c}" for c in _OBJECTIVE_KILLS)
+_PERSON = ("kills", "deaths", "assists", "kda", "gold_earned", "total_damage_dealt_to_champions", "total_damage_taken", "vision_score", "total_minions_killed", "neutral_minions_killed")
+_MEANS = ("avg_kills", "avg_deaths", "avg_assists", "avg_kda", "avg_gold_earned", "avg_damage_dealt_to_champions", "avg_damage_taken", "avg_vision_score", "avg_cs")
+_SUMS, _SCORES = ("total_kills", "total_deaths", "total_assists"), ("wins", "losses", "win_rate")
+_MATCH = ("game_id", "queue_id", "game_creation", "game_start_timestamp", "game_end_timestamp", "game_duration", "participant_count")
+_EVENT = ("frame_index", "event_index", "event_timestamp", "participant_id", "killer_id", "victim_id", "team_id")
+_FRAME = ("frame_index", "frame_timestamp", "participant_frame_count", "event_count")
+_RANKS = ("queue", "tier", "rank")
+_LEAGUE = ("league_points", "wins", "losses", "win_rate")
+RULE_SQL: dict[str, list[tuple]] = {
+    "matches": _common(("match_id", "dataset", "game_date"), ("match_id",), _MATCH),
+    "participants": [
+        *_common(("match_id", "participant_id", "puuid", "champion_id", "team_id", "dataset", "game_date"), ("match_id", "participant_id"), ("participant_id", "champion_id", "team_id", *_PERSON), True),
+        _TEAM,
+    ],
+    "teams": [*_common(("match_id", "team_id", "dataset", "game_date"), ("match_id", "team_id"), ("team_id", *_OBJECTIVE_KILLS), True), _TEAM],
+    "summoners": _common(("puuid", "dataset", "game_date"), ("puuid",), ("profile_icon_id", "revision_date", "summoner_level")),
+    "ranked": [*_common((*_RANKS, "puuid", "dataset", "game_date"), (*_RANKS, "puuid", "game_date"), _LEAGUE, True), _RATE],
+    "timeline_frames": _common(("match_id", "frame_index", "dataset", "game_date"), ("match_id", "frame_index"), _FRAME),
+    "timeline_events": _common(("match_id", "frame_index", "event_index", "event_type", "dataset", "game_date"), ("match_id", "frame_index", "event_index"), _EVENT),
+    "dim_date": [
+        *_common(("date_key", "game_date", "date_year", "date_month", "date_day"), ("date_key",), ("date_year", "date_month", "date_day", "day_of_week")),
+        ("date_month_between", "FAIL", _any("NOT BETWEEN 1 AND 12", "date_month"), None),
+        ("date_day_between", "FAIL", _any("NOT BETWEEN 1 AND 31", "date_day"), None),
+        ("optional_boolean_column_types", "FAIL", None, "false"),
+    ],
+    "dim_match": [
+        *_common(("match_id", "game_date"), ("match_id",), _MATCH), ("optional_values_not_null", "FAIL", _any("IS NULL", "queue_id", "game_date"), None),
+        _tolerated("game_duration"), _tolerated("participant_count"),
+    ],
+    "dim_summoner": [
+        *_common(("puuid",), ("puuid",), ("profile_icon_id", "revision_date", "summoner_level")),
+        ("valid_date_order", "FAIL", "(SELECT count(*) FROM t WHERE first_seen_game_date > last_seen_game_date)", None), ("nullable_identifier_null_rates", "FAIL", "0", None),
+    ],
+    "dim_champion": [
+        *_common(("champion_id", "champion_name"), ("champion_id",), ("champion_id",)), ("row_count_expectation", "WARN", None, "n NOT BETWEEN 100 AND 250"),
+        ("non_empty_strings", "FAIL", "(SELECT count(*) FROM t WHERE trim(champion_name) = '')", None),
+    ],
+    "dim_team": [*_common(("team_id", "team_side"), ("team_id",), ("team_id",)), ("row_count_expectation", "WARN", None, "n <> 2"), _TEAM],
+    "dim_rank": [*_common(_RANKS, _RANKS, ("rank_order",)), _TIER],
+    "fact_participant_performance": [
+        *_common(("game_date", "match_id", "participant_id", "puuid", "champion_id"), ("match_id", "participant_id"), ("participant_id", "champion_id", "team_id", *_PERSON, "cs"), True), _TEAM, _ROLE,
+    ],
+    "fact_team_objectives": [*_common(("game_date", "match_id", "team_id"), ("match_id", "team_id"), ("team_id", *_OBJECTIVE_KILLS, "objective_score"), True), _TEAM],
+    "fact_rank_snapshot": [*_common(("game_date", *_RANKS, "puuid"), ("game_date", *_RANKS, "puuid"), _LEAGUE, True), _RATE, _TIER],
+    "fact_timeline_frames": _common(("game_date", "match_id", "frame_index"), ("match_id", "frame_index"), _FRAME),
+    "fact_timeline_events": [
+        *_common(("game_date", "match_id", "frame_index", "event_index", "event_type"), ("match_id", "frame_index", "event_index"), _EVENT),
+        ("team_id_known_values", "WARN", _any("NOT IN (0, 100, 200)", "team_id"), None),
+    ],
+    "mart_player_daily_performance": [
+        *_common(("game_date", "puuid", "matches_played", *_SCORES), ("game_date", "puuid"), ("matches_played", "unique_champions", *_SCORES, *_SUMS, *_MEANS)),
+        _positive("matches_played", "unique_champions"), _RATE, _games("matches_played"),
+    ],
+    "mart_champion_daily_performance": [
+        *_common(("game_date", "champion_id", "champion_name", "matches_played", *_SCORES), ("game_date", "champion_id"), ("champion_id", "matches_played", "unique_players", *_SCORES, *_SUMS, *_MEANS)),
+        _positive("matches_played"), _RATE, _games("matches_played"),
+    ],
+    "mart_role_daily_performance": [
+        *_common(("game_date", "team_position", "matches_played", *_SCORES), ("game_date", "team_position"), ("matches_played", "unique_players", "unique_champions", *_SCORES, *_MEANS)),
+        _positive("matches_played"), _RATE, _games("matches_played"), _ROLE,
+    ],
+    "mart_rank_daily_summary": [
+        *_common(
+            ("game_date", *_RANKS, "players", "avg_win_rate"), ("game_date", *_RANKS),
+            ("players", "avg_league_points", "total_wins", "total_losses", "avg_win_rate", "hot_streak_players", "veteran_players", "fresh_blood_players", "inactive_players"),
+        ),
+        _positive("players"), ("rates_between_zero_and_one", "FAIL", _any("NOT BETWEEN 0 AND 1", "avg_win_rate"), None), _TIER,
+    ],
+    "mart_team_objective_daily_summary": [
+        *_common(("game_date", "team_id", "games_played", *_SCORES, *_AVG_KILLS), ("game_date", "team_id"), ("team_id", "games_played", *_SCORES, *_AVG_KILLS, "avg_objective_score")),
+        _positive("games_played"), _RATE, _games("games_played"), _TEAM, ("team_count_positive", "FAIL", _any("<= 0", "games_played"), None),
+        ("team_objective_summary_non_negative", "FAIL", _any("< 0", "wins", *_AVG_KILLS, "avg_objective_score"), None),
+    ],
+}
+
+
 def _rule_sql(table: str) -> str:
-    """The catalogue's row rules of a silver table, written out for DuckDB."""
-    frame, parts = ("timeline_frames" if table == "timeline_frames" else table), []
-    for rule in QR.rules_for(table):
-        cols = list(rule.columns)
-        warn = "WARN" if rule.severity == "warning" else "FAIL"
-        if rule.kind in ("required_columns", "row_count_min", "boolean"):
-            bad = "0"
-        elif rule.kind in ("unique", "first_available_unique"):
-            key = cols + (["game_date"] if "candidates" in rule.params else [])
-            bad = f"(SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM {frame} GROUP BY {', '.join(key)}))"
-        else:
-            key = cols + (["game_date"] if "candidates" in rule.params else [])
-            test = {"not_null": "{c} IS NULL", "non_negative": "{c} < 0", "between": "NOT {c} BETWEEN 0 AND 1", "accepted": "{c} NOT IN (" + ", ".join(repr(v) for v in rule.params.get("values", [])) + ")"}[rule.kind]
-            bad = f"(SELECT count(*) FROM {frame} WHERE {' OR '.join(test.format(c=c) for c in key)})"
-        parts.append(f"SELECT '{rule.name}' AS rule, '{warn}' AS worst, CAST({bad} AS BIGINT) AS failed_rows")
-    head = f"WITH timeline_frames AS ({V.SQL[table]})" if table == "timeline_frames" else _with(table)
-    return f"{head} SELECT '{table}' AS \"table\", rule, CASE WHEN failed_rows > 0 THEN worst ELSE 'PASS' END AS status, failed_rows, n AS total_rows, round(failed_rows::DOUBLE / n, 6) AS failed_rate FROM ({' UNION ALL '.join(parts)}), (SELECT count(*) AS n FROM {frame})"
+    parts = []
+    for rule, worst, failed, bad in RULE_SQL[table]:
+        count = f"CAST({failed} AS BIGINT)" if failed else "NULL::BIGINT"
+        parts.append(f"SELECT '{rule}' AS rule, {count} AS failed_rows, CASE WHEN {bad or f'{failed} > 0'} THEN '{worst}' ELSE 'PASS' END AS status, n AS total_rows FROM size")
+    return (
+        f"WITH t AS ({V.SQL.get(table) or GOLD_SQL[table]}), size AS (SELECT count(*) AS n FROM t) "
+        f"SELECT '{table}' AS \"table\", rule, status, failed_rows, total_rows, round(failed_rows::DOUBLE / total_rows, 6) AS failed_rate FROM ({' UNION ALL '.join(parts)})"
+    )
 
 
-for _t in S.SILVER:
+for _t in RULE_SQL:
     SQL[f"dq_rules_{_t}"] = _rule_sql(_t)
 
+
+def dq_rules_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of tables that are damaged: a column missing, a wrong type, no rows, and without the first date of the ranked key."""
+    t = V.silver(spark, d, "participants", "teams", "ranked", "summoners")
+    frames = {
+        "participants": t["participants"].drop("assists"), "teams": t["teams"].withColumn("win", F.col("win").cast("string")), "ranked": t["ranked"].drop("game_date"),
+        "summoners": t["summoners"].where("false"),
+    }
+    return R.union_all([QR.evaluate(df, k, QR.rules_for(k)).where("status in ('FAIL', 'SKIP')").select("table", "rule", "status") for k, df in frames.items()])
+
+
+QUERIES["dq_rules_damaged"] = dq_rules_damaged
+SQL["dq_rules_damaged"] = (
+    _with("participants", "teams", "ranked")
+    + """, wrong AS (
+    SELECT 'participants' AS "table", 'required_columns' AS rule, 'FAIL' AS status UNION ALL SELECT 'participants', 'non_negative_metrics', 'SKIP'
+    UNION ALL SELECT 'teams', 'boolean_column_types', 'FAIL' UNION ALL SELECT 'ranked', 'required_columns', 'FAIL' UNION ALL SELECT 'summoners', 'table_not_empty', 'FAIL'
+    UNION ALL SELECT 'participants', 'unique_business_key', 'FAIL' FROM (SELECT count(*) AS n, count(DISTINCT match_id || ' ' || participant_id) AS k FROM participants) WHERE n > k
+    UNION ALL SELECT 'participants', 'required_values_not_null', 'FAIL' FROM (SELECT count(*) AS n FROM participants WHERE match_id IS NULL OR puuid IS NULL OR game_date IS NULL) WHERE n > 0
+    UNION ALL SELECT 'teams', 'unique_business_key', 'FAIL' FROM (SELECT count(*) AS n, count(DISTINCT match_id || ' ' || team_id) AS k FROM teams) WHERE n > k
+    UNION ALL SELECT 'ranked', 'non_negative_metrics', 'FAIL' FROM (SELECT count(*) AS n FROM ranked WHERE league_points < 0 OR wins < 0 OR losses < 0 OR win_rate < 0) WHERE n > 0
+    UNION ALL SELECT 'ranked', 'rates_between_zero_and_one', 'FAIL' FROM (SELECT count(*) AS n FROM ranked WHERE win_rate NOT BETWEEN 0 AND 1) WHERE n > 0)
+    SELECT * FROM wrong"""
+)
+
 QUERIES["dq_top_invalid"] = lambda spark, d: QR.top_invalid(V.silver(spark, d, "ranked")["ranked"], "tier", list(X.TIERS))
 SQL["dq_top_invalid"] = _with("ranked") + f" SELECT tier AS value, count(*) AS n FROM ranked WHERE tier NOT IN {X.TIERS} GROUP BY 1 ORDER BY n DESC, value LIMIT 10"
 QUERIES["dq_duplicate_keys"] = lambda spark, d: QR.duplicate_keys(V.silver(spark, d, "participants")["participants"], ["match_id", "participant_id"])
@@ -184,26 +312,73 @@ SQL["dq_duplicate_keys"] = _with("participants") + " SELECT match_id, participan
 
 
 def dq_fk_checks(spark: SparkSession, d: str) -> DataFrame:
-    """References of participants, with dimensions cut to show orphans."""
-    t = _gold_tables(spark, d, "fact_participant_performance", "dim_champion", "fact_rank_snapshot", "dim_rank")
-    t["dim_champion"] = t["dim_champion"].where("champion_id <> 7")
-    t["dim_rank"] = t["dim_rank"].where("NOT (tier = 'IRON' AND rank = 'I')")
-    return Q.foreign_keys(t, [r for r in Q.REFERENCES if r[2] in ("dim_champion", "dim_rank")])
+    """All references; then two again, with dimensions cut to show orphans."""
+    names = sorted({n for r in Q.REFERENCES for n in (r[0], r[2])})
+    t = _gold_tables(spark, d, *names)
+    cut = t | {"dim_champion": t["dim_champion"].where("champion_id <> 7"), "dim_rank": t["dim_rank"].where("NOT (tier = 'IRON' AND rank = 'I')")}
+    again = Q.foreign_keys(cut, [r for r in Q.REFERENCES if r[2] in ("dim_champion", "dim_rank")])
+    return Q.foreign_keys(t).withColumn("cut", F.lit(False)).unionAll(again.withColumn("cut", F.lit(True)))
+
+
+def _fk_sql(fact: str, keys: tuple[str, ...], dim: str, dim_keys: tuple[str, ...], cut: str = "") -> str:
+    name, same = f"{fact}({','.join(keys)})->{dim}", " AND ".join(f"f.{a} = d.{b}" for a, b in zip(keys, dim_keys, strict=True))
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return (
+        f"SELECT '{name}' AS \"check\", {str(bool(cut)).lower()} AS cut, count(*) AS keys, count(*) FILTER (NOT EXISTS (SELECT 1 FROM {dim}_t d WHERE {same}{cut})) AS orphans "
+        f"FROM (SELECT DISTINCT {', '.join(keys)} FROM {fact}_t WHERE {known}) f"
+    )
 
 
+_PEOPLE_FACT = "fact_participant_performance"
+_FK_SQL = [
+    _fk_sql(_PEOPLE_FACT, ("match_id",), "dim_match", ("match_id",)), _fk_sql(_PEOPLE_FACT, ("puuid",), "dim_summoner", ("puuid",)), _fk_sql(_PEOPLE_FACT, ("champion_id",), "dim_champion", ("champion_id",)),
+    _fk_sql(_PEOPLE_FACT, ("game_date",), "dim_date", ("game_date",)), _fk_sql("fact_team_objectives", ("match_id",), "dim_match", ("match_id",)),
+    _fk_sql("fact_team_objectives", ("team_id",), "dim_team", ("team_id",)), _fk_sql("fact_rank_snapshot", _RANKS, "dim_rank", _RANKS), _fk_sql("fact_rank_snapshot", ("puuid",), "dim_summoner", ("puuid",)),
+    _fk_sql("fact_timeline_frames", ("match_id",), "dim_match", ("match_id",)), _fk_sql("fact_timeline_events", ("match_id",), "dim_match", ("match_id",)),
+    _fk_sql(_PEOPLE_FACT, ("champion_id",), "dim_champion", ("champion_id",), " AND d.champion_id <> 7"),
+    _fk_sql("fact_rank_snapshot", _RANKS, "dim_rank", _RANKS, " AND NOT (d.tier = 'IRON' AND d.rank = 'I')"),
+]
+_FK_TABLES = (_PEOPLE_FACT, "fact_team_objectives", "fact_rank_snapshot", "fact_timeline_frames", "fact_timeline_events", "dim_match", "dim_summoner", "dim_champion", "dim_date", "dim_team", "dim_rank")
 QUERIES["dq_fk_checks"] = dq_fk_checks
-SQL["dq_fk_checks"] = _with("participants", "ranked") + """, x AS (
-    SELECT 'fact_participant_performance(champion_id)->dim_champion' AS "check", count(*) AS keys, count(*) FILTER (champion_id = 7) AS orphans FROM (SELECT DISTINCT champion_id FROM participants)
-    UNION ALL SELECT 'fact_rank_snapshot(queue,tier,rank)->dim_rank', count(*), count(*) FILTER (tier = 'IRON' AND rank = 'I') FROM (SELECT DISTINCT queue, tier, rank FROM ranked))
-    SELECT *, round(orphans::DOUBLE / keys, 6) AS orphan_rate, CASE WHEN orphans > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM x"""
-QUERIES["dq_row_alignment"] = lambda spark, d: Q.row_alignment(_gold_tables(spark, d, "dim_match")["dim_match"], V.silver(spark, d, "teams")["teams"])
-SQL["dq_row_alignment"] = _with("matches", "teams") + " SELECT (SELECT count(*) FROM matches) AS dim_rows, (SELECT count(*) FROM teams) AS silver_rows, 'WARN' AS status"
-QUERIES["dq_profile"] = lambda spark, d: Q.profile(V.silver(spark, d, "ranked")["ranked"].select("queue", "summoner_id", "wins"), "ranked", exact=True).withColumn("avg_value", F.round("avg_value", 6))
-SQL["dq_profile"] = _with("ranked") + " " + " UNION ALL ".join(
-    f"SELECT 'ranked' AS \"table\", '{c}' AS \"column\", '{t}' AS type, count(*) FILTER ({c} IS NULL) AS nulls, round((count(*) FILTER ({c} IS NULL))::DOUBLE / count(*), 6) AS null_ratio, count(DISTINCT {c}) AS distinct_values, 0::BIGINT AS empty_strings, {s} FROM ranked"
-    for c, t, s in (("queue", "string", "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS avg_value"), ("summoner_id", "string", "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"), ("wins", "bigint", "min(wins)::DOUBLE, max(wins)::DOUBLE, round(avg(wins), 6)"))
+SQL["dq_fk_checks"] = (
+    "WITH " + ", ".join(f"{t}_t AS ({GOLD_SQL[t]})" for t in _FK_TABLES) + f" SELECT *, round(orphans::DOUBLE / keys, 6) AS orphan_rate, CASE WHEN orphans > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM ({' UNION ALL '.join(_FK_SQL)})"
+)
+
+
+def dq_row_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The match dimension against silver matches, whole and without one queue."""
+    dim, silver = _gold_tables(spark, d, "dim_match")["dim_match"], V.silver(spark, d, "matches")["matches"]
+    return Q.row_alignment(dim, silver).withColumn("whole", F.lit(True)).unionAll(Q.row_alignment(dim.where("queue_id <> 0"), silver).withColumn("whole", F.lit(False)))
+
+
+QUERIES["dq_row_alignment"] = dq_row_alignment
+SQL["dq_row_alignment"] = _with("matches") + """, n AS (SELECT count(*) AS dim_rows, count(*) AS silver_rows, true AS whole FROM matches UNION ALL SELECT count(*) FILTER (queue_id <> 0), count(*), false FROM matches)
+    SELECT *, CASE WHEN abs(dim_rows - silver_rows) > 0.01 * silver_rows THEN 'WARN' ELSE 'PASS' END AS status FROM n"""
+QUERIES["dq_profile"] = lambda spark, d: Q.profile(V.silver(spark, d, "ranked")["ranked"], "ranked", exact=True).withColumn("avg_value", F.round("avg_value", 6))
+
+
+def _profile_sql(column: str, kind: str) -> str:
+    number, text = kind in ("bigint", "double"), kind == "string"
+    stats = f"CAST(min({column}) AS DOUBLE) AS min_value, CAST(max({column}) AS DOUBLE) AS max_value, round(avg({column}), 6) AS avg_value" if number else "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS avg_value"
+    empty = f"count(*) FILTER (trim({column}) = '')" if text else "0::BIGINT"
+    return f"""SELECT 'ranked' AS "table", '{column}' AS "column", '{kind}' AS type, count(*) FILTER ({column} IS NULL) AS nulls, round((count(*) FILTER ({column} IS NULL))::DOUBLE / count(*), 6) AS null_ratio,
+        count(DISTINCT {column}) AS distinct_values, {empty} AS empty_strings, {stats} FROM ranked"""
+
+
+SQL["dq_profile"] = _with("ranked") + " " + " UNION ALL ".join(_profile_sql(f.name, f.dataType.simpleString()) for f in S.SILVER_SCHEMAS["ranked"])
+
+
+def dq_profile_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate and exact numbers of distinct values side by side: whether each lies within a fifth of the other."""
+    t = V.silver(spark, d, "participants")["participants"]
+    near, exact = Q.profile(t, "participants"), Q.profile(t, "participants", exact=True).select("column", F.col("distinct_values").alias("exact"))
+    return near.join(exact, "column").select("column", "nulls", "exact", (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.2 * F.col("exact")).alias("near"))
+
+
+QUERIES["dq_profile_approx"] = dq_profile_approx
+SQL["dq_profile_approx"] = _with("participants") + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS exact, true AS near FROM participants" for c in S.SILVER["participants"]
 )
-QUERIES["dq_profile_approx"] = lambda spark, d: Q.profile(V.silver(spark, d, "participants")["participants"], "participants")
 QUERIES["dq_date_coverage"] = lambda spark, d: Q.date_coverage(V.silver(spark, d, "participants")["participants"])
 SQL["dq_date_coverage"] = _with("participants") + " SELECT min(game_date) AS min_date, max(game_date) AS max_date, count(DISTINCT game_date) AS dates FROM participants"
 QUERIES["dq_top_dates"] = lambda spark, d: Q.top_dates(V.silver(spark, d, "participants")["participants"])
@@ -224,7 +399,17 @@ QUERIES["dq_issues"] = lambda spark, d: Q.issues(_checks(spark, d)).drop("detail
 SQL["dq_issues"] = f"SELECT \"table\", rule, status FROM ({_ALL}) WHERE status IN ('FAIL', 'WARN')"
 QUERIES["dq_check_counts"] = lambda spark, d: Q.check_counts(_checks(spark, d))
 SQL["dq_check_counts"] = f"SELECT status, count(*) AS n FROM ({_ALL}) GROUP BY 1"
-QUERIES["dq_score"] = lambda spark, d: Q.score(_checks(spark, d))
-SQL["dq_score"] = f"SELECT *, round(passed::DOUBLE / total, 4) AS score FROM (SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) AS total FROM ({_ALL}))"
+
+
+def dq_score(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each run: one of all silver tables, one of two of them."""
+    checks = _checks(spark, d)
+    runs = checks.withColumn("run_id", F.lit("all")).unionAll(checks.where("`table` in ('matches', 'teams')").withColumn("run_id", F.lit("two")))
+    return Q.score(runs, "run_id")
+
+
+QUERIES["dq_score"] = dq_score
+SQL["dq_score"] = f"""SELECT *, round(passed::DOUBLE / total, 4) AS score FROM (SELECT run_id, count(*) FILTER (status = 'PASS') AS passed, count(*) AS total
+    FROM (SELECT *, 'all' AS run_id FROM ({_ALL}) UNION ALL SELECT *, 'two' FROM ({_ALL}) WHERE "table" IN ('matches', 'teams')) GROUP BY run_id)"""
 QUERIES["dq_required_keys"] = lambda spark, d: Q.missing_keys(V.silver(spark, d, "ranked")["ranked"], "puuid", ["summoner_id", "queue", "absent"])
 SQL["dq_required_keys"] = _with("ranked") + " SELECT puuid AS \"row\", 'summoner_id' AS field FROM ranked WHERE summoner_id IS NULL UNION ALL SELECT puuid, 'absent' FROM ranked"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
@@ -31,8 +32,8 @@ def ingest(spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str
 
 def read_bronze(spark: SparkSession, bronze_path: str, datasets: tuple[str, ...] = ("matches", "timelines", "summoners", "ranked")) -> DataFrame:
     """The rows that the sinks' logs hold as committed."""
-    kept = S.schema([c for c in S.BRONZE if c != "dataset"])
-    out = spark.createDataFrame([], S.schema(S.BRONZE))
+    kept = T.StructType([f for f in S.BRONZE_SCHEMA if f.name != "dataset"])
+    out = spark.createDataFrame([], S.BRONZE_SCHEMA)
     for d in datasets:
         if read_table(spark, f"{bronze_path}/dataset={d}") is not None:
             out = out.unionByName(spark.read.schema(kept).parquet(f"{bronze_path}/dataset={d}").withColumn("dataset", F.lit(d)))

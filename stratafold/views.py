@@ -57,10 +57,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze rows: JSON payloads of matches (with participants and teams), timelines, summoners and ranked leagues, built from the
     same frames, among them objects, arrays and broken text."""
     from .functions.parse import _SNAKE
+    from .operators.relational import dedup_latest
 
     t = silver(spark, sf_dir, "matches", "participants", "teams", "summoners", "ranked", "timeline_events")
     camel = lambda names: F.struct(*[F.col(k).alias(v) for k, v in names.items()])
-    people = t["participants"].groupBy("match_id").agg(F.collect_list(F.struct(*[F.col(k).alias(v) for k, v in _SNAKE["participants"].items()], F.col("team_id").alias("teamId"))).alias("participants"))
+    people = dedup_latest(t["participants"], ["match_id", "participant_id"]).groupBy("match_id").agg(F.collect_list(F.struct(*[F.col(k).alias(v) for k, v in _SNAKE["participants"].items()], F.col("team_id").alias("teamId"))).alias("participants"))
     kills = {"baron": "baron_kills", "dragon": "dragon_kills", "riftHerald": "rift_herald_kills", "tower": "tower_kills", "inhibitor": "inhibitor_kills", "champion": "champion_kills"}
     side = F.struct(F.col("team_id").alias("teamId"), "win", F.struct(*[F.struct(F.col(c).alias("kills")).alias(k) for k, c in kills.items()]).alias("objectives"))
     sides = t["teams"].dropDuplicates(["match_id", "team_id"]).groupBy("match_id").agg(F.collect_list(side).alias("teams"))

@@ -46,7 +46,7 @@ def test_against_duckdb(spark, name):
 
 def bronze(spark, *payloads):
     rows = [(d, f"raw/{d}/{i}.json", f"h{i}", "2024-03-10T00:00:00Z", "2024-03-10", p if isinstance(p, str) else json.dumps(p)) for i, (d, p) in enumerate(payloads)]
-    return spark.createDataFrame(rows, S.schema(S.BRONZE))
+    return spark.createDataFrame(rows, S.BRONZE_SCHEMA)
 
 
 def match(ms=1709942400000, teams=()):
