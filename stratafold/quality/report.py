@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from .rules import evaluate, rules_for
+from .rules import RESULT, evaluate, rules_for
 
 #: Fact, its key columns, dimension and its key columns.
 REFERENCES = [
@@ -125,7 +125,69 @@ def missing_keys(df: DataFrame, row_id: str, required: list[str]) -> DataFrame:
     return df.select(F.col(row_id).alias("row"), F.explode(F.array_compact(F.array(*absent))).alias("field"))
 
 
-def write_report(checks: DataFrame, path: str, run_id: str) -> None:
-    """The checks as JSON under ``runs`` by run, and once more under ``latest``."""
-    checks.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(f"{path}/runs")
-    checks.write.mode("overwrite").json(f"{path}/latest")
+#: Parts of a report; each is a table of its own.
+SECTIONS = ("checks", "tables", "summary", "issues", "profiles", "coverage", "dates", "references", "alignment")
+
+
+def report(spark: SparkSession, layers: dict[str, dict[str, DataFrame | None]]) -> dict[str, DataFrame]:
+    """The sections of a report on tables by layer (a table that is not there is None).
+
+    ``checks`` (rules and, with the gold layer, references and alignment as warnings), ``tables`` (status and rows), ``summary``, ``issues``,
+    ``profiles`` of columns, ``coverage`` and most frequent ``dates`` of tables with a game date, ``references`` between gold tables, ``alignment``
+    of the match dimension with silver matches.  Sections without rows keep their columns."""
+    checks, profiles, coverage, dates = [], [], [], []
+    for layer, tables in layers.items():
+        named = lambda df, at=layer: df.select(F.lit(at).alias("layer"), "*")
+        if not tables:
+            continue
+        checks.append(named(check_tables(tables, spark)))
+        for t, df in tables.items():
+            if df is not None:
+                profiles.append(named(profile(df, t)))
+                if "game_date" in df.columns:
+                    coverage.append(named(date_coverage(df).select(F.lit(t).alias("table"), "*")))
+                    dates.append(named(top_dates(df).select(F.lit(t).alias("table"), "*")))
+    gold = {t: df for t, df in layers.get("gold", {}).items() if df is not None}
+    matches = layers.get("silver", {}).get("matches")
+    references = [foreign_keys(gold)] if gold else []
+    alignment = [row_alignment(gold["dim_match"], matches)] if "dim_match" in gold and matches is not None else []
+    of_rows = lambda df, bad, total, rate: df.select(F.lit("gold").alias("layer"), *bad, "status", *total, rate)
+    for r in references:
+        name = [F.element_at(F.split("check", r"\(", 2), 1).alias("table"), F.concat(F.lit("reference "), "check").alias("rule")]
+        checks.append(of_rows(r, name, [F.col("orphans").alias("failed_rows"), F.col("keys").alias("total_rows")], F.col("orphan_rate").alias("failed_rate")).withColumn("detail", F.lit(None).cast("string")))
+    for r in alignment:
+        name, gap = [F.lit("dim_match").alias("table"), F.lit("silver_match_row_count_alignment").alias("rule")], F.abs(F.col("dim_rows") - F.col("silver_rows"))
+        counts = [gap.alias("failed_rows"), F.col("silver_rows").alias("total_rows")]
+        checks.append(of_rows(r, name, counts, F.coalesce(F.round(F.try_divide(gap, "silver_rows"), 6), F.lit(0.0)).alias("failed_rate")).withColumn("detail", F.lit(None).cast("string")))
+    layered = "layer string, "
+    every = _together(spark, checks, layered + RESULT)
+    named = every.withColumn("table", F.concat_ws(".", "layer", "table")).drop("layer")
+    status = table_status(named).join(named.groupBy("table").agg(F.max(F.when(F.col("rule") == "table_not_empty", F.col("total_rows"))).alias("rows")), "table")
+    return {
+        "checks": every, "tables": status, "summary": summary(named), "issues": issues(named), "profiles": _together(spark, profiles, layered + _PROFILE),
+        "coverage": _together(spark, coverage, layered + "table string, min_date string, max_date string, dates bigint"),
+        "dates": _together(spark, dates, layered + "table string, game_date string, n bigint"),
+        "references": _together(spark, references, "check string, keys bigint, orphans bigint, orphan_rate double, status string"),
+        "alignment": _together(spark, alignment, "dim_rows bigint, silver_rows bigint, status string"),
+    }
+
+
+_PROFILE = "table string, column string, type string, nulls bigint, null_ratio double, distinct_values bigint, empty_strings bigint, min_value double, max_value double, avg_value double"
+
+
+def _together(spark: SparkSession, frames: list[DataFrame], ddl: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], ddl)
+
+
+def write_report(sections: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """Each section as JSON, once under ``runs/run_id=.../section`` and once under ``latest/section``."""
+    spark = next(iter(sections.values())).sparkSession
+    for name, df in sections.items():
+        at = f"{path}/runs/{name}/run_id={run_id}"
+        df.write.mode("overwrite").json(at)
+        spark.read.schema(df.schema).json(at).write.mode("overwrite").json(f"{path}/latest/{name}")
+
+
+def scores(spark: SparkSession, path: str) -> DataFrame:
+    """The score of every run that was written below ``path``, by run."""
+    return score(spark.read.json(f"{path}/runs/checks"), "run_id")

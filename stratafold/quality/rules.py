@@ -119,7 +119,8 @@ def evaluate(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
             rows.append(result(r, None, (n != p["equals"]) if "equals" in p else ~n.between(p["min"], p["max"])))
         elif r.kind in ("boolean", "boolean_if_present"):
             wrong = [c for c in r.columns if c in kinds and not isinstance(kinds[c], T.BooleanType)]
-            rows.append(skip(r, missing) if r.kind == "boolean" and missing else result(r, None, F.lit(bool(wrong))))
+            counted = F.lit(0) if r.kind == "boolean_if_present" and not set(r.columns) & present else None
+            rows.append(skip(r, missing) if r.kind == "boolean" and missing else result(r, counted, F.lit(bool(wrong))))
         elif missing or not r.columns:
             rows.append(skip(r, missing or list(given.columns)))
         elif r.kind == "unique":

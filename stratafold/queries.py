@@ -213,7 +213,7 @@ RULE_SQL: dict[str, list[tuple]] = {
         *_common(("date_key", "game_date", "date_year", "date_month", "date_day"), ("date_key",), ("date_year", "date_month", "date_day", "day_of_week")),
         ("date_month_between", "FAIL", _any("NOT BETWEEN 1 AND 12", "date_month"), None),
         ("date_day_between", "FAIL", _any("NOT BETWEEN 1 AND 31", "date_day"), None),
-        ("optional_boolean_column_types", "FAIL", None, "false"),
+        ("optional_boolean_column_types", "FAIL", "0", None),
     ],
     "dim_match": [
         *_common(("match_id", "game_date"), ("match_id",), _MATCH), ("optional_values_not_null", "FAIL", _any("IS NULL", "queue_id", "game_date"), None),

@@ -15,6 +15,25 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*.json", recursive:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
 
 
+def has_files(spark: SparkSession, root: str, glob: str = "*.json") -> bool:
+    """Whether a folder is there and holds a file of the pattern."""
+    try:
+        return not scan_files(spark, root, glob).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def micro_batches(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
+    """``files`` with ``batch``: at most ``max_files`` files and ``max_bytes`` bytes each (a larger file alone), in order of path.
+
+    Files are cut into runs by count and by bytes; a file that crosses a byte bound is a batch of its own.  One window over the names and
+    sizes that the driver has listed."""
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    at = files.withColumns({"_n": F.count("*").over(before), "_b": F.coalesce(F.sum("length").over(before), F.lit(0))})
+    part = F.struct(*[(c / m).cast("long") for c, m in ((F.col("_n"), max_files), (F.col("_b"), max_bytes), (F.col("_b") + F.col("length") - 1, max_bytes))])
+    return at.withColumn("batch", F.dense_rank().over(Window.orderBy(part)) - 1).drop("_n", "_b")
+
+
 def bronze_rows(files: DataFrame, root_name: str = "raw", ingest_time: Column | None = None, from_payload: bool = False) -> DataFrame:
     """Bronze columns of scanned files; files that are not UTF-8 are left out, malformed JSON is kept as it is.
 

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..sources.files import bronze_rows, read_table
+from ..sources.files import bronze_rows, has_files, pending, read_table, scan_files, write_table
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def ingest(spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str, datasets: tuple[str, ...] = ("matches", "timelines", "summoners", "ranked"), max_files: dict[str, int] | None = None, max_bytes: dict[str, int] | None = None) -> list[StreamingQuery]:
-    """Append the files not seen yet to bronze, exactly once, in micro-batches bounded by files or bytes for each dataset."""
+    """Append the files not seen yet to bronze, exactly once, in micro-batches bounded by files or bytes for each dataset.
+
+    Spark takes one of the two bounds.  Where both are given, the bound on files is lowered to the files of mean size that fit the bytes."""
     done = []
     for d in datasets:
         source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.json")
-        if (max_files or {}).get(d):
-            source = source.option("maxFilesPerTrigger", max_files[d])
-        elif (max_bytes or {}).get(d):
-            source = source.option("maxBytesPerTrigger", max_bytes[d])
+        count, size = (max_files or {}).get(d), (max_bytes or {}).get(d)
+        if count and size and has_files(spark, f"{raw_root}/{d}"):
+            mean = scan_files(spark, f"{raw_root}/{d}").agg(F.avg("length")).first()[0]
+            count = max(1, min(count, int(size // max(mean, 1))))
+        if count:
+            source = source.option("maxFilesPerTrigger", count)
+        elif size:
+            source = source.option("maxBytesPerTrigger", size)
         rows = bronze_rows(source.load(f"{raw_root}/{d}"), raw_root.rstrip("/").rsplit("/", 1)[-1])
         # A folder for each dataset: every streaming sink keeps a log of its own.
         query = rows.drop("dataset").writeStream.format("parquet").partitionBy("ingest_date").option("path", f"{bronze_path}/dataset={d}").option("checkpointLocation", f"{checkpoint}/{d}").trigger(availableNow=True).start()
@@ -30,6 +38,24 @@ def ingest(spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str
     return done
 
 
+def ingest_pending(spark: SparkSession, raw_root: str, bronze_path: str, datasets: tuple[str, ...] = ("matches", "timelines", "summoners", "ranked"), max_files: int = 0, dataset_max: dict[str, int] | None = None, out_files: int = 0) -> int:
+    """All files that are not in bronze yet, as one append; the number of rows written.
+
+    ``max_files`` caps the run and ``dataset_max`` each dataset for its lifetime, as :func:`~stratafold.sources.files.pending` does; files are chosen by
+    their names before contents are read.  ``out_files`` is the number of files written (0: as Spark deals them)."""
+    done = read_table(spark, bronze_path)
+    root = raw_root.rstrip("/").rsplit("/", 1)[-1]
+    found = [scan_files(spark, f"{raw_root}/{d}").withColumn("dataset", F.lit(d)) for d in datasets if has_files(spark, f"{raw_root}/{d}")]
+    if not found:
+        return 0
+    files = reduce(DataFrame.unionByName, found)
+    source = F.regexp_extract(F.url_decode("path"), rf"({root}/.*)$", 1)
+    chosen = pending(files.select("dataset", source.alias("source_file")), done, max_files, dataset_max)
+    fresh = files.withColumn("source_file", source).join(chosen, ["dataset", "source_file"], "left_semi")
+    rows = bronze_rows(fresh, root)
+    return write_table(rows.repartition(out_files) if out_files else rows, bronze_path, partition_by=("dataset", "ingest_date"))
+
+
 def read_bronze(spark: SparkSession, bronze_path: str, datasets: tuple[str, ...] = ("matches", "timelines", "summoners", "ranked")) -> DataFrame:
     """The rows that the sinks' logs hold as committed."""
     kept = T.StructType([f for f in S.BRONZE_SCHEMA if f.name != "dataset"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parents[1]))
 
 from stratafold import queries as C  # noqa: E402
+from stratafold import runners  # noqa: E402
 from stratafold import schemas as S  # noqa: E402
 from stratafold import views as V  # noqa: E402
 from stratafold.functions import exprs as X  # noqa: E402
@@ -103,7 +104,7 @@ def test_rules(spark):
     cols = "game_date string, puuid string, matches_played long, wins long, losses long, win_rate double, avg_kills double"
     bad = spark.createDataFrame([("2024-01-01", "p", 1, 2, 0, 1.2, -1.0), ("2024-01-01", "p", 1, 1, 0, 1.0, 1.0)], cols)
     got = {r.rule: (r.status, r.failed_rows) for r in QR.evaluate(bad, "t", [QR.Rule("u", "unique", ("game_date", "puuid")), QR.Rule("r", "between", ("win_rate",), {"min": 0, "max": 1}), QR.Rule("n", "non_negative", ("avg_kills",)), QR.Rule("s", "sum_equals", ("wins", "losses"), {"target": "matches_played"}), QR.Rule("x", "not_null", ("absent",)), QR.Rule("b", "boolean_if_present", ("absent",))]).collect()}
-    assert got == {"u": ("FAIL", 1), "r": ("FAIL", 1), "n": ("FAIL", 1), "s": ("FAIL", 1), "x": ("SKIP", 0), "b": ("PASS", 0)}
+    assert got == {"u": ("FAIL", 1), "r": ("FAIL", 1), "n": ("FAIL", 1), "s": ("FAIL", 1), "x": ("SKIP", None), "b": ("PASS", 0)}
     teams = spark.createDataFrame([(100,), (0,), (0,), (300,)], "team_id long")
     (r,) = QR.evaluate(teams, "t", [QR.Rule("ids", "accepted", ("team_id",), {"values": [100, 200]}, "warning")]).collect()
     assert (r.status, r.failed_rate) == ("WARN", 0.75)
@@ -117,8 +118,11 @@ def test_report(spark, tmp_path):
     assert {r.table: r.status for r in Q.table_status(checks).collect()}["teams"] == "FAIL"
     s = Q.summary(checks).first()
     assert (s.status, s.tables_missing, s.tables_expected, s.ready) == ("FAIL", 1, 2, False)
-    Q.write_report(checks, str(tmp_path), "r1")
-    assert spark.read.json(f"{tmp_path}/latest").count() == checks.count()
+    sections = Q.report(spark, {"silver": {"ranked": V.silver(spark, SF, "ranked")["ranked"], "teams": None}})
+    Q.write_report(sections, str(tmp_path), "r1")
+    Q.write_report(sections, str(tmp_path), "r2")
+    assert spark.read.json(f"{tmp_path}/latest/checks").count() == checks.count() and spark.read.json(f"{tmp_path}/runs/checks").count() == 2 * checks.count()
+    assert [r.run_id for r in Q.scores(spark, str(tmp_path)).orderBy("run_id").collect()] == ["r1", "r2"]
     assert Q.foreign_keys({"dim_match": spark.range(1)}).where("status <> 'SKIP'").count() == 0
 
 
@@ -173,3 +177,64 @@ def test_stream_dedup(spark, tmp_path):
     q = ingest.dedup_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["id"], "t").writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("dedup").count() == 2
+
+
+def raw_files(root):
+    for d, payloads in {
+        "matches": [match(teams=[{"teamId": 100, "win": True}]), "{bad"], "ranked": [{"queue": "Q", "tier": "GOLD", "entries": [{"summonerId": "s", "puuid": "p1", "rank": "I", "wins": 3, "losses": 1}]}],
+    }.items():
+        (root / d).mkdir(parents=True)
+        for i, p in enumerate(payloads):
+            (root / d / f"{i}.json").write_text(p if isinstance(p, str) else json.dumps(p))
+
+
+def test_runners(spark, tmp_path):
+    """Raw files to bronze, silver, gold and a report."""
+    lake = str(tmp_path / "lake")
+    raw_files(tmp_path / "raw")
+    assert runners.run_silver(spark, lake) == dict.fromkeys(S.SILVER, 0) and set(runners.run_gold(spark, lake).values()) == {0}
+    assert ingest.ingest_pending(spark, str(tmp_path / "raw"), f"{lake}/bronze/raw_json", max_files=1) == 1
+    assert ingest.ingest_pending(spark, str(tmp_path / "raw"), f"{lake}/bronze/raw_json", out_files=1) == 2
+    assert ingest.ingest_pending(spark, str(tmp_path / "raw"), f"{lake}/bronze/raw_json") == 0
+    want = dict.fromkeys(S.SILVER, 0) | {"matches": 1, "participants": 2, "teams": 1, "ranked": 1}
+    assert runners.run_silver(spark, lake) == want
+    assert runners.run_silver(spark, str(tmp_path / "other"), "raw", str(tmp_path / "raw"), persist=False) == want
+    assert runners.run_silver(spark, lake, datasets=["ranked"], tables=["ranked", "matches"]) == {"matches": 0, "ranked": 1}
+    counts = runners.run_gold(spark, lake, ["dim_match", "dim_team", "dim_rank", "dim_summoner", "fact_participant_performance"])
+    assert counts == {"dim_match": 1, "dim_summoner": 0, "dim_team": 1, "dim_rank": 1, "fact_participant_performance": 2}
+    report = runners.run_quality(spark, lake, f"{lake}/quality", "r1", tables={"silver": ["matches", "summoners"], "gold": ["dim_match", "dim_team", "fact_participant_performance"]})
+    status = {r.table: r.status for r in report["tables"].collect()}
+    assert status["silver.summoners"] == "FAIL" and status["silver.matches"] == "PASS" and status["gold.dim_team"] == "WARN"
+    assert report["alignment"].first().status == "PASS" and report["references"].where("status <> 'SKIP'").count() == 1
+    assert report["summary"].first().tables_missing == 1 and report["coverage"].count() == 3
+    for bad in (lambda: runners.run_silver(spark, lake, "lake"), lambda: runners.run_gold(spark, lake, ["nope"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_raw_as_bronze_is_typed_when_empty(spark, tmp_path):
+    assert runners.raw_as_bronze(spark, str(tmp_path)).schema == S.BRONZE_SCHEMA and runners.raw_as_bronze(spark, str(tmp_path)).count() == 0
+
+
+def test_micro_batches(spark):
+    df = spark.createDataFrame([(f"f{i:02d}", s) for i, s in enumerate([10, 10, 10, 10, 90, 10, 300, 10, 10])], "path string, length long")
+    got = {}
+    for r in files.micro_batches(df, 3, 100).collect():
+        got.setdefault(r.batch, []).append(r.length)
+    assert sum(map(len, got.values())) == 9 and all(len(b) <= 3 and (sum(b) <= 100 or len(b) == 1) for b in got.values())
+    assert max(map(len, got.values())) == 3
+
+
+def test_shared_parse_is_kept(spark):
+    kept = []
+    out = parse.build_silver(bronze(spark, ("matches", match())), ["matches", "participants", "ranked"], keep=kept)
+    assert len(kept) == 1 and kept[0].is_cached and out["participants"].count() == 2
+    kept[0].unpersist()
+
+
+def test_ingest_with_both_bounds(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / "raw/matches").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "raw/matches" / f"{i}.json").write_text("x" * 100)
+    (query,) = ingest.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"), str(tmp_path / "cp"), ("matches",), max_files={"matches": 5}, max_bytes={"matches": 200})
+    assert sum(p.numInputRows > 0 for p in query.recentProgress) == 3
