@@ -16,16 +16,18 @@ from stratafold.llm.common import fold, saved
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without text go (``und``); the others stay, whatever their label says."""
+    """Documents without a letter or without text go (``und``), so null and empty texts too; the others stay, whatever their label says,
+    each row of a repeated id or text by itself.  Rows with a null id are judged, but teach nothing."""
     model = langid.fit(docs.where(fold("doc_id", 4) != 2), "text", "lang", F.xxhash64(F.lit(10), "doc_id"))
-    # The operator sees id and text only, so columns of the table cannot clash with its own.
-    kept = langid.identify(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), model).where("lang_pred <> 'und'")
-    return kept.select("_row.*")
+    # The operator's columns replace those of equal names, so the others travel beside the text in a struct.
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("_row")
+    kept = langid.identify(docs.select("text", rest), model).where("lang_pred <> 'und'")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, of the smallest id (null last), then row number.  Rows that share an id, or have
-    none, are rows of their own: they go only if their text is a near duplicate."""
+    none, are rows of their own: they go only if their text is a near duplicate.  Texts without words are near duplicates of nothing."""
     rows = saved(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "rows")
     groups = ngram_join.jaccard_groups(rows.select("_row", F.col("_doc.text").alias("text")), "_row")
     order = F.struct(F.col("_doc.doc_id").isNull(), F.col("_doc.doc_id"), F.col("_row"))
@@ -35,22 +37,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
-    cols = docs.columns
-    found = pii.personal_data(docs.select(F.struct(*cols).alias("row"), "text"), "row", "text")
-    out = found.select("row.*", "redacted").withColumn("text", F.col("redacted"))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*cols)
+    """Personal data is replaced by its kind in brackets, and ``n_chars`` follows; every row stays, null texts as they are."""
+    # The row travels as the operator's id, in a struct.
+    found = pii.personal_data(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), "_row", "text")
+    length = lambda c: F.length("redacted").cast(docs.schema[c].dataType)
+    return found.select(*[(F.col("redacted") if c == "text" else length(c) if c == "n_chars" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; those of which it takes nothing go."""
+    """What the mix takes of each document; those of which it takes nothing go, so those without words too.  A null source is a source, and
+    rows of one id are documents of their own."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: the pieces with their token ids."""
+    """Training sequences: the pieces with their token ids, by ``doc_id``, which may be null or repeat."""
     return packing.pack(docs)
 
 
