@@ -40,3 +40,23 @@ def test_rows_without_an_own_id(spark):
     assert got.columns == docs.columns
     want = [(None, ""), (None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (3, "red green blue black white grey"), (5, "north south east west up down"), (8, None)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty texts, repeated rows, columns with the operators' own names, and an empty table."""
+    words = "north south east west up down left right"
+    rows = [(1, f"{words} alpha", "en", "a"), (1, f"{words} alpha", "en", "a"), (None, None, None, None), (2, "", None, "b"), (3, "mail me at jo@example.org now, please and thank you", "en", None), (3, "one two three four five six", None, "a"),
+            (None, "seven eight nine ten eleven twelve", "fr", "b"), (4, "12 34", "en", "a")]
+    clash = {c: f"{c}!" for c in ("row", "_row", "size", "taken", "finish", "score", "lang_pred", "redacted", "rep", "root", "id", "target")}
+    docs = spark.createDataFrame([(*r, *clash.values()) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in clash))
+    want = {"language": 5, "near_duplicates": 4, "personal_data": 4}
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = saved(stage(spark, table, SF), f"odd-{name}")
+            if name != "pack":
+                assert out.columns == docs.columns, name
+                assert all(r[c] == v for r in out.collect() for c, v in clash.items())
+            n = out.count()
+            if name in want and n:
+                assert n == want[name], (name, n)
+            table = out
