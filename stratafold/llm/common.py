@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of an Arrow batch where the session has Spark's default; one that the user chose stays.
+ARROW_ROWS, _DEFAULT_ROWS, _ROWS_KEY = 1000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Temporary folder of each local application that names no checkpoint folder.
 _LOCAL: dict[str, str] = {}
 
@@ -50,14 +52,18 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` where ``fn`` turns one batch into batches.  Spark bounds the bytes of a batch
-    (``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts come in small batches."""
+    """``mapInArrow`` where ``fn`` turns one batch into batches.
+
+    Spark bounds the bytes of a batch (``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts come in small batches.  Batches of Spark's
+    default number of rows leave workers with much memory, so a session that has this default gets ``ARROW_ROWS`` rows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
+    if df.sparkSession.conf.get(_ROWS_KEY) == _DEFAULT_ROWS:
+        df.sparkSession.conf.set(_ROWS_KEY, ARROW_ROWS)
     return df.mapInArrow(each, schema)
 
 
