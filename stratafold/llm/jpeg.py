@@ -365,7 +365,7 @@ def _media(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 pa.array([zlib.crc32(b[-32:]) for b in back], pa.int64()),
                 pa.array([len(s) for s in stored], pa.int64()),
                 pa.array([hashlib.sha256(s).hexdigest() for s in stored]),
-                pa.array([f"{images[0][0]}x{sum(i[1] for i in images)}:{thumbnail_hash(images[0][2])}" for images in read]),
+                pa.array([f"{images[0][0]}x{sum(i[1] for i in images)}:{thumbnail_hash(np.vstack([i[2] for i in images]))}" for images in read]),
                 pa.array(stored, pa.binary()),
             ],
             ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"],
@@ -383,7 +383,8 @@ def _runs(ids: pa.Array, texts: list[bytes]) -> Iterator[tuple[pa.Array, list[by
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its UTF-8 bytes (null: none) stored as JPEG samples in ``media``, and what reading them back gives:
-    lengths, digests and ``feature``, width x height and average hash of the thumbnail."""
+    lengths, digests and ``feature``, width x height and average hash of the thumbnail; the files of a very long text, of equal width, are
+    one image.  Repeated rows are stored each; an empty table gives no rows."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     out = map_arrow(source, _media, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")

@@ -259,6 +259,17 @@ def test_jpeg_beyond_one_file():
         assert b"".join(t.tobytes() for _, _, t in images) == data
 
 
+def test_media_of_very_long_and_no_texts(spark):
+    """The feature follows every file of a payload; an empty table has no rows."""
+    head = "".join(chr(33 + k * 7 % 90) for k in range(576)) * 8300
+    texts = [head + "a" * 576_000, head + "\x01" * 576_000]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": texts})
+    out = [r for b in jpeg._media(batch) for r in b.to_pylist()]
+    assert out[0]["feature"].split(":")[0] == out[1]["feature"].split(":")[0] and out[0]["feature"] != out[1]["feature"]
+    assert [r["payload_sha256"] for r in out] == [hashlib.sha256(jpeg.payload(t.encode())).hexdigest() for t in texts]
+    assert jpeg.media(spark.createDataFrame([], "doc_id long, text string, id int")).collect() == []
+
+
 def test_jpeg_with_ac_and_colour():
     """A hand-made file: three components, two luminance blocks side by side, AC codes, no restart interval."""
     dc, ac = bytes([0, 2, *[0] * 14, 0, 3]), bytes([0, 3, *[0] * 14, 0x00, 0x12, 0xF0])
