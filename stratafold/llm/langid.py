@@ -25,6 +25,8 @@ from .common import annotated, bounded_sample, discard, map_arrow, saved
 
 #: Labelled rows a model is fitted on, n-grams kept for each language, lengths in bytes, filter slots and hashes.
 SAMPLE, GRAMS, LENGTHS, SLOTS, HASHES = 20_000, 6_000, (2, 4), 1 << 18, 3
+#: Bytes of text handled at once; a longer text is handled in parts, so a worker's memory does not depend on it.
+SLICE = 1 << 18
 
 _LETTER = r"\p{L}"
 _U = np.uint64
@@ -56,6 +58,18 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(out), np.concatenate(at)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The n-grams of ``texts`` in runs of about ``SLICE`` bytes: first row, number of rows, hashes, and the row of each from the first.
+    Parts of one text overlap by what an n-gram that starts at the border needs."""
+    for first, data, offsets in K.slices(texts, SLICE):
+        for start in range(0, len(data) or 1, SLICE):
+            part = data[start : start + SLICE + max(LENGTHS) - 1]
+            g, at = grams(part, np.clip(offsets - start, 0, len(part)))
+            if len(part) > SLICE:
+                g, at = g[at < SLICE], at[at < SLICE]
+            yield first, len(offsets) - 1, g, np.searchsorted(offsets, at + start, "right") - 1
+
+
 def _fold() -> np.ndarray:
     t = np.full(256, 32, np.uint8)
     t[65:91] = np.arange(97, 123)
@@ -89,18 +103,14 @@ class LanguageFilter:
 
     def rates(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Share of each text's n-grams in every language's plane, corrected for false positives, and their number."""
-        out, total = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for first, data, offsets in K.slices(texts, 1 << 20):
-            g, at = grams(data, offsets)
-            row = np.searchsorted(offsets, at, "right") - 1
+        hits, total = np.zeros((len(texts), len(self.langs)), np.int64), np.zeros(len(texts), np.int64)
+        for first, n, g, row in runs(texts):
             masks = self.masks(g)
-            n = np.bincount(row, minlength=len(offsets) - 1)
-            total[first : first + len(n)] = n
-            for i, fill in enumerate(self.fill):
-                hit = np.bincount(row[(masks[:, i >> 6] >> _U(i & 63)) & _U(1) != 0], minlength=len(n))
-                rate = hit / np.maximum(n, 1)
-                out[first : first + len(n), i] = np.clip((rate - fill) / max(1 - fill, 1e-9), 0, 1)
-        return out, total
+            total[first : first + n] += np.bincount(row, minlength=n)
+            for i in range(len(self.langs)):
+                hits[first : first + n, i] += np.bincount(row[(masks[:, i >> 6] >> _U(i & 63)) & _U(1) != 0], minlength=n)
+        rates = hits / np.maximum(total, 1)[:, None]
+        return np.clip((rates - self.fill) / np.maximum(1 - self.fill, 1e-9), 0, 1), total
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and its share of all languages' corrected, self-scaled rates (0 to 1)."""
@@ -120,13 +130,12 @@ def fit(labelled: DataFrame, text: str, lang: str, salt: Column, sample: int = S
         names = np.array(batch["lang"].to_pylist(), object)
         for name in sorted(set(names)):
             own = batch["text"].filter(pa.array(names == name))
-            got = []
-            for _, data, offsets in K.slices(own, 1 << 20):
-                h, c = np.unique(grams(data, offsets)[0], return_counts=True)
-                got.append((h, c))
-            if got:
-                h, back = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
-                c = np.bincount(back, np.concatenate([x for _, x in got])).astype(np.int64)
+            h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for _, _, g, _ in runs(own):
+                more, n = np.unique(g, return_counts=True)
+                h, back = np.unique(np.concatenate([h, more]), return_inverse=True)
+                c = np.bincount(back, np.concatenate([c, n])).astype(np.int64)
+            if len(h):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "gram", "n"])
 
     counts = saved(map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")

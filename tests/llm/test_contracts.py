@@ -259,6 +259,17 @@ def test_jpeg_beyond_one_file():
         assert b"".join(t.tobytes() for _, _, t in images) == data
 
 
+def test_langid_parts_of_long_texts(monkeypatch):
+    """A text handled in parts counts as one handled at once, also where a part ends inside a character or a row."""
+    texts = pa.array(["héé ünï 中文 word, " * 40_000, None, "", "short one", "a b" * 100_000, "zz"])
+    rng = np.random.default_rng(3)
+    model = langid.LanguageFilter(["a", "b"], rng.integers(0, 4, (langid.SLOTS, 1), dtype=np.uint64), np.full(2, 0.1), np.ones(2))
+    parts, n = model.rates(texts)
+    monkeypatch.setattr(langid, "SLICE", 1 << 30)
+    whole, m = model.rates(texts)
+    assert (n == m).all() and (parts == whole).all() and n[1] == n[2] == 0 and n[0] > 1_000_000
+
+
 def test_media_of_very_long_and_no_texts(spark):
     """The feature follows every file of a payload; an empty table has no rows."""
     head = "".join(chr(33 + k * 7 % 90) for k in range(576)) * 8300
