@@ -14,6 +14,8 @@ def _lineage(dataset: str, key: str, digest: str, date: str) -> str:
 
 _S = lambda x: f"CAST({x} AS STRING)"
 _DAY = lambda x: f"CAST(CAST({x} AS DATE) AS STRING)"
+# A timeline is one day of a user, its frames the hours with events: no group or payload grows with the days a user has.
+_USER_DAY = f"concat({_S('user_id')}, '_', {_DAY('ts')})"
 _INT = lambda x: f"CAST(floor({x}) AS BIGINT)"
 _ROLE = "CASE {x} % 7 WHEN 0 THEN ' middle ' WHEN 1 THEN 'TOP' WHEN 2 THEN 'Invalid' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'bottom' ELSE 'NONE' END"
 _KILLS = ", ".join(f"CAST((o_orderkey + t) % {m} AS BIGINT) AS {c}" for c, m in (("baron_kills", 3), ("dragon_kills", 5), ("rift_herald_kills", 2), ("tower_kills", 11), ("inhibitor_kills", 4), ("champion_kills", 31)))
@@ -37,9 +39,9 @@ SQL = {
         CASE c_custkey % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'III' ELSE 'IV' END AS rank, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE concat('s', {_S('c_custkey % 300')}) END AS summoner_id, concat('p', {_S('c_custkey')}) AS puuid, CAST(c_custkey % 100 AS BIGINT) AS league_points,
         {_INT('c_acctbal / 100')} AS wins, CAST(c_custkey % 50 AS BIGINT) AS losses, CASE WHEN {_INT('c_acctbal / 100')} + c_custkey % 50 = 0 THEN NULL ELSE CAST({_INT('c_acctbal / 100')} AS DOUBLE) / ({_INT('c_acctbal / 100')} + c_custkey % 50) END AS win_rate,
         c_custkey % 2 = 0 AS hot_streak, c_custkey % 3 = 0 AS veteran, c_custkey % 5 = 0 AS fresh_blood, c_custkey % 7 = 0 AS inactive, {_lineage('ranked', _S('c_custkey'), _S('c_nationkey'), "concat('2001-02-0', " + _S('1 + c_custkey % 3') + ")")} FROM customer""",
-    "timeline_events": f"""SELECT concat('U_', {_S('user_id')}) AS match_id, frame_index, CAST(row_number() OVER (PARTITION BY user_id, frame_index ORDER BY ts, event_id) - 1 AS BIGINT) AS event_index, CAST(event_id AS BIGINT) AS event_timestamp, event_type, CAST(event_id % 10 AS BIGINT) AS participant_id, CAST(event_id % 11 AS BIGINT) AS killer_id, CAST(event_id % 12 AS BIGINT) AS victim_id,
+    "timeline_events": f"""SELECT concat('U_', {_USER_DAY}) AS match_id, frame_index, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), frame_index ORDER BY ts, event_id) - 1 AS BIGINT) AS event_index, CAST(event_id AS BIGINT) AS event_timestamp, event_type, CAST(event_id % 10 AS BIGINT) AS participant_id, CAST(event_id % 11 AS BIGINT) AS killer_id, CAST(event_id % 12 AS BIGINT) AS victim_id,
         CAST(100 * (event_id % 3) AS BIGINT) AS team_id, CASE WHEN event_id % 4 = 0 THEN 'DRAGON' END AS monster_type, CASE WHEN event_id % 5 = 0 THEN 'TOWER' END AS building_type, CASE WHEN event_id % 6 = 0 THEN 'MID' END AS lane_type,
-        {_lineage('timelines', _S('user_id'), _S('event_id'), _DAY('ts'))} FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) - 1 AS BIGINT) AS frame_index FROM events) AS e""",
+        {_lineage('timelines', _USER_DAY, _S('event_id'), _DAY('ts'))} FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY hour(ts)) - 1 AS BIGINT) AS frame_index FROM events) AS e""",
 }
 SQL["timeline_frames"] = f"""SELECT match_id, frame_index, min(event_timestamp) AS frame_timestamp, CAST(count(DISTINCT participant_id) AS BIGINT) AS participant_frame_count, CAST(count(*) AS BIGINT) AS event_count, min(source_file) AS source_file, min(file_hash) AS file_hash, min(ingest_ts) AS ingest_ts, min(ingest_date) AS ingest_date, min(dataset) AS dataset, min(game_date) AS game_date
     FROM ({SQL['timeline_events']}) AS ev GROUP BY match_id, frame_index"""
