@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, jpeg, langid, lattice, mixing, ngram_join, packing, pii, toxicity, url_filters
-from .common import documents, fold
+from . import blob_ledger, brown, jpeg, langid, lattice, mixing, ngram_join, packing, pii, toxicity, url_filters
+from .common import documents, fold, scratch_root
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 
-OPERATORS = (op1_embedding_neardup, op2_toxicity, op3_media, op4_ngram_join, op5_mix, op6_brown, op7_pii, op8_pack, op9_url_filter, op10_langid)
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One version of every document against a new ledger."""
+    docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), f"{scratch_root(spark)}/ledger-{uuid.uuid4().hex}"
+    blob_ledger.scan(docs, ledger)
+    return blob_ledger.digest(blob_ledger.findings(docs, ledger).drop("text"))
+
+
+OPERATORS = (op1_embedding_neardup, op2_toxicity, op3_media, op4_ngram_join, op5_mix, op6_brown, op7_pii, op8_pack, op9_url_filter, op10_langid, op11_secrets)
 QUERIES = {f.__name__: f for f in OPERATORS}
 
 SQL = {
@@ -95,5 +104,22 @@ met AS (SELECT c.page_id, count(*) AS n_active, min(s.from_day) AS listed_since
     ON c.fetch_day >= s.from_day AND (s.to_day IS NULL OR c.fetch_day < s.to_day)
     AND CASE s.kind WHEN 'url' THEN c.address = s.value ELSE c.host = s.value OR ends_with(c.host, '.' || s.value) END GROUP BY 1)
 SELECT c.page_id, c.url, c.fetch_day, coalesce(n_active, 0) AS n_active, listed_since, n_active IS NOT NULL AS blocked FROM captures c LEFT JOIN met USING (page_id)
+""",
+    "op11_secrets": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+rules(k, kind, re) AS (VALUES
+    (1, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+    (2, 'access', 'AKIA[A-Z0-9]+'), (3, 'hex', '[0-9a-f]+'), (4, 'github', 'gh[oprsu]_[A-Za-z0-9]{36,}'), (5, 'slack', 'xox[abprs]-[A-Za-z0-9-]{10,}'),
+    (6, 'pem', '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), (7, 'login', '://[^\x00-\x20/:@]{1,100}:[^\x00-\x20/:@]{1,100}@')),
+cut AS (SELECT r, k, kind, unnest(string_split_regex(text, re)) AS gap, unnest(regexp_extract_all(text, re)) AS hit,
+    unnest(CASE k WHEN 1 THEN regexp_extract_all(text, re, 2) ELSE regexp_extract_all(text, re) END) AS own,
+    unnest(range(len(regexp_extract_all(text, re)) + 1)) AS nth FROM docs, rules WHERE regexp_matches(text, re)),
+placed AS (SELECT r, k, kind, own, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY r, k ORDER BY nth) AS stop FROM cut WHERE hit IS NOT NULL),
+spans AS (SELECT r, k, kind, (stop - length(hit))::BIGINT AS start, kind || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span FROM placed
+    WHERE CASE k WHEN 1 THEN length(own) >= 6 WHEN 2 THEN length(own) >= 20 WHEN 3 THEN length(own) >= 24 ELSE true END),
+met AS (SELECT r, count(*) FILTER (k = 1) AS a, count(*) FILTER (k = 2) AS b, count(*) FILTER (k = 3) AS c,
+    string_agg(span, ',' ORDER BY start, k) FILTER (k <= 3) AS base, string_agg(span, ',' ORDER BY start, k) AS every FROM spans GROUP BY r)
+SELECT doc_id, sha256(text) AS blob, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM docs LEFT JOIN met USING (r)
 """,
 }
