@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, brown, jpeg, langid, lattice, mixing, ngram_join, packing, pii, spelling, toxicity, url_filters
+from . import blob_ledger, brown, jpeg, langid, lattice, mixing, ngram_join, packing, pii, repair, spelling, toxicity, url_filters
 from .common import documents, fold, scratch_root
 
 
@@ -82,11 +82,15 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.digest(blob_ledger.findings(docs, ledger).drop("text"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
-OPERATORS = (op1_embedding_neardup, op2_toxicity, op3_media, op4_ngram_join, op5_mix, op6_brown, op7_pii, op8_pack, op9_url_filter, op10_langid, op11_secrets, op13_spelling)
+OPERATORS = (op1_embedding_neardup, op2_toxicity, op3_media, op4_ngram_join, op5_mix, op6_brown, op7_pii, op8_pack, op9_url_filter, op10_langid, op11_secrets, op12_conversations, op13_spelling)
 QUERIES = {f.__name__: f for f in OPERATORS}
 
 SQL = {

@@ -1,6 +1,6 @@
 """Conversation structure repair by a weighted generalised LR parse.
 
-The roles of a sound conversation follow a small grammar: nothing, or pairs of user and assistant, after at most one system turn.  The parser is an
+The roles of a sound conversation follow a small grammar: nothing, or pairs of user and assistant after at most one system turn.  The parser is an
 SLR automaton of that grammar over a graph-structured stack.  A row may be kept, given another role or deleted, and turns without text may be
 inserted; each action has a cost and a letter in the audit.  Stacks are interned nodes (state, node below), so parses that come to equal stack tops
 meet in one node, where the least (cost, audit) stays.
@@ -20,11 +20,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from .common import map_arrow
+from pyspark.sql import types as T
 
 #: The grammar, its terminals (initials of roles) and the costs of the edits.
-GRAMMAR = (("C", ()), ("C", ("S",)), ("C", ("P",)), ("C", ("S", "P")), ("S", ("s",)), ("P", ("T",)), ("P", ("P", "T")), ("T", ("u", "a")))
+GRAMMAR = (("C", ()), ("C", ("P",)), ("C", ("S", "P")), ("S", ("s",)), ("P", ("T",)), ("P", ("P", "T")), ("T", ("u", "a")))
 END, KEEP, REROLE, DELETE, INSERT, TRUNCATED = "$", 0, 2, 3, 2, 1
 #: Roles that rows may be given and that may be inserted.
 ROLES = {"u": "user", "a": "assistant"}
@@ -196,7 +195,7 @@ class Repair:
             offer(top, cost + DELETE, rank, made, "D", None)
             if must_go:
                 continue
-            for to in self.stacks.shift(top, role[:1]) if role[:1] in "sua" and role else ():
+            for to in self.stacks.shift(top, role[:1]) if role[:1] in ("s", "u", "a") else ():
                 offer(to, cost + KEEP + TRUNCATED * truncated, rank, made, "K", f"{role}:{text}")
             for x, name in ROLES.items():
                 for to in self.stacks.shift(top, x):
@@ -222,53 +221,48 @@ class Repair:
         return cost, "".join(reversed(pieces)), (state or hashlib.sha256()).hexdigest()
 
 
-_OUT = (
-    "conv string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
-)
+_OUT = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 
 
-def _repaired(key: pa.DataType):
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams rows sorted by conversation and place; a row out for each conversation."""
-    kinds = [key, *[pa.int64()] * 6, pa.string(), pa.string()]
-    names = ["conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stacks, out = Stacks(Automaton(GRAMMAR)), []
-        conv, parse = None, None
-
-        def close() -> None:
-            gaps = turns[1] - turns[0] + 1 - turns[2] if turns[2] else 0
-            out.append((conv, gaps, *faults, *parse.end()))
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-        for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("conv", "turn", "role", "text", "copies", "again", "blank", "truncated")]
-            for c, turn, role, text, copies, again, is_blank, is_cut in zip(*columns, strict=True):
-                if parse is None or c != conv:
-                    if parse is not None:
-                        close()
-                    conv, parse, before = c, Repair(stacks), None
-                    turns, faults = [None, None, 0], [0, 0, 0, 0]
-                for copy in range(copies):
-                    if turn is not None and turn != turns[1]:
-                        turns = [turn if turns[0] is None else turns[0], turn, turns[2] + 1]
-                    repeated = not is_blank and (again or copy > 0)
-                    cut = is_cut and not is_blank and not repeated
-                    for k, fault in enumerate((is_blank, repeated, cut, before is not None and before + role[:1] not in ILLEGAL_UNLESS)):
-                        faults[k] += fault
-                    parse.row(role, text, is_blank or repeated, cut)
-                    before = role[:1]
-            if len(out) >= 1000:
-                yield batch_of()
-                out.clear()
-        if parse is not None:
-            close()
-        if out:
-            yield batch_of()
-
-    return run
+    stacks, out = Stacks(Automaton(GRAMMAR)), []
+    conv, parse, kind = None, None, None
+
+    def close() -> None:
+        gaps = turns[1] - turns[0] + 1 - turns[2] if turns[2] else 0
+        out.append((conv, gaps, *faults, *parse.end()))
+
+    def made() -> pa.RecordBatch:
+        kinds = [kind, *[pa.int64()] * 6, pa.string(), pa.string()]
+        names = ["conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        kind = batch["conv"].type
+        columns = [batch[c].to_pylist() for c in ("conv", "turn", "role", "text", "copies", "again", "blank", "truncated")]
+        for c, turn, role, text, copies, again, is_blank, is_cut in zip(*columns, strict=True):
+            if parse is None or c != conv:
+                if parse is not None:
+                    close()
+                conv, parse, before = c, Repair(stacks), None
+                turns, faults = [None, None, 0], [0, 0, 0, 0]
+            for copy in range(copies):
+                if turn is not None and turn != turns[1]:
+                    turns = [turn if turns[0] is None else turns[0], turn, turns[2] + 1]
+                repeated = not is_blank and (again or copy > 0)
+                cut = is_cut and not is_blank and not repeated
+                illegal = before is not None and before + role[:1] not in ILLEGAL_UNLESS
+                faults = [n + fault for n, fault in zip(faults, (is_blank, repeated, cut, illegal), strict=True)]
+                parse.row(role, text, is_blank or repeated, cut)
+                before = role[:1]
+        if len(out) >= 1000:
+            yield made()
+            out.clear()
+    if parse is not None:
+        close()
+    if out:
+        yield made()
 
 
 def _filled(c: str) -> Column:
@@ -301,13 +295,8 @@ def repair(rows: DataFrame) -> DataFrame:
         "conv", "turn", "role", "text", "copies", "role0", "text0", (left & (nth > 1)).alias("again"), (bare == "").alias("blank"), (~F.right(bare, F.lit(1)).isin(".", "!", "?")).alias("truncated")
     )
     ordered = marked.repartition("conv").sortWithinPartitions(F.col("conv").asc_nulls_first(), *place)
-    kind = rows.schema["conv"].dataType.simpleString()
     slim = ordered.select("conv", "turn", "role", "text", "copies", "again", "blank", "truncated")
-    return map_arrow_stream(slim, kind)
-
-
-def map_arrow_stream(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.mapInArrow(_repaired(pa.string() if kind == "string" else pa.int64()), _OUT.replace("conv string", f"conv {kind}", 1))
+    return slim.mapInArrow(_parsed, T.StructType([rows.schema["conv"], *T._parse_datatype_string(_OUT)]))
 
 
 def repaired_conversations(conversations: DataFrame) -> DataFrame:
