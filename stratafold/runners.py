@@ -15,6 +15,7 @@ from .functions import parse
 from .operators import gold as G
 from .quality import report as Q
 from .sources import files
+from .streaming import ingest
 
 DATASETS = tuple(parse.ROUTES)
 
@@ -51,7 +52,7 @@ def run_silver(
         raise ValueError("source must be 'bronze' or 'raw'")
     wanted, allowed = _chosen(tables, S.SILVER, "silver table"), _chosen(datasets, DATASETS, "dataset")
     counts = dict.fromkeys(wanted, 0)
-    bronze = files.read_table(spark, f"{lake}/bronze/raw_json") if source == "bronze" else raw_as_bronze(spark, raw_root or f"{lake}/raw", allowed)
+    bronze = ingest.read_bronze(spark, f"{lake}/bronze/raw_json") if source == "bronze" else raw_as_bronze(spark, raw_root or f"{lake}/raw", allowed)
     if bronze is None:
         return counts
     bronze = bronze.where(F.col("dataset").isin(allowed))

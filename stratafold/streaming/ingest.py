@@ -1,7 +1,14 @@
-"""Incremental ingestion: a streaming query per dataset; its checkpoint remembers the files seen."""
+"""Ingestion of raw files into bronze, by stream or by batch, with one state for both.
+
+Bronze is a table with a folder for each dataset, date, run and batch.  A run writes its rows, then its part of the ledger (a row for each file:
+kept or rejected), then one commit row.  Rows and ledger entries of runs without a commit are invisible, so a run that fails leaves nothing behind
+that is read, and its files are taken by the next.  Files in the ledger are never taken again, whichever way they came, so a stream's replay or
+an older checkpoint does no harm.  One run writes to a bronze table at a time.
+"""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,60 +17,113 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..sources.files import bronze_rows, has_files, pending, read_table, scan_files, write_table
+from ..sources.files import has_files, micro_batches, pending, read_files, read_table, scan_files, write_table
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+DATASETS = ("matches", "timelines", "summoners", "ranked")
+_LEDGER = "dataset string, source_file string, path string, length bigint, file_hash string, batch int, reason string, run string"
+
+
+def _log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log table; an empty frame where nothing was written yet."""
+    return spark.createDataFrame([], schema) if read_table(spark, path) is None else spark.read.schema(schema).parquet(path)
+
+
+def commits(spark: SparkSession, bronze_path: str) -> DataFrame:
+    """The runs that ended: run, files, bytes, rejected and time."""
+    return _log(spark, f"{bronze_path}/_commits", "run string, files bigint, bytes bigint, rejected bigint, committed_at timestamp")
+
+
+def ledger(spark: SparkSession, bronze_path: str) -> DataFrame:
+    """A row for each file that was taken, with its batch and, if it was rejected, the reason."""
+    done = commits(spark, bronze_path).select("run")
+    return _log(spark, f"{bronze_path}/_ledger", _LEDGER).join(done, "run", "left_semi").select(*T._parse_datatype_string(_LEDGER).names)
+
+
+def rejects(spark: SparkSession, bronze_path: str) -> DataFrame:
+    """Files that were taken but have no row in :func:`read_bronze`: dataset, path, size, digest and reason."""
+    return ledger(spark, bronze_path).where("reason is not null").select("dataset", "path", "length", "file_hash", "reason")
+
+
+def read_bronze(spark: SparkSession, bronze_path: str, datasets: tuple[str, ...] | None = None) -> DataFrame | None:
+    """The rows of committed runs; None where there is no bronze table.  A table that no run wrote is read as it is."""
+    table = read_table(spark, bronze_path)
+    if table is None:
+        return None
+    if "run" in table.columns:
+        table = table.join(commits(spark, bronze_path).select("run"), "run", "left_semi").where("reason is null")
+    return (table if datasets is None else table.where(F.col("dataset").isin(*datasets))).select(*S.BRONZE)
 
 
-def ingest(spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str, datasets: tuple[str, ...] = ("matches", "timelines", "summoners", "ranked"), max_files: dict[str, int] | None = None, max_bytes: dict[str, int] | None = None) -> list[StreamingQuery]:
-    """Append the files not seen yet to bronze, exactly once, in micro-batches bounded by files or bytes for each dataset.
+def commit(files: DataFrame, bronze_path: str, root: str, max_files: int | dict[str, int], max_bytes: int | dict[str, int], out_files: int = 0) -> int:
+    """Take those of ``files`` (dataset and the columns of a file scan) that the ledger lacks, as one run; the number of rows that bronze gains.
 
-    Spark takes one of the two bounds.  Where both are given, the bound on files is lowered to the files of mean size that fit the bytes."""
+    Files are cut into greedy batches by ``micro_batches``; each batch is a folder of ``out_files`` files (0: as Spark deals them).  A file whose
+    bytes are not UTF-8 goes to the ledger with its size, digest and reason.  Contents are read once."""
+    spark, run = files.sparkSession, uuid.uuid4().hex
+    named = files.withColumn("source_file", F.regexp_extract(F.url_decode("path"), rf"({root}/.*)$", 1))
+    fresh = named.select("dataset", "path", "length", "source_file").join(ledger(spark, bronze_path).select("source_file"), "source_file", "left_anti")
+    cut = micro_batches(fresh, max_files, max_bytes)
+    rows = read_files(files.drop("dataset"), root).drop("dataset").join(cut.select("source_file", "dataset", "batch"), "source_file").withColumn("run", F.lit(run))
+    names = [*S.BRONZE, "path", "length", "reason", "run", "batch"]
+    n = write_table(rows.select(*names), bronze_path, partition_by=("dataset", "ingest_date", "run", "batch"), out_files=out_files)
+    if not n:
+        return 0
+    # The ledger is read from what was written, without the payloads.
+    new = read_table(spark, bronze_path).where(F.col("run") == run)
+    new = new.select(*[F.col(f.name).cast(f.dataType) for f in T._parse_datatype_string(_LEDGER)])
+    seen: dict = {}
+    totals = (F.sum("length").alias("bytes"), F.count("reason").alias("rejected"))
+    write_table(new, f"{bronze_path}/_ledger", observe=totals, observed=seen)
+    done = spark.range(1).select(F.lit(run).alias("run"), F.lit(n).cast("long").alias("files"), F.lit(seen["bytes"]).cast("long").alias("bytes"), F.lit(seen["rejected"]).cast("long").alias("rejected"), F.current_timestamp().alias("committed_at"))
+    done.coalesce(1).write.mode("append").parquet(f"{bronze_path}/_commits")
+    return n - seen["rejected"]
+
+
+def _root_name(raw_root: str) -> str:
+    return raw_root.rstrip("/").rsplit("/", 1)[-1]
+
+
+def ingest(
+    spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str, datasets: tuple[str, ...] = DATASETS, max_files: int | dict[str, int] = 100,
+    max_bytes: int | dict[str, int] = 64 << 20, out_files: int = 0,
+) -> list[StreamingQuery]:
+    """Take the new files of each dataset by a stream that ends when there are none left.
+
+    The stream's checkpoint only tells where to look; what is taken is decided by the ledger.  Both bounds hold for every batch, as greedily as
+    :func:`~stratafold.sources.files.micro_batches` cuts them; the stream itself hands over all new files at once, whose contents are not read then."""
     done = []
     for d in datasets:
-        source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.json")
-        count, size = (max_files or {}).get(d), (max_bytes or {}).get(d)
-        if count and size and has_files(spark, f"{raw_root}/{d}"):
-            mean = scan_files(spark, f"{raw_root}/{d}").agg(F.avg("length")).first()[0]
-            count = max(1, min(count, int(size // max(mean, 1))))
-        if count:
-            source = source.option("maxFilesPerTrigger", count)
-        elif size:
-            source = source.option("maxBytesPerTrigger", size)
-        rows = bronze_rows(source.load(f"{raw_root}/{d}"), raw_root.rstrip("/").rsplit("/", 1)[-1])
-        # A folder for each dataset: every streaming sink keeps a log of its own.
-        query = rows.drop("dataset").writeStream.format("parquet").partitionBy("ingest_date").option("path", f"{bronze_path}/dataset={d}").option("checkpointLocation", f"{checkpoint}/{d}").trigger(availableNow=True).start()
+        if not has_files(spark, f"{raw_root}/{d}"):
+            continue
+        source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.json").load(f"{raw_root}/{d}")
+
+        def take(files: DataFrame, _: int, d: str = d) -> None:
+            commit(files.withColumn("dataset", F.lit(d)), bronze_path, _root_name(raw_root), max_files, max_bytes, out_files)
+
+        query = source.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{d}").trigger(availableNow=True).start()
         query.awaitTermination()
         done.append(query)
     return done
 
 
-def ingest_pending(spark: SparkSession, raw_root: str, bronze_path: str, datasets: tuple[str, ...] = ("matches", "timelines", "summoners", "ranked"), max_files: int = 0, dataset_max: dict[str, int] | None = None, out_files: int = 0) -> int:
-    """All files that are not in bronze yet, as one append; the number of rows written.
+def ingest_pending(
+    spark: SparkSession, raw_root: str, bronze_path: str, datasets: tuple[str, ...] = DATASETS, max_files: int = 0, dataset_max: dict[str, int] | None = None,
+    out_files: int = 0, batch_files: int | dict[str, int] | None = None, batch_bytes: int | dict[str, int] | None = None,
+) -> int:
+    """All files that the ledger lacks, as one run; the number of rows that bronze gains.
 
     ``max_files`` caps the run and ``dataset_max`` each dataset for its lifetime, as :func:`~stratafold.sources.files.pending` does; files are chosen by
-    their names before contents are read.  ``out_files`` is the number of files written (0: as Spark deals them)."""
-    done = read_table(spark, bronze_path)
-    root = raw_root.rstrip("/").rsplit("/", 1)[-1]
+    their names before contents are read.  Without ``batch_files`` and ``batch_bytes`` a dataset's files are one batch."""
+    root = _root_name(raw_root)
     found = [scan_files(spark, f"{raw_root}/{d}").withColumn("dataset", F.lit(d)) for d in datasets if has_files(spark, f"{raw_root}/{d}")]
     if not found:
         return 0
     files = reduce(DataFrame.unionByName, found)
-    source = F.regexp_extract(F.url_decode("path"), rf"({root}/.*)$", 1)
-    chosen = pending(files.select("dataset", source.alias("source_file")), done, max_files, dataset_max)
-    fresh = files.withColumn("source_file", source).join(chosen, ["dataset", "source_file"], "left_semi")
-    rows = bronze_rows(fresh, root)
-    return write_table(rows.repartition(out_files) if out_files else rows, bronze_path, partition_by=("dataset", "ingest_date"))
-
-
-def read_bronze(spark: SparkSession, bronze_path: str, datasets: tuple[str, ...] = ("matches", "timelines", "summoners", "ranked")) -> DataFrame:
-    """The rows that the sinks' logs hold as committed."""
-    kept = T.StructType([f for f in S.BRONZE_SCHEMA if f.name != "dataset"])
-    out = spark.createDataFrame([], S.BRONZE_SCHEMA)
-    for d in datasets:
-        if read_table(spark, f"{bronze_path}/dataset={d}") is not None:
-            out = out.unionByName(spark.read.schema(kept).parquet(f"{bronze_path}/dataset={d}").withColumn("dataset", F.lit(d)))
-    return out
+    named = files.select("path", "dataset", F.regexp_extract(F.url_decode("path"), rf"({root}/.*)$", 1).alias("source_file"))
+    chosen = pending(named, ledger(spark, bronze_path), max_files, dataset_max)
+    fresh = files.join(chosen.select("path"), "path", "left_semi")
+    return commit(fresh, bronze_path, root, batch_files or {}, batch_bytes or {}, out_files)
 
 
 def dedup_events(events: DataFrame, keys: list[str], time: str, lateness: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of the layered library against known rows, and queries against DuckDB."""
 
 import json
+import random
 import sys
 from pathlib import Path
 
@@ -126,28 +127,67 @@ def test_report(spark, tmp_path):
     assert Q.foreign_keys({"dim_match": spark.range(1)}).where("status <> 'SKIP'").count() == 0
 
 
+def raw_folder(root, **datasets):
+    for d, contents in datasets.items():
+        (root / d).mkdir(parents=True, exist_ok=True)
+        for name, content in contents.items():
+            (root / d / name).write_bytes(content)
+
+
 def test_ingest(spark, tmp_path):
-    raw = tmp_path / "raw"
-    for d in ("matches", "summoners"):
-        (raw / d).mkdir(parents=True)
-    for i in range(5):
-        (raw / "matches" / f"{i}.json").write_text("{}" if i else "not json")
-    (raw / "matches" / "bad.json").write_bytes(b"\xff\xfe")
-    (raw / "matches" / "note.txt").write_text("x")
-    (raw / "summoners" / "a.json").write_text("{}")
-    run = lambda: ingest.ingest(spark, str(raw), str(tmp_path / "bronze"), str(tmp_path / "cp"), ("matches", "summoners"), max_files={"matches": 2})
-    first = run()
-    assert len(first[0].recentProgress) >= 3
-    table = ingest.read_bronze(spark, str(tmp_path / "bronze"))
-    assert table.count() == 6 and table.where("payload_json = 'not json'").count() == 1
-    (raw / "matches" / "new.json").write_text("{}")
-    run()
-    assert ingest.read_bronze(spark, str(tmp_path / "bronze")).count() == 7
+    """Stream, then batch, then stream again: one state, each file once, and every file kept or rejected."""
+    raw, bronze = tmp_path / "raw", str(tmp_path / "bronze")
+    raw_folder(raw, matches={f"{i}.json": b"{}" if i else b"not json" for i in range(5)} | {"bad.json": b"\xff\xfe", "note.txt": b"x"}, summoners={"a.json": b"{}"})
+    stream = lambda: ingest.ingest(spark, str(raw), bronze, str(tmp_path / "cp"), ("matches", "summoners"), max_files={"matches": 2})
+    stream()
+    table = ingest.read_bronze(spark, bronze)
+    assert table.columns == S.BRONZE and table.count() == 6 and table.where("payload_json = 'not json'").count() == 1
+    assert {(r.batch, r.n) for r in ingest.ledger(spark, bronze).where("dataset = 'matches'").groupBy("batch").agg(F.count("*").alias("n")).collect()} == {(0, 2), (1, 2), (2, 2)}
+    (bad,) = ingest.rejects(spark, bronze).collect()
+    assert bad.path.endswith("bad.json") and (bad.length, bad.reason) == (2, "not UTF-8") and len(bad.file_hash) == 64
+    raw_folder(raw, matches={"new.json": b"{}", "worse.json": b"\xc3"})
+    assert ingest.ingest_pending(spark, str(raw), bronze) == 1 and ingest.ingest_pending(spark, str(raw), bronze) == 0
+    raw_folder(raw, matches={"newer.json": b"{}"})
+    stream()
+    # Another checkpoint, as after its loss, takes nothing twice.
+    ingest.ingest(spark, str(raw), bronze, str(tmp_path / "other"), ("matches", "summoners"))
+    sources = [r.source_file for r in ingest.read_bronze(spark, bronze).collect()]
+    assert len(sources) == len(set(sources)) == 8 and ingest.rejects(spark, bronze).count() == 2
+    assert ingest.ledger(spark, bronze).count() == 10 == ingest.commits(spark, bronze).agg(F.sum("files")).first()[0]
+    assert sorted(ingest.read_bronze(spark, bronze, ("summoners",)).first())[-1] == "{}"
+
+
+def test_runs_without_a_commit_are_invisible(spark, tmp_path):
+    raw, bronze = tmp_path / "raw", str(tmp_path / "bronze")
+    raw_folder(raw, ranked={"a.json": b"{}", "b.json": b"[]"})
+    ingest.ingest_pending(spark, str(raw), bronze, max_files=1)
+    raw_folder(raw, ranked={"c.json": b"{}"})
+    ingest.ingest_pending(spark, str(raw), bronze)
+    last = ingest.commits(spark, bronze).orderBy(F.desc("committed_at")).first().run
+    kept = ingest.commits(spark, bronze).where(F.col("run") != last).collect()
+    spark.createDataFrame(kept, ingest.commits(spark, bronze).schema).coalesce(1).write.parquet(str(tmp_path / "log"))
+    (tmp_path / "bronze/_commits").rename(tmp_path / "lost")
+    (tmp_path / "log").rename(tmp_path / "bronze/_commits")
+    assert ingest.read_bronze(spark, bronze).count() == 1 == ingest.ledger(spark, bronze).count()
+    assert ingest.ingest_pending(spark, str(raw), bronze) == 2 and ingest.read_bronze(spark, bronze).select("source_file").distinct().count() == 3 == ingest.read_bronze(spark, bronze).count()
+
+
+def test_caps_and_files(spark, tmp_path):
+    raw, bronze = tmp_path / "raw", str(tmp_path / "bronze")
+    raw_folder(raw, matches={f"{i}.json": b"{}" for i in range(9)}, summoners={"a.json": b"{}"})
     rows = files.bronze_rows(files.scan_files(spark, str(raw)))
-    assert rows.count() == 7 and "payload_json" not in files.manifest(files.scan_files(spark, str(raw))).columns
+    assert rows.count() == 10 and "payload_json" not in files.manifest(files.scan_files(spark, str(raw))).columns
     done = rows.where("source_file like '%/0.json' or source_file like '%/1.json'")
     assert files.pending(rows, done, dataset_max={"matches": 3}).where("dataset = 'matches'").select("source_file").first()[0].endswith("/2.json")
-    assert files.pending(rows, done, max_files=2).count() == 2 and files.pending(rows, None).count() == 7
+    assert files.pending(rows, done, max_files=2).count() == 2 and files.pending(rows, None).count() == 10
+    assert ingest.ingest_pending(spark, str(raw), bronze, dataset_max={"matches": 8}, out_files=4) == 9
+    written = lambda d: len(list((tmp_path / "bronze" / f"dataset={d}").rglob("*.parquet")))
+    assert (written("matches"), written("summoners")) == (4, 1)
+    assert ingest.ingest_pending(spark, str(raw), bronze, dataset_max={"matches": 8}) == 0
+    df = spark.range(100)
+    assert files.write_table(df, str(tmp_path / "t"), out_files=4) == 100 and len(list((tmp_path / "t").glob("*.parquet"))) == 4
+    files.write_table(df.coalesce(1), str(tmp_path / "u"), max_rows=30)
+    assert len(list((tmp_path / "u").glob("*.parquet"))) == 4
 
 
 def test_tables(spark, tmp_path):
@@ -158,11 +198,50 @@ def test_tables(spark, tmp_path):
     assert files.write_table(df.limit(0), path, mode="overwrite") == 0 and spark.read.parquet(path).count() == 2
     files.write_table(df, path, mode="append", partition_by=("game_date",))
     assert spark.read.parquet(path).count() == 4
-    assert files.register_tables(spark, str(tmp_path), "gold", ["t", "absent"]) == ["t"]
-    assert spark.table("default.t").count() == 4
-    spark.sql("DROP TABLE default.t")
-    with pytest.raises(ValueError):
-        files.write_table(df, path, mode="upsert")
+    assert files.write_table(df, path, mode="ignore") == 0 and spark.read.parquet(path).count() == 4
+    seen = {}
+    assert files.write_table(df.limit(0), path, mode="overwrite", write_empty=True, observe=(F.sum("v").alias("sum"),), observed=seen) == 0
+    assert spark.read.parquet(path).count() == 0 and not seen.get("sum")
+    assert files.write_table(df.limit(0), f"{path}-none") == 0 and files.read_table(spark, f"{path}-none") is None
+    for mode in ("upsert", "error"):
+        with pytest.raises(ValueError):
+            files.write_table(df, path, mode=mode)
+    # Only the dates of the new rows are replaced.
+    files.write_table(df, path, mode="overwrite", partition_by=("game_date",))
+    fresh = spark.createDataFrame([("2024-01-02", 7), ("2024-01-03", 8)], df.schema)
+    assert files.write_table(fresh, path, mode="overwrite", partition_by=("game_date",), dates=True) == 2
+    assert sorted(r.v for r in files.read_table(spark, path).collect()) == [1, 7, 8]
+    # A table can be overwritten from itself.
+    assert files.write_table(files.read_table(spark, path).where("v > 1"), path, mode="overwrite", partition_by=("game_date",)) == 2
+    assert files.read_table(spark, path).count() == 2
+
+
+def test_register_drops_nothing(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "game_date string, v long")
+    files.write_table(df, str(tmp_path / "gold/t"), partition_by=("game_date",))
+    files.write_table(df, str(tmp_path / "gold/flat"))
+    run = lambda root=tmp_path: files.register_tables(spark, str(root), "gold", ["t", "absent", "flat"], "lake_test")
+    before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
+    assert run() == {"gold_t": "create", "gold_flat": "create"} and run() == {"gold_t": "keep", "gold_flat": "keep"}
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == before
+    assert spark.table("lake_test.gold_t").columns == ["v", "game_date"] and spark.table("lake_test.gold_t").count() == 2
+    # A new date and a new column are found by the next run.
+    files.write_table(spark.createDataFrame([("2024-01-03", 3)], df.schema), str(tmp_path / "gold/t"), partition_by=("game_date",))
+    files.write_table(df.withColumn("w", F.lit("x")), str(tmp_path / "gold/flat"), mode="overwrite")
+    assert run() == {"gold_t": "keep", "gold_flat": "extend"}
+    assert spark.table("lake_test.gold_t").count() == 3 and spark.table("lake_test.gold_flat").where("w = 'x'").count() == 2
+    # Names that are taken are left alone, and nothing else is changed either.
+    files.write_table(df.limit(1), str(tmp_path / "other/gold/t"))
+    with pytest.raises(ValueError, match="gold_t: the table of this name lies at"):
+        run(tmp_path / "other")
+    spark.sql("CREATE TABLE lake_test.gold_kept USING parquet AS SELECT id FROM range(5)")
+    files.write_table(df, str(tmp_path / "gold/kept"))
+    files.write_table(df, str(tmp_path / "gold/fresh"))
+    with pytest.raises(ValueError, match="gold_kept: a managed table"):
+        files.register_tables(spark, str(tmp_path), "gold", ["fresh", "kept"], "lake_test")
+    assert spark.table("lake_test.gold_kept").count() == 5 and not spark.catalog.tableExists("lake_test.gold_fresh")
+    assert spark.table("lake_test.gold_t").count() == 3
+    spark.sql("DROP DATABASE lake_test CASCADE")
 
 
 def test_features(spark, tmp_path):
@@ -216,13 +295,31 @@ def test_raw_as_bronze_is_typed_when_empty(spark, tmp_path):
     assert runners.raw_as_bronze(spark, str(tmp_path)).schema == S.BRONZE_SCHEMA and runners.raw_as_bronze(spark, str(tmp_path)).count() == 0
 
 
+def plain_batches(sizes, most, size):
+    """Greedy batches of a listing, one file after another."""
+    out, n, total = [], 0, 0
+    for s in sizes:
+        if n and total + s > size:
+            n, total = 0, 0
+        out.append(0 if not out else out[-1] + (n == 0))
+        n, total = n + 1, total + s
+        if n >= most:
+            n, total = 0, 0
+    return out
+
+
 def test_micro_batches(spark):
-    df = spark.createDataFrame([(f"f{i:02d}", s) for i, s in enumerate([10, 10, 10, 10, 90, 10, 300, 10, 10])], "path string, length long")
+    """Ten random listings at once, each a dataset, against a plain loop; then files of four bytes under a limit of ten."""
+    rng = random.Random(5)
+    listings = {f"d{i}": ([rng.choice([0, 1, 10, 40, 90, 300]) for _ in range(rng.randrange(1, 60))], rng.randrange(1, 9), rng.randrange(1, 200)) for i in range(10)}
+    listings["four"] = ([4] * 6, 3, 10)
+    rows = [(d, f"f{i:03d}", s) for d, (sizes, _, _) in listings.items() for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "dataset string, path string, length long")
     got = {}
-    for r in files.micro_batches(df, 3, 100).collect():
-        got.setdefault(r.batch, []).append(r.length)
-    assert sum(map(len, got.values())) == 9 and all(len(b) <= 3 and (sum(b) <= 100 or len(b) == 1) for b in got.values())
-    assert max(map(len, got.values())) == 3
+    for r in files.micro_batches(df, {d: x[1] for d, x in listings.items()}, {d: x[2] for d, x in listings.items()}).orderBy("path").collect():
+        got.setdefault(r.dataset, []).append(r.batch)
+    assert got == {d: plain_batches(*x) for d, x in listings.items()} and got["four"] == [0, 0, 1, 1, 2, 2]
+    assert files.micro_batches(df.limit(0), 3, 100).count() == 0 and files.micro_batches(df, {}, {}).select("batch").distinct().count() == 1
 
 
 def test_shared_parse_is_kept(spark):
@@ -233,8 +330,6 @@ def test_shared_parse_is_kept(spark):
 
 
 def test_ingest_with_both_bounds(spark, tmp_path):
-    for i in range(6):
-        (tmp_path / "raw/matches").mkdir(parents=True, exist_ok=True)
-        (tmp_path / "raw/matches" / f"{i}.json").write_text("x" * 100)
-    (query,) = ingest.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"), str(tmp_path / "cp"), ("matches",), max_files={"matches": 5}, max_bytes={"matches": 200})
-    assert sum(p.numInputRows > 0 for p in query.recentProgress) == 3
+    raw_folder(tmp_path / "raw", matches={f"{i}.json": b"x" * 4 for i in range(6)})
+    ingest.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"), str(tmp_path / "cp"), ("matches",), max_files={"matches": 3}, max_bytes={"matches": 10})
+    assert [r.batch for r in ingest.ledger(spark, str(tmp_path / "bronze")).orderBy("source_file").collect()] == [0, 0, 1, 1, 2, 2]
