@@ -82,17 +82,19 @@ def flatten(parsed: DataFrame, table: str) -> DataFrame:
     return conform(out, S.SILVER_SCHEMAS[table])
 
 
-def build_silver(bronze: DataFrame, tables: list[str] | None = None, keys: dict[str, list[str]] | None = None, keep: list[DataFrame] | None = None) -> dict[str, DataFrame]:
+def build_silver(bronze: DataFrame, tables: list[str] | None = None, keys: dict[str, list[str]] | None = None, keep: list[DataFrame] | None = None, level: str = "DISK_ONLY") -> dict[str, DataFrame]:
     """The requested silver tables, once for each key (``keys`` overrides the tables' own).
 
-    With ``keep`` (a list) the parsed payloads of a dataset that several of the tables need are persisted, so each is parsed once; they are added
-    to the list, for the caller to unpersist after use."""
+    With ``keep`` (a list) the parsed payloads of a dataset that several of the tables need are persisted at the storage level named ``level``, so each
+    is parsed once; they are added to the list, for the caller to unpersist after use."""
+    if keep is not None and not isinstance(getattr(StorageLevel, level, None), StorageLevel):
+        raise ValueError(f"unknown storage level: {level}")
     out = {}
     for dataset, made in ROUTES.items():
         wanted = [t for t in made if tables is None or t in tables]
         if wanted:
             parsed = parse(bronze, dataset)
             if keep is not None and len(wanted) > 1:
-                keep.append(parsed := parsed.persist(StorageLevel.DISK_ONLY))
+                keep.append(parsed := parsed.persist(getattr(StorageLevel, level)))
             out |= {t: dedup_latest(flatten(parsed, t), (keys or S.SILVER_KEYS)[t]) for t in wanted}
     return out

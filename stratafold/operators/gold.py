@@ -16,11 +16,15 @@ Tables = dict[str, DataFrame]
 
 
 def participants(t: Tables) -> DataFrame:
-    """Participants once each, with role and creep score."""
+    """Participants once each, with role and creep score; ``participants_once``, where it is among the tables, is just that."""
+    if "participants_once" in t:
+        return t["participants_once"]
     return R.dedup_latest(t["participants"], S.SILVER_KEYS["participants"]).withColumns({"team_position": X.normalized_role(), "cs": X.creep_score()})
 
 
 def teams(t: Tables) -> DataFrame:
+    if "teams_once" in t:
+        return t["teams_once"]
     return R.dedup_latest(t["teams"], S.SILVER_KEYS["teams"]).withColumns({"team_side": X.team_side(), "objective_score": X.objective_score()})
 
 
@@ -60,13 +64,14 @@ def dim_rank(t: Tables) -> DataFrame:
 
 def mart_player_daily(t: Tables) -> DataFrame:
     """By date and player.  Wins count rows and matches are distinct, so losses may be negative for doubled rows."""
-    names = [R.first_known(c, "match_id").alias(c) for c in ("summoner_id", "summoner_name", "riot_id_game_name", "riot_id_tagline")]
+    names = ("summoner_id", "summoner_name", "riot_id_game_name", "riot_id_tagline")
     rows = participants(t).where("puuid is not null")
-    return R.with_rates(R.participant_metrics(rows, ["game_date", "puuid"], extra=tuple(names)), "matches_played")
+    out = R.participant_metrics(rows, ["game_date", "puuid"], ("unique_champions",), extra=tuple(R.first_struct(c, "match_id").alias(c) for c in names))
+    return R.with_rates(out.withColumns({c: F.col(f"{c}.value") for c in names}), "matches_played")
 
 
 def mart_champion_daily(t: Tables) -> DataFrame:
-    return R.with_rates(R.participant_metrics(participants(t), ["game_date", "champion_id", "champion_name"]), "matches_played")
+    return R.with_rates(R.participant_metrics(participants(t), ["game_date", "champion_id", "champion_name"], ("unique_players",)), "matches_played")
 
 
 def mart_role_daily(t: Tables) -> DataFrame:
@@ -81,8 +86,9 @@ def mart_rank_daily(t: Tables) -> DataFrame:
 
 def mart_team_objective_daily(t: Tables) -> DataFrame:
     means = [F.avg(c).alias(f"avg_{c}") for c in (*X.OBJECTIVES, "objective_score")]
-    rows = teams(t).groupBy("game_date", "team_id", "team_side").agg(F.count_distinct("match_id").alias("games_played"), X.true_count("win").alias("wins"), *means)
-    return R.with_rates(rows, "games_played")
+    rows, by = teams(t), ["game_date", "team_id", "team_side"]
+    main = rows.groupBy(*by).agg(X.true_count("win").alias("wins"), *means)
+    return R.with_rates(R.by_group([main, R.distinct_values(rows, by, "match_id", "games_played")], by), "games_played")
 
 
 BUILDERS: dict[str, tuple[Callable[[Tables], DataFrame], tuple[str, ...]]] = {
@@ -107,8 +113,9 @@ BUILDERS: dict[str, tuple[Callable[[Tables], DataFrame], tuple[str, ...]]] = {
 player_metrics, champion_metrics, role_metrics, rank_metrics, team_objective_metrics = mart_player_daily, mart_champion_daily, mart_role_daily, mart_rank_daily, mart_team_objective_daily
 
 
-def build(t: Tables, tables: list[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, list[str]]]:
-    """The requested gold tables, conformed to their schemas, and those skipped with the sources they lack."""
+def build(t: Tables, tables: list[str] | None = None, once: Tables | None = None) -> tuple[dict[str, DataFrame], dict[str, list[str]]]:
+    """The requested gold tables, conformed to their schemas, and those skipped with the sources they lack.  ``once`` may hold
+    ``participants_once`` and ``teams_once``, deduplicated already."""
     out, skipped = {}, {}
     for name in tables or BUILDERS:
         builder, sources = BUILDERS[name]
@@ -116,5 +123,6 @@ def build(t: Tables, tables: list[str] | None = None) -> tuple[dict[str, DataFra
         if missing:
             skipped[name] = missing
         else:
-            out[name] = R.conform(builder({s: t[s] for s in sources}), S.GOLD_SCHEMAS[name])
+            ready = {k: df for k, df in (once or {}).items() if not name.startswith("dim_") and k.removesuffix("_once") in sources}
+            out[name] = R.conform(builder({s: t[s] for s in sources} | ready), S.GOLD_SCHEMAS[name])
     return out, skipped

@@ -19,10 +19,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def dedup_latest(df: DataFrame, keys: list[str], order: tuple[str, ...] = ("ingest_ts", "file_hash")) -> DataFrame:
     """One row for each key, nulls equal: the newest by ``order``, ties by the other columns, so reruns agree.
 
-    The first row of a window: Spark keeps one row of a key in each task before the shuffle, so a hot key is reduced there.  A frame that
-    lacks a key column passes unchanged."""
-    if any(k not in df.columns for k in keys):
-        return df
+    The first row of a window: Spark keeps one row of a key in each task before the shuffle, so a hot key is reduced there.  A key column that
+    the frame lacks is an error."""
+    if lacking := [k for k in keys if k not in df.columns]:
+        raise ValueError(f"no such key columns: {', '.join(lacking)}")
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(keys)
@@ -49,20 +49,46 @@ AVERAGES = {
 TOTALS = {"total_kills": "kills", "total_deaths": "deaths", "total_assists": "assists"}
 
 
-def averages() -> list[Column]:
-    return [F.avg(c).alias(k) for k, c in AVERAGES.items()]
+COUNTS = {"unique_players": "puuid", "unique_champions": "champion_id"}
 
 
-def totals() -> list[Column]:
-    return [X.long_sum(c).alias(k) for k, c in TOTALS.items()]
+def by_group(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Frames that have one row for each group side by side; null groups are groups."""
+    out = parts[0]
+    for k, part in enumerate(parts[1:]):
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{k}_{c}")) for c in by])
+        out = out.join(part.withColumnsRenamed({c: f"_{k}_{c}" for c in by}), same).drop(*[f"_{k}_{c}" for c in by])
+    return out
 
 
-def participant_metrics(df: DataFrame, by: list[str], with_totals: bool = True, extra: tuple[Column, ...] = ()) -> DataFrame:
-    """Matches, players, champions, wins and averages by any columns."""
-    block = [F.count_distinct("match_id").alias("matches_played"), F.count_distinct("puuid").alias("unique_players"), F.count_distinct("champion_id").alias("unique_champions"), X.true_count("win").alias("wins")]
-    return df.groupBy(*by).agg(*block, *(totals() if with_totals else []), *averages(), *extra)
+def distinct_values(df: DataFrame, by: list[str], c: str, name: str, *more: Column) -> DataFrame:
+    """The number ``name`` of values of ``c`` in each group, by two groupings: the first is spread by the value too, so a hot group is cut, and no
+    row is expanded.  ``more`` are aggregates that may be taken twice, such as smallest values; they travel with the narrow rows."""
+    first = df.groupBy(*by, c).agg(*(more or (F.lit(1).alias("_"),)))
+    names = [x for x in first.columns if x not in (*by, c, "_")]
+    return first.groupBy(*by).agg(F.count(c).alias(name), *[F.min(x).alias(x) for x in names])
+
+
+def participant_metrics(df: DataFrame, by: list[str], counts: tuple[str, ...] = tuple(COUNTS), with_totals: bool = True, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Matches, players and champions (those of ``counts``), wins and averages by any columns; ``extra`` are further smallest values.
+
+    Sums are first taken by match, so the second grouping counts matches too; each further distinct count is a narrow grouping of its own."""
+    summed = list(dict.fromkeys((*AVERAGES.values(), *(TOTALS.values() if with_totals else ()))))
+    first = df.groupBy(*by, "match_id").agg(X.true_count("win").alias("wins"), *[F.sum(c).alias(f"_s_{c}") for c in summed], *[F.count(c).alias(f"_n_{c}") for c in summed])
+    total = lambda c: F.coalesce(F.sum(f"_s_{c}"), F.lit(0)).cast("long")
+    sums = [total(c).alias(k) for k, c in TOTALS.items()] if with_totals else []
+    means = [F.try_divide(F.sum(f"_s_{c}").cast("double"), F.sum(f"_n_{c}")).alias(k) for k, c in AVERAGES.items()]
+    parts = [first.groupBy(*by).agg(F.count("match_id").alias("matches_played"), F.sum("wins").alias("wins"), *sums, *means)]
+    for k, name in enumerate(counts):
+        parts.append(distinct_values(df, by, COUNTS[name], name, *(extra if not k else ())))
+    return by_group(parts, by)
+
+
+def first_struct(c: str, date: str = "game_date") -> Column:
+    """The smallest (date, value) of known values, as a struct that can be merged by ``min``."""
+    return F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(date).isNull(), F.col(date), F.col(c).alias("value"))))
 
 
 def first_known(c: str, date: str = "game_date") -> Column:
     """The non-null value of the earliest date, ties by the smaller value: a fixed choice where any known value will do."""
-    return F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(date).isNull(), F.col(date), F.col(c).alias("value"))))["value"]
+    return first_struct(c, date)["value"]

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
 from ..functions import exprs as X
-from .rules import RESULT, evaluate, rules_for
+from .rules import RESULT, compiled, evaluate, results, rules_for
 
 #: Fact, its key columns, dimension and its key columns.
 REFERENCES = [
@@ -53,36 +54,60 @@ def row_alignment(dim: DataFrame, silver: DataFrame, tolerance: float = 0.01) ->
     return d.crossJoin(s).select("dim_rows", "silver_rows", F.when(gap > tolerance, "WARN").otherwise("PASS").alias("status"))
 
 
-def profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
-    """One row per column: type, nulls, ratio, distinct values, empty strings, and min, max, mean of numbers.  One aggregation;
-    distinct values are approximate unless ``exact``."""
-    aggs, rows = [F.count(F.lit(1)).alias("_n")], []
+_PROFILE = "table string, column string, type string, nulls bigint, null_ratio double, distinct_values bigint, empty_strings bigint, min_value double, max_value double, avg_value double"
+
+
+def profile_parts(df: DataFrame, exact: bool = False) -> tuple[list[Column], list[Column]]:
+    """Aggregates of all columns of ``df`` (besides its number of rows, ``_n``), and from these a row for each column."""
+    aggs, rows = [], []
     for i, f in enumerate(df.schema):
         c, number, text = F.col(f"`{f.name}`"), isinstance(f.dataType, T.NumericType), isinstance(f.dataType, T.StringType)
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), (F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"d{i}"), (F.count_if(F.trim(c) == "") if text else F.lit(0)).alias(f"e{i}")]
+        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), distinct.alias(f"d{i}"), (F.count_if(F.trim(c) == "") if text else F.max(F.lit(0))).alias(f"e{i}")]
         aggs += [fn(c).cast("double").alias(f"{k}{i}") for k, fn in (("lo", F.min), ("hi", F.max), ("av", F.avg))] if number else []
-        stats = [F.col(f"{k}{i}") if number else F.lit(None).cast("double") for k in ("lo", "hi", "av")]
-        rows.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{i}").alias("nulls"), F.coalesce(F.round(F.try_divide(f"n{i}", "_n"), 6), F.lit(0.0)).alias("null_ratio"), F.col(f"d{i}").alias("distinct_values"), F.col(f"e{i}").cast("long").alias("empty_strings"), *[s.alias(k) for s, k in zip(stats, ("min_value", "max_value", "avg_value"), strict=True)]))
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select(F.lit(table).alias("table"), "x.*")
+        stats = [(F.col(f"{k}{i}") if number else F.lit(None).cast("double")).alias(name) for k, name in (("lo", "min_value"), ("hi", "max_value"), ("av", "avg_value"))]
+        ratio = F.coalesce(F.round(F.try_divide(f"n{i}", "_n"), 6), F.lit(0.0)).alias("null_ratio")
+        empty = F.coalesce(F.col(f"e{i}"), F.lit(0)).cast("long").alias("empty_strings")
+        kind = F.lit(f.dataType.simpleString()).alias("type")
+        rows.append(F.struct(F.lit(f.name).alias("column"), kind, F.col(f"n{i}").alias("nulls"), ratio, F.col(f"d{i}").alias("distinct_values"), empty, *stats))
+    return aggs, rows
+
+
+def profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
+    """One row per column: type, nulls, ratio, distinct values, empty strings, and min, max, mean of numbers.  One aggregation;
+    distinct values are approximate unless ``exact``."""
+    aggs, rows = profile_parts(df, exact)
+    return _profiled(df.agg(F.count(F.lit(1)).alias("_n"), *aggs), rows, table)
+
 
+def _profiled(one: DataFrame, rows: list[Column], table: str) -> DataFrame:
+    return one.select(F.explode(F.array(*rows)).alias("x")).select(F.lit(table).alias("table"), "x.*")
 
-def date_coverage(df: DataFrame, column: str = "game_date") -> DataFrame:
-    return df.agg(F.min(column).alias("min_date"), F.max(column).alias("max_date"), F.count_distinct(column).alias("dates"))
 
+def rows_by_date(df: DataFrame, column: str = "game_date") -> DataFrame:
+    """Rows of each date (null is one): what :func:`date_coverage` and :func:`top_dates` are made from, so that one reading serves both."""
+    return df.groupBy(F.col(column).alias("date")).agg(F.count(F.lit(1)).alias("n"))
 
-def top_dates(df: DataFrame, column: str = "game_date", limit: int = 20) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(limit)
+
+def date_coverage(by_date: DataFrame) -> DataFrame:
+    """First and last date, and their number, of :func:`rows_by_date`."""
+    return by_date.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"), F.count("date").alias("dates"))
+
+
+def top_dates(by_date: DataFrame, column: str = "game_date", limit: int = 20) -> DataFrame:
+    """The dates of most rows, of :func:`rows_by_date`; ties by date."""
+    return by_date.where("date is not null").select(F.col("date").alias(column), "n").orderBy(F.desc("n"), column).limit(limit)
+
+
+def missing_table(spark: SparkSession, name: str) -> DataFrame:
+    """The one check of a table that is not there."""
+    nothing = "0L AS failed_rows", "0L AS total_rows", "0D AS failed_rate", "CAST(NULL AS STRING) AS detail"
+    return spark.range(1).selectExpr(f"'{name}' AS table", "'table_exists' AS rule", "'FAIL' AS status", *nothing)
 
 
 def check_tables(tables: dict[str, DataFrame | None], spark: SparkSession) -> DataFrame:
     """All rules of all tables; a table that is None fails ``table_exists``."""
-    out = []
-    for name, df in tables.items():
-        if df is None:
-            out.append(spark.range(1).selectExpr(f"'{name}' AS table", "'table_exists' AS rule", "'FAIL' AS status", "0L AS failed_rows", "0L AS total_rows", "0D AS failed_rate", "CAST(NULL AS STRING) AS detail"))
-        else:
-            out.append(evaluate(df, name, rules_for(name)))
-    return reduce(DataFrame.unionAll, out)
+    return reduce(DataFrame.unionAll, [missing_table(spark, name) if df is None else evaluate(df, name, rules_for(name)) for name, df in tables.items()])
 
 
 def _severity() -> Column:
@@ -96,10 +121,12 @@ def table_status(checks: DataFrame) -> DataFrame:
 
 
 def summary(checks: DataFrame) -> DataFrame:
-    """Grade of all tables together with counts and a recommendation."""
-    t = table_status(checks)
-    missing = checks.agg(F.count_if((F.col("rule") == "table_exists") & (F.col("status") == "FAIL")).alias("tables_missing"))
-    out = t.agg(F.count(F.lit(1)).alias("tables_expected"), F.count_if(F.col("status") == "PASS").alias("tables_passed"), F.count_if(F.col("status") == "WARN").alias("tables_warned"), F.count_if(F.col("status") == "FAIL").alias("tables_failed")).crossJoin(missing)
+    """Grade of all tables together with counts and a recommendation; the checks are read once."""
+    absent = F.max(((F.col("rule") == "table_exists") & (F.col("status") == "FAIL")).cast("int"))
+    t = checks.groupBy("table").agg(F.max(_severity()).alias("w"), absent.alias("absent"))
+    named = {"tables_passed": 0, "tables_warned": 1, "tables_failed": 2}
+    counts = [F.count_if(F.col("w") == w).alias(name) for name, w in named.items()]
+    out = t.agg(F.count(F.lit(1)).alias("tables_expected"), *counts, F.coalesce(F.sum("absent"), F.lit(0)).alias("tables_missing"))
     grade = F.when(F.col("tables_failed") > 0, "FAIL").when(F.col("tables_warned") > 0, "READY_WITH_WARNINGS").otherwise("READY")
     advice = F.when(grade == "FAIL", "Mend the failed checks before use.").when(grade == "READY", "Fit for use.").otherwise("Fit for use; look at the warnings.")
     return out.select("*", (F.col("tables_expected") - F.col("tables_missing")).alias("tables_analysed"), grade.alias("status"), (grade != "FAIL").alias("ready"), advice.alias("recommendation"))
@@ -129,38 +156,49 @@ def missing_keys(df: DataFrame, row_id: str, required: list[str]) -> DataFrame:
 SECTIONS = ("checks", "tables", "summary", "issues", "profiles", "coverage", "dates", "references", "alignment")
 
 
-def report(spark: SparkSession, layers: dict[str, dict[str, DataFrame | None]]) -> dict[str, DataFrame]:
+def report(spark: SparkSession, layers: dict[str, dict[str, DataFrame | None]], checked: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The sections of a report on tables by layer (a table that is not there is None).
 
     ``checks`` (rules and, with the gold layer, references and alignment as warnings), ``tables`` (status and rows), ``summary``, ``issues``,
     ``profiles`` of columns, ``coverage`` and most frequent ``dates`` of tables with a game date, ``references`` between gold tables, ``alignment``
-    of the match dimension with silver matches.  Sections without rows keep their columns."""
+    of the match dimension with silver matches.  Sections without rows keep their columns.
+
+    A table is read whole once, for its row rules and its profile together; besides, each key rule and the dates read their own columns.  These
+    results are saved, and all sections are made from them.  ``checked`` holds results, by ``layer.table``, that a run took while it wrote the
+    tables (see :mod:`stratafold.runners`); the rules of those are not tried again."""
     checks, profiles, coverage, dates = [], [], [], []
     for layer, tables in layers.items():
         named = lambda df, at=layer: df.select(F.lit(at).alias("layer"), "*")
-        if not tables:
-            continue
-        checks.append(named(check_tables(tables, spark)))
         for t, df in tables.items():
-            if df is not None:
-                profiles.append(named(profile(df, t)))
-                if "game_date" in df.columns:
-                    coverage.append(named(date_coverage(df).select(F.lit(t).alias("table"), "*")))
-                    dates.append(named(top_dates(df).select(F.lit(t).alias("table"), "*")))
+            if df is None:
+                checks.append(named(missing_table(spark, t)))
+                continue
+            known = (checked or {}).get(f"{layer}.{t}")
+            rules = compiled(df, rules_for(t)) if known is None else None
+            aggs, rows = profile_parts(df)
+            one = scratch.saved(df.agg(*(rules.aggregates if rules else [F.count(F.lit(1)).alias("_n")]), *aggs), "facts")
+            checks.append(named(known if rules is None else results(one, df, rules, t)))
+            profiles.append(named(_profiled(one, rows, t)))
+            if "game_date" in df.columns:
+                by_date = scratch.saved(rows_by_date(df), "dates")
+                coverage.append(named(date_coverage(by_date).select(F.lit(t).alias("table"), "*")))
+                dates.append(named(top_dates(by_date).select(F.lit(t).alias("table"), "*")))
     gold = {t: df for t, df in layers.get("gold", {}).items() if df is not None}
     matches = layers.get("silver", {}).get("matches")
-    references = [foreign_keys(gold)] if gold else []
-    alignment = [row_alignment(gold["dim_match"], matches)] if "dim_match" in gold and matches is not None else []
+    references = [scratch.saved(foreign_keys(gold), "references")] if gold else []
+    alignment = [scratch.saved(row_alignment(gold["dim_match"], matches), "alignment")] if "dim_match" in gold and matches is not None else []
     of_rows = lambda df, bad, total, rate: df.select(F.lit("gold").alias("layer"), *bad, "status", *total, rate)
+    nothing = F.lit(None).cast("string")
     for r in references:
         name = [F.element_at(F.split("check", r"\(", 2), 1).alias("table"), F.concat(F.lit("reference "), "check").alias("rule")]
-        checks.append(of_rows(r, name, [F.col("orphans").alias("failed_rows"), F.col("keys").alias("total_rows")], F.col("orphan_rate").alias("failed_rate")).withColumn("detail", F.lit(None).cast("string")))
+        counts = [F.col("orphans").alias("failed_rows"), F.col("keys").alias("total_rows")]
+        checks.append(of_rows(r, name, counts, F.col("orphan_rate").alias("failed_rate")).withColumn("detail", nothing))
     for r in alignment:
         name, gap = [F.lit("dim_match").alias("table"), F.lit("silver_match_row_count_alignment").alias("rule")], F.abs(F.col("dim_rows") - F.col("silver_rows"))
         counts = [gap.alias("failed_rows"), F.col("silver_rows").alias("total_rows")]
-        checks.append(of_rows(r, name, counts, F.coalesce(F.round(F.try_divide(gap, "silver_rows"), 6), F.lit(0.0)).alias("failed_rate")).withColumn("detail", F.lit(None).cast("string")))
+        checks.append(of_rows(r, name, counts, F.coalesce(F.round(F.try_divide(gap, "silver_rows"), 6), F.lit(0.0)).alias("failed_rate")).withColumn("detail", nothing))
     layered = "layer string, "
-    every = _together(spark, checks, layered + RESULT)
+    every = scratch.saved(_together(spark, checks, layered + RESULT), "checks")
     named = every.withColumn("table", F.concat_ws(".", "layer", "table")).drop("layer")
     status = table_status(named).join(named.groupBy("table").agg(F.max(F.when(F.col("rule") == "table_not_empty", F.col("total_rows"))).alias("rows")), "table")
     return {
@@ -169,10 +207,7 @@ def report(spark: SparkSession, layers: dict[str, dict[str, DataFrame | None]])
         "dates": _together(spark, dates, layered + "table string, game_date string, n bigint"),
         "references": _together(spark, references, "check string, keys bigint, orphans bigint, orphan_rate double, status string"),
         "alignment": _together(spark, alignment, "dim_rows bigint, silver_rows bigint, status string"),
-    }
-
-
-_PROFILE = "table string, column string, type string, nulls bigint, null_ratio double, distinct_values bigint, empty_strings bigint, min_value double, max_value double, avg_value double"
+    }
 
 
 def _together(spark: SparkSession, frames: list[DataFrame], ddl: str) -> DataFrame:
@@ -180,9 +215,12 @@ def _together(spark: SparkSession, frames: list[DataFrame], ddl: str) -> DataFra
 
 
 def write_report(sections: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Each section as JSON, once under ``runs/run_id=.../section`` and once under ``latest/section``."""
+    """Each section as JSON, once under ``runs/<section>/run_id=...`` and once under ``latest/<section>``, and ``run`` beside them: the run's id,
+    its time, and the layers and number of tables it looked at."""
     spark = next(iter(sections.values())).sparkSession
-    for name, df in sections.items():
+    about = sections["checks"].agg(F.array_sort(F.collect_set("layer")).alias("layers"), F.count_distinct("layer", "table").alias("tables"))
+    run = about.select(F.lit(run_id).alias("id"), F.current_timestamp().alias("at"), "layers", "tables")
+    for name, df in (sections | {"run": run}).items():
         at = f"{path}/runs/{name}/run_id={run_id}"
         df.write.mode("overwrite").json(at)
         spark.read.schema(df.schema).json(at).write.mode("overwrite").json(f"{path}/latest/{name}")

@@ -79,11 +79,39 @@ def resolve(r: Rule, df: DataFrame) -> Rule:
     return r
 
 
+@dataclass(frozen=True)
+class Compiled:
+    """Rules of one table as aggregates of its rows (``_n`` counts them), distinct keys to count apart, and a result row for each rule."""
+
+    values: dict[str, Column]
+    keys: dict[str, tuple[str, ...]]
+    rows: list[Column]
+
+    @property
+    def aggregates(self) -> list[Column]:
+        return [c.alias(name) for name, c in self.values.items()]
+
+
 def evaluate(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
     """One row per rule: status, violating rows, rows, rate (six places) and a detail."""
+    c = compiled(df, rules)
+    return results(df.agg(*c.aggregates), df, c, table)
+
+
+def results(one: DataFrame, df: DataFrame, c: Compiled, table: str) -> DataFrame:
+    """The rows of :func:`evaluate`, given the row ``one`` of the aggregates, however it was got; ``df`` is read for the keys alone."""
+    for name, key in c.keys.items():
+        # Rows beyond the first of each key, null keys counting as a value.
+        beyond = df.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias(name))
+        one = one.crossJoin(beyond)  # one row with one row
+    return one.select(F.explode(F.array(*c.rows)).alias("x")).select(F.lit(table).alias("table"), "x.*")
+
+
+def compiled(df: DataFrame, rules: list[Rule]) -> Compiled:
+    """The rules with what they lack in ``df`` told; nothing is read."""
     present, kinds = set(df.columns), {f.name: f.dataType for f in df.schema}
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
-    keyed: list[DataFrame] = []
+    aggs: dict[str, Column] = {"_n": F.count(F.lit(1))}
+    keyed: dict[str, tuple[str, ...]] = {}
     rows: list[Column] = []
     n = F.col("_n")
 
@@ -124,22 +152,17 @@ def evaluate(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
         elif missing or not r.columns:
             rows.append(skip(r, missing or list(given.columns)))
         elif r.kind == "unique":
-            # Rows beyond the first of each key, null keys counting as a value.
-            keyed.append(df.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias(f"_v{i}")))
+            keyed[f"_v{i}"] = r.columns
             rows.append(result(r, F.col(f"_v{i}")))
         elif r.kind == "null_profile":
-            aggs += [F.count_if(F.col(c).isNull()).alias(f"_v{i}_{j}") for j, c in enumerate(r.columns)]
+            aggs |= {f"_v{i}_{j}": F.count_if(F.col(c).isNull()) for j, c in enumerate(r.columns)}
             rows.append(result(r, F.lit(0), detail=F.to_json(F.struct(*[F.col(f"_v{i}_{j}").alias(c) for j, c in enumerate(r.columns)]))))
         else:
-            aggs.append(F.count_if(_violation(r)).alias(f"_v{i}"))
+            aggs[f"_v{i}"] = F.count_if(_violation(r))
             failed = F.col(f"_v{i}")
             bad = F.try_divide(failed, n) > r.params["max_rate"] if r.kind == "tolerance" else failed > 0
             rows.append(result(r, failed, F.coalesce(bad, F.lit(False))))
-    one = df.agg(*aggs)
-    for k in keyed:
-        one = one.crossJoin(k)  # one row with one row
-    out = one.select(F.explode(F.array(*rows)).alias("x")).select(F.lit(table).alias("table"), "x.*")
-    return out
+    return Compiled(aggs, keyed, rows)
 
 
 def top_invalid(df: DataFrame, column: str, values: list, limit: int = 10) -> DataFrame:

@@ -379,9 +379,9 @@ QUERIES["dq_profile_approx"] = dq_profile_approx
 SQL["dq_profile_approx"] = _with("participants") + " " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS exact, true AS near FROM participants" for c in S.SILVER["participants"]
 )
-QUERIES["dq_date_coverage"] = lambda spark, d: Q.date_coverage(V.silver(spark, d, "participants")["participants"])
+QUERIES["dq_date_coverage"] = lambda spark, d: Q.date_coverage(Q.rows_by_date(V.silver(spark, d, "participants")["participants"]))
 SQL["dq_date_coverage"] = _with("participants") + " SELECT min(game_date) AS min_date, max(game_date) AS max_date, count(DISTINCT game_date) AS dates FROM participants"
-QUERIES["dq_top_dates"] = lambda spark, d: Q.top_dates(V.silver(spark, d, "participants")["participants"])
+QUERIES["dq_top_dates"] = lambda spark, d: Q.top_dates(Q.rows_by_date(V.silver(spark, d, "participants")["participants"]))
 SQL["dq_top_dates"] = _with("participants") + " SELECT game_date, count(*) AS n FROM participants GROUP BY 1 ORDER BY n DESC, game_date LIMIT 20"
 
 

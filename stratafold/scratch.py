@@ -33,7 +33,15 @@ def saved(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """``df`` written to ``at`` (or a fresh path) and read back: computed once, and kept when executors are lost."""
     path = at or fresh(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of frames that :func:`saved` returned and that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._scratch)
 
 
 def _path(spark: SparkSession, path: str):

@@ -54,16 +54,22 @@ def micro_batches(files: DataFrame, max_files: int | dict[str, int], max_bytes:
     reach = ends.unionAll(asks).withColumn("within", within).where("end = 0")
     to = F.greatest(F.least(F.col("within"), F.col("_at") + bound(max_files)), F.col("_at") + 1)
     jump = scratch.saved(reach.select("dataset", "_at", to.alias("to")), "jumps")
-    starts = placed.where("_at = 0").select("dataset", "_at")
+    starts, turn = placed.where("_at = 0").select("dataset", "_at"), 0
     while True:
         further = starts.join(jump, ["dataset", "_at"]).select("dataset", F.col("to").alias("_at"))
         inside = further.join(placed.select("dataset", "_at"), ["dataset", "_at"], "left_semi")
         grown = scratch.saved(starts.unionAll(inside), "starts")
-        if grown.count() == starts.count():
-            break
+        done, last = grown.count() == starts.count(), starts
         starts = grown
+        if turn:
+            scratch.discard(last)
+        if done:
+            break
+        turn += 1
         ahead = jump.select("dataset", F.col("_at").alias("to"), F.col("to").alias("_next"))
-        jump = scratch.saved(jump.join(ahead, ["dataset", "to"]).select("dataset", "_at", F.col("_next").alias("to")), "jumps")
+        longer = scratch.saved(jump.join(ahead, ["dataset", "to"]).select("dataset", "_at", F.col("_next").alias("to")), "jumps")
+        scratch.discard(jump)
+        jump = longer
     marked = placed.join(starts.withColumn("_first", F.lit(1)), ["dataset", "_at"], "left")
     nth = F.count("_first").over(over("_at").rowsBetween(Window.unboundedPreceding, 0)) - 1
     return marked.withColumn("batch", nth.cast("int")).select(*files.columns, "batch")

@@ -86,7 +86,7 @@ def _root_name(raw_root: str) -> str:
 
 def ingest(
     spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str, datasets: tuple[str, ...] = DATASETS, max_files: int | dict[str, int] = 100,
-    max_bytes: int | dict[str, int] = 64 << 20, out_files: int = 0,
+    max_bytes: int | dict[str, int] = 64 << 20, out_files: int = 0, glob: str = "*.json",
 ) -> list[StreamingQuery]:
     """Take the new files of each dataset by a stream that ends when there are none left.
 
@@ -94,9 +94,9 @@ def ingest(
     :func:`~stratafold.sources.files.micro_batches` cuts them; the stream itself hands over all new files at once, whose contents are not read then."""
     done = []
     for d in datasets:
-        if not has_files(spark, f"{raw_root}/{d}"):
+        if not has_files(spark, f"{raw_root}/{d}", glob):
             continue
-        source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.json").load(f"{raw_root}/{d}")
+        source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(f"{raw_root}/{d}")
 
         def take(files: DataFrame, _: int, d: str = d) -> None:
             commit(files.withColumn("dataset", F.lit(d)), bronze_path, _root_name(raw_root), max_files, max_bytes, out_files)
@@ -109,14 +109,14 @@ def ingest(
 
 def ingest_pending(
     spark: SparkSession, raw_root: str, bronze_path: str, datasets: tuple[str, ...] = DATASETS, max_files: int = 0, dataset_max: dict[str, int] | None = None,
-    out_files: int = 0, batch_files: int | dict[str, int] | None = None, batch_bytes: int | dict[str, int] | None = None,
+    out_files: int = 0, batch_files: int | dict[str, int] | None = None, batch_bytes: int | dict[str, int] | None = None, glob: str = "*.json",
 ) -> int:
     """All files that the ledger lacks, as one run; the number of rows that bronze gains.
 
     ``max_files`` caps the run and ``dataset_max`` each dataset for its lifetime, as :func:`~stratafold.sources.files.pending` does; files are chosen by
     their names before contents are read.  Without ``batch_files`` and ``batch_bytes`` a dataset's files are one batch."""
     root = _root_name(raw_root)
-    found = [scan_files(spark, f"{raw_root}/{d}").withColumn("dataset", F.lit(d)) for d in datasets if has_files(spark, f"{raw_root}/{d}")]
+    found = [scan_files(spark, f"{raw_root}/{d}", glob).withColumn("dataset", F.lit(d)) for d in datasets if has_files(spark, f"{raw_root}/{d}", glob)]
     if not found:
         return 0
     files = reduce(DataFrame.unionByName, found)

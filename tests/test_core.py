@@ -23,6 +23,7 @@ from stratafold.operators import relational as R  # noqa: E402
 from stratafold.plans import features as P  # noqa: E402
 from stratafold.quality import report as Q  # noqa: E402
 from stratafold.quality import rules as QR  # noqa: E402
+from stratafold.quality import sketches as SK  # noqa: E402
 from stratafold.sources import files  # noqa: E402
 from stratafold.streaming import ingest  # noqa: E402
 
@@ -91,7 +92,8 @@ def test_detect_dataset(spark):
 def test_dedup_is_total(spark):
     df = spark.createDataFrame([(None, "a", "1", 1), (None, "a", "2", 2), ("k", "b", "1", 3), ("k", "c", "0", 4)], "id string, ingest_ts string, file_hash string, v int")
     assert {(r.id, r.v) for r in R.dedup_latest(df, ["id"]).collect()} == {(None, 2), ("k", 4)}
-    assert R.dedup_latest(df, ["nope"]).count() == 4
+    with pytest.raises(ValueError, match="nope"):
+        R.dedup_latest(df, ["nope"])
 
 
 def test_gold_builds_what_it_can(spark):
@@ -277,7 +279,7 @@ def test_runners(spark, tmp_path):
     assert ingest.ingest_pending(spark, str(tmp_path / "raw"), f"{lake}/bronze/raw_json") == 0
     want = dict.fromkeys(S.SILVER, 0) | {"matches": 1, "participants": 2, "teams": 1, "ranked": 1}
     assert runners.run_silver(spark, lake) == want
-    assert runners.run_silver(spark, str(tmp_path / "other"), "raw", str(tmp_path / "raw"), persist=False) == want
+    assert runners.run_silver(spark, str(tmp_path / "other"), "raw", str(tmp_path / "raw"), persist=None) == want
     assert runners.run_silver(spark, lake, datasets=["ranked"], tables=["ranked", "matches"]) == {"matches": 0, "ranked": 1}
     counts = runners.run_gold(spark, lake, ["dim_match", "dim_team", "dim_rank", "dim_summoner", "fact_participant_performance"])
     assert counts == {"dim_match": 1, "dim_summoner": 0, "dim_team": 1, "dim_rank": 1, "fact_participant_performance": 2}
@@ -333,3 +335,90 @@ def test_ingest_with_both_bounds(spark, tmp_path):
     raw_folder(tmp_path / "raw", matches={f"{i}.json": b"x" * 4 for i in range(6)})
     ingest.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"), str(tmp_path / "cp"), ("matches",), max_files={"matches": 3}, max_bytes={"matches": 10})
     assert [r.batch for r in ingest.ledger(spark, str(tmp_path / "bronze")).orderBy("source_file").collect()] == [0, 0, 1, 1, 2, 2]
+
+
+def same_rows(a, b):
+    return a.exceptAll(b.select(*a.columns)).isEmpty() and b.select(*a.columns).exceptAll(a).isEmpty()
+
+
+def test_checks_taken_while_writing(spark, tmp_path):
+    """Rules counted by the writes give the report that rules tried afterwards give; marts come from the written facts."""
+    lake, checked = str(tmp_path / "lake"), {}
+    raw_files(tmp_path / "raw")
+    ingest.ingest_pending(spark, str(tmp_path / "raw"), f"{lake}/bronze/raw_json")
+    names = {"silver": ["matches", "participants"], "gold": ["fact_participant_performance", "mart_player_daily_performance", "dim_team"]}
+    runners.run_silver(spark, lake, checked=checked, persist="MEMORY_AND_DISK", tables=names["silver"])
+    runners.run_gold(spark, lake, checked=checked, tables=names["gold"])
+    tables = {layer: {t: files.read_table(spark, f"{lake}/{layer}/{t}") for t in own} for layer, own in names.items()}
+    assert {"silver.matches", "silver.participants", "gold.fact_participant_performance", "gold.mart_player_daily_performance"} == set(checked)
+    for layer, found in tables.items():
+        for t, df in found.items():
+            if df is not None:
+                assert same_rows(checked[f"{layer}.{t}"], QR.evaluate(df, t, QR.rules_for(t))), t
+    one, two = Q.report(spark, tables, checked), Q.report(spark, tables)
+    assert all(same_rows(one[s], two[s]) for s in ("checks", "summary", "profiles"))
+    direct, _ = G.build(tables["silver"], names["gold"])
+    assert all(same_rows(tables["gold"][t], df) for t, df in direct.items())
+    run = runners.run_quality(spark, lake, f"{lake}/quality", "r9", ["gold"], {"gold": names["gold"][:1]}, checked=checked)["run"].first()
+    assert (run.id, run.layers, run.tables) == ("r9", ["gold"], 1)
+    with pytest.raises(ValueError, match="storage level"):
+        runners.run_silver(spark, lake, persist="SOMEWHERE")
+
+
+def test_report_reads_each_table_once(spark, tmp_path):
+    """Jobs of a report on one table: its rules and profile together, its keys, its dates, and what is made from saved results."""
+    spark.createDataFrame([("2024-01-01", 100, "RED")], "game_date string, team_id long, team_side string").write.parquet(str(tmp_path / "t"))
+    df, reads = files.read_table(spark, str(tmp_path / "t")), []
+    for name, section in Q.report(spark, {"gold": {"dim_team": df}}).items():
+        plan = section._jdf.queryExecution().executedPlan().toString()
+        reads.append((name, str(tmp_path / "t") in plan))
+    assert not any(read for _, read in reads)
+
+
+def test_refresh_of_touched_dates(spark, tmp_path):
+    """New bronze rows: a new match, a match that moves to another date and empties its old one, a later version on the same date."""
+    day = 86_400_000
+    base = 1709942400000
+
+    def payload(match_id, ms, kills):
+        p = match(ms, [{"teamId": 100, "win": True}])
+        p["metadata"]["matchId"] = match_id
+        p["info"]["participants"][0]["kills"] = kills
+        return p
+
+    def rows(*given):
+        return spark.createDataFrame([("matches", f"raw/matches/{h}.json", h, ts, ts[:10], json.dumps(p)) for h, ts, p in given], S.BRONZE_SCHEMA)
+
+    old = rows(*[(f"h{i}", "2024-03-20T00:00:00Z", payload(f"M{i}", base + i * day, i)) for i in range(4)])
+    new = rows(("n1", "2024-03-21T00:00:00Z", payload("M9", base + day, 50)), ("n2", "2024-03-21T00:00:00Z", payload("M2", base + 9 * day, 60)), ("n3", "2024-03-21T00:00:00Z", payload("M3", base + 3 * day, 70)))
+    want = parse.build_silver(old.unionAll(new), ["matches", "participants", "teams"])
+    lake = str(tmp_path)
+    for t, df in parse.build_silver(old, ["matches", "participants", "teams"]).items():
+        files.write_table(df, f"{lake}/silver/{t}", partition_by=("game_date",))
+    runners.run_gold(spark, lake, ["fact_participant_performance", "mart_champion_daily_performance", "fact_team_objectives"])
+    untouched = tmp_path / "silver/participants/game_date=2024-03-09"
+    before = sorted(p.name for p in untouched.iterdir())
+    touched = runners.refresh_silver(spark, lake, new, ["matches", "participants", "teams"])
+    assert touched["matches"] == ["2024-03-10", "2024-03-11", "2024-03-12", "2024-03-18"]
+    for t, df in want.items():
+        assert same_rows(df, files.read_table(spark, f"{lake}/silver/{t}")), t
+    assert sorted(p.name for p in untouched.iterdir()) == before and not (tmp_path / "silver/matches/game_date=2024-03-11").exists()
+    refreshed = runners.refresh_gold(spark, lake, touched)
+    for t, df in G.build(want, list(refreshed))[0].items():
+        assert same_rows(df, files.read_table(spark, f"{lake}/gold/{t}")), t
+    assert "fact_team_objectives" in refreshed and "fact_rank_snapshot" not in refreshed
+
+
+def test_profiles_by_day(spark, tmp_path):
+    """A new day is profiled from its rows alone; the stored sketches together are the profile of the whole table."""
+    rows = [(f"2024-01-0{1 + i % 3}", i, f"w{i % 700}", None if i % 5 else " ", i / 2, i % 2 == 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "game_date string, k long, w string, e string, x double, b boolean")
+    store = str(tmp_path / "profiles")
+    SK.refresh(df.where("game_date < '2024-01-03'"), "t", store)
+    SK.refresh(df, "t", store, ["2024-01-03"])
+    got = {r.column: r for r in SK.merged(SK.read(spark, store)).collect()}
+    for r in Q.profile(df, "t", exact=True).collect():
+        g = got[r.column]
+        assert (g.type, g.nulls, g.null_ratio, g.empty_strings, g.min_value, g.max_value) == (r.type, r.nulls, r.null_ratio, r.empty_strings, r.min_value, r.max_value)
+        assert abs(g.distinct_values - r.distinct_values) <= 0.05 * r.distinct_values and (g.avg_value is None or abs(g.avg_value - r.avg_value) < 1e-9)
+    assert SK.merged(SK.read(spark, store), "date").count() == 18 and SK.read(spark, str(tmp_path / "none")) is None
