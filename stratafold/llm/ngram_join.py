@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import block_pairs, components, discard, map_arrow, saved
+from .common import block_pairs, bounded_sample, components, discard, map_arrow, saved
 
 #: Segments beyond the number needed, as a factor; keys buffered by a task; keys meant for one bucket; rows of a block.
-SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 1_000_000, 500_000, 1024
+SLACK, FLUSH, BUCKET_KEYS, BLOCK = 1.15, 500_000, 500_000, 1024
+#: Texts sampled to find keys of many owners; such a key occurs in this many of them (0.2 %).  The sample only decides how keys are dealt.
+SAMPLE, HOT = 5000, 10
 #: Bytes of a class's name sent with its keys; keys of a class in one tag.  Classes of equal names are all candidates of the keys they share
 #: with others, and of each other: their name is a key of its own.
 NAME_BYTES, MOST = 6, 127
@@ -143,9 +145,32 @@ def _fingerprints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], *map(pa.array, (n, h1, h2, need0, need1))], ["row", "id", "n", "h1", "h2", "need0", "need1"])
 
 
-def _keys(buckets: int):
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Keys of the texts of a batch and how many of the texts have them."""
+    for first in range(0, batch.num_rows, 64):
+        sets = [np.unique(np.concatenate(keys_of(s)[0])) for _, s in K.shingle_sets(batch["text"].slice(first, 64))]
+        key, n = np.unique(np.concatenate(sets), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+
+def hot_keys(source: DataFrame) -> np.ndarray:
+    """Keys that occur in ``HOT`` of ``SAMPLE`` texts or more, sorted; no more than the sample's keys divided by ``HOT``."""
+    sample = bounded_sample(source.select("row", "text"), F.xxhash64("row"), SAMPLE).select("text").distinct()
+    counts = map_arrow(sample, _counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int64).view(np.uint64))
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, keys)
+    return known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _keys(buckets: int, hot: np.ndarray):
     """Rows (bucket, keys, names, tags): the lower key halves of a run of classes that fall into a bucket, ordered by class and
-    scheme; for each class and scheme the lower bytes of the class's name and a byte with the scheme (high bit) and number of keys."""
+    scheme; for each class and scheme the lower bytes of the class's name and a byte with the scheme (high bit) and number of keys.
+
+    A key goes to the bucket of its upper half, so all its owners meet.  The owners of a ``hot`` key do not: they are dealt by key and class over
+    as many further buckets, from number ``buckets``."""
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "names", "tags"))])
 
     def flush(names: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +178,11 @@ def _keys(buckets: int):
             return
         owner = np.repeat(np.arange(len(keys), dtype=np.int64), [len(k) for k in keys])  # 2 * class + scheme
         key = np.concatenate(keys)
-        bucket = (((key >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int32)
+        place = key >> _U(32)
+        dealt = _among(key, hot)
+        who = np.array(names, np.int64).view(np.uint64)[owner[dealt] >> 1] & _U((1 << 8 * NAME_BYTES) - 1)
+        place[dealt] = K.mix((key[dealt] & _U(0xFFFFFFFF)) + K.mix(who)) >> _U(32)
+        bucket = ((place * _U(buckets)) >> _U(32)).astype(np.int32) + np.int32(buckets) * dealt.astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, key, owner = bucket[order], key[order].astype(np.uint32), owner[order]
         fresh = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
@@ -193,9 +222,30 @@ def _keys(buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(buckets: int):
     """Of one bucket: the keys that several classes have, with their classes.  ``f``: owners of the key; ``w``: keys of the class that this row
-    stands for, of all keys with the same classes and of those that agree in the bits sent."""
+    stands for, of all keys with the same classes and of those that agree in the bits sent.
+
+    Of a bucket of hot keys: all its keys and classes once, with ``f`` -1 for the first row of a key and class, 0 for its other scheme."""
+    columns = ["key", "name", "scheme", "w", "f"]
+
+    def hot(table: pa.Table) -> pa.Table:
+        key, name, scheme, own = _own(*_owners(table))
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        made = key.astype(np.int64), name, scheme.astype(np.int32), own, -first.astype(np.int64)
+        return pa.table([pa.array(c) for c in made], names=columns)
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= buckets:
+            return hot(table)
+        return pa.table([pa.array(c) for c in _several(*_owners(table))], names=columns)
+
+    return run
+
+
+def _owners(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Key, class, scheme and run of every key in a bucket."""
     keys, names, schemes, runs = [], [], [], []
     for run, (k, c, t) in enumerate(zip(*(table[f].to_pylist() for f in ("keys", "names", "tags")), strict=True)):
         tag = np.frombuffer(t, np.uint8)
@@ -205,18 +255,27 @@ def _shared(table: pa.Table) -> pa.Table:
         names.append(np.repeat(name.view(np.int64)[:, 0], tag & 127))
         schemes.append(np.repeat(tag >> 7, tag & 127))
         runs.append(np.full(len(keys[-1]), run, np.int32))
-    key, name, scheme, run = (np.concatenate(x) for x in (keys, names, schemes, runs))
-    order = np.argsort(key, kind="stable")
-    counts = _runs(key[order])[1]
-    many = order[np.repeat(counts > 1, counts)]
-    order = many[np.lexsort((run[many], scheme[many], name[many], key[many]))]
+    return tuple(np.concatenate(x) for x in (keys, names, schemes, runs))
+
+
+def _own(key: np.ndarray, name: np.ndarray, scheme: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key, class and scheme once, sorted, with the number of the class's keys that agree in the bits sent."""
+    order = np.lexsort((run, scheme, name, key))
     key, name, scheme, run = key[order], name[order], scheme[order], run[order]
     # One row for a key, class and scheme, with the number of the class's keys that agree in the bits sent.  Copies of a text in other
     # runs send the same keys again, so the largest number counts.
     at, own = _runs(key, name, scheme, run)
     key, name, scheme = key[at], name[at], scheme[at]
     at, _ = _runs(key, name, scheme)
-    key, name, scheme, own = key[at], name[at], scheme[at], np.maximum.reduceat(own, at) if len(at) else own
+    return key[at], name[at], scheme[at], np.maximum.reduceat(own, at) if len(at) else own
+
+
+def _several(key: np.ndarray, name: np.ndarray, scheme: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns of :func:`_shared` for the keys that several classes have; keys with the same classes are one."""
+    order = np.argsort(key, kind="stable")
+    counts = _runs(key[order])[1]
+    many = order[np.repeat(counts > 1, counts)]
+    key, name, scheme, own = _own(key[many], name[many], scheme[many], run[many])
     at, counts = _runs(key)
     fresh = np.concatenate(([0], np.cumsum(np.concatenate((np.zeros(min(1, len(key)), np.int64), (key[1:] == key[:-1]) & (name[1:] != name[:-1]))))))
     owners = 1 + fresh[at + counts] - fresh[at]
@@ -230,8 +289,7 @@ def _shared(table: pa.Table) -> pa.Table:
     key, name, scheme, w, f = (x[order] for x in (key, name, scheme, w, f))
     at, _ = _runs(key, name, scheme)
     w = np.add.reduceat(w, at) if len(at) else w
-    columns = key[at].view(np.int64), name[at], scheme[at].astype(np.int32), w, f[at]
-    return pa.table([pa.array(c) for c in columns], names=["key", "name", "scheme", "w", "f"])
+    return key[at].view(np.int64), name[at], scheme[at].astype(np.int32), w, f[at]
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,6 +428,17 @@ def _dealt(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return dealt.withColumn("part", F.pmod(F.xxhash64("key", "block_i", "block_j"), F.lit(parts)))
 
 
+def _merged(dealt: DataFrame) -> DataFrame:
+    """The rows of :func:`_shared` with hot keys like the others: owners counted over all their buckets, keys with the same classes made one."""
+    dealt = saved(dealt, "dealt")
+    hot = dealt.where("f <= 0")
+    of_key = saved(hot.groupBy("key").agg((-F.sum("f")).alias("owners"), F.bit_xor(F.xxhash64("name", "scheme")).alias("classes")).where("owners > 1"), "hot-keys")
+    hot = hot.join(of_key, "key").select(F.xxhash64("classes", "owners").alias("key"), "name", "scheme", "w", F.col("owners").alias("f"))
+    out = saved(dealt.where("f > 0").unionAll(hot).groupBy("key", "name", "scheme").agg(F.sum("w").alias("w"), F.max("f").alias("f")), "shared")
+    discard(dealt, of_key)
+    return out
+
+
 def _candidates(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (key, scheme, rep) left by the allocation: of each class's keys all but the ``need - 1`` most frequent."""
     named = classes.select("rep", F.col("h1").bitwiseAND(F.lit((1 << 8 * NAME_BYTES) - 1)).alias("name"), "need0", "need1")
@@ -399,9 +468,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = saved(named.agg(F.min("row").alias("rep"), F.min("id").alias("low"), F.min("need0").alias("need0"), F.min("need1").alias("need1")), "classes")
     total = prints.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(12, 1 + total // BUCKET_KEYS))
-    blobs = source.select("text").mapInArrow(_keys(buckets), "bucket int, keys binary, names binary, tags binary")
-    shared = blobs.groupBy("bucket").applyInArrow(_shared, "key long, name long, scheme int, w long, f long")
-    shared = saved(shared.groupBy("key", "name", "scheme").agg(F.sum("w").alias("w"), F.max("f").alias("f")), "shared")
+    blobs = source.select("text").mapInArrow(_keys(buckets, hot_keys(source)), "bucket int, keys binary, names binary, tags binary")
+    shared = _merged(blobs.groupBy("bucket").applyInArrow(_shared(buckets), "key long, name long, scheme int, w long, f long"))
     rows = saved(_candidates(shared, classes).withColumn("root", F.col("rep")), "able")
     discard(shared)
     opened = _still_open(rows)

@@ -123,10 +123,43 @@ def test_shared_keys(spark):
     name = lambda *xs: b"".join(int(x).to_bytes(8, "little")[: ngram_join.NAME_BYTES] for x in xs)
     keys = lambda *xs: np.array(xs, np.uint32).tobytes()
     table = pa.table({"bucket": [0, 0, 0], "keys": [keys(7, 7, 9, 7), keys(7, 7, 9), keys(7, 8)], "names": [name(1, 1), name(1), name(2)], "tags": [bytes([3, 128 + 1]), bytes([3]), bytes([2])]})
-    got = {(r["name"], r["scheme"]): (r["w"], r["f"]) for r in ngram_join._shared(table).to_pylist()}
+    got = {(r["name"], r["scheme"]): (r["w"], r["f"]) for r in ngram_join._shared(1)(table).to_pylist()}
     assert got == {(1, 0): (2, 2), (1, 1): (1, 2), (2, 0): (1, 2)}
 
 
+def test_owners_of_hot_keys_are_dealt_apart(spark):
+    """With all keys hot, half of them or none, the same keys have the same classes and numbers; only how they are dealt differs."""
+    rng = np.random.default_rng(4)
+    shared = "the same nine words stand in all of these texts"
+    texts = [" ".join([*(f"w{k}" for k in rng.integers(0, 60, 12)), shared] if i % 2 else [shared, f"x{i % 7}", "y"]) for i in range(60)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, *texts[:9]]], "text string").repartition(3)
+    sets = [s for _, s in ngram_join.K.shingle_sets(pa.array(texts))]
+    every = np.unique(np.concatenate([k for s in sets for k in ngram_join.keys_of(s)[0]]))
+    got = []
+    for hot in (every[:0], every[::2], every):
+        blobs = frame.mapInArrow(ngram_join._keys(5, hot), "bucket int, keys binary, names binary, tags binary")
+        if len(hot) == len(every):
+            assert blobs.agg(F.min("bucket")).first()[0] >= 5 and blobs.select("bucket").distinct().count() == 5
+        dealt = ngram_join._merged(blobs.groupBy("bucket").applyInArrow(ngram_join._shared(5), "key long, name long, scheme int, w long, f long"))
+        # Keys with the same classes are one by either way, but under other names.
+        sets_of = {}
+        for r in dealt.collect():
+            sets_of.setdefault(r.key, []).append((r.name, r.scheme, r.w, r.f))
+        weight = {}
+        for rows_ in sets_of.values():
+            k = (tuple(sorted((n, c) for n, c, _, _ in rows_)), rows_[0][3])
+            weight[k] = weight.get(k, 0) + rows_[0][2]
+        got.append(weight)
+    assert len(got[0]) > 10 and got[0] == got[1] == got[2]
+    assert len(ngram_join.hot_keys(frame.withColumn("row", F.monotonically_increasing_id()))) >= 3
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_jaccard_with_hot_keys(spark, docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs).collect()} == brute.jaccard(texts)
+
+
 def test_jaccard_near_copies(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 400, 90)]
