@@ -37,15 +37,23 @@ PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.7, "card_
 CONTEXT = {
     "email": ("mail", "contact", "kontakt", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server", "login"),
-    "card": ("card", "visa", "credit", "carte", "karte", "tarjeta"),
-    "card_short": ("card", "visa", "credit", "carte", "karte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "téléphone"),
-    "phone_local": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "téléphone"),
-    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "card": ("card", "visa", "credit", "carte", "karte", "kreditkarte", "tarjeta"),
+    "card_short": ("card", "visa", "credit", "carte", "karte", "kreditkarte", "tarjeta"),
+    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "telefonnummer", "teléfono", "téléphone"),
+    "phone_local": ("phone", "call", "tel", "mobile", "fax", "telefon", "telefonnummer", "teléfono", "téléphone"),
+    "iban": ("iban", "account", "bank", "konto", "kontonummer", "compte", "cuenta"),
 }
 AGAINST = {k: ("version", "invoice", "order", "isbn", "serial", "part no") for k in ("ip", "card", "phone", "iban", "card_short", "phone_local")}
 KINDS = ("email", "ip", "card", "phone", "iban", "card_short", "phone_local")
 BASE = KINDS[:4]
+_CUT_HEAD, _CUT_TAIL = re.compile(r"^\w+"), re.compile(r"\w+$")
+
+
+def _words(words: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})s?(?!\w)")
+
+
+_FOR, _AGAINST = {k: _words(w) for k, w in CONTEXT.items()}, {k: _words(w) for k, w in AGAINST.items()}
 _SEPARATORS = str.maketrans("", "", " -().+")
 
 
@@ -65,9 +73,13 @@ def mod97(iban: str) -> bool:
 
 
 def score_of(text: str, start: int, end: int, kind: str) -> float:
-    """Score of a span from its kind and the words around it, 0 to 1."""
-    around = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
-    score = PRIOR[kind] + RAISE * any(w in around for w in CONTEXT[kind]) - LOWER * any(w in around for w in AGAINST.get(kind, ()))
+    """Score of a span from its kind and the words around it, 0 to 1.  Whole words count (and their plurals), not parts of others."""
+    before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
+    # A word that the border of the window cuts is none.
+    before = _CUT_HEAD.sub("", before) if start > NEAR and text[start - NEAR - 1].isalnum() else before
+    after = _CUT_TAIL.sub("", after) if end + NEAR < len(text) and text[end + NEAR].isalnum() else after
+    around = f"{before} {after}".lower()
+    score = PRIOR[kind] + RAISE * bool(_FOR[kind].search(around)) - LOWER * bool(_AGAINST[kind].search(around) if kind in _AGAINST else 0)
     return min(max(score, 0.0), 1.0)
 
 

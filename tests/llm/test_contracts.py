@@ -486,6 +486,19 @@ def test_pii_on_long_and_odd_rows(spark, odd):
     assert "n_ip" in pii.personal_data(clash).columns and pii.personal_data(clash).agg(F.sum("n_ip")).first()[0] == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "word"),
+    [("My hotel ship zip {}", "phone_local", "My tel ship zip {}"), ("border {}", "ip", "order {}"), ("ship zip description {}", "ip", "ips and zip {}"), ("{} hotel", "phone", "{} (tel)")],
+)
+def test_pii_context_is_whole_words(text, kind, word):
+    """Parts of other words move no score; the words themselves do, and one that the window cuts does not."""
+    span = "10.0.0.1" if kind == "ip" else "415-555-2671"
+    score = lambda t: pii.score_of(t.format(span), t.format(span).index(span), t.format(span).index(span) + len(span), kind)
+    assert score(text) == pii.PRIOR[kind] != score(word)
+    far = "x" * (pii.NEAR - 3)
+    assert score(f"hotel{far}" + "{}") == pii.PRIOR[kind]
+
+
 def test_pii_context_moves_scores():
     iban = "GB82WEST12345698765432"
     kinds = lambda t: {k: s[0][2] for k, s in pii.find(t).items() if s}
