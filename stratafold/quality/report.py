@@ -218,7 +218,7 @@ def write_report(sections: dict[str, DataFrame], path: str, run_id: str) -> None
     """Each section as JSON, once under ``runs/<section>/run_id=...`` and once under ``latest/<section>``, and ``run`` beside them: the run's id,
     its time, and the layers and number of tables it looked at."""
     spark = next(iter(sections.values())).sparkSession
-    about = sections["checks"].agg(F.array_sort(F.collect_set("layer")).alias("layers"), F.count_distinct("layer", "table").alias("tables"))
+    about = sections["checks"].where("rule not like 'reference %'").agg(F.array_sort(F.collect_set("layer")).alias("layers"), F.count_distinct("layer", "table").alias("tables"))
     run = about.select(F.lit(run_id).alias("id"), F.current_timestamp().alias("at"), "layers", "tables")
     for name, df in (sections | {"run": run}).items():
         at = f"{path}/runs/{name}/run_id={run_id}"

@@ -141,7 +141,7 @@ BY_DATE = tuple(t for t in G.BUILDERS if t.startswith(("fact_", "mart_")))
 def refresh_gold(spark: SparkSession, lake: str, touched: dict[str, list[str]], tables: Iterable[str] | None = None, fmt: str = "parquet") -> dict[str, list[str]]:
     """Facts and marts of the dates that :func:`refresh_silver` touched, made anew from the silver rows of these dates; the dates by table.
 
-    Dimensions span all dates and are left to :func:`run_gold`."""
+    A table that is not there yet is built whole.  Dimensions span all dates and are left to :func:`run_gold`."""
     out = {}
     for t in _chosen(tables, BY_DATE, "table by date"):
         sources = G.BUILDERS[t][1]
@@ -149,8 +149,12 @@ def refresh_gold(spark: SparkSession, lake: str, touched: dict[str, list[str]],
         silver = {s: files.read_table(spark, f"{lake}/silver/{s}", fmt) for s in sources}
         if not dates or any(df is None for df in silver.values()):
             continue
-        made, _ = G.build({s: df.where(F.col("game_date").isin(dates)) for s, df in silver.items()}, [t])
         path = f"{lake}/gold/{t}"
+        if files.read_table(spark, path, fmt) is None:
+            files.write_table(G.build(silver, [t])[0][t], path, fmt, partition_by=("game_date",))
+            out[t] = dates
+            continue
+        made, _ = G.build({s: df.where(F.col("game_date").isin(dates)) for s, df in silver.items()}, [t])
         files.write_table(made[t], path, fmt, "overwrite", ("game_date",), dates=True)
         left = {r[0] for r in files.read_table(spark, f"{lake}/silver/{sources[0]}", fmt).where(F.col("game_date").isin(dates)).select("game_date").distinct().collect()}
         for date in set(dates) - left:
