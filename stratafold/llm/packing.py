@@ -7,6 +7,9 @@ repeated, the counts are rounded down to what the histogram holds, and pieces ar
 What no combination takes, and the tails, are packed greedily in order as one stream that is cut at window bounds.
 The stream's last, partial window is cut into sequences whose lengths are powers of two, which need no padding.
 
+Rows are taken in an order made from the hash of id and text, and equal rows by their number among them, so the pieces are the same
+however the table is partitioned.
+
 Scale: the driver sees the histogram of grid lengths and the number of rows only.  Ranks and stream positions are running
 sums in two levels (cells, then rows of a cell), so a length that a third of all documents share is still dealt out.
 """
@@ -133,58 +136,72 @@ def _tokenised(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids, lengths = [], []
     for text in batch["text"].to_pylist():
         x = np.array([*token_ids(text or ""), END_ID], np.uint32)
+        if x.max() > np.iinfo(np.uint16).max:
+            raise ValueError(f"token id {x.max()}: ids travel as 16 bits, so a vocabulary has 65,536 entries at most")
         lengths.append(len(x))
         ids.append(x.astype(np.uint16).tobytes())
-    yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
+    yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["id", "h", "n", "ids"])
 
 
-def running(rows: DataFrame, group: str, order: str, value: str, salt_rows: int, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows before each row of its group, in an order fixed by ``order`` (a distinct
-    long).  Two levels: cells of the group by blocks of ``order``'s hash, then the rows of a cell."""
+def running(rows: DataFrame, group: str, order: list[str], value: str, salt_rows: int, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows before each row of its group, in an order fixed by ``order`` (longs that tell
+    the rows of a group apart).  Two levels: cells of the group by the hash of ``order``, then the rows of a cell."""
     cells_n = max(1, salt_rows // CELL_ROWS)
-    cell = F.pmod(F.xxhash64(order), F.lit(cells_n))
+    cell = F.pmod(F.xxhash64(*order), F.lit(cells_n))
     marked = rows.withColumn("cell", cell)
     sums = marked.groupBy(group, "cell").agg(F.sum(value).alias("all"))
     upto = Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("all").over(upto), F.lit(0))).drop("all")
-    within = Window.partitionBy(group, "cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(group, "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     marked = marked.withColumn("own", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return marked.join(sums, [group, "cell"]).withColumn(out, F.col("base") + F.col("own")).drop("cell", "own", "base")
 
 
+def numbered(tokens: DataFrame, rows: int) -> DataFrame:
+    """``row``, ``h``, ``n`` of ``tokens`` and ``copy``, the row's number among those of its hash ``h``: 0 where there is no other.
+
+    Only repeated rows are sorted.  Which of them gets which number is left open, as they are equal."""
+    narrow = tokens.select("row", "h", "n")
+    often = saved(narrow.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "pack-repeated")
+    several = running(narrow.join(often, "h", "left_semi").withColumn("one", F.lit(1)), "h", ["row"], "one", rows, "copy").drop("one")
+    return narrow.join(often, "h", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(several)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids`` (unsigned
     16-bit little-endian).
 
-    A null or empty text is its end id only.  Repeated rows are packed each.  Sequences hold ``window`` tokens, except the
-    last of the stream, cut into powers of two.  An empty table gives no rows."""
+    A null or empty text is its end id only.  Repeated rows, and rows of a null id, are packed each.  Sequences hold ``window`` tokens, except
+    the last of the stream, cut into powers of two.  Other columns of ``docs``, whatever their names, are left out.  An empty table gives no rows.
+    The same rows give the same pieces under any partitioning; only two different rows whose 64-bit hashes are equal may change places."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    source = source.withColumn("h", F.xxhash64(F.lit(8), "id", F.coalesce("text", F.lit(""))))
     kind = source.schema["id"].dataType.simpleString()
-    tokens = map_arrow(source, _tokenised, f"id {kind}, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    tokens = map_arrow(source, _tokenised, f"id {kind}, h long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
     tokens = saved(tokens, "pack-tokens")
-    lengths = saved(tokens.select("row", "n", F.floor(F.col("n") / window).alias("full"), F.floor((F.col("n") % window) / GRID).cast("int").alias("k"), (F.col("n") % window % GRID).alias("tail")), "pack-lengths")
+    rows, order = tokens.count(), ["h", "copy"]
+    lengths = numbered(tokens, rows)
+    lengths = saved(lengths.select("row", *order, "n", F.floor(F.col("n") / window).alias("full"), F.floor((F.col("n") % window) / GRID).cast("int").alias("k"), (F.col("n") % window % GRID).alias("tail")), "pack-lengths")
     histogram = np.zeros(window // GRID, np.int64)
-    rows = 0
     for r in lengths.groupBy("k").agg(F.count("*").alias("c")).collect():  # window / GRID rows at most
         histogram[r["k"]] = r["c"]
-        rows += r["c"]
     histogram[0] = 0
     slots = plan(histogram, window)
     combined = max([s[3] + s[2] for s in slots], default=0)
     # Whole windows first, then combinations, then the stream.
-    whole = running(lengths.withColumn("g", F.lit(0)), "g", "row", "full", rows, "full_base").drop("g")
-    ranked = running(whole.withColumn("one", F.lit(1)), "k", "row", "one", rows, "rank").drop("one")
+    whole = running(lengths.withColumn("g", F.lit(0)), "g", order, "full", rows, "full_base").drop("g")
+    ranked = running(whole.withColumn("one", F.lit(1)), "k", order, "one", rows, "rank").drop("one")
     table = spark.createDataFrame(slots or [(-1, 0, 0, 0, 0)], "k int, from_rank long, count long, first long, at long")
     slot = F.broadcast(table)  # at most a few rows for each of the enumerated combinations, whatever the input
     fixed = ranked.join(slot.withColumnRenamed("k", "slot_k"), (F.col("k") == F.col("slot_k")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("count")), "left")
     fixed = fixed.withColumn("sequence", F.col("first") + F.col("rank") - F.col("from_rank"))
     # What the combinations left of the grid piece, and the tail, go to the stream.
     fixed = fixed.withColumn("loose", F.when(F.col("sequence").isNull(), F.col("k") * GRID).otherwise(0) + F.col("tail"))
-    fixed = saved(fixed.select("row", "n", "full", "k", "tail", "full_base", "sequence", "at", "loose"), "pack-fixed")
+    fixed = saved(fixed.select("row", *order, "n", "full", "k", "tail", "full_base", "sequence", "at", "loose"), "pack-fixed")
     sums = fixed.agg(F.sum("full").alias("full"), F.sum("loose").alias("loose")).first()
     windows, loose = int(sums["full"] or 0), int(sums["loose"] or 0)
-    streamed = running(fixed.withColumn("g", F.lit(0)), "g", "row", "loose", rows, "stream_at").drop("g")
+    streamed = running(fixed.withColumn("g", F.lit(0)), "g", order, "loose", rows, "stream_at").drop("g", *order)
     rest = loose % window
     ends, at = [], loose - rest
     for bit in reversed(range(window.bit_length())):

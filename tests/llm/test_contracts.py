@@ -1,5 +1,6 @@
 """Every operator against a plain version on a small table and on a table of odd rows."""
 
+import collections
 import hashlib
 import re
 import time
@@ -513,17 +514,20 @@ def test_packing(docs, texts, odd):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for frame, known in ((docs, texts), (odd.where("doc_id <> 6"), {r[0]: r[1] for r in ODD if r[0] != 6})):
-        got = packing.pack(frame).toPandas()
+    odd = odd.unionAll(odd.sparkSession.createDataFrame([(None, "No id " * 3000, None, None, "c", 2.0)] * 3, odd.schema)).withColumn("h", F.lit("x")).withColumn("copy", F.lit(7))
+    everyone = {r[0]: r[1] for r in ODD} | {None: "No id " * 3000}
+    for frame, known, times in ((docs, texts, {}), (odd, everyone, {"6": 2, "None": 3})):
+        known = {str(i): t for i, t in known.items()}
+        got = packing.pack(frame).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))).toPandas()
         for i, own in got.groupby("doc_id"):
-            own = own.sort_values("start")
             ids = np.array([*tok.encode(known[i] or "", add_special_tokens=False).ids, 1], "<u4")
-            assert (own["doc_tokens"] == len(ids)).all()
-            at = 0
+            assert (own["doc_tokens"] == len(ids)).all() and (own["length"] > 0).all()
             for r in own.itertuples():
-                assert r.start == at and r.length > 0 and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
-                at += r.length
-            assert at == len(ids)
+                assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+            # Pieces of each copy join end to end, from 0 to the document's last id.
+            copies = times.get(i, 1)
+            starts, ends = collections.Counter(own["start"]), collections.Counter(own["start"] + own["length"])
+            assert starts + collections.Counter({len(ids): copies}) == ends + collections.Counter({0: copies})
         assert set(got["doc_id"]) == set(known)
         fills = []
         for _, own in got.groupby("sequence_id"):
@@ -534,6 +538,20 @@ def test_packing(docs, texts, odd):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_is_the_same_under_any_partitioning(docs):
+    many = docs.select("doc_id", "text").unionAll(docs.select(F.lit(None).cast("long"), F.lit("the same words again").alias("text")).limit(300))
+    runs = [sorted(packing.pack(frame).drop("ids").collect(), key=str) for frame in (many, many.repartition(7, F.rand(3)), many.orderBy(F.desc("text")).coalesce(1))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 300
+
+
+def test_packing_cells_of_equal_rows(spark, monkeypatch):
+    """A group of equal rows is cut into cells, and ranks stay gapless."""
+    monkeypatch.setattr(packing, "CELL_ROWS", 5)
+    frame = spark.createDataFrame([(i, 1, 3) for i in range(60)] + [(100 + i, 2 + i, 4) for i in range(20)], "row long, h long, n long")
+    got = packing.numbered(frame, 80).collect()
+    assert sorted(r["copy"] for r in got if r.h == 1) == list(range(60)) and all(r["copy"] == 0 for r in got if r.h > 1) and len(got) == 80
+
+
 def test_nnls():
     rng = np.random.default_rng(4)
     a, x = rng.random((12, 30)), np.maximum(0, rng.standard_normal(30))
