@@ -51,15 +51,18 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures are the pages, fetched on a day given by their id; list events come from every fifth, seventh and eleventh page."""
+    """Captures are the pages, fetched on a day given by their id; list events come from every fifth, seventh and eleventh page.
+
+    Every fourteenth page's ``url`` entry names a user and the scheme's own port, which a match looks past."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     captures = pages.withColumn("fetch_day", day(F.col("page_id") * 7919 % 365))
     host = url_filters.host_of(F.col("url"))
     parent = F.array_join(F.slice(F.split(host, r"\."), -3, 3), ".")
+    spelt = F.regexp_replace(F.regexp_replace("url", "^http://([^/?#:@]+)([/?#]|$)", "http://reader@$1:80$2"), "^https://([^/?#:@]+)([/?#]|$)", "https://reader@$1:443$2")
     rows = F.array(
         F.when(F.col("page_id") % 5 == 0, F.struct(F.lit("domain").alias("kind"), host.alias("value"))),
-        F.when(F.col("page_id") % 7 == 0, F.struct(F.lit("url").alias("kind"), url_filters.address_of(F.col("url")).alias("value"))),
+        F.when(F.col("page_id") % 7 == 0, F.struct(F.lit("url").alias("kind"), F.when(F.col("page_id") % 14 == 0, spelt).otherwise(F.col("url")).alias("value"))),
         F.when((F.col("page_id") % 11 == 0) & (F.size(F.split(host, r"\.")) > 3), F.struct(F.lit("domain").alias("kind"), parent.alias("value"))),
     )
     start = F.col("page_id") * 31 % 365
@@ -97,8 +100,12 @@ SQL = {
     "op9_url_filter": r"""
 WITH captures AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INTEGER) AS fetch_day,
     nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '.'), '') AS host,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)) || substr(regexp_extract(url, '^[^?#]+', 0), length(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)) + 1), '') AS address FROM pages),
-parts AS (SELECT *, string_split(host, '.') AS labels FROM captures),
+    lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)(?::([0-9]*))?', 2) AS port,
+    regexp_replace(regexp_extract(url, '^[^?#]+', 0), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') AS path FROM pages),
+parts AS (SELECT *, string_split(host, '.') AS labels, nullif(CASE WHEN scheme = '' THEN '' ELSE scheme || '://' || coalesce(host, '')
+    || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END END || path, '') AS address,
+    host[1] = '[' OR regexp_matches(labels[-1], '^([0-9]+|0x[0-9a-f]*)$') AS numeric FROM captures),
 entries AS (
     SELECT page_id, 'domain' AS kind, host AS value FROM parts WHERE page_id % 5 = 0
     UNION ALL SELECT page_id, 'url', address FROM parts WHERE page_id % 7 = 0
@@ -108,10 +115,10 @@ events AS (
     UNION ALL SELECT kind, value, DATE '2024-01-01' + CAST(page_id * 31 % 365 + 20 + page_id % 90 AS INTEGER), false FROM entries WHERE value IS NOT NULL),
 daily AS (SELECT kind, value, day, bool_or(added) AS added FROM events GROUP BY ALL),
 spans AS (SELECT * FROM (SELECT kind, value, day AS from_day, lead(day) OVER (PARTITION BY kind, value ORDER BY day) AS to_day, added FROM daily) WHERE added),
-met AS (SELECT c.page_id, count(*) AS n_active, min(s.from_day) AS listed_since FROM captures c JOIN spans s
+met AS (SELECT c.page_id, count(*) AS n_active, min(s.from_day) AS listed_since FROM parts c JOIN spans s
     ON c.fetch_day >= s.from_day AND (s.to_day IS NULL OR c.fetch_day < s.to_day)
-    AND CASE s.kind WHEN 'url' THEN c.address = s.value ELSE c.host = s.value OR ends_with(c.host, '.' || s.value) END GROUP BY 1)
-SELECT c.page_id, c.url, c.fetch_day, coalesce(n_active, 0) AS n_active, listed_since, n_active IS NOT NULL AS blocked FROM captures c LEFT JOIN met USING (page_id)
+    AND CASE s.kind WHEN 'url' THEN c.address = s.value ELSE c.host = s.value OR (NOT c.numeric AND ends_with(c.host, '.' || s.value)) END GROUP BY 1)
+SELECT c.page_id, c.url, c.fetch_day, coalesce(n_active, 0) AS n_active, listed_since, n_active IS NOT NULL AS blocked FROM parts c LEFT JOIN met USING (page_id)
 """,
     "op11_secrets": r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

@@ -2,7 +2,7 @@
 
 Dated list events (an entry is added or removed on a day) become validity intervals: an entry is active from a day it is added
 until its next event.  Captures are joined as of their fetch day: the last event of an entry up to that day decides.  An entry is a
-``domain`` (matches the host and its subdomains) or a ``url`` (matches the address without query and fragment).
+``domain`` (matches the host and its subdomains; an IP address has none) or a ``url`` (matches the address without query and fragment).
 
 Scale: what is looked up are distinct (kind, value, day), combined before the shuffle, so a host with a third of all captures is one row a day;
 the window of an entry holds at most two rows a day, whatever the number of captures and events.  Entries that are active meet the addresses
@@ -28,12 +28,23 @@ def host_of(url: Column) -> Column:
 
 
 def address_of(url: Column) -> Column:
-    """The URL without query and fragment, scheme and host in lower case; null where nothing is left."""
+    """The URL without query and fragment, scheme and host in lower case; null where nothing is left.
+
+    The head is written as :func:`host_of` writes hosts: without user and final dots.  A port that is empty or the scheme's own (80 for
+    http, 443 for https) is left out; another port names another server and stays."""
     address, head = F.regexp_extract(url, r"^[^?#]+", 0), F.regexp_extract(url, _HEAD, 0)
-    address = F.concat(F.lower(head), F.substr(address, F.length(head) + 1))
+    plain = F.regexp_replace(F.lower(head), r"://.*@", "://")
+    plain = F.regexp_replace(plain, r"^(http://.*):80$|^(https://.*):443$|^(.*):$", "$1$2$3")
+    plain = F.regexp_replace(plain, r"([^./])\.+(:[0-9]+)?$", "$1$2")
+    address = F.concat(plain, F.substr(address, F.length(head) + 1))
     return F.when(address != "", address)
 
 
+def is_numeric(host: Column) -> Column:
+    """Is the host an IP address?  In brackets, or its last label is a number, decimal or hexadecimal.  It has no parent domains."""
+    return host.rlike(r"^\[|(^|\.)([0-9]+|0x[0-9a-f]*)$")
+
+
 def domain_of(value: Column) -> Column:
     """A domain entry as hosts are written: lower case, without blanks, a leading ``*.`` or dot, and final dots; null where nothing is left."""
     bare = F.regexp_replace(F.lower(F.trim(value)), r"^\*?\.+|\.+$", "")
@@ -74,7 +85,8 @@ def evaluate(captures: DataFrame, events: DataFrame, url_col: str = "url", day_c
     added = ("n_active", "listed_since", "blocked")
     rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"), F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("day"))
     asked = rows.select("url", "day").where("url is not null and day is not null").distinct()
-    parts = F.split(host_of(F.col("url")), r"\.")
+    host = host_of(F.col("url"))
+    parts = F.when(is_numeric(host), F.array(host)).otherwise(F.split(host, r"\."))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("value")))
     whole = F.array(F.struct(F.lit("url").alias("kind"), address_of(F.col("url")).alias("value")))
     keys = F.concat(F.when(parts.isNotNull(), suffixes).otherwise(F.slice(whole, 1, 0)), whole)

@@ -731,6 +731,22 @@ def test_url_filter(spark):
     assert url_filters.evaluate(captures, events.limit(0)).where("blocked").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("kind", "value", "met", "missed"),
+    [
+        ("domain", "2.3", [], ["http://10.1.2.3/x", "http://2.3.4.5/", "http://b.2.3.net/"]), ("domain", "10.1.2.3", ["http://10.1.2.3/x", "http://u@10.1.2.3:81/"], ["http://1.10.1.2.3/"]),
+        ("domain", "[::1.2.3.4]", ["http://[::1.2.3.4]/"], ["http://[::2.2.3.4]/"]), ("domain", "3.4]", [], ["http://[::1.2.3.4]/"]), ("domain", "0xff", ["http://0xFF/"], ["http://1.0xff/"]),
+        ("url", "http://a.b.com/x", ["http://a.b.com:80/x", "http://me:pw@A.B.com/x?q", "HTTP://a.b.com.:/x#f"], ["http://a.b.com:8080/x", "https://a.b.com/x", "http://a.b.com:443/x"]),
+        ("url", "https://u@a.com:443/x", ["https://a.com/x"], ["https://a.com:80/x"]), ("url", "http://a.com:81/", ["http://v@a.com:81/"], ["http://a.com/"]),
+        ("url", "http://[::1]:80/x", ["http://[::1]/x"], ["http://[::1]:8/x"]),
+    ],
+)
+def test_url_entries_of_addresses_and_ports(spark, kind, value, met, missed):
+    captures = spark.createDataFrame([(u, "2024-03-01") for u in met + missed], "url string, fetch_day string")
+    out = url_filters.evaluate(captures, spark.createDataFrame([(kind, value, "2024-01-01", True)], "kind string, value string, day string, added boolean"))
+    assert {r.url for r in out.where("blocked").collect()} == set(met)
+
+
 def test_as_of_equals_intervals(spark):
     """The last event decides: the same as a join of days with intervals."""
     rng = np.random.default_rng(7)
