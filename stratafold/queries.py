@@ -88,18 +88,32 @@ for _name in G.BUILDERS:
 
 
 def _silver_query(table: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        out = parse.build_silver(V.payloads(spark, d), [table])[table]
-        return _rounded(out.select(*[c for c in S.SILVER[table] if c not in S.LINEAGE and c not in ("participant_count", "frame_timestamp", "participant_frame_count")]))
-
-    return run
+    return lambda spark, d: _rounded(parse.build_silver(V.payloads(spark, d), [table])[table])
+
+
+def _silver_sql(table: str) -> str:
+    """What the payloads' tables hold, lineage included: rows of a match carry its file, rows of a timeline that of its user and day."""
+    rows = f"{table}_1" if table == "participants" else table
+    own = {c: f"round(r.{c}, 6) AS {c}" if c in ("kda", "win_rate") else f"r.{c}" for c in S.SILVER[table]}
+    if table in parse.ROUTES["matches"]:
+        own |= {c: f"m.{c}" for c in S.LINEAGE} | {"game_date": "CAST(CAST(make_timestamp(m.game_creation * 1000) AS DATE) AS VARCHAR) AS game_date"}
+        people = "(SELECT match_id, count(DISTINCT participant_id) AS n FROM participants GROUP BY 1)"
+        source = f"FROM {rows} r JOIN matches m USING (match_id)" + (f" LEFT JOIN {people} p USING (match_id)" if table == "matches" else "")
+        if table == "matches":
+            own["participant_count"] = "coalesce(p.n, 0) AS participant_count"
+        head = _with("matches", "participants", *({table} - {"matches", "participants"}), extra=_dedup("participants"))
+    elif table in parse.ROUTES["timelines"]:
+        own |= {"source_file": "'raw/timelines/' || r.match_id AS source_file", "file_hash": "r.match_id AS file_hash", "ingest_ts": "'2024-01-01T00:00:00Z' AS ingest_ts"}
+        own |= {c: f"'2024-01-01' AS {c}" for c in ("ingest_date", "game_date")}
+        head, source = f"WITH {table} AS ({V.SQL[table]})", f"FROM {table} r"
+    else:
+        head, source = _with(table), f"FROM {table} r"
+    return f"{head} SELECT DISTINCT {', '.join(own.values())} {source}"
 
 
 for _t in S.SILVER:
     QUERIES[f"silver_{_t}"] = _silver_query(_t)
-    _cols = ", ".join(f"round({c}, 6) AS {c}" if c in ("kda", "win_rate") else c for c in S.SILVER[_t] if c not in S.LINEAGE and c not in ("participant_count", "frame_timestamp", "participant_frame_count"))
-    _from = f"{_with(_t, extra=_dedup(_t))} SELECT DISTINCT {_cols} FROM {_t}_1" if _t == "participants" else f"{_with(_t)} SELECT DISTINCT {_cols} FROM {_t}"
-    SQL[f"silver_{_t}"] = _from
+    SQL[f"silver_{_t}"] = _silver_sql(_t)
 
 
 def expr_all(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +159,7 @@ for _n, _q in (P.FEATURE_SQL | P.BI_SQL).items():
 def _checked(table: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = V.silver(spark, d, table)[table] if table in S.SILVER else _gold_tables(spark, d, table)[table]
-        return QR.evaluate(df, table, QR.rules_for(table)).drop("detail")
+        return QR.evaluate(df, table, QR.rules_for(table))
 
     return run
 
@@ -266,14 +280,20 @@ RULE_SQL: dict[str, list[tuple]] = {
 }
 
 
+_NULLS = ("summoner_id", "riot_id_game_name", "riot_id_tagline", "summoner_name")
+_NULL_COUNTS = " || ',' || ".join(f"'\"{c}\":' || (SELECT count(*) FROM t WHERE {c} IS NULL)" for c in _NULLS)
+#: Details of the rules that have one; columns and values are whole in the tables of the catalogue.
+DETAIL_SQL = {"required_columns": """'{"missing_columns": []}'""", "nullable_identifier_null_rates": f"'{{' || {_NULL_COUNTS} || '}}'"}
+
+
 def _rule_sql(table: str) -> str:
     parts = []
     for rule, worst, failed, bad in RULE_SQL[table]:
         count = f"CAST({failed} AS BIGINT)" if failed else "NULL::BIGINT"
-        parts.append(f"SELECT '{rule}' AS rule, {count} AS failed_rows, CASE WHEN {bad or f'{failed} > 0'} THEN '{worst}' ELSE 'PASS' END AS status, n AS total_rows FROM size")
+        parts.append(f"SELECT '{rule}' AS rule, {count} AS failed_rows, CASE WHEN {bad or f'{failed} > 0'} THEN '{worst}' ELSE 'PASS' END AS status, n AS total_rows, {DETAIL_SQL.get(rule, 'NULL')}::VARCHAR AS detail FROM size")
     return (
         f"WITH t AS ({V.SQL.get(table) or GOLD_SQL[table]}), size AS (SELECT count(*) AS n FROM t) "
-        f"SELECT '{table}' AS \"table\", rule, status, failed_rows, total_rows, round(failed_rows::DOUBLE / total_rows, 6) AS failed_rate FROM ({' UNION ALL '.join(parts)})"
+        f"SELECT '{table}' AS \"table\", rule, status, failed_rows, total_rows, round(failed_rows::DOUBLE / total_rows, 6) AS failed_rate, detail FROM ({' UNION ALL '.join(parts)})"
     )
 
 
@@ -393,10 +413,11 @@ _ALL = " UNION ALL ".join(f"SELECT * FROM ({_rule_sql(t)})" for t in S.SILVER)
 _STATUS = f"SELECT \"table\", CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM ({_ALL}) GROUP BY 1"
 QUERIES["dq_status"] = lambda spark, d: Q.table_status(_checks(spark, d))
 SQL["dq_status"] = _STATUS
-QUERIES["dq_summary"] = lambda spark, d: Q.summary(_checks(spark, d)).drop("recommendation")
-SQL["dq_summary"] = f"SELECT *, tables_expected AS tables_analysed, 0::BIGINT AS tables_missing, CASE WHEN tables_failed > 0 THEN 'FAIL' WHEN tables_warned > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS status, tables_failed = 0 AS ready FROM (SELECT count(*) AS tables_expected, count(*) FILTER (status = 'PASS') AS tables_passed, count(*) FILTER (status = 'WARN') AS tables_warned, count(*) FILTER (status = 'FAIL') AS tables_failed FROM ({_STATUS}))"
-QUERIES["dq_issues"] = lambda spark, d: Q.issues(_checks(spark, d)).drop("details")
-SQL["dq_issues"] = f"SELECT \"table\", rule, status FROM ({_ALL}) WHERE status IN ('FAIL', 'WARN')"
+QUERIES["dq_summary"] = lambda spark, d: Q.summary(_checks(spark, d))
+SQL["dq_summary"] = f"SELECT *, tables_expected AS tables_analysed, 0::BIGINT AS tables_missing, CASE WHEN tables_failed > 0 THEN 'FAIL' WHEN tables_warned > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS status, tables_failed = 0 AS ready, CASE WHEN tables_failed > 0 THEN 'Mend the failed checks before use.' WHEN tables_warned > 0 THEN 'Fit for use; look at the warnings.' ELSE 'Fit for use.' END AS recommendation FROM (SELECT count(*) AS tables_expected, count(*) FILTER (status = 'PASS') AS tables_passed, count(*) FILTER (status = 'WARN') AS tables_warned, count(*) FILTER (status = 'FAIL') AS tables_failed FROM ({_STATUS}))"
+_DETAILS = "from_json(details, 'failed_rows bigint, total_rows bigint, failed_rate double, detail string') AS d"
+QUERIES["dq_issues"] = lambda spark, d: Q.issues(_checks(spark, d)).selectExpr("*", _DETAILS).select("table", "rule", "status", "d.*")
+SQL["dq_issues"] = f"SELECT \"table\", rule, status, failed_rows, total_rows, failed_rate, detail FROM ({_ALL}) WHERE status IN ('FAIL', 'WARN')"
 QUERIES["dq_check_counts"] = lambda spark, d: Q.check_counts(_checks(spark, d))
 SQL["dq_check_counts"] = f"SELECT status, count(*) AS n FROM ({_ALL}) GROUP BY 1"
 

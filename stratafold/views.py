@@ -74,8 +74,10 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     out.append(t["summoners"].select(*line, F.to_json(camel(_SNAKE["summoners"])).alias("payload_json")))
     out.append(t["ranked"].select(*line, F.to_json(F.struct(F.col("league_id").alias("leagueId"), "queue", "tier", F.array(camel(_SNAKE["ranked"])).alias("entries"))).alias("payload_json")))
     e = t["timeline_events"]
-    frames = e.groupBy("match_id", "frame_index").agg(F.array_sort(F.collect_list(F.struct("event_index", camel(_SNAKE["events"]).alias("e")))).alias("events"))
-    frames = frames.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", F.struct(F.col("frame_index").alias("timestamp"), F.col("events.e").alias("events")).alias("f")))).alias("frames"))
+    frames = e.groupBy("match_id", "frame_index").agg(F.array_sort(F.collect_list(F.struct("event_index", camel(_SNAKE["events"]).alias("e")))).alias("events"), F.min("event_timestamp").alias("first"), F.collect_set(F.col("participant_id").cast("string")).alias("people"))
+    people = F.map_from_arrays("people", "people").alias("participantFrames")
+    in_order = lambda a, b: (a["frame_index"] - b["frame_index"]).cast("int")  # noqa: E731 (maps have no order of their own)
+    frames = frames.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", F.struct(F.col("first").alias("timestamp"), people, F.col("events.e").alias("events")).alias("f"))), in_order).alias("frames"))
     times = frames.select(F.lit("timelines").alias("dataset"), F.concat(F.lit("raw/timelines/"), "match_id").alias("source_file"), F.col("match_id").alias("file_hash"), F.lit("2024-01-01T00:00:00Z").alias("ingest_ts"), F.lit("2024-01-01").alias("ingest_date"), F.to_json(F.struct(F.struct(F.col("match_id").alias("matchId")).alias("metadata"), F.struct(F.col("frames.f").alias("frames")).alias("info"))).alias("payload_json"))
     out.append(times)
     broken = t["summoners"].select(*line, F.element_at(F.array(F.lit("{bad"), F.lit("[1]"), F.lit("7")), (F.length("puuid") % 3 + 1).cast("int")).alias("payload_json"))
