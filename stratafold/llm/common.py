@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,43 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
+from ..scratch import saved
+
 #: Rows of an Arrow batch where the session has Spark's default; one that the user chose stays.
 ARROW_ROWS, _DEFAULT_ROWS, _ROWS_KEY = 1000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Temporary folder of each local application that names no checkpoint folder.
-_LOCAL: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``; where it is unset, the warehouse on a cluster and a
-    temporary folder in local mode (tests).  The session's settings stay as they are."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="stratafold-")
-        return _LOCAL[app]
-    return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
 
 
 def discard(*tables: DataFrame | None) -> None:
     """Delete scratch tables that nothing reads any more: those :func:`saved` returned, and that no frame still to be run is made from."""
-    for df in tables:
-        if df is not None and getattr(df, "_scratch", None):
-            context = df.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.discard(*[df for df in tables if df is not None and getattr(df, "_scratch", None)])
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

@@ -7,12 +7,13 @@ document in service is cut at its share, so each source lands on its target.
 
 Scale: running sums are made in two levels.  Documents fall into cells by (source, hash bucket); the sums of cells form
 a small table that is accumulated per source, and rows are accumulated inside their cell.  A source with a third of
-all rows is spread over all buckets.  The final order is a range sort.
+all rows is spread over all buckets.  Rows equal in id and text share a hash; if they alone overfill a cell, they are dealt over
+cells of their own by their place in the stored table.  The final order is a range sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -20,6 +21,7 @@ from .common import saved
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows meant for one cell of the running sums.
 CELL_ROWS = 10_000
+_CELL = ["src", "bucket", "hot", "share"]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -43,11 +45,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return w.select(*sizes.columns, F.when(F.col("stop").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("stop.level"))).alias("target"))
 
 
-def serve(docs: DataFrame, keep: list[str], text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, store: bool = True) -> DataFrame:
+def _repeated(few: DataFrame, bucket: Column, cell_rows: int) -> DataFrame:
+    """Hashes of more than ``cell_rows`` rows of a source, with their number; only cells of more than twice as many are looked into."""
+    few = few.select("src", "h", bucket.alias("bucket"))
+    full = few.groupBy("src", "bucket").count().where(F.col("count") > 2 * cell_rows)
+    return saved(few.join(full, ["src", "bucket"], "leftsemi").groupBy("src", "h").count().where(F.col("count") > cell_rows), "mix-repeated")
+
+
+def _cells(frame: DataFrame, bucket: Column, repeated: DataFrame, cell_rows: int) -> DataFrame:
+    """Adds the cell of each row: its bucket, and for rows of a ``repeated`` hash that hash and a share of ``cell_rows`` rows or so, from 1."""
+    if repeated.isEmpty():
+        return frame.withColumns({"bucket": bucket, "hot": F.lit(0).cast("long"), "share": F.lit(0).cast("long")})
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    marked = frame.withColumns({"bucket": bucket, "place": place}).join(repeated, ["src", "h"], "left")
+    hot = F.col("count").isNotNull()
+    share = 1 + F.pmod("place", F.ceil(F.col("count") / cell_rows))
+    return marked.withColumns({"hot": F.when(hot, F.col("h")).otherwise(0), "share": F.when(hot, share).otherwise(0)}).drop("place", "count")
+
+
+def serve(
+    docs: DataFrame, keep: list[str], text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", seed: int = 17,
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, store: bool = True, cell_rows: int = CELL_ROWS,
+) -> DataFrame:
     """The columns ``keep`` of each row with ``size``, ``source_size``, ``target``, ``taken`` and ``finish``.
 
     With ``store`` the sized rows are written once and read twice; without, word counts are made twice, which suits a
-    caller that keeps the texts."""
+    caller that keeps the texts.  ``cell_rows``: rows meant for one cell of the running sums, however often a row is repeated."""
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     rows = docs.select(
         *[F.col(c).alias(f"k_{c}") for c in keep], key.alias("src"), F.col(source_col).cast("string").alias("source"),
@@ -57,15 +80,21 @@ def serve(docs: DataFrame, keep: list[str], text_col: str = "text", source_col:
     rows = saved(rows, "mix-sizes") if store else rows
     # Buckets in hash order, so that sums of buckets and of rows within a bucket form one running sum.
     few = saved(rows.select("src", "source", "size", "h"), "mix-rows") if not store else rows
-    buckets = max(1, few.count() // CELL_ROWS)
+    buckets = max(1, few.count() // cell_rows)
     width = (1 << 40) // buckets + 1
     bucket = F.floor(F.shiftrightunsigned("h", 24) / F.lit(width))
+    repeated = _repeated(few, bucket, cell_rows)
+    if store or repeated.isEmpty():
+        rows, few = (_cells(f, bucket, repeated, cell_rows) for f in (rows, few))
+    else:
+        # Equal rows are told apart by their place, so both readings must be of one stored table.
+        rows = few = _cells(saved(rows, "mix-texts"), bucket, repeated, cell_rows)
     aims = targets(few.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").cast("double").alias("source_size")), weights, share, float(most))
-    cells = few.groupBy("src", bucket.alias("bucket")).agg(F.sum("size").alias("cell"))
-    upto = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = few.groupBy(*_CELL).agg(F.sum("size").alias("cell"))
+    upto = Window.partitionBy("src").orderBy(*_CELL[1:]).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("cell").over(upto), F.lit(0))).join(aims.drop("source"), "src").drop("cell")
-    within = Window.partitionBy("src", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    served = rows.withColumn("bucket", bucket).withColumn("own", F.sum("size").over(within)).join(cells, ["src", "bucket"])
+    within = Window.partitionBy(*_CELL).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    served = rows.withColumn("own", F.sum("size").over(within)).join(cells, _CELL)
     end = F.col("before") + F.col("own")
     left = F.floor("target") - (end - F.col("size"))
     parts = [F.greatest(F.lit(0), F.least(F.col("size"), left - (k * F.col("source_size")).cast("long"))) for k in range(most)]

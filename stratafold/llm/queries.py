@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import fresh
 from . import blob_ledger, brown, jpeg, langid, lattice, mixing, ngram_join, packing, pii, repair, spelling, toxicity, url_filters
-from .common import documents, fold, scratch_root
+from .common import documents, fold
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +79,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One version of every document against a new ledger."""
-    docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), f"{scratch_root(spark)}/ledger-{uuid.uuid4().hex}"
+    docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), fresh(spark, "ledger")
     blob_ledger.scan(docs, ledger)
     return blob_ledger.digest(blob_ledger.findings(docs, ledger).drop("text"))
 
