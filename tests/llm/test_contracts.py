@@ -248,8 +248,9 @@ def test_embeddings_in_a_large_cell(spark):
     assert sum(n for n, _ in got.values()) >= 0.99 * total and all(got[i][1] == want[i][1] for i in want)
 
 
-def test_embedding_recall(spark):
-    """Pairs just above the threshold, where recall is least."""
+@pytest.mark.parametrize("grid", [g for _, g in lattice.GRIDS])
+def test_embedding_recall(spark, grid):
+    """Pairs just above the threshold, where recall is least, with the grid of every size of table."""
     rng = np.random.default_rng(6)
     x, y = rng.standard_normal((2, 1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -257,7 +258,8 @@ def test_embedding_recall(spark):
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     c = rng.uniform(0.9501, 0.96, (1500, 1))
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((x, c * x + np.sqrt(1 - c * c) * y)))]
-    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(table, grid=grid).collect()}
     assert sum(got.values()) >= 0.98 * 3000 and max(got.values()) == 1
 
 
@@ -378,6 +380,27 @@ def test_mix(docs, odd):
     assert out.columns == clash.columns and {(r["size"], r.target, r.row) for r in out.collect()} == {("size", "target", "row")}
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows equal in id and text fill cells of the usual size, and take the places of one running sum."""
+    rows = [(None, "a b c", "x", i) for i in range(600)] + [(7, "d e", None, i) for i in range(300)] + [(i, f"w{i} v", "x" if i % 3 else "y", i) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    got = mixing.mix(docs, cell_rows=20).collect()
+    one = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and sorted((r.doc_id or 0, r["size"]) for r in got) == sorted((r.doc_id or 0, r["size"]) for r in one)
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        ends = sorted(round(r.finish * r.target) for r in mine)
+        steps = sorted(b - a for a, b in zip([0, *ends], ends, strict=False))
+        assert steps == sorted(r["size"] for r in mine) and abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs, cell_rows=20).collect()))
+    out = mixing.mixed(docs, cell_rows=20)
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in got)
+    stored = common.saved(docs.selectExpr("source as src", "xxhash64(doc_id, text) as h"), "rows")
+    bucket = F.lit(0).cast("long")
+    cells = mixing._cells(stored, bucket, mixing._repeated(stored.where("src is not null"), bucket, 20), 20)
+    assert cells.where("hot <> 0").groupBy("hot", "share").count().agg({"count": "max"}).first()[0] <= 60
+
+
 def test_brown(spark, docs, odd):
     train = docs.where("crc32(cast(doc_id as string)) % 7 <> 2")
     model, counts = brown.fit(train, "text")
