@@ -15,17 +15,31 @@ from . import relational as R
 Tables = dict[str, DataFrame]
 
 
-def participants(t: Tables) -> DataFrame:
-    """Participants once each, with role and creep score; ``participants_once``, where it is among the tables, is just that."""
+_NAMES = ("summoner_id", "summoner_name", "riot_id_game_name", "riot_id_tagline")
+#: What sums and means of the marts are made of.
+_MEASURES = ("win", *R.AVERAGES.values())
+
+
+def participants(t: Tables, *columns: str) -> DataFrame:
+    """Participants once each, with role and creep score, and of the other columns those of ``columns`` (none named: all that gold tables hold);
+    ``participants_once``, where it is among the tables, is just that."""
     if "participants_once" in t:
         return t["participants_once"]
-    return R.dedup_latest(t["participants"], S.SILVER_KEYS["participants"]).withColumns({"team_position": X.normalized_role(), "cs": X.creep_score()})
+    wanted = columns or (*S.GOLD["fact_participant_performance"], "champion_name", *_NAMES)
+    rows = t["participants"].withColumns({"team_position": X.normalized_role(), "cs": X.creep_score()})
+    return R.dedup_latest(rows, S.SILVER_KEYS["participants"], columns=list(wanted), deal=["match_id"])
 
 
-def teams(t: Tables) -> DataFrame:
+def teams(t: Tables, *columns: str) -> DataFrame:
+    """Teams once each, with side and score, and of the other columns those of ``columns`` (none named: all that gold tables hold)."""
     if "teams_once" in t:
         return t["teams_once"]
-    return R.dedup_latest(t["teams"], S.SILVER_KEYS["teams"]).withColumns({"team_side": X.team_side(), "objective_score": X.objective_score()})
+    rows = t["teams"].withColumns({"team_side": X.team_side(), "objective_score": X.objective_score()})
+    return R.dedup_latest(rows, S.SILVER_KEYS["teams"], columns=list(columns or S.GOLD["fact_team_objectives"]), deal=["match_id"])
+
+
+def fact_participant_performance(t: Tables) -> DataFrame:
+    return participants(t, *S.GOLD["fact_participant_performance"])
 
 
 def dim_date(t: Tables) -> DataFrame:
@@ -35,7 +49,7 @@ def dim_date(t: Tables) -> DataFrame:
 
 
 def dim_match(t: Tables) -> DataFrame:
-    return R.dedup_latest(t["matches"].where("match_id is not null"), ["match_id"])
+    return R.dedup_latest(t["matches"].where("match_id is not null"), ["match_id"], columns=S.GOLD["dim_match"], deal=["match_id"])
 
 
 def _seen() -> list:
@@ -64,18 +78,18 @@ def dim_rank(t: Tables) -> DataFrame:
 
 def mart_player_daily(t: Tables) -> DataFrame:
     """By date and player.  Wins count rows and matches are distinct, so losses may be negative for doubled rows."""
-    names = ("summoner_id", "summoner_name", "riot_id_game_name", "riot_id_tagline")
-    rows = participants(t).where("puuid is not null")
-    out = R.participant_metrics(rows, ["game_date", "puuid"], ("unique_champions",), extra=tuple(R.first_struct(c, "match_id").alias(c) for c in names))
-    return R.with_rates(out.withColumns({c: F.col(f"{c}.value") for c in names}), "matches_played")
+    rows = participants(t, "game_date", "puuid", "champion_id", *_MEASURES, *_NAMES).where("puuid is not null")
+    return R.with_rates(R.participant_metrics(rows, ["game_date", "puuid"], ("unique_champions",), names=_NAMES), "matches_played")
 
 
 def mart_champion_daily(t: Tables) -> DataFrame:
-    return R.with_rates(R.participant_metrics(participants(t), ["game_date", "champion_id", "champion_name"], ("unique_players",)), "matches_played")
+    rows = participants(t, "game_date", "champion_id", "champion_name", "puuid", *_MEASURES)
+    return R.with_rates(R.participant_metrics(rows, ["game_date", "champion_id", "champion_name"], ("unique_players",)), "matches_played")
 
 
 def mart_role_daily(t: Tables) -> DataFrame:
-    return R.with_rates(R.participant_metrics(participants(t), ["game_date", "team_position"], with_totals=False), "matches_played")
+    rows = participants(t, "game_date", "team_position", "puuid", "champion_id", *_MEASURES)
+    return R.with_rates(R.participant_metrics(rows, ["game_date", "team_position"], with_totals=False), "matches_played")
 
 
 def mart_rank_daily(t: Tables) -> DataFrame:
@@ -86,9 +100,10 @@ def mart_rank_daily(t: Tables) -> DataFrame:
 
 def mart_team_objective_daily(t: Tables) -> DataFrame:
     means = [F.avg(c).alias(f"avg_{c}") for c in (*X.OBJECTIVES, "objective_score")]
-    rows, by = teams(t), ["game_date", "team_id", "team_side"]
-    main = rows.groupBy(*by).agg(X.true_count("win").alias("wins"), *means)
-    return R.with_rates(R.by_group([main, R.distinct_values(rows, by, "match_id", "games_played")], by), "games_played")
+    by = ["game_date", "team_id", "team_side"]
+    rows = R.grouped(teams(t), by)
+    main = rows.groupBy("_by").agg(X.true_count("win").alias("wins"), *means)
+    return R.with_rates(R.by_group([main, R.distinct_values(rows, "match_id", "games_played")], by), "games_played")
 
 
 BUILDERS: dict[str, tuple[Callable[[Tables], DataFrame], tuple[str, ...]]] = {
@@ -98,7 +113,7 @@ BUILDERS: dict[str, tuple[Callable[[Tables], DataFrame], tuple[str, ...]]] = {
     "dim_champion": (dim_champion, ("participants",)),
     "dim_team": (dim_team, ("teams",)),
     "dim_rank": (dim_rank, ("ranked",)),
-    "fact_participant_performance": (participants, ("participants",)),
+    "fact_participant_performance": (fact_participant_performance, ("participants",)),
     "fact_team_objectives": (teams, ("teams",)),
     "fact_rank_snapshot": (lambda t: t["ranked"], ("ranked",)),
     "fact_timeline_frames": (lambda t: t["timeline_frames"], ("timeline_frames",)),

@@ -422,3 +422,35 @@ def test_profiles_by_day(spark, tmp_path):
         assert (g.type, g.nulls, g.null_ratio, g.empty_strings, g.min_value, g.max_value) == (r.type, r.nulls, r.null_ratio, r.empty_strings, r.min_value, r.max_value)
         assert abs(g.distinct_values - r.distinct_values) <= 0.05 * r.distinct_values and (g.avg_value is None or abs(g.avg_value - r.avg_value) < 1e-9)
     assert SK.merged(SK.read(spark, store), "date").count() == 18 and SK.read(spark, str(tmp_path / "none")) is None
+
+
+def shuffles(df):
+    """Shuffles by a key in the plan, before any is reused."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_dedup_with_columns_chooses_by_all(spark):
+    rows = [("k", "t", "h", None, "a", 1), ("k", "t", "h", "a", None, 2), ("k", "t", "h", "b", None, 3), (None, "t", "g", "x", "y", 4), (None, "t", "h", None, None, 5)]
+    df = spark.createDataFrame(rows, "id string, ingest_ts string, file_hash string, a string, b string, v int")
+    whole = {(r.id, r.v) for r in R.dedup_latest(df, ["id"], columns=df.columns).collect()}
+    assert len(whole) == 2 and (None, 5) in whole
+    for few in (["v"], ["a", "v"], ["v", "file_hash"]):
+        out = R.dedup_latest(df, ["id"], columns=few, deal=["id"])
+        assert set(out.columns) == {"id", *few} and {(r.id, r.v) for r in out.collect()} == whole
+    # Dealt by a part of the key: one shuffle, no sort before it, and the grouping by that part adds none.
+    wide = spark.range(50).selectExpr("id % 7 AS m", "id % 3 AS p", "id AS v", "cast(id AS string) AS ingest_ts")
+    out = R.dedup_latest(wide, ["m", "p"], columns=["v"], deal=["m"]).groupBy("m").agg(F.sum("v").alias("v"))
+    assert shuffles(out) == 1 and same_rows(out, R.dedup_latest(wide, ["m", "p"]).groupBy("m").agg(F.sum("v").alias("v")))
+
+
+def test_marts_deal_rows_once_for_each_grouping(spark):
+    """Rows by match, then sums by group; distinct values by group and value, then by group: the parts are joined as they lie."""
+    t = V.silver(spark, SF, "participants", "teams")
+    assert shuffles(G.mart_player_daily(t)) == 5 and shuffles(G.mart_champion_daily(t)) == 5
+    made = G.build(t, ["mart_role_daily_performance"])[0]["mart_role_daily_performance"]
+    assert shuffles(made) == 8 and made.count() == made.select("game_date", "team_position").distinct().count()
+    # Null groups are groups, in all parts.
+    rows = spark.createDataFrame([(None, "m1", "p1", 1), (None, "m1", "p2", 2), (None, "m2", None, 3), ("d", "m2", "p1", 4)], "game_date string, match_id string, puuid string, kills long")
+    df = R.conform(rows, S.GOLD_SCHEMAS["fact_participant_performance"])
+    got = {r.game_date: (r.matches_played, r.unique_players, r.total_kills, r.puuid) for r in R.participant_metrics(df, ["game_date"], ("unique_players",), names=("puuid",)).collect()}
+    assert got == {None: (2, 2, 6, "p1"), "d": (1, 1, 4, "p1")}
