@@ -51,19 +51,26 @@ def _pick(names: dict[str, str], at: str) -> list[Column]:
     return [F.col(f"{at}.{v}").alias(k) for k, v in names.items()]
 
 
-def flatten(parsed: DataFrame, table: str) -> DataFrame:
-    """One silver table of the parsed payloads of its dataset, with lineage."""
+def flatten(parsed: DataFrame, table: str, deal: bool = False) -> DataFrame:
+    """One silver table of the parsed payloads of its dataset, with lineage.
+
+    With ``deal`` the participants or teams of a payload are dealt by match before they become rows, so its lineage travels once."""
     keep = [c for c in S.LINEAGE if c in parsed.columns]
     match = F.col("p.metadata.matchId").alias("match_id")
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+
+    def members(path: str) -> DataFrame:
+        whole = parsed.select(*keep, match, F.col(path).alias("xs"))
+        return (whole.repartition("match_id") if deal else whole).select(*keep, "match_id", F.explode("xs").alias("x"))
+
     if table == "matches":
         out = parsed.select(*keep, match, *_pick(_SNAKE["matches"], "p.info"), count(F.col("p.info.participants")).alias("participant_count"))
     elif table == "participants":
-        rows = parsed.select(*keep, match, F.explode("p.info.participants").alias("x"))
+        rows = members("p.info.participants")
         team = F.col("x.teamId").try_cast("long").alias("team_id")
         out = rows.select(*keep, "match_id", *_pick(_SNAKE["participants"], "x"), team).withColumn("kda", X.kda())
     elif table == "teams":
-        rows = parsed.select(*keep, match, F.explode("p.info.teams").alias("x"))
+        rows = members("p.info.teams")
         kills = [F.col(f"x.objectives.{k}.kills").alias(c) for k, c in (("baron", "baron_kills"), ("dragon", "dragon_kills"), ("riftHerald", "rift_herald_kills"), ("tower", "tower_kills"), ("inhibitor", "inhibitor_kills"), ("champion", "champion_kills"))]
         out = rows.select(*keep, "match_id", X.standard_team("x.teamId").alias("team_id"), F.col("x.win").alias("win"), *kills).where("team_id is not null")
     elif table == "summoners":
@@ -96,5 +103,10 @@ def build_silver(bronze: DataFrame, tables: list[str] | None = None, keys: dict[
             parsed = parse(bronze, dataset)
             if keep is not None and len(wanted) > 1:
                 keep.append(parsed := parsed.persist(getattr(StorageLevel, level)))
-            out |= {t: dedup_latest(flatten(parsed, t), (keys or S.SILVER_KEYS)[t]) for t in wanted}
+            for t in wanted:
+                key = (keys or S.SILVER_KEYS)[t]
+                # A match has few rows: all are dealt by it, those of arrays before they are rows.
+                deal = ["match_id"] if "match_id" in key else None
+                early = bool(deal) and t in ("participants", "teams")
+                out[t] = dedup_latest(flatten(parsed, t, early), key, deal=None if early else deal)
     return out

@@ -19,6 +19,8 @@ _USER_DAY = f"concat({_S('user_id')}, '_', {_DAY('ts')})"
 _INT = lambda x: f"CAST(floor({x}) AS BIGINT)"
 _ROLE = "CASE {x} % 7 WHEN 0 THEN ' middle ' WHEN 1 THEN 'TOP' WHEN 2 THEN 'Invalid' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'bottom' ELSE 'NONE' END"
 _KILLS = ", ".join(f"CAST((o_orderkey + t) % {m} AS BIGINT) AS {c}" for c, m in (("baron_kills", 3), ("dragon_kills", 5), ("rift_herald_kills", 2), ("tower_kills", 11), ("inhibitor_kills", 4), ("champion_kills", 31)))
+_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+_LINE_HASH = f"concat({_S('l_partkey')}, '-', {_S('l_suppkey')}, '-', {_S(_INT('l_extendedprice * 100 + 0.5'))})"
 _KDA_K, _KDA_D, _KDA_A = _INT("l_quantity"), _INT("l_discount * 100 + 0.5"), _INT("l_tax * 100 + 0.5")
 
 SQL = {
@@ -30,7 +32,7 @@ SQL = {
         CAST(CASE WHEN l_linenumber % 2 = 1 THEN 100 ELSE 200 END AS BIGINT) AS team_id, {_ROLE.format(x='l_partkey')} AS team_position, {_ROLE.format(x='(l_partkey + l_suppkey)')} AS individual_position, CASE WHEN l_partkey % 3 = 0 THEN 'JUNGLE' ELSE 'NONE' END AS lane, CASE WHEN l_partkey % 4 = 0 THEN 'Utility' ELSE 'SOLO' END AS role,
         l_returnflag = 'R' AS win, {_KDA_K} AS kills, {_KDA_D} AS deaths, {_KDA_A} AS assists, CASE WHEN {_KDA_D} = 0 THEN CAST({_KDA_K} + {_KDA_A} AS DOUBLE) ELSE CAST({_KDA_K} + {_KDA_A} AS DOUBLE) / {_KDA_D} END AS kda, {_INT('l_extendedprice')} AS gold_earned,
         {_INT('l_extendedprice / 3')} AS total_damage_dealt_to_champions, {_INT('l_extendedprice / 5')} AS total_damage_taken, CAST(l_partkey % 40 AS BIGINT) AS vision_score, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE CAST(l_partkey % 200 AS BIGINT) END AS total_minions_killed, CAST(l_suppkey % 30 AS BIGINT) AS neutral_minions_killed,
-        {_lineage('matches', _S('l_orderkey'), f"concat({_S('l_partkey')}, '-', {_S('l_suppkey')}, '-', {_S(_INT('l_extendedprice * 100 + 0.5'))})", _DAY('l_shipdate'))} FROM lineitem""",
+        {_lineage('matches', _S('l_orderkey'), _LINE_HASH, _DAY('l_shipdate'))} FROM lineitem""",
     "teams": f"""SELECT concat('M_', {_S('o_orderkey')}) AS match_id, CAST(t AS BIGINT) AS team_id, (o_orderkey + t / 100) % 2 = 0 AS win, {_KILLS}, {_lineage('matches', _S('o_orderkey'), _S('o_custkey'), _DAY('o_orderdate'))}
         FROM (SELECT *, 100 AS t FROM orders UNION ALL SELECT *, 200 FROM orders UNION ALL SELECT *, 100 FROM orders WHERE o_orderkey % 7 = 0) AS x""",
     "summoners": f"""SELECT concat('p', {_S('s_suppkey')}) AS puuid, concat('s', {_S('s_suppkey % 50')}) AS summoner_id, concat('a', {_S('s_suppkey')}) AS account_id, CAST(s_nationkey AS BIGINT) AS profile_icon_id, {_INT('s_acctbal')} AS revision_date, CAST(s_suppkey % 500 AS BIGINT) AS summoner_level,
@@ -61,14 +63,19 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.parse import _SNAKE
     from .operators.relational import dedup_latest
 
-    t = silver(spark, sf_dir, "matches", "participants", "teams", "summoners", "ranked", "timeline_events")
+    t = silver(spark, sf_dir, "matches", "participants", "summoners", "ranked", "timeline_events")
+    # The newest line of each participant is found among the lines as they are stored, dealt by match: the wider frame is made of what is left, and
+    # a match's rows, their list and the payload meet without another shuffle.
+    lines = spark.table("lineitem").select(*_LINE).repartition("l_orderkey").selectExpr("*", f"{_DAY('l_shipdate')} AS ingest_ts", f"{_LINE_HASH} AS file_hash")
+    dedup_latest(lines, ["l_orderkey", "l_linenumber"]).createOrReplaceTempView("lineitem_once")
+    persons = spark.sql(SQL["participants"].replace("FROM lineitem", ", l_orderkey AS game_id FROM lineitem_once"))
     camel = lambda names: F.struct(*[F.col(k).alias(v) for k, v in names.items()])
-    people = dedup_latest(t["participants"], ["match_id", "participant_id"]).groupBy("match_id").agg(F.collect_list(F.struct(*[F.col(k).alias(v) for k, v in _SNAKE["participants"].items()], F.col("team_id").alias("teamId"))).alias("participants"))
+    people = persons.groupBy("game_id").agg(F.collect_list(F.struct(*[F.col(k).alias(v) for k, v in _SNAKE["participants"].items()], F.col("team_id").alias("teamId"))).alias("participants"))
     kills = {"baron": "baron_kills", "dragon": "dragon_kills", "riftHerald": "rift_herald_kills", "tower": "tower_kills", "inhibitor": "inhibitor_kills", "champion": "champion_kills"}
     side = F.struct(F.col("team_id").alias("teamId"), "win", F.struct(*[F.struct(F.col(c).alias("kills")).alias(k) for k, c in kills.items()]).alias("objectives"))
-    sides = t["teams"].dropDuplicates(["match_id", "team_id"]).groupBy("match_id").agg(F.collect_list(side).alias("teams"))
+    sides = spark.sql(SQL["teams"].replace("FROM (SELECT", ", o_orderkey AS game_id FROM (SELECT", 1)).select("game_id", "team_id", "win", *kills.values()).repartition("game_id").dropDuplicates(["game_id", "team_id"]).groupBy("game_id").agg(F.collect_list(side).alias("teams"))
     info = F.struct(*[F.col(k).alias(v) for k, v in _SNAKE["matches"].items()], "participants", "teams")
-    m = t["matches"].join(people, "match_id", "left").join(sides, "match_id", "left")
+    m = t["matches"].join(people, "game_id", "left").join(sides, "game_id", "left")
     line = ["dataset", "source_file", "file_hash", "ingest_ts", "ingest_date"]
     out = [m.select(*line, F.to_json(F.struct(F.struct(F.col("match_id").alias("matchId")).alias("metadata"), info.alias("info"))).alias("payload_json"))]
     out.append(t["summoners"].select(*line, F.to_json(camel(_SNAKE["summoners"])).alias("payload_json")))

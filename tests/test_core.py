@@ -454,3 +454,9 @@ def test_marts_deal_rows_once_for_each_grouping(spark):
     df = R.conform(rows, S.GOLD_SCHEMAS["fact_participant_performance"])
     got = {r.game_date: (r.matches_played, r.unique_players, r.total_kills, r.puuid) for r in R.participant_metrics(df, ["game_date"], ("unique_players",), names=("puuid",)).collect()}
     assert got == {None: (2, 2, 6, "p1"), "d": (1, 1, 4, "p1")}
+
+
+def test_silver_payloads_deal_matches_once(spark):
+    """Lines, orders and teams by match, then the parsed payloads by match: four shuffles at most (small sides are broadcast)."""
+    for t in ("matches", "participants", "teams"):
+        assert shuffles(parse.build_silver(V.payloads(spark, SF).where("dataset = 'matches'"), [t])[t]) <= 4
