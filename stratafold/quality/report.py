@@ -34,6 +34,16 @@ def foreign_key(fact: DataFrame, keys: list[str], dim: DataFrame, dim_keys: list
     return out.select(F.lit(name).alias("check"), "keys", "orphans", F.coalesce(F.round(F.try_divide("orphans", "keys"), 6), F.lit(0.0)).alias("orphan_rate"), F.when(F.col("orphans") > 0, "WARN").otherwise("PASS").alias("status"))
 
 
+def narrowed(tables: dict[str, DataFrame], references: list[tuple] = REFERENCES) -> dict[str, DataFrame]:
+    """``tables`` with those that several references read saved with the columns of these references alone, so each is built once."""
+    used: dict[str, list[tuple]] = {}
+    for fact, keys, dim, dim_keys in references:
+        used.setdefault(fact, []).append(tuple(keys))
+        used.setdefault(dim, []).append(tuple(dim_keys))
+    columns = {t: list(dict.fromkeys(c for key in keys for c in key)) for t, keys in used.items() if t in tables and len(keys) > 1}
+    return tables | {t: scratch.saved(tables[t].select(*names), "keys") for t, names in columns.items()}
+
+
 def foreign_keys(tables: dict[str, DataFrame], references: list[tuple] = REFERENCES) -> DataFrame:
     """All references whose tables are there; SKIP for the others."""
     out = []

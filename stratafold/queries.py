@@ -334,7 +334,7 @@ SQL["dq_duplicate_keys"] = _with("participants") + " SELECT match_id, participan
 def dq_fk_checks(spark: SparkSession, d: str) -> DataFrame:
     """All references; then two again, with dimensions cut to show orphans."""
     names = sorted({n for r in Q.REFERENCES for n in (r[0], r[2])})
-    t = _gold_tables(spark, d, *names)
+    t = Q.narrowed(_gold_tables(spark, d, *names))
     cut = t | {"dim_champion": t["dim_champion"].where("champion_id <> 7"), "dim_rank": t["dim_rank"].where("NOT (tier = 'IRON' AND rank = 'I')")}
     again = Q.foreign_keys(cut, [r for r in Q.REFERENCES if r[2] in ("dim_champion", "dim_rank")])
     return Q.foreign_keys(t).withColumn("cut", F.lit(False)).unionAll(again.withColumn("cut", F.lit(True)))

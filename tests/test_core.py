@@ -460,3 +460,13 @@ def test_silver_payloads_deal_matches_once(spark):
     """Lines, orders and teams by match, then the parsed payloads by match: four shuffles at most (small sides are broadcast)."""
     for t in ("matches", "participants", "teams"):
         assert shuffles(parse.build_silver(V.payloads(spark, SF).where("dataset = 'matches'"), [t])[t]) <= 4
+
+
+def test_references_read_saved_keys(spark):
+    """Tables of several references are saved with their keys alone; the checks are the same."""
+    rows = {"fact_participant_performance": [("m1", "p1", 1, "d"), ("m2", "p9", 1, None)], "dim_match": [("m1",)]}
+    t = {"fact_participant_performance": spark.createDataFrame(rows["fact_participant_performance"], "match_id string, puuid string, champion_id long, game_date string").withColumn("kills", F.lit(1)), "dim_match": spark.createDataFrame(rows["dim_match"], "match_id string").withColumn("x", F.lit(1))}
+    t |= {"dim_summoner": spark.createDataFrame([("p1",)], "puuid string")}
+    few = Q.narrowed(t)
+    assert few["fact_participant_performance"].columns == ["match_id", "puuid", "champion_id", "game_date"] and few["dim_match"].columns == ["match_id"]
+    assert same_rows(Q.foreign_keys(few), Q.foreign_keys(t))
