@@ -68,12 +68,13 @@ _PROFILE = "table string, column string, type string, nulls bigint, null_ratio d
 
 
 def profile_parts(df: DataFrame, exact: bool = False) -> tuple[list[Column], list[Column]]:
-    """Aggregates of all columns of ``df`` (besides its number of rows, ``_n``), and from these a row for each column."""
+    """Aggregates of all columns of ``df`` (besides its number of rows, ``_n``), and from these a row for each column.  With ``exact`` the numbers of
+    distinct values are not among them: :func:`profile` counts these by groupings."""
     aggs, rows = [], []
     for i, f in enumerate(df.schema):
         c, number, text = F.col(f"`{f.name}`"), isinstance(f.dataType, T.NumericType), isinstance(f.dataType, T.StringType)
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), distinct.alias(f"d{i}"), (F.count_if(F.trim(c) == "") if text else F.max(F.lit(0))).alias(f"e{i}")]
+        aggs += [] if exact else [F.approx_count_distinct(c).alias(f"d{i}")]
+        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), (F.count_if(F.trim(c) == "") if text else F.max(F.lit(0))).alias(f"e{i}")]
         aggs += [fn(c).cast("double").alias(f"{k}{i}") for k, fn in (("lo", F.min), ("hi", F.max), ("av", F.avg))] if number else []
         stats = [(F.col(f"{k}{i}") if number else F.lit(None).cast("double")).alias(name) for k, name in (("lo", "min_value"), ("hi", "max_value"), ("av", "avg_value"))]
         ratio = F.coalesce(F.round(F.try_divide(f"n{i}", "_n"), 6), F.lit(0.0)).alias("null_ratio")
@@ -85,9 +86,16 @@ def profile_parts(df: DataFrame, exact: bool = False) -> tuple[list[Column], lis
 
 def profile(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
     """One row per column: type, nulls, ratio, distinct values, empty strings, and min, max, mean of numbers.  One aggregation;
-    distinct values are approximate unless ``exact``."""
+    distinct values are approximate unless ``exact``: then each column is grouped for itself, as one aggregation of all would copy every row for
+    each column and hold keys as wide as the table."""
     aggs, rows = profile_parts(df, exact)
-    return _profiled(df.agg(F.count(F.lit(1)).alias("_n"), *aggs), rows, table)
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
+    return _profiled(reduce(DataFrame.crossJoin, [one, *distinct_counts(df)]) if exact else one, rows, table)  # one row with one row
+
+
+def distinct_counts(df: DataFrame) -> list[DataFrame]:
+    """For each column a row with its number of distinct values, nulls aside, as ``d0``, ``d1``, ..."""
+    return [df.select(F.col(f"`{c}`").alias("v")).distinct().agg(F.count("v").alias(f"d{i}")) for i, c in enumerate(df.columns)]
 
 
 def _profiled(one: DataFrame, rows: list[Column], table: str) -> DataFrame:

@@ -462,6 +462,13 @@ def test_silver_payloads_deal_matches_once(spark):
         assert shuffles(parse.build_silver(V.payloads(spark, SF).where("dataset = 'matches'"), [t])[t]) <= 4
 
 
+def test_exact_profile_copies_no_rows(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("b", 2, None)], "s string, v long, x double")
+    one = Q.profile(df, "t", exact=True)
+    assert "Expand" not in one._jdf.queryExecution().executedPlan().toString()
+    assert {r.column: (r.distinct_values, r.nulls) for r in one.collect()} == {"s": (2, 0), "v": (2, 0), "x": (0, 3)}
+
+
 def test_references_read_saved_keys(spark):
     """Tables of several references are saved with their keys alone; the checks are the same."""
     rows = {"fact_participant_performance": [("m1", "p1", 1, "d"), ("m2", "p9", 1, None)], "dim_match": [("m1",)]}
