@@ -19,23 +19,24 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _raw_summoners(spark: SparkSession, d: str, root: str, where: str) -> None:
-    """A JSON file for each supplier, one in ten of them broken text."""
+def _raw_summoners(spark: SparkSession, d: str, root: str, where: str, arrival: str) -> None:
+    """A JSON file for each supplier, one in ten of them broken text; a folder for each arrival, in it folders of about 1,000 files."""
     rows = spark.read.parquet(f"{d}/supplier.parquet").where(where)
     good = F.format_string('{"puuid":"p%d","id":"s%d","profileIconId":%d,"summonerLevel":%d}', "s_suppkey", F.col("s_suppkey") % 50, "s_nationkey", F.col("s_suppkey") % 500)
     text = F.when(F.col("s_suppkey") % 10 == 3, F.concat(F.lit("{bad"), F.col("s_suppkey"))).otherwise(good)
-    named = rows.select(F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("k"), text.alias("value"))
-    # One folder and so one file for each: the file's own name is Spark's.
-    named.repartition(8, "k").write.mode("append").partitionBy("k").text(f"{root}/summoners")
+    folders = 8 + rows.count() // 1000
+    named = rows.select(F.pmod(F.xxhash64("s_suppkey"), F.lit(folders)).alias("part"), text.alias("value"))
+    # A file holds one row.  A folder is one task's, so the commit moves folders, not files.
+    named.repartition(folders, "part").write.option("maxRecordsPerFile", 1).partitionBy("part").text(f"{root}/summoners/{arrival}")
 
 
 def lake_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Two thirds of the files by stream, the rest by batch, the stream again: each file once, its digest, and the silver row it gives, if any."""
     lake = scratch.fresh(spark, "lake")
     raw, bronze = f"{lake}/raw", f"{lake}/bronze/raw_json"
-    _raw_summoners(spark, d, raw, "s_suppkey % 3 <> 0")
+    _raw_summoners(spark, d, raw, "s_suppkey % 3 <> 0", "first")
     ingest.ingest(spark, raw, bronze, f"{lake}/checkpoint", ("summoners",), max_files=40, max_bytes=2000, glob="*.txt")
-    _raw_summoners(spark, d, raw, "s_suppkey % 3 = 0")
+    _raw_summoners(spark, d, raw, "s_suppkey % 3 = 0", "second")
     ingest.ingest_pending(spark, raw, bronze, ("summoners",), glob="*.txt")
     ingest.ingest(spark, raw, bronze, f"{lake}/other", ("summoners",), glob="*.txt")
     runners.run_silver(spark, lake, tables=["summoners"], partition_by=())

@@ -38,7 +38,7 @@ def raw_as_bronze(spark: SparkSession, raw_root: str, datasets: Iterable[str] |
     out = spark.createDataFrame([], S.BRONZE_SCHEMA)
     when = F.col("modificationTime") if own_time else None
     for d in _chosen(datasets, DATASETS, "dataset"):
-        if files.has_files(spark, f"{raw_root}/{d}"):
+        if files.is_there(spark, f"{raw_root}/{d}"):
             rows = files.bronze_rows(files.scan_files(spark, f"{raw_root}/{d}"), raw_root.rstrip("/").rsplit("/", 1)[-1], when)
             out = out.unionByName(rows.withColumn("dataset", F.lit(d)))
     return out

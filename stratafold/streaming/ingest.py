@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..sources.files import has_files, micro_batches, pending, read_files, read_table, scan_files, write_table
+from ..sources.files import is_there, micro_batches, pending, read_files, read_table, scan_files, write_table
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 DATASETS = ("matches", "timelines", "summoners", "ranked")
+#: Tasks that look up a stream's new files: Spark looks for each by its path, in as many tasks as there are files, up to 10,000.
+LOOKUPS, _LOOKUPS_KEY = 128, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 _LEDGER = "dataset string, source_file string, path string, length bigint, file_hash string, batch int, reason string, run string"
 
 
@@ -88,21 +90,25 @@ def ingest(
     spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str, datasets: tuple[str, ...] = DATASETS, max_files: int | dict[str, int] = 100,
     max_bytes: int | dict[str, int] = 64 << 20, out_files: int = 0, glob: str = "*.json",
 ) -> list[StreamingQuery]:
-    """Take the new files of each dataset by a stream that ends when there are none left.
+    """Take the new files of each dataset whose folder is there by a stream that ends when there are none left.
 
     The stream's checkpoint only tells where to look; what is taken is decided by the ledger.  Both bounds hold for every batch, as greedily as
     :func:`~stratafold.sources.files.micro_batches` cuts them; the stream itself hands over all new files at once, whose contents are not read then."""
-    done = []
+    done, old = [], spark.conf.get(_LOOKUPS_KEY)
     for d in datasets:
-        if not has_files(spark, f"{raw_root}/{d}", glob):
+        if not is_there(spark, f"{raw_root}/{d}"):
             continue
         source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(f"{raw_root}/{d}")
 
         def take(files: DataFrame, _: int, d: str = d) -> None:
             commit(files.withColumn("dataset", F.lit(d)), bronze_path, _root_name(raw_root), max_files, max_bytes, out_files)
 
-        query = source.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{d}").trigger(availableNow=True).start()
-        query.awaitTermination()
+        spark.conf.set(_LOOKUPS_KEY, min(int(old), LOOKUPS))
+        try:
+            query = source.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{d}").trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            spark.conf.set(_LOOKUPS_KEY, old)
         done.append(query)
     return done
 
@@ -116,7 +122,7 @@ def ingest_pending(
     ``max_files`` caps the run and ``dataset_max`` each dataset for its lifetime, as :func:`~stratafold.sources.files.pending` does; files are chosen by
     their names before contents are read.  Without ``batch_files`` and ``batch_bytes`` a dataset's files are one batch."""
     root = _root_name(raw_root)
-    found = [scan_files(spark, f"{raw_root}/{d}", glob).withColumn("dataset", F.lit(d)) for d in datasets if has_files(spark, f"{raw_root}/{d}", glob)]
+    found = [scan_files(spark, f"{raw_root}/{d}", glob).withColumn("dataset", F.lit(d)) for d in datasets if is_there(spark, f"{raw_root}/{d}")]
     if not found:
         return 0
     files = reduce(DataFrame.unionByName, found)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 
+from stratafold import lake_queries, runners  # noqa: E402
 from stratafold import queries as C  # noqa: E402
-from stratafold import runners  # noqa: E402
 from stratafold import schemas as S  # noqa: E402
 from stratafold import views as V  # noqa: E402
 from stratafold.functions import exprs as X  # noqa: E402
@@ -159,6 +159,34 @@ def test_ingest(spark, tmp_path):
     assert sorted(ingest.read_bronze(spark, bronze, ("summoners",)).first())[-1] == "{}"
 
 
+def test_files_are_listed_once(spark, tmp_path, monkeypatch):
+    """A batch run lists each dataset's folder once; folders that are not there or hold no file of the pattern give nothing, by stream or batch."""
+    raw, bronze, scans, scan = tmp_path / "raw", str(tmp_path / "bronze"), [], files.scan_files
+    raw_folder(raw, matches={"a.json": b"{}"}, summoners={"note.txt": b"x"}, ranked={})
+
+    def counted(spark, root, *rest):
+        scans.append(root)
+        return scan(spark, root, *rest)
+
+    for module in (files, ingest):
+        monkeypatch.setattr(module, "scan_files", counted)
+    assert ingest.ingest_pending(spark, str(raw), bronze) == 1 and scans == [f"{raw}/{d}" for d in ("matches", "summoners", "ranked")]
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert all(q.exception() is None for q in ingest.ingest(spark, str(raw), bronze, str(tmp_path / "cp")))
+    assert ingest.read_bronze(spark, bronze).count() == 1 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    assert ingest.ingest_pending(spark, str(tmp_path / "none"), bronze) == 0 == len(ingest.ingest(spark, str(tmp_path / "none"), bronze, str(tmp_path / "cp2")))
+
+
+def test_raw_files_of_lake_ingest(spark, tmp_path):
+    """A file for each supplier, in folders whose number does not grow as that of the files."""
+    spark.range(3000).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    lake_queries._raw_summoners(spark, str(tmp_path), str(tmp_path / "raw"), "s_suppkey < 2000", "first")
+    lake_queries._raw_summoners(spark, str(tmp_path), str(tmp_path / "raw"), "s_suppkey >= 2000", "second")
+    found = [p for p in (tmp_path / "raw").rglob("*.txt")]
+    assert len(found) == 3000 == len({p.read_text() for p in found}) and all(p.read_text().count("\n") == 1 for p in found)
+    assert len({p.parent for p in found}) <= 8 + 2 + 8 + 1
+
+
 def test_runs_without_a_commit_are_invisible(spark, tmp_path):
     raw, bronze = tmp_path / "raw", str(tmp_path / "bronze")
     raw_folder(raw, ranked={"a.json": b"{}", "b.json": b"[]"})
