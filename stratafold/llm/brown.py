@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import map_arrow, saved
+from .common import discard, map_arrow, saved
 
 #: Words that start the classes, classes, fixed classes of rare words, passes of the start, table entries a task holds before it sends them.
 SEEDS, CLASSES, RARE, PASSES, HELD = 4096, 48, 16, 4, 600_000
@@ -228,15 +228,16 @@ class BrownModel:
 
 
 def _coded(source: DataFrame, table: DataFrame, words: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """``source`` (id, row, text) as (id, row, n_tokens, hits, logs, seq, words, at, found): the class of each token in a byte; words
-    that do not travel (``FAR``), with their places and what the table (word, n, c) holds of them."""
+    """``source`` (id, row, text) as (id, row, n_tokens, hits, logs, seq, tails, at, found): the class of each token in a byte; the fixed
+    classes of the words that do not travel (``FAR``), with their places and what the table (word, n, c) holds of them.  Their names, the
+    most of a row, are only in what is joined with the table."""
     sent = source.sparkSession.sparkContext.broadcast((words, np.log10(np.append(counts, 0) + 1.0), classes))
 
     def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names, log_counts, own = sent.value
         rows = batch.num_rows
         n, hits, logs = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
-        seq, places = [b""] * rows, [b""] * rows
+        seq, places, tails = [b""] * rows, [b""] * rows, [b""] * rows
         far: list = [[]] * rows
         for first, word, bounds in tokens(batch["text"]):
             at = np.full(len(word), -1)
@@ -253,17 +254,19 @@ def _coded(source: DataFrame, table: DataFrame, words: np.ndarray, counts: np.nd
                 n[r], hits[r], logs[r], seq[r] = b - a, hit[a:b].sum(), lg[b] - lg[a], cls[a:b].tobytes()
                 if hits[r] < n[r]:
                     far[r], back = np.unique(word[a:b][~hit[a:b]], return_inverse=True)
-                    places[r] = back.astype(np.uint32).tobytes()
+                    places[r], tails[r] = back.astype(np.uint32).tobytes(), tail(far[r]).astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch["id"], batch["row"], pa.array(n), pa.array(hits), pa.array(logs), pa.array(seq, pa.binary()), pa.array(far, pa.list_(pa.int64())), pa.array(places, pa.binary())],
-            ["id", "row", "n_tokens", "hits", "logs", "seq", "words", "at"],
+            [batch["id"], batch["row"], pa.array(n), pa.array(hits), pa.array(logs), pa.array(seq, pa.binary()), pa.array(far, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(places, pa.binary())],
+            ["id", "row", "n_tokens", "hits", "logs", "seq", "words", "tails", "at"],
         )
 
     kind = source.schema["id"].dataType.simpleString()
-    coded = saved(map_arrow(source, parts, f"id {kind}, row long, n_tokens long, hits long, logs double, seq binary, words array<long>, at binary"), "brown-parts")
+    coded = saved(map_arrow(source, parts, f"id {kind}, row long, n_tokens long, hits long, logs double, seq binary, words array<long>, tails binary, at binary"), "brown-parts")
     far = coded.select("row", F.posexplode("words").alias("i", "word"))
     found = far.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("i", "n", "c")).alias("found"))
-    return coded.join(found, "row", "left")
+    out = coded.drop("words").join(found, "row", "left")
+    out._parts = coded
+    return out
 
 
 def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -272,10 +275,11 @@ def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     sizes = batch["n_tokens"].to_numpy()
     seq = np.frombuffer(b"".join(batch["seq"].to_pylist()), np.uint8).astype(np.int64)
     lengths = lambda c: pc.fill_null(pc.list_value_length(batch[c]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    held = lengths("words")
+    tails = batch["tails"].to_pylist()
+    held = np.array([len(x) for x in tails], np.int64)
     start = np.cumsum(held) - held
-    words = batch["words"].flatten().to_numpy()
-    cls, n = CLASSES + tail(words), np.zeros(len(words), np.int64)
+    cls = CLASSES + np.frombuffer(b"".join(tails), np.uint8).astype(np.int64)
+    n = np.zeros(len(cls), np.int64)
     items = batch["found"].flatten()
     to = np.repeat(start, lengths("found")) + items.field("i").to_numpy()
     cls[to], n[to] = items.field("c").to_numpy(), items.field("n").to_numpy()
@@ -320,8 +324,8 @@ def _frequent(counts: DataFrame) -> pd.DataFrame:
     return counts.where(step >= low if low is not None else F.lit(False)).toArrow().to_pandas()
 
 
-def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFrame]:
-    """The model of the training texts and the table of all their words (word, n, c): counts and classes."""
+def _classes(texts: DataFrame, text: str, seed: int) -> tuple[DataFrame, tuple[np.ndarray, ...], tuple[int, int]]:
+    """The table of all training words (word, n, c): counts and classes; names, counts and classes of those that travel; tokens and vocabulary."""
     spark = texts.sparkSession
     counts = saved(word_counts(texts, text), "brown-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -394,11 +398,15 @@ def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFr
     fixed = spark.createDataFrame([*zip(words.tolist(), best.tolist(), strict=True), (END, CLASSES + RARE)], "word long, c int")
     labelled = counts.join(placed.unionAll(fixed), "word", "left")
     table = saved(labelled.select("word", "n", F.coalesce("c", (F.shiftrightunsigned("word", 60) + CLASSES).cast("int")).alias("c")), "brown-classes")
+    discard(counts, bigrams)
     known = _frequent(table).sort_values("word")
     sent_words = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64), known["c"].to_numpy(np.int64)
-    source = texts.select(F.lit(None).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    final = _transitions(_coded(source, table, *sent_words))
-    size = final.sum(axis=0)
+    return table, sent_words, (int(total["n"] or 0), int(total["v"] or 0))
+
+
+def _model(table: DataFrame, sent_words: tuple[np.ndarray, ...], totals: tuple[int, int], final: np.ndarray) -> BrownModel:
+    """The model from class bigrams that are counted with the final classes."""
+    classes, size = CLASSES + RARE + 1, final.sum(axis=0)
     share = (size + 1) / (size + 1).sum()
     moves = np.log10((final + PRIOR * classes * share[None]) / (final.sum(axis=1, keepdims=True) + PRIOR * classes))
     # Distinct words of each class, for its emissions.
@@ -406,13 +414,24 @@ def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFr
     for r in table.groupBy("c").agg(F.count("*").alias("v")).collect():  # TOTAL rows
         distinct[r["c"]] = r["v"]
     emit = np.log10(size + distinct + 1)
-    model = BrownModel(*sent_words, int(distinct[:CLASSES].sum()), moves, emit, int(total["n"] or 0), int(total["v"] or 0))
-    return model, table
+    return BrownModel(*sent_words, int(distinct[:CLASSES].sum()), moves, emit, *totals)
 
 
-def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document row: id, n_tokens, n_known, train_tokens, base_score, score (both log10 probabilities of the text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.moves, model.emit))
+def _source(docs: DataFrame, text: str, name: Column) -> DataFrame:
+    return docs.select(name.alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+
+
+def fit(texts: DataFrame, text: str, seed: int = 11) -> tuple[BrownModel, DataFrame]:
+    """The model of the training texts and the table of all their words (word, n, c): counts and classes."""
+    table, sent_words, totals = _classes(texts, text, seed)
+    coded = _coded(_source(texts, text, F.lit(None).cast("long")), table, *sent_words)
+    final = _transitions(coded)
+    discard(coded._parts)
+    return _model(table, sent_words, totals, final), table
+
+
+def _scored(coded: DataFrame, model: BrownModel, id_col: str) -> DataFrame:
+    sent = coded.sparkSession.sparkContext.broadcast((model.moves, model.emit))
 
     def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         moves, emit = sent.value
@@ -424,9 +443,7 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str, te
             ["id", "n_tokens", "n_known", "logs", "rest"],
         )
 
-    source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    coded = _coded(source, counts, model.words, model.counts, model.classes)
+    kind = coded.schema["id"].dataType.simpleString()
     out = map_arrow(coded, finish, f"id {kind}, n_tokens long, n_known long, logs double, rest double")
     base = F.lit(float(np.log10(model.tokens + model.vocabulary + 1)))
     return out.select(
@@ -435,6 +452,22 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str, te
     )
 
 
+def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document row: id, n_tokens, n_known, train_tokens, base_score, score (both log10 probabilities of the text)."""
+    coded = _coded(_source(docs, text_col, F.col(id_col)), counts, model.words, model.counts, model.classes)
+    return _scored(coded, model, id_col)
+
+
+def fit_score(docs: DataFrame, teaches: Column, id_col: str, text_col: str, seed: int = 11) -> DataFrame:
+    """:func:`fit` on the rows that ``teaches`` and :func:`score` of all rows: texts are coded and joined with the table of words once, for both."""
+    table, sent_words, totals = _classes(docs.where(teaches), text_col, seed)
+    made = _coded(_source(docs, text_col, F.struct(F.col(id_col).alias("id"), teaches.alias("teaches"))), table, *sent_words)
+    coded = saved(made, "brown-coded")
+    discard(made._parts)
+    model = _model(table, sent_words, totals, _transitions(coded.where("id.teaches")))
+    return _scored(coded.withColumn("id", F.col("id.id")), model, id_col)
+
+
 def perplexity(log10_score: Column, n_tokens: Column) -> Column:
     """Perplexity per token; null without tokens."""
     return F.pow(F.lit(10.0), -F.try_divide(log10_score, n_tokens))

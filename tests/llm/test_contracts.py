@@ -424,6 +424,29 @@ def test_brown(spark, docs, odd):
     assert brown.score(odd, model, counts, "doc_id", "text").count() == len(ODD)
 
 
+def test_brown_codes_texts_once(spark, docs, monkeypatch):
+    """The query codes its texts once, for the class bigrams and for the scores; what fit and score give apart, it gives."""
+    monkeypatch.setattr(brown, "KNOWN", 500)
+    sources, coded = [], brown._coded
+
+    def counted(source, *rest):
+        out = coded(source, *rest)
+        sources.append(out.columns)
+        return out
+
+    monkeypatch.setattr(brown, "_coded", counted)
+    monkeypatch.setattr(queries, "documents", lambda *_: docs)
+    once = rows(queries.op6_brown(spark, ""))
+    (columns,) = sources
+    assert "words" not in columns
+    model, counts = brown.fit(docs.where("crc32(cast(doc_id as string)) % 7 <> 2"), "text")
+    apart = rows(brown.score(docs, model, counts, "doc_id", "text"))
+    assert len(sources) == 3 and once.keys() == apart.keys() and len(model.words) <= 500 < counts.count()
+    for i, r in apart.items():
+        assert (once[i].n_tokens, once[i].n_known, once[i].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert (once[i].base_score, once[i].score) == pytest.approx((r.base_score, r.score))
+
+
 def test_brown_clusters_by_count(spark, monkeypatch):
     """Words beyond the seeds are clustered by their count alone, and by their contexts; most do not travel with the tasks."""
     rng = np.random.default_rng(5)
