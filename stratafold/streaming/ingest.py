@@ -4,25 +4,30 @@ Bronze is a table with a folder for each dataset, date, run and batch.  A run wr
 kept or rejected), then one commit row.  Rows and ledger entries of runs without a commit are invisible, so a run that fails leaves nothing behind
 that is read, and its files are taken by the next.  Files in the ledger are never taken again, whichever way they came, so a stream's replay or
 an older checkpoint does no harm.  One run writes to a bronze table at a time.
+
+A scan's files are all listed in the driver, so a dataset is listed and read in parts of ``files.PART_FILES`` files, one after another, along its
+folders; what lies between listing and reading (names, sizes, parts) are tables.  A stream runs over the table of what was listed, to which each run
+adds what it finds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
-from ..sources.files import is_there, micro_batches, pending, read_files, read_table, scan_files, write_table
+from .. import scratch
+from ..sources.files import SCANS, file_parts, is_there, micro_batches, pending, read_files, read_table, scan_files, settings, write_table
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 DATASETS = ("matches", "timelines", "summoners", "ranked")
-#: Tasks that look up a stream's new files: Spark looks for each by its path, in as many tasks as there are files, up to 10,000.
-LOOKUPS, _LOOKUPS_KEY = 128, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+#: A listed file; ``part`` names the scan that found it.
+LISTED = "dataset string, path string, length bigint, source_file string, part bigint"
 _LEDGER = "dataset string, source_file string, path string, length bigint, file_hash string, batch int, reason string, run string"
 
 
@@ -57,18 +62,76 @@ def read_bronze(spark: SparkSession, bronze_path: str, datasets: tuple[str, ...]
     return (table if datasets is None else table.where(F.col("dataset").isin(*datasets))).select(*S.BRONZE)
 
 
-def commit(files: DataFrame, bronze_path: str, root: str, max_files: int | dict[str, int], max_bytes: int | dict[str, int], out_files: int = 0) -> int:
-    """Take those of ``files`` (dataset and the columns of a file scan) that the ledger lacks, as one run; the number of rows that bronze gains.
+class _Scans:
+    """Scans of the parts of datasets; that of a dataset which is one part is made once and serves for its list and its contents."""
+
+    def __init__(self, spark: SparkSession, glob: str):
+        self.spark, self.glob, self.parts, self.whole = spark, glob, {}, {}
+
+    def of(self, part: int) -> DataFrame:
+        return self.whole[part] if part in self.whole else scan_files(self.spark, self.parts[part], self.glob)
+
+    def listed(self, raw_root: str, dataset: str, known: DataFrame | None = None) -> DataFrame:
+        """The files of a dataset (see :data:`LISTED`) whose path ``known`` lacks; of more than one part, as a table that grows by part."""
+        root, at = f"{raw_root}/{dataset}", scratch.fresh(self.spark, "listed")
+
+        def rows(part: int) -> DataFrame:
+            named = self.of(part).select(F.lit(dataset).alias("dataset"), "path", "length", _source_file(_root_name(raw_root)), F.lit(part).alias("part"))
+            return named if known is None else named.join(known.select("path"), "path", "left_anti").select(*named.columns)
+
+        for paths in file_parts(self.spark, root, self.glob):
+            part = int.from_bytes(hashlib.sha256("\n".join(paths).encode()).digest()[:7])
+            self.parts[part] = paths
+            if paths == [root]:
+                self.whole[part] = scan_files(self.spark, root, self.glob)
+                return rows(part)
+            rows(part).write.mode("append").parquet(at)
+        return self.spark.read.schema(LISTED).parquet(at)
+
+
+def _source_file(root: str) -> Column:
+    return F.regexp_extract(F.url_decode("path"), rf"({root}/.*)$", 1).alias("source_file")
+
+
+def _root_name(raw_root: str) -> str:
+    return raw_root.rstrip("/").rsplit("/", 1)[-1]
+
+
+def commit(files: DataFrame, scans: _Scans, bronze_path: str, root: str, max_files: int | dict[str, int], max_bytes: int | dict[str, int], out_files: int = 0) -> int:
+    """Take those of ``files`` (see :data:`LISTED`) that the ledger lacks, as one run; the number of rows that bronze gains.
 
     Files are cut into greedy batches by ``micro_batches``; each batch is a folder of ``out_files`` files (0: as Spark deals them).  A file whose
-    bytes are not UTF-8 goes to the ledger with its size, digest and reason.  Contents are read once."""
+    bytes are not UTF-8 goes to the ledger with its size, digest and reason.  Contents are read once, those of parts that hold such files; rows of a
+    dataset in several parts are gathered in a table first, so that batches and their folders do not depend on parts."""
     spark, run = files.sparkSession, uuid.uuid4().hex
-    named = files.withColumn("source_file", F.regexp_extract(F.url_decode("path"), rf"({root}/.*)$", 1))
-    fresh = named.select("dataset", "path", "length", "source_file").join(ledger(spark, bronze_path).select("source_file"), "source_file", "left_anti")
-    cut = micro_batches(fresh, max_files, max_bytes)
-    rows = read_files(files.drop("dataset"), root).drop("dataset").join(cut.select("source_file", "dataset", "batch"), "source_file").withColumn("run", F.lit(run))
+    fresh = files.join(ledger(spark, bronze_path).select("source_file"), "source_file", "left_anti")
+    cut = scratch.saved(micro_batches(fresh, max_files, max_bytes).select("source_file", "dataset", "batch", "part"), "cut")
+    found = {r["part"] for r in cut.select("part").distinct().collect()}
+    old = ~F.col("part").isin(list(scans.parts))  # listed by a run that failed: in any part of now
+    parts = [p for p in scans.parts if p in found or found - scans.parts.keys()]
+    if not parts:
+        scratch.discard(cut)
+        return 0
+
+    now = F.timestamp_micros(F.lit(spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]))
+
+    def contents(part: int) -> DataFrame:
+        own = cut.where((F.col("part") == part) | old).select("source_file", "dataset", "batch")
+        return read_files(scans.of(part), root, now).drop("dataset").join(own, "source_file")
+
+    gathered = None
+    if scans.whole.keys() >= set(parts):
+        rows = reduce(DataFrame.unionByName, map(contents, parts))
+    else:
+        gathered = scratch.fresh(spark, "contents")
+        for part in parts:
+            contents(part).write.mode("append").parquet(gathered)
+        rows = spark.read.parquet(gathered)
     names = [*S.BRONZE, "path", "length", "reason", "run", "batch"]
-    n = write_table(rows.select(*names), bronze_path, partition_by=("dataset", "ingest_date", "run", "batch"), out_files=out_files)
+    n = write_table(rows.withColumn("run", F.lit(run)).select(*names), bronze_path, partition_by=("dataset", "ingest_date", "run", "batch"), out_files=out_files)
+    if gathered:
+        scratch.delete(spark, gathered)
+    scratch.discard(cut)
     if not n:
         return 0
     # The ledger is read from what was written, without the payloads.
@@ -82,33 +145,35 @@ def commit(files: DataFrame, bronze_path: str, root: str, max_files: int | dict[
     return n - seen["rejected"]
 
 
-def _root_name(raw_root: str) -> str:
-    return raw_root.rstrip("/").rsplit("/", 1)[-1]
-
-
 def ingest(
     spark: SparkSession, raw_root: str, bronze_path: str, checkpoint: str, datasets: tuple[str, ...] = DATASETS, max_files: int | dict[str, int] = 100,
     max_bytes: int | dict[str, int] = 64 << 20, out_files: int = 0, glob: str = "*.json",
 ) -> list[StreamingQuery]:
     """Take the new files of each dataset whose folder is there by a stream that ends when there are none left.
 
-    The stream's checkpoint only tells where to look; what is taken is decided by the ledger.  Both bounds hold for every batch, as greedily as
-    :func:`~stratafold.sources.files.micro_batches` cuts them; the stream itself hands over all new files at once, whose contents are not read then."""
-    done, old = [], spark.conf.get(_LOOKUPS_KEY)
+    The checkpoint holds what was listed and how far the stream over it came; it only tells where to look, what is taken is decided by the ledger.
+    Files that were listed but not taken, as a run failed, are handed over again.  Both bounds hold for every batch, as greedily as
+    :func:`~stratafold.sources.files.micro_batches` cuts them; the stream itself hands over all new files at once, by name and size."""
+    done = []
     for d in datasets:
         if not is_there(spark, f"{raw_root}/{d}"):
             continue
-        source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(f"{raw_root}/{d}")
-
-        def take(files: DataFrame, _: int, d: str = d) -> None:
-            commit(files.withColumn("dataset", F.lit(d)), bronze_path, _root_name(raw_root), max_files, max_bytes, out_files)
-
-        spark.conf.set(_LOOKUPS_KEY, min(int(old), LOOKUPS))
-        try:
-            query = source.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{d}").trigger(availableNow=True).start()
+        scans, listed = _Scans(spark, glob), f"{checkpoint}/{d}/listed"
+        known = read_table(spark, listed)
+
+        def take(files: DataFrame, _: int, scans: _Scans = scans) -> None:
+            with settings(files.sparkSession, SCANS):
+                commit(files, scans, bronze_path, _root_name(raw_root), max_files, max_bytes, out_files)
+
+        with settings(spark, SCANS):
+            new = scans.listed(raw_root, d, known)
+            if not new.isEmpty():
+                new.write.mode("append").parquet(listed)
+            at, fs = scratch._path(spark, listed)
+            fs.mkdirs(at)
+            source = spark.readStream.schema(LISTED).parquet(listed)
+            query = source.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{d}/stream").trigger(availableNow=True).start()
             query.awaitTermination()
-        finally:
-            spark.conf.set(_LOOKUPS_KEY, old)
         done.append(query)
     return done
 
@@ -121,15 +186,13 @@ def ingest_pending(
 
     ``max_files`` caps the run and ``dataset_max`` each dataset for its lifetime, as :func:`~stratafold.sources.files.pending` does; files are chosen by
     their names before contents are read.  Without ``batch_files`` and ``batch_bytes`` a dataset's files are one batch."""
-    root = _root_name(raw_root)
-    found = [scan_files(spark, f"{raw_root}/{d}", glob).withColumn("dataset", F.lit(d)) for d in datasets if is_there(spark, f"{raw_root}/{d}")]
-    if not found:
-        return 0
-    files = reduce(DataFrame.unionByName, found)
-    named = files.select("path", "dataset", F.regexp_extract(F.url_decode("path"), rf"({root}/.*)$", 1).alias("source_file"))
-    chosen = pending(named, ledger(spark, bronze_path), max_files, dataset_max)
-    fresh = files.join(chosen.select("path"), "path", "left_semi")
-    return commit(fresh, bronze_path, root, batch_files or {}, batch_bytes or {}, out_files)
+    scans = _Scans(spark, glob)
+    with settings(spark, SCANS):
+        found = [scans.listed(raw_root, d) for d in datasets if is_there(spark, f"{raw_root}/{d}")]
+        if not found:
+            return 0
+        chosen = pending(reduce(DataFrame.unionByName, found), ledger(spark, bronze_path), max_files, dataset_max)
+        return commit(chosen, scans, bronze_path, _root_name(raw_root), batch_files or {}, batch_bytes or {}, out_files)
 
 
 def dedup_events(events: DataFrame, keys: list[str], time: str, lateness: str = "10 minutes") -> DataFrame:

@@ -177,6 +177,49 @@ def test_files_are_listed_once(spark, tmp_path, monkeypatch):
     assert ingest.ingest_pending(spark, str(tmp_path / "none"), bronze) == 0 == len(ingest.ingest(spark, str(tmp_path / "none"), bronze, str(tmp_path / "cp2")))
 
 
+def test_files_are_listed_and_read_in_parts(spark, tmp_path, monkeypatch):
+    """No scan holds more files than a part may, by stream or batch; each file once, in the batches of the whole dataset, also after a run that failed."""
+    raw, bronze, scan, sizes = tmp_path / "raw", str(tmp_path / "bronze"), files.scan_files, []
+    folders = ["a", "a/deep", "a/deep/er", "b[1]", "c.json", "_hidden", ""]
+
+    def more(*numbers):
+        for f in folders:
+            (raw / "matches" / f).mkdir(parents=True, exist_ok=True)
+            for i in numbers:
+                (raw / "matches" / f / f"{i}.json").write_text(f'{{"f":"{f}{i}"}}')
+        (raw / "matches/note.txt").write_text("x")
+
+    def counted(spark, root, *rest):
+        found = scan(spark, root, *rest)
+        sizes.append(len(found.inputFiles()))
+        return found
+
+    more(0, 1)
+    monkeypatch.setattr(files, "PART_FILES", 3, raising=False)
+    for module in (files, ingest):
+        monkeypatch.setattr(module, "scan_files", counted)
+    stream = lambda at="cp": ingest.ingest(spark, str(raw), bronze, str(tmp_path / at), ("matches",), max_files=5)
+    cut = ingest.micro_batches
+    monkeypatch.setattr(ingest, "micro_batches", lambda *_: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        stream()
+    monkeypatch.setattr(ingest, "micro_batches", cut)
+    more(2)  # parts are others now
+    stream()
+    runs = {}
+    for r in ingest.ledger(spark, bronze).orderBy("path").collect():
+        runs.setdefault(r.run, []).append(r.batch)
+    assert sorted(runs.values()) == [[i // 5 for i in range(6)], [i // 5 for i in range(12)]]  # what the failed run was handed is handed over alone
+    more(3)
+    assert ingest.ingest_pending(spark, str(raw), bronze) == 6
+    stream()
+    stream("other")
+    rows = ingest.read_bronze(spark, bronze)
+    assert rows.count() == 24 == rows.select("source_file").distinct().count() == rows.select("payload_json").distinct().count()
+    assert rows.where("source_file like '%hidden%'").isEmpty() and ingest.commits(spark, bronze).count() == 3
+    assert len(sizes) > 8 and max(sizes) <= 4  # a folder's own files: 4 at last
+
+
 def test_raw_files_of_lake_ingest(spark, tmp_path):
     """A file for each supplier, in folders whose number does not grow as that of the files."""
     spark.range(3000).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
