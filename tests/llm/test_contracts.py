@@ -263,6 +263,31 @@ def test_embedding_recall(spark, grid):
     assert sum(got.values()) >= 0.98 * 3000 and max(got.values()) == 1
 
 
+def test_no_embedding_link_is_left_out(spark, monkeypatch):
+    """Pairs just above the threshold, in two lengths, chained and repeated: every link, in several broadcast blocks, while cells alone miss some."""
+    rng = np.random.default_rng(6)
+
+    def near(n, dim, low, high):
+        x, y = rng.standard_normal((2, n, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        c = rng.uniform(low, high, (n, 1))
+        return np.concatenate((x, c * x + np.sqrt(1 - c * c) * y))
+
+    x = near(1200, 64, 0.95001, 0.951)
+    chain = near(300, 64, 0.951, 0.96)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((x, chain, x[:5], chain[300:] * 2 + chain[:300] * 0.1)))] + [(9000 + i, v.tolist()) for i, v in enumerate(near(40, 24, 0.9502, 0.952))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(lattice, "REST_BYTES", 500_000)
+    want = {i: (n, c) for i, n, c in plain_links([r for r in rows if len(r[1]) == 64])}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(table).collect()}
+    assert {i: got[i] for i in want} == want and sum(n for n, _ in want.values()) > 3000
+    assert all(got[9000 + i] == (1, 9000 + i % 40) for i in range(80))
+    cells = {r.vec_id: r.n_links for r in lattice.near_duplicates(table, exact=False).collect()}
+    assert sum(cells.values()) < sum(n for n, _ in got.values())
+
+
 def test_e8_nearest():
     """The first candidate is the nearest lattice point, checked against all half-integer points around."""
     rng = np.random.default_rng(2)
